@@ -36,3 +36,8 @@ def empty_text(text: Column | str) -> Column:
 def with_outputs(df: DataFrame, **columns: Column) -> DataFrame:
     """df with the output columns added; an input column of the same name is replaced."""
     return df.withColumns(columns)
+
+
+def row_key(doc_id: str) -> Column:
+    """doc_id as a key that joins and groups with one shuffle; the smallest long stands for null."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))

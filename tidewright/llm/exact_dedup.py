@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, checkpointed, empty_text
+from .common import SPACE, checkpointed, empty_text, row_key
 
 #: Chunk sizes in bytes of the normalised text. The mean is about SHORTEST + 2 ** MASK_BITS.
 SHORTEST, LONGEST, MASK_BITS = 512, 16384, 10
@@ -119,8 +119,7 @@ def exact_dedup(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def keep_first(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; of repeated rows one stays."""
-    kept = exact_dedup(docs, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha256"))
+    kept = exact_dedup(docs, text_col).where("kept").select(row_key("doc_id").alias("_id"), F.col("text_sha256").alias("_sha256"))
     clean = F.regexp_replace(empty_text(text_col), SPACE + "+", " ")
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_sha256": F.sha2(clean, 256)})
-    same = keyed["_id"].eqNullSafe(kept["_id"]) & (keyed["_sha256"] == kept["_sha256"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["_id", "_sha256"]).drop("_id", "_sha256")
+    keyed = docs.withColumns({"_id": row_key("doc_id"), "_sha256": F.sha2(clean, 256)})
+    return keyed.join(kept, ["_id", "_sha256"], "left_semi").dropDuplicates(["_id", "_sha256"]).drop("_id", "_sha256")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, url_filters
+from . import chat_format, embedding_dedup, exact_dedup, language_id, quality, simhash, url_filters
 from .common import read
 
 #: The rules of query op1.
@@ -74,5 +74,54 @@ SELECT conv_id, count(*) AS n_turns,
 FROM m GROUP BY conv_id
 """
 
-QUERIES = {"op1_url_filters": op1_url_filters, "op2_exact_dedup": op2_exact_dedup, "op3_chat_formatting": op3_chat_formatting}
-ORACLES = {"op1_url_filters": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_chat_formatting": OP3_SQL}
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(read(spark, sf_dir, "embeddings"))
+
+
+OP5_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x, row_number() OVER () AS r FROM embeddings),
+good AS (SELECT * FROM v WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0
+         AND len(list_filter(x, lambda y: y <> 0)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v, b.r AS r FROM good a JOIN good b ON a.label = b.label AND a.r <> b.r AND len(a.x) = len(b.x)
+          AND list_cosine_similarity(a.x, b.x) >= 0.98),
+reach(u, v) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u),
+component AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u),
+degree AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN component c ON c.u = vec_id LEFT JOIN degree d ON d.u = vec_id
+"""
+
+
+def _fold(of: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(of))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    marks = read(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality.fit(docs.where(_fold(5) != 0).join(marks, "doc_id", "left"))
+    return quality.score(docs, model).select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_components(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(_fold(4) != 2))
+    return language_id.predict(docs, model).select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {
+    "op1_url_filters": op1_url_filters,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_chat_formatting": op3_chat_formatting,
+    "op5_embedding_dedup": op5_embedding_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_language_id": op9_language_id,
+}
+ORACLES = {"op1_url_filters": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_chat_formatting": OP3_SQL, "op5_embedding_dedup": OP5_SQL}
