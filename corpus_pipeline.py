@@ -1,7 +1,63 @@
-"""A training-text pipeline over documents: a list of stages and a runner."""
+"""Training text from documents: language ID, exact dedup, near-dedup, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and reread as the
+next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidewright.llm import exact_dedup, language_id, mixing, packing, simhash
+from tidewright.llm.queries import SEQUENCE_TOKENS, source_weight, tokenizer_file
+
+#: No stage but exact dedup can be said in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that language ID, learned from the labelled ones, does not reject."""
+    return language_id.reject_unknown(docs, language_id.fit(docs))
+
+
+def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the one with the smallest doc_id."""
+    return exact_dedup.keep_first(docs)
+
+
+def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts linked by SimHash, the one with the smallest doc_id."""
+    return simhash.near_dedup(docs)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.apply_mix(docs, source_weight)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences."""
+    return packing.pack(docs, tokenizer_file(), packing.Capacity(tokens=SEQUENCE_TOKENS))
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("exact_dedup", distinct_texts),
+    ("simhash_near_dedup", no_near_copies),
+    ("source_mixing", mixed_sources),
+    ("best_fit_packing", packed_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What goes between stages is written under spark.checkpoint.dir, which all executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, exact_dedup, language_id, quality, simhash, url_filters
+from . import chat_format, embedding_dedup, exact_dedup, html_extract, language_id, mixing, packing, quality, simhash, url_filters
 from .common import read
 
 #: The rules of query op1.
@@ -75,6 +75,19 @@ FROM m GROUP BY conv_id
 """
 
 
+#: Weights of the sources in code-point order, repeating, and the tokens of a sequence.
+SOURCE_WEIGHTS = (3, 1, 2)
+SEQUENCE_TOKENS = 2048
+
+
+def source_weight(k: int) -> float:
+    return SOURCE_WEIGHTS[k % len(SOURCE_WEIGHTS)]
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"), source_weight).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_dedup(read(spark, sf_dir, "embeddings"))
 
@@ -93,6 +106,10 @@ FROM v JOIN component c ON c.u = vec_id LEFT JOIN degree d ON d.u = vec_id
 """
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def _fold(of: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(of))
 
@@ -115,13 +132,26 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_file(), packing.Capacity(tokens=SEQUENCE_TOKENS))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_source_mixing": op4_source_mixing,
     "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_html_extraction": op6_html_extraction,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_language_id": op9_language_id,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLES = {"op1_url_filters": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_chat_formatting": OP3_SQL, "op5_embedding_dedup": OP5_SQL}
