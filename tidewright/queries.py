@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle_series as sql
+from . import oracle_strategy as osql
 from .operators.indicators import REGISTRY, indicator
+from .operators.strategy import BackTest
+from .plans.config import PRESETS, IndicatorConfig, Rule, Strategy
 from .sources import bars as fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,3 +40,64 @@ def _indicator(key: str) -> Query:
 
 for _key in REGISTRY:
     register(f"ind_{_key}", _indicator(_key), sql.indicator_sql(_key))
+
+
+# Strategies, on the dense fixture series with one lot size and fee schedule.
+
+
+def _typed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.bars_type(spark, sf_dir).withColumns({"lot_size": F.lit(osql.LOT), "instrument_class": F.lit("NSE_FO_STOCK")})
+
+
+def _test(strategy: Strategy) -> Callable[[SparkSession, str], BackTest]:
+    return lambda spark, sf_dir: BackTest(_typed_bars(spark, sf_dir), strategy)
+
+
+_SAMPLE = (IndicatorConfig("sma", {"period": 20}), IndicatorConfig("sma", {"period": 50}), IndicatorConfig("price_vs_high_low"))
+
+
+def _sample(*rules: Rule, logic: str = "or", rebalance: str = "daily") -> Strategy:
+    return Strategy(_SAMPLE, rules, logic, rebalance=rebalance)
+
+
+_CROSS = (Rule(0, "crosses_above", "long", reference=1), Rule(0, "crosses_below", "short", reference=1), Rule(2, "is_above", "long", 80))
+_SIGNALS = {
+    "rule_crosses_above": _sample(Rule(0, "crosses_above", reference=1)),
+    "rule_crosses_below": _sample(Rule(0, "crosses_below", reference=1)),
+    "rule_is_above": _sample(Rule(0, "is_above", reference=1)),
+    "rule_is_below": _sample(Rule(0, "is_below", "short", reference=1)),
+    "rule_between": _sample(Rule(2, "between", "long", 40)),
+    "combine_or": _sample(*_CROSS),
+    "combine_and": _sample(*_CROSS, logic="and"),
+    "rebalance_daily": _sample(*_CROSS),
+    "rebalance_weekly": _sample(*_CROSS, rebalance="weekly"),
+    "rebalance_biweekly": _sample(*_CROSS, rebalance="biweekly"),
+    "rebalance_monthly": _sample(*_CROSS, rebalance="monthly"),
+}
+for _name, _strategy in _SIGNALS.items():
+    register(_name, lambda spark, sf_dir, t=_test(_strategy): t(spark, sf_dir).signals.select("ticker", "date", "signal"), osql.select(osql.sample_tables(_strategy), "ticker, date, signal", "sg"))
+
+_DAILY = ["ticker", "date", "gross_pnl", "cost", "net_pnl", "cumulative", "drawdown", "lots", "signal"]
+_base = _sample(*_CROSS, rebalance="weekly")
+_base_tables = osql.sample_tables(_base)
+_run = _test(_base)
+
+
+def _daily_of(*columns: str):
+    shown = ["ticker", "date", *columns]
+    names = ", ".join(f"{osql.grid(x, 2)} AS {x}" if x not in ("ticker", "date", "lots", "signal") else x for x in shown)
+    return (lambda spark, sf_dir: rounded(_run(spark, sf_dir).daily.select(*shown), 2)), osql.select(osql.daily_tables(_base_tables), names, "dy")
+
+
+register("lots", *_daily_of("signal", "lots"))
+register("daily_pnl", *_daily_of("gross_pnl"))
+register("trade_costs", *_daily_of("cost"))
+register("equity_curve", *_daily_of("net_pnl", "cumulative"))
+register("drawdown_abs", *_daily_of("drawdown"))
+register("trade_log", lambda spark, sf_dir: rounded(_run(spark, sf_dir).trades), osql.select(osql.trade_tables(_base_tables), osql.TRADES, "tl"))
+register("metrics", lambda spark, sf_dir: _run(spark, sf_dir).metrics, osql.metrics_sql(_base_tables))
+_half = "floor(sum(net_pnl) * 100 + 0.5e0) / 100 AS pnl"
+register("agg_monthly", lambda spark, sf_dir: _run(spark, sf_dir).monthly, osql.select(osql.daily_tables(_base_tables), f"ticker, year(date) AS year, month(date) AS month, {_half}", "dy GROUP BY ALL"))
+register("agg_yearly", lambda spark, sf_dir: _run(spark, sf_dir).yearly, osql.select(osql.daily_tables(_base_tables), f"ticker, year(date) AS year, {_half}", "dy GROUP BY ALL"))
+for _name, _strategy in PRESETS.items():
+    register(f"preset_{_name}", lambda spark, sf_dir, t=_test(_strategy): t(spark, sf_dir).metrics, osql.metrics_sql(osql.preset_tables(_name)))
