@@ -7,13 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-ordered = Window.partitionBy("ticker").orderBy("date")
-whole = Window.partitionBy("ticker")
-prefix = ordered.rowsBetween(Window.unboundedPreceding, 0)
+
+def ordered():
+    return Window.partitionBy("ticker").orderBy("date")
+
+
+def prefix():
+    return ordered().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def trailing(period: int):
-    return ordered.rowsBetween(-(period - 1), 0)
+    return ordered().rowsBetween(-(period - 1), 0)
 
 
 def col(x: Column | str) -> Column:
@@ -21,7 +25,7 @@ def col(x: Column | str) -> Column:
 
 
 def prev(x: Column | str, k: int = 1) -> Column:
-    return F.lag(col(x), k).over(ordered)
+    return F.lag(col(x), k).over(ordered())
 
 
 def full(x: Column, period: int, over: Column | str = "close") -> Column:
@@ -66,7 +70,7 @@ def ratio(num: Column, den: Column, otherwise: Column | float | None = None) ->
 
 def hold(x: Column) -> Column:
     """The last non-zero value up to here, or 0."""
-    return F.coalesce(F.last(F.nullif(x, F.lit(0)), ignorenulls=True).over(prefix), F.lit(0))
+    return F.coalesce(F.last(F.nullif(x, F.lit(0)), ignorenulls=True).over(prefix()), F.lit(0))
 
 
 def half_up(x: Column, digits: int) -> Column:

@@ -73,7 +73,7 @@ def hull_ma(df, p):
     n = _int(p)
     half, root = max(n // 2, 1), max(int(math.sqrt(n)), 1)
     raw = df.withColumn("_raw", F.coalesce(2 * weighted("close", _linear(half)) - weighted("close", _linear(n)), F.lit(0.0)))
-    smooth = raw.withColumn("_row", F.row_number().over(ordered))
+    smooth = raw.withColumn("_row", F.row_number().over(ordered()))
     return _value(smooth, F.when(c("_row") > n + root - 2, weighted("_raw", _linear(root)))).drop("_raw", "_row")
 
 
@@ -91,7 +91,7 @@ def _middle(n: int):
 def ichimoku(df, p):
     shift = _int(p, "displacement")
     lines = df.withColumns({"tenkan": _middle(_int(p, "conversion")), "kijun": _middle(_int(p, "base")), "_b": _middle(_int(p, "span_b"))})
-    return lines.withColumns({"span_a": prev((c("tenkan") + c("kijun")) / 2, shift), "span_b": prev("_b", shift), "chikou": F.lead("close", shift).over(ordered)}).drop("_b")
+    return lines.withColumns({"span_a": prev((c("tenkan") + c("kijun")) / 2, shift), "span_b": prev("_b", shift), "chikou": F.lead("close", shift).over(ordered())}).drop("_b")
 
 
 @_window("linear_regression", "Linear regression", "trend", period=20)
@@ -182,7 +182,7 @@ def std_dev(df, p):
 def obv(df, p):
     before = prev("close")
     signed = df.withColumn("_flow", F.when(before.isNull(), c("volume")).otherwise(F.signum(c("close") - before) * c("volume")))
-    return _value(signed, F.sum("_flow").over(prefix)).drop("_flow")
+    return _value(signed, F.sum("_flow").over(prefix())).drop("_flow")
 
 
 @_window("vol_sma", "Volume SMA", "volume", period=20)
@@ -196,7 +196,7 @@ def _money_flow():
 
 @_window("accum_dist", "Accumulation/distribution", "volume")
 def accum_dist(df, p):
-    return _value(df, F.sum(_money_flow()).over(prefix))
+    return _value(df, F.sum(_money_flow()).over(prefix()))
 
 
 @_window("cmf", "Chaikin money flow", "volume", period=20)
@@ -208,7 +208,7 @@ def cmf(df, p):
 @_window("mfi", "Money flow index", "volume", period=14)
 def mfi(df, p):
     n = _int(p)
-    flows = df.withColumn("_tp", (c("high") + c("low") + c("close")) / 3).withColumns({"_before": prev("_tp"), "_row": F.row_number().over(ordered)})
+    flows = df.withColumn("_tp", (c("high") + c("low") + c("close")) / 3).withColumns({"_before": prev("_tp"), "_row": F.row_number().over(ordered())})
     flow = c("_tp") * c("volume")
     up = F.sum(F.when(c("_tp") > c("_before"), flow).otherwise(0.0)).over(trailing(n))
     down = F.sum(F.when(c("_tp") < c("_before"), flow).otherwise(0.0)).over(trailing(n))
@@ -219,7 +219,7 @@ def mfi(df, p):
 @_window("vwap", "VWAP", "volume")
 def vwap(df, p):
     typical = (c("high") + c("low") + c("close")) / 3
-    return _value(df, ratio(F.sum(typical * c("volume")).over(prefix), F.sum("volume").over(prefix), c("close")))
+    return _value(df, ratio(F.sum(typical * c("volume")).over(prefix()), F.sum("volume").over(prefix()), c("close")))
 
 
 @_window("pivot_points", "Pivot points", "price", ("pp", "r1", "r2", "r3", "s1", "s2", "s3"))

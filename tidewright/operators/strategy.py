@@ -66,12 +66,12 @@ def rebalance(df: DataFrame, frequency: str) -> DataFrame:
         due = df.withColumn("due", F.coalesce(F.trunc("date", "month") != F.trunc(prev("date"), "month"), F.lit(True)))
     else:
         due = rebalance_days(df, 7 if frequency == "weekly" else 14, frequency == "weekly")
-    return due.withColumn("signal", F.last(F.when(c("due"), c("signal")), ignorenulls=True).over(prefix)).drop("due")
+    return due.withColumn("signal", F.last(F.when(c("due"), c("signal")), ignorenulls=True).over(prefix())).drop("due")
 
 
 def with_lots(df: DataFrame, sizing: Sizing) -> DataFrame:
     """Lots by risk budget over volatility, at least 1 where a signal is on, from row vol_window on."""
-    returns = df.withColumns({"_ret": F.coalesce(ratio(c("close") - prev("close"), prev("close"), 0.0), F.lit(0.0)), "_row": F.row_number().over(ordered)})
+    returns = df.withColumns({"_ret": F.coalesce(ratio(c("close") - prev("close"), prev("close"), 0.0), F.lit(0.0)), "_row": F.row_number().over(ordered())})
     risk = returns.withColumn("_risk", c("close") * c("lot_size") * F.greatest(sample_std("_ret", sizing.vol_window), F.lit(0.01)) * sizing.z_multiplier)
     sized = F.greatest(F.floor(sizing.risk_budget / F.when(c("_risk") > 0, c("_risk"))), F.lit(1))
     on = (c("_row") > sizing.vol_window) & (c("signal") != 0) & (c("_risk") > 0)
@@ -82,8 +82,8 @@ def with_pnl(df: DataFrame) -> DataFrame:
     """gross profit of the position held overnight, cost of the day's trades, net, cumulative net and its distance from its peak."""
     gross = F.coalesce(prev("signal") * prev("lots") * c("lot_size") * (c("close") - prev("close")), F.lit(0.0))
     daily = trade_costs(df.withColumn("gross_pnl", gross)).withColumn("net_pnl", c("gross_pnl") - c("cost"))
-    summed = daily.withColumn("cumulative", F.sum("net_pnl").over(prefix))
-    return summed.withColumn("drawdown", c("cumulative") - F.max("cumulative").over(prefix))
+    summed = daily.withColumn("cumulative", F.sum("net_pnl").over(prefix()))
+    return summed.withColumn("drawdown", c("cumulative") - F.max("cumulative").over(prefix()))
 
 
 def trade_log(daily: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def trade_log(daily: DataFrame) -> DataFrame:
     changed = _flag(F.coalesce(c("signal") != prev("signal"), F.lit(True)), 1)
     runs = (
         daily.withColumn("_change", changed)
-        .withColumn("run", F.sum("_change").over(prefix))
+        .withColumn("run", F.sum("_change").over(prefix()))
         .groupBy("ticker", "run")
         .agg(
             F.first("signal").alias("signal"), F.first("lot_size").alias("lot_size"), F.min("date").alias("entry_date"), F.min_by("close", "date").alias("entry_price"),
@@ -118,9 +118,9 @@ def streaks(trades: DataFrame) -> DataFrame:
 
 
 def _daily_metrics(daily: DataFrame) -> DataFrame:
-    before = F.coalesce(F.max("cumulative").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    peaks = daily.withColumn("_before", F.greatest(before, F.lit(0.0))).withColumns({"_peak": F.greatest("_before", "cumulative"), "_first": F.min("date").over(prefix)})
-    dated = peaks.withColumn("_peak_date", F.coalesce(F.last(F.when(c("cumulative") > c("_before"), c("date")), ignorenulls=True).over(prefix), c("_first")))
+    before = F.coalesce(F.max("cumulative").over(ordered().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    peaks = daily.withColumn("_before", F.greatest(before, F.lit(0.0))).withColumns({"_peak": F.greatest("_before", "cumulative"), "_first": F.min("date").over(prefix())})
+    dated = peaks.withColumn("_peak_date", F.coalesce(F.last(F.when(c("cumulative") > c("_before"), c("date")), ignorenulls=True).over(prefix()), c("_first")))
     depth = c("_peak") - c("cumulative")
     deepest = F.struct(depth.alias("depth"), (-F.unix_date("date")).alias("earlier"), (depth / (CAPITAL + c("_peak")) * 100).alias("pct"), F.datediff("date", "_peak_date").alias("days"))
     negative = c("net_pnl") < 0

@@ -6,7 +6,7 @@ from __future__ import annotations
 _BARS = """
 SELECT {name} AS ticker, CAST(l_shipdate AS DATE) AS date, arg_min(px, struct_pack(a := l_orderkey, b := l_linenumber, c := px)) AS open,
        max(px) AS high, min(px) AS low, arg_max(px, struct_pack(a := l_orderkey, b := l_linenumber, c := px)) AS close, sum(l_quantity) AS volume
-FROM (SELECT *, l_extendedprice / l_quantity AS px FROM lineitem) JOIN {dim} GROUP BY ALL
+FROM (SELECT *, 1000 + l_extendedprice / l_quantity / 100 AS px FROM lineitem) JOIN {dim} GROUP BY ALL
 """
 BARS_TYPE = _BARS.format(name="p_type", dim="part ON l_partkey = p_partkey")
 BARS_SUPPLIER = _BARS.format(name="s_name", dim="supplier ON l_suppkey = s_suppkey")

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle_series as sql
+from . import oracle_portfolio as psql
 from . import oracle_strategy as osql
+from .operators import factors, optimizer, portfolio
 from .operators.indicators import REGISTRY, indicator
 from .operators.strategy import BackTest
 from .plans.config import PRESETS, IndicatorConfig, Rule, Strategy
@@ -101,3 +103,145 @@ register("agg_monthly", lambda spark, sf_dir: _run(spark, sf_dir).monthly, osql.
 register("agg_yearly", lambda spark, sf_dir: _run(spark, sf_dir).yearly, osql.select(osql.daily_tables(_base_tables), f"ticker, year(date) AS year, {_half}", "dy GROUP BY ALL"))
 for _name, _strategy in PRESETS.items():
     register(f"preset_{_name}", lambda spark, sf_dir, t=_test(_strategy): t(spark, sf_dir).metrics, osql.metrics_sql(osql.preset_tables(_name)))
+
+
+# Factors and cross-sections, on the fixture of many sparse series.
+
+
+def _fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = fixtures.read(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    return s.select(
+        F.col("s_name").alias("ticker"), F.when(k % 7 != 0, 5 + k % 40).cast("double").alias("pe"), (F.col("s_acctbal") / 2000).alias("pb"), ((k % 13).cast("double") / 20).alias("roe"),
+        (F.col("s_acctbal") / 10000).alias("rev_growth"), (F.when(k % 5 != 0, k % 29).cast("double") / 10).alias("de"),
+    )
+
+
+def _factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = fixtures.bars_supplier(spark, sf_dir)
+    return factors.with_fundamentals(factors.price_factors(bars, factors.market_proxy(bars)), _fundamentals(spark, sf_dir))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factors.xs_zscore(factors.long_form(_factors(spark, sf_dir)))
+
+
+for _name in factors.PRICE_FACTORS:
+    register(f"factor_{_name}", lambda spark, sf_dir, f=_name: rounded(_factors(spark, sf_dir).select("ticker", f), 6), psql.select(psql.FACTOR_TABLES, f"ticker, {sql.grid(_name, 6)} AS {_name}", "fa"))
+_all = ", ".join(f"{sql.grid(f, 6)} AS {f}" for f in factors.FACTORS)
+register("build_factors", lambda spark, sf_dir: rounded(_factors(spark, sf_dir).select("ticker", *factors.FACTORS), 6), psql.select(psql.FACTOR_TABLES, f"ticker, {_all}", "fa"))
+register("market_proxy", lambda spark, sf_dir: rounded(factors.market_proxy(fixtures.bars_supplier(spark, sf_dir)).select("date", F.ln("level").alias("log_level"))), psql.select(psql.PROXY, f"date, {sql.grid('ln(level)')} AS log_level", "px"))
+
+
+def _aligned_market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = fixtures.bars_supplier(spark, sf_dir)
+    weekly = factors.market_proxy(bars).where(F.dayofweek("date") == 2)  # Mondays only, so that most dates are filled forward
+    return rounded(factors.align_market(bars, weekly).select("ticker", "date", F.ln("market").alias("log_market")))
+
+
+register(
+    "align_market",
+    _aligned_market,
+    psql.select(psql.PROXY, f"ticker, s.date AS date, {sql.grid('ln(last_value(level IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY s.date ROWS UNBOUNDED PRECEDING))')} AS log_market", "s LEFT JOIN (SELECT * FROM px WHERE isodow(date) = 1) q ON q.date = s.date"),
+)
+register("xs_zscore", lambda spark, sf_dir: rounded(_scored(spark, sf_dir).select("ticker", "factor", "z")), psql.select(psql.FACTOR_TABLES, f"ticker, factor, {sql.grid('z')} AS z", "zs"))
+for _name in factors.PRESETS:
+    register(
+        f"composite_{_name}",
+        lambda spark, sf_dir, p=_name: rounded(factors.composite_score(_scored(spark, sf_dir), factors.preset_weights(spark, p))),
+        psql.select(psql.score_tables(_name), f"ticker, {sql.grid('score')} AS score", "sc"),
+    )
+register(
+    "contributions",
+    lambda spark, sf_dir: rounded(factors.contributions(_scored(spark, sf_dir), factors.preset_weights(spark, "balanced")).where("rank <= 2").select("ticker", "factor", "contribution", F.col("rank").cast("long").alias("rank"))),
+    psql.select(psql.score_tables("balanced"), f"ticker, factor, {sql.grid('contribution')} AS contribution, row_number() OVER (PARTITION BY ticker ORDER BY round(abs(contribution), 9) DESC, factor) AS rank", "co QUALIFY rank <= 2"),
+)
+for _size in (8, 12, 16):
+    register(
+        f"select_top_{_size}",
+        lambda spark, sf_dir, n=_size: rounded(factors.select_top_n(factors.composite_score(_scored(spark, sf_dir), factors.preset_weights(spark, "balanced")), fixtures.instruments(spark, sf_dir), n, 3)),
+        psql.select([*psql.score_tables("balanced"), "pl AS (SELECT ticker, score, sector, row_number() OVER (PARTITION BY sector ORDER BY score DESC, ticker) AS place FROM sc JOIN ins USING (ticker))"], f"ticker, sector, {sql.grid('score')} AS score", f"(SELECT * FROM pl WHERE place <= 3 ORDER BY score DESC, ticker LIMIT {_size})"),
+    )
+
+# Portfolios, on the dense fixture series.
+
+
+def _weights(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(t, k / 21) for k, t in enumerate(psql.MEMBERS, 1)], "ticker string, weight double")
+
+
+def _sectors(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(zip(psql.MEMBERS, psql.SECTORS, strict=True)), "ticker string, sector string").withColumn("lot_size", F.lit(osql.LOT))
+
+
+def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return portfolio.align_tail(fixtures.bars_type(spark, sf_dir))
+
+
+def _annual_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = _aligned(spark, sf_dir)
+    periods = aligned.agg(F.max("t")).first()[0]
+    return portfolio.shrink(portfolio.covariance(aligned), periods).withColumn("cov", F.col("cov") * 252)
+
+
+def _curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common = portfolio.date_intersection(fixtures.bars_type(spark, sf_dir), len(psql.MEMBERS))
+    return portfolio.equity(portfolio.portfolio_returns(common, _weights(spark)))
+
+
+def _own(columns: str, source: str, tables: list[str] = psql.ALIGNED) -> str:
+    return psql.select(tables, columns, source)
+
+
+register("daily_returns", lambda spark, sf_dir: rounded(factors.returns_by_date(fixtures.bars_type(spark, sf_dir)), 6), _own(f"ticker, date, {sql.grid('ret', 6)} AS ret", "rt", psql.RETURNS))
+register("ann_stats", lambda spark, sf_dir: rounded(portfolio.ann_stats(_aligned(spark, sf_dir))), _own(f"ticker, {sql.grid('mu')} AS mu, {sql.grid('sigma')} AS sigma", "st"))
+register("align_tail", lambda spark, sf_dir: rounded(_aligned(spark, sf_dir).withColumn("t", F.col("t").cast("long")), 6), _own(f"ticker, t, {sql.grid('ret', 6)} AS ret", "al"))
+register("covariance", lambda spark, sf_dir: rounded(portfolio.covariance(_aligned(spark, sf_dir))), _own(f"i, j, {sql.grid('cov')} AS cov", "cv"))
+register("annual_shrunk_covariance", lambda spark, sf_dir: rounded(_annual_cov(spark, sf_dir)), _own(f"i, j, {sql.grid('cov')} AS cov", "an"))
+register("correlation", lambda spark, sf_dir: rounded(portfolio.correlation(portfolio.covariance(_aligned(spark, sf_dir)))), _own(f"i, j, {sql.grid('CASE WHEN i = j THEN 1 ELSE corr END')} AS corr", "cv"))
+register("correlation_matrix", lambda spark, sf_dir: rounded(portfolio.correlation_matrix(_aligned(spark, sf_dir))), _own(f"i, j, {sql.grid('corr')} AS corr", "cv"))
+register(
+    "mat_mul",
+    lambda spark, sf_dir: rounded((lambda m: portfolio.mat_mul(m, m))(_annual_cov(spark, sf_dir).withColumnRenamed("cov", "value"))),
+    _own(f"a.i AS i, b.j AS j, {sql.grid('sum(a.cov * b.cov)')} AS value", "an a JOIN an b ON a.j = b.i GROUP BY a.i, b.j"),
+)
+register("alloc_equal", lambda spark, sf_dir: rounded(portfolio.alloc_equal(portfolio.ann_stats(_aligned(spark, sf_dir)))), _own(f"ticker, {sql.grid('1e0 / count(*) OVER ()')} AS weight", "st"))
+register("alloc_inverse_vol", lambda spark, sf_dir: rounded(portfolio.alloc_inverse_vol(portfolio.ann_stats(_aligned(spark, sf_dir)))), _own(f"ticker, {sql.grid('v / sum(v) OVER ()')} AS weight", "iv"))
+register("risk_contribution", lambda spark, sf_dir: rounded(portfolio.risk_contribution(_annual_cov(spark, sf_dir), _weights(spark))), _own(f"i AS ticker, {sql.grid('wi * sw / sum(wi * sw) OVER ()')} AS contribution", "sw"))
+register(
+    "portfolio_risk",
+    lambda spark, sf_dir: rounded(portfolio.portfolio_risk(_annual_cov(spark, sf_dir), portfolio.ann_stats(_aligned(spark, sf_dir)), _weights(spark))),
+    _own(", ".join(f"{sql.grid(x)} AS {k}" for k, x in {"expected_return": "sum(wi * mu)", "volatility": "sqrt(sum(wi * sw))", "sharpe": "(sum(wi * mu) - 0.06e0) / sqrt(sum(wi * sw))", "diversification_ratio": "sum(wi * sigma) / sqrt(sum(wi * sw))"}.items()), "sw JOIN st ON st.ticker = sw.i"),
+)
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return optimizer.members(factors.returns_by_date(fixtures.bars_type(spark, sf_dir)), _sectors(spark))
+
+
+for _method in optimizer.METHODS:
+    register(f"optimise_{_method}", lambda spark, sf_dir, m=_method: rounded(optimizer.optimise(_members(spark, sf_dir), m)))
+register("efficient_frontier", lambda spark, sf_dir: rounded(optimizer.efficient_frontier(_members(spark, sf_dir))))
+
+register("date_intersection", lambda spark, sf_dir: portfolio.date_intersection(fixtures.bars_type(spark, sf_dir), len(psql.MEMBERS)).select("ticker", "date"), _own("ticker, date", "ix", psql.SERIES))
+register("portfolio_returns", lambda spark, sf_dir: rounded(_curve(spark, sf_dir).select("date", "ret"), 6), _own(f"date, {sql.grid('ret', 6)} AS ret", "pr", psql.SERIES))
+register("portfolio_equity", lambda spark, sf_dir: rounded(_curve(spark, sf_dir).select("date", F.log10("equity").alias("log_equity"))), _own(f"date, {sql.grid('log10(equity)')} AS log_equity", "eq", psql.SERIES))
+register(
+    "lots_for_capital",
+    lambda spark, sf_dir: portfolio.lots_for_capital(fixtures.bars_type(spark, sf_dir), _weights(spark), _sectors(spark), 50_000_000.0),
+    _own(f"ticker, CAST(floor(50000000e0 * weight / ({osql.LOT} * close)) AS BIGINT) AS lots", "(SELECT ticker, arg_max(close, date) AS close FROM b GROUP BY ticker) JOIN wt USING (ticker)", psql.SERIES),
+)
+register("rolling_volatility", lambda spark, sf_dir: rounded(portfolio.rolling_volatility(_curve(spark, sf_dir))), _own(psql.ROLLING_VOL, "pr", psql.SERIES))
+register("rolling_sharpe", lambda spark, sf_dir: rounded(portfolio.rolling_sharpe(_curve(spark, sf_dir))), _own(psql.ROLLING_SHARPE, "pr", psql.SERIES))
+register("risk_summary", lambda spark, sf_dir: rounded(portfolio.risk_summary(_curve(spark, sf_dir))), _own(psql.RISK, "dd", psql.SERIES))
+register("top_drawdowns", lambda spark, sf_dir: rounded(portfolio.top_drawdowns(_curve(spark, sf_dir))), _own(f"peak_date, trough_date, recovery_date, {sql.grid('(pk - lo) / pk')} AS depth", "(SELECT * FROM er WHERE lo < pk ORDER BY (pk - lo) / pk DESC, peak_date LIMIT 5)", psql.EPISODES))
+register("return_distribution", lambda spark, sf_dir: rounded(portfolio.histogram(_curve(spark, sf_dir), "ret", 30)), psql.histogram(psql.SERIES, "pr", "ret", "30"))
+register("trade_histogram", lambda spark, sf_dir: rounded(portfolio.histogram(_run(spark, sf_dir).trades, "pnl", portfolio.trade_buckets())), psql.histogram([sql.SERIES, *osql.trade_tables(_base_tables)], "tl", "pnl", "greatest(least(floor(sqrt(count(*))), 20), 5)"))
+register(
+    "trade_stats",
+    lambda spark, sf_dir: rounded(portfolio.trade_stats(_run(spark, sf_dir).trades)),
+    osql.select(osql.trade_tables(_base_tables), f"ticker, count(*) FILTER (pnl >= 0) AS wins, count(*) FILTER (pnl < 0) AS losses, {sql.grid('coalesce(avg(pnl) FILTER (pnl >= 0), 0)')} AS avg_win, {sql.grid('coalesce(avg(pnl) FILTER (pnl < 0), 0)')} AS avg_loss", "tl GROUP BY ticker"),
+)
+register("lump_sum", lambda spark, sf_dir: rounded(portfolio.lump_sum(fixtures.bars_type(spark, sf_dir), 1_000_000.0), 2), psql.LUMP)
+for _frequency in ("weekly", "monthly"):
+    register(f"dca_{_frequency}", lambda spark, sf_dir, f=_frequency: rounded(portfolio.dca(fixtures.bars_type(spark, sf_dir), 1_000_000.0, f), 2), psql.dca(_frequency))
