@@ -19,6 +19,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,8 +31,8 @@ from .common import checkpointed, row_key
 
 #: Pieces packed together, about; each group leaves about one sequence part-filled.
 GROUP_PIECES = 4096
-#: Words that a worker remembers the ids of; it forgets all when there are more.
-REMEMBERED = 1_500_000
+#: Words that a worker remembers the ids of; when there are as many, later ones are looked up anew in each batch.
+REMEMBERED = 400_000
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -49,27 +50,47 @@ class WordTokenizer:
     """Ids of texts by a tokenizer file that drops white space and lower-cases, one distinct word at a time.
 
     No token spans white space, so a text's ids are its words' ids in order; words are looked up with A-Z
-    lower-cased, and those not yet known go to the tokenizer together.
+    lower-cased, and those not yet known go to the tokenizer together, as one text with a mark between them.
     """
 
+    MARK = b"\x00"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        self.mark = self._ids(self.MARK)[-1]
         self.known: dict[bytes, bytes] = {}
 
+    def _ids(self, text: bytes) -> list[int]:
+        return self.model.encode(text.decode(), add_special_tokens=False).ids
+
+    def _learn(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 2048):
+            part = words[at : at + 2048]
+            for word in [w for w in part if self.MARK in w]:
+                self.known[word] = np.array(self._ids(word), dtype="<u4").tobytes()
+            if not (plain := [w for w in part if self.MARK not in w]):
+                continue
+            ids = np.array(self._ids((b" " + self.MARK + b" ").join(plain)), dtype="<u4")
+            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            raw, begin = ids.tobytes(), 0
+            for word, end in zip(plain, ends, strict=True):
+                self.known[word] = raw[4 * begin : 4 * end]
+                begin = end + 1
+
     def encode(self, texts: list[bytes], closing: int = 0) -> list[bytes]:
         """The ids of each text and the closing id, as little-endian unsigned 32-bit numbers."""
-        known, split = self.known, [t.translate(_LOWER).split() for t in texts]
-        if new := list({w for words in split for w in words if w not in known}):
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = list({w for words in split for w in words})
-            for word, found in zip(new, self.model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, dtype="<u4").tobytes()
-        end = closing.to_bytes(4, "little")
-        return [b"".join([known[w] for w in words]) + end for words in split]
+        split = [t.translate(_LOWER).split() for t in texts]
+        full = len(self.known) >= REMEMBERED
+        if new := set(chain.from_iterable(split)).difference(self.known):
+            self._learn(list(new))
+        end, of = closing.to_bytes(4, "little"), self.known.__getitem__
+        found = [b"".join(map(of, words)) + end for words in split]
+        for word in new if full else ():
+            del self.known[word]
+        return found
 
 
 @cache
