@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from . import oracle_series as sql
 from . import oracle_portfolio as psql
 from . import oracle_strategy as osql
+from .functions import fmt
 from .operators import factors, optimizer, portfolio
 from .operators.indicators import REGISTRY, indicator
 from .operators.strategy import BackTest
 from .plans.config import PRESETS, IndicatorConfig, Rule, Strategy
 from .sources import bars as fixtures
+from .sources import etl
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -245,3 +247,156 @@ register(
 register("lump_sum", lambda spark, sf_dir: rounded(portfolio.lump_sum(fixtures.bars_type(spark, sf_dir), 1_000_000.0), 2), psql.LUMP)
 for _frequency in ("weekly", "monthly"):
     register(f"dca_{_frequency}", lambda spark, sf_dir, f=_frequency: rounded(portfolio.dca(fixtures.bars_type(spark, sf_dir), 1_000_000.0, f), 2), psql.dca(_frequency))
+
+
+# Batch jobs and formats.
+
+_TYPE, _SUPPLIER = f"b AS MATERIALIZED ({sql.BARS_TYPE})", f"b AS MATERIALIZED ({sql.BARS_SUPPLIER})"
+_CUT = "1999-06-01"
+
+
+register(
+    "price_summary",
+    lambda spark, sf_dir: rounded(etl.price_summary(fixtures.bars_supplier(spark, sf_dir)), 3),
+    psql.select(
+        [_SUPPLIER, "n AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS back FROM b)", "o AS (SELECT ticker, arg_min(close, back) AS c, max(date) AS d, arg_min(close, back) FILTER (back >= 253) AS o FROM n WHERE close > 0 GROUP BY ticker)"],
+        f"ticker, {sql.grid('round_even(c, 4)', 3)} AS close, d AS date, {sql.grid('round_even(c / o - 1, 4)', 3)} AS yr1_pct", "o",
+    ),
+)
+
+
+def _contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = fixtures.read(spark, sf_dir, "lineitem").join(fixtures.read(spark, sf_dir, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    px = F.col("l_extendedprice") / F.col("l_quantity")
+    return lines.select(
+        F.concat(F.lit(" "), F.col("p_type"), F.lit(" ")).alias("symbol"), F.when(F.col("l_linenumber") % 4 == 0, "OPTFUT").otherwise("FUTCOM ").alias("instrument"), F.col("l_shipdate").cast("date").alias("date"),
+        F.date_add(F.col("l_shipdate").cast("date"), (F.col("l_orderkey") % 90).cast("int")).alias("expiry"), px.alias("open"), px.alias("high"), px.alias("low"), F.when(F.col("l_orderkey") % 3 == 0, 0.0).otherwise(px).alias("close"), F.col("l_quantity").alias("volume"),
+    )
+
+
+register(
+    "front_month",
+    lambda spark, sf_dir: rounded(etl.front_month(_contracts(spark, sf_dir), ["FUTCOM"]).select("symbol", "date", "expiry", "open", "close", "volume")),
+    psql.select(
+        ["k AS (SELECT p_type AS symbol, CAST(l_shipdate AS DATE) AS date, CAST(CAST(l_shipdate AS DATE) + CAST(l_orderkey % 90 AS INT) AS DATE) AS expiry, l_extendedprice / l_quantity AS open, CASE WHEN l_orderkey % 3 = 0 THEN 0e0 ELSE l_extendedprice / l_quantity END AS close, l_quantity AS volume FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber % 4 <> 0)"],
+        f"symbol, date, expiry, {sql.grid('open')} AS open, {sql.grid('close')} AS close, {sql.grid('volume')} AS volume",
+        "k QUALIFY row_number() OVER (PARTITION BY symbol, date ORDER BY CASE WHEN close > 0 THEN 0 ELSE 1 END, expiry, k.open, k.close, k.volume) = 1",
+    ),
+)
+
+
+def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    bars = fixtures.bars_type(spark, sf_dir)
+    new = bars.where(F.col("date") >= F.date_sub(F.lit(_CUT).cast("date"), 10)).withColumn("close", F.col("close") + 1)
+    return bars.where(F.col("date") < _CUT), new
+
+
+_TWO = [_TYPE, f"h AS (SELECT * FROM b WHERE date < DATE '{_CUT}')", f"w AS (SELECT * REPLACE (close + 1 AS close) FROM b WHERE date >= DATE '{_CUT}' - 10)"]
+_shown = ", ".join(["ticker", "date"] + [f"{sql.grid(x)} AS {x}" for x in ("open", "high", "low", "close", "volume")])
+register("append_new", lambda spark, sf_dir: rounded(etl.append_new(*_split(spark, sf_dir))), psql.select(_TWO, _shown, "(SELECT * FROM h UNION ALL SELECT * FROM w WHERE (ticker, date) NOT IN (SELECT (ticker, date) FROM h))"))
+register("upsert_by_date", lambda spark, sf_dir: rounded(etl.upsert_by_date(*_split(spark, sf_dir))), psql.select(_TWO, _shown, "(SELECT * FROM w UNION ALL SELECT * FROM h WHERE (ticker, date) NOT IN (SELECT (ticker, date) FROM w))"))
+
+
+def _calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = fixtures.read(spark, sf_dir, "orders").agg(F.min("o_orderdate").cast("date"), F.max("o_orderdate").cast("date")).first()
+    return etl.business_days(spark, F.lit(ends[0]), F.lit(ends[1]))
+
+
+_DAYS = ["cal AS (SELECT CAST(unnest(generate_series((SELECT min(o_orderdate)::DATE FROM orders), (SELECT max(o_orderdate)::DATE FROM orders), INTERVAL 1 DAY)) AS DATE) AS date)", "wd AS (SELECT date FROM cal WHERE isodow(date) < 6)"]
+register("business_days", _calendar, psql.select(_DAYS, "date", "wd"))
+register(
+    "missing_days",
+    lambda spark, sf_dir: etl.missing_days(fixtures.bars_type(spark, sf_dir), _calendar(spark, sf_dir)),
+    psql.select([*_DAYS, _TYPE, "sp AS (SELECT ticker, min(date) AS f, max(date) AS t FROM b GROUP BY ticker)"], "ticker, date", "(SELECT ticker, date FROM sp JOIN wd ON date BETWEEN f AND t EXCEPT SELECT ticker, date FROM b)"),
+)
+
+
+def _vendor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = fixtures.bars_type(spark, sf_dir)
+    day = F.dayofmonth("date")
+    return bars.withColumns({"close": F.when(day != 13, F.col("close")), "volume": F.when(day != 7, F.col("volume"))})
+
+
+register("vendor_frame", lambda spark, sf_dir: rounded(etl.vendor_frame(_vendor(spark, sf_dir))), psql.select([_TYPE], _shown.replace(sql.grid("volume"), sql.grid("CASE WHEN day(date) = 7 THEN 0 ELSE volume END")), "b WHERE day(date) <> 13"))
+
+#: The tag dictionary of the news fixture.
+_STOCKS = [("with", "Tion Ention Limited"), ("nicht", "Einer Verbe Bank"), ("les", "Aux Pour the Group"), ("para", "Esta Como SA"), ("that", "From India Corp"), ("m&m", "Reou Thing Industries")]
+
+
+def _news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fixtures.read(spark, sf_dir, "documents")
+    number = F.col("doc_id")
+    return docs.select(
+        F.substring_index("text", "\n", 1).alias("title"), F.concat(F.lit(" https://news/ "), (number % 700).cast("string")).alias("url"), "source",
+        F.timestamp_seconds(F.lit(1_700_000_000) + number * 977 % 1_000_000).alias("published"), number.alias("arrival"), F.regexp_extract("source", r"\d+", 0).cast("int").alias("priority"),
+    )
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stocks = spark.createDataFrame(_STOCKS, "ticker string, name string")
+    return etl.news_tag(etl.news_clean(_news(spark, sf_dir)), etl.news_patterns(stocks))
+
+
+_TOKENS = {t: [t] + [w for w in n.lower().split() if len(w) >= 4 and w not in etl.STOP_WORDS] for t, n in _STOCKS}
+_NEWS = [
+    "nw AS MATERIALIZED (SELECT trim(regexp_replace(split_part(text, chr(10), 1), '\\s+', ' ', 'g')) AS title, 'https://news/ ' || (doc_id % 700) AS url, source, make_timestamp((1700000000 + doc_id * 977 % 1000000) * 1000000) AS published, doc_id AS arrival, CAST(regexp_extract(source, '\\d+') AS INT) AS priority FROM documents)",
+    "nc AS MATERIALIZED (SELECT * FROM nw WHERE title <> '')",
+    "tk AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', '(?i)\\b{w}\\b')" for t, ws in _TOKENS.items() for w in ws) + ") t(ticker, pattern))",
+    "tg AS MATERIALIZED (SELECT nc.*, coalesce((SELECT list_sort(list(DISTINCT ticker)) FROM tk WHERE regexp_matches(title, pattern)), []) AS tickers FROM nc)",
+]
+_joined = "array_to_string(tickers, ' ') AS tickers"
+register("news_tag", lambda spark, sf_dir: _tagged(spark, sf_dir).select("arrival", "title", F.array_join("tickers", " ").alias("tickers")), psql.select(_NEWS, f"arrival, title, {_joined}", "tg"))
+register(
+    "news_dedupe_cap",
+    lambda spark, sf_dir: etl.news_dedupe_cap(_tagged(spark, sf_dir), 20).select("url", "source", "arrival"),
+    psql.select([*_NEWS, "f AS (SELECT * FROM tg QUALIFY row_number() OVER (PARTITION BY url ORDER BY arrival) = 1)"], "url, source, arrival", "f QUALIFY row_number() OVER (PARTITION BY source ORDER BY published DESC, arrival) <= 20"),
+)
+_MERGED = [*_NEWS, "mg AS MATERIALIZED (SELECT url, arg_min(title, (priority, arrival)) AS title, arg_min(source, (priority, arrival)) AS source, arg_min(published, (priority, arrival)) AS published, list_sort(list_distinct(flatten(list(tickers)))) AS tickers FROM tg GROUP BY url)"]
+register("news_merge", lambda spark, sf_dir: etl.news_merge(_tagged(spark, sf_dir)).select("url", "title", "source", "published", F.array_join("tickers", " ").alias("tickers")), psql.select(_MERGED, f"url, title, source, published, {_joined}", "mg"))
+register("news_filter", lambda spark, sf_dir: etl.news_filter(etl.news_merge(_tagged(spark, sf_dir)), "with").select("url", "published"), psql.select(_MERGED, "url, published", "(SELECT * FROM mg WHERE list_contains(tickers, 'with') ORDER BY published DESC, url LIMIT 20)"))
+register(
+    "relative_time",
+    lambda spark, sf_dir: _news(spark, sf_dir).select("arrival", fmt.relative_time(F.timestamp_seconds(F.lit(1_701_000_000) - F.col("arrival") * F.col("arrival") * 60), F.timestamp_seconds(F.lit(1_701_000_000))).alias("age")),
+    psql.select(
+        ["a AS (SELECT doc_id AS arrival, doc_id * doc_id * 60 AS s FROM documents)", "m AS (SELECT *, floor(s / 60 + 0.5) AS m FROM a)", "h AS (SELECT *, floor(m / 60 + 0.5) AS h FROM m)", "d AS (SELECT *, floor(h / 24 + 0.5) AS d FROM h)", "w AS (SELECT *, floor(d / 7 + 0.5) AS w FROM d)"],
+        "arrival, CASE WHEN s < 60 THEN 'just now' WHEN m < 60 THEN m::BIGINT || 'm ago' WHEN h < 24 THEN h::BIGINT || 'h ago' WHEN d < 7 THEN d::BIGINT || 'd ago' WHEN w < 5 THEN w::BIGINT || 'w ago' ELSE floor(d / 30 + 0.5)::BIGINT || 'mo ago' END AS age", "w",
+    ),
+)
+_REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST", "OCEANIA"]
+register(
+    "sector_counts",
+    lambda spark, sf_dir: etl.sector_counts(fixtures.instruments(spark, sf_dir), _REGIONS),
+    psql.select([f"ins AS ({sql.INSTRUMENTS})", "l AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{r}')" for k, r in enumerate(_REGIONS)) + ") t(position, sector))"], "position, sector, count(ticker) AS n", "l LEFT JOIN ins USING (sector) GROUP BY ALL"),
+)
+register(
+    "search_filter",
+    lambda spark, sf_dir: etl.search(fixtures.read(spark, sf_dir, "customer").select(F.col("c_name").alias("ticker"), F.col("c_mktsegment").alias("name")), " mach "),
+    "SELECT c_name AS ticker, c_mktsegment AS name FROM customer WHERE contains(lower(c_name), 'mach') OR contains(lower(c_mktsegment), 'mach')",
+)
+register(
+    "csv_export",
+    lambda spark, sf_dir: etl.csv_lines(fixtures.read(spark, sf_dir, "customer").select("c_custkey", F.concat_ws(", ", "c_name", "c_mktsegment").alias("who")), ["c_custkey", "who"]),
+    "SELECT c_custkey || ',\"' || c_name || ', ' || c_mktsegment || '\"' AS line FROM customer",
+)
+
+_AMOUNT = "c_acctbal * 1373.77313 * (1 + c_custkey % 3 * 300)"
+_group = lambda x: f"CASE WHEN length({x}) <= 3 THEN {x} ELSE ltrim(reverse(regexp_replace(reverse(left({x}, length({x}) - 3)), '(\\d\\d)', '\\1,', 'g')), ',') || ',' || right({x}, 3) END"
+_whole = lambda x: _group(f"printf('%.0f', {x})")
+_two = lambda x: f"({_group(f'''split_part(printf('%.2f', {x}), '.', 1)''')}) || '.' || split_part(printf('%.2f', {x}), '.', 2)"
+_neg = "CASE WHEN v < 0 THEN '-' ELSE '' END"
+_FORMATS = {
+    "format_inr": (fmt.format_inr, f"{_neg} || '₹' || CASE WHEN abs(v) >= 1e7 THEN {_two('abs(v) / 1e7')} || 'Cr' WHEN abs(v) >= 1e5 THEN {_two('abs(v) / 1e5')} || 'L' ELSE {_whole('abs(v)')} END"),
+    "format_inr_full": (fmt.format_inr_full, f"{_neg} || '₹' || {_whole('abs(v)')}"),
+    "format_price": (fmt.format_price, f"'₹' || {_neg} || {_two('abs(v)')}"),
+    "format_pct": (lambda x: fmt.format_pct(x / 1e5), "CASE WHEN v >= 0 THEN '+' ELSE '' END || printf('%.1f', v / 1e5) || '%'"),
+    "format_sharpe": (lambda x: fmt.format_sharpe(x / 1e6), "printf('%.2f', v / 1e6)"),
+    "format_price_short": (fmt.format_price_short, f"'₹' || CASE WHEN v >= 1e5 THEN printf('%.1f', v / 1e5) || 'L' WHEN v >= 1000 THEN {_whole('v')} ELSE printf('%.2f', v) END"),
+    "format_yr1_pct": (lambda x: fmt.format_yr1_pct(x / 1e6), "CASE WHEN v >= 0 THEN '+' ELSE '' END || printf('%.1f', v / 1e6 * 100) || '%'"),
+    "fmt_rupees": (fmt.fmt_rupees, f"'₹' || CASE WHEN abs(v) >= 1e7 THEN printf('%.2f', v / 1e7) || ' Cr' WHEN abs(v) >= 1e5 THEN printf('%.1f', v / 1e5) || ' L' ELSE {_neg} || {_whole('abs(v)')} END"),
+}
+for _name, (_make, _text) in _FORMATS.items():
+    register(
+        _name,
+        lambda spark, sf_dir, m=_make: fixtures.read(spark, sf_dir, "customer").select("c_custkey", m(F.expr(_AMOUNT.replace("1373.77313", "1373.77D"))).alias("shown")),
+        f"WITH a AS (SELECT c_custkey, {_AMOUNT.replace('1373.77313', '1373.77e0')} AS v FROM customer) SELECT c_custkey, {_text} AS shown FROM a",
+    )
