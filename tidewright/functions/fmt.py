@@ -9,7 +9,7 @@ RUPEE, DASH = "₹", "—"
 
 
 def fixed(x: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", x)
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", x))
 
 
 def indian_grouping(x: Column, digits: int) -> Column:

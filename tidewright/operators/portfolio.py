@@ -109,6 +109,18 @@ def portfolio_risk(cov: DataFrame, stats: DataFrame, weights: DataFrame) -> Data
     return total.select("expected_return", vol.alias("volatility"), F.when(vol > 1e-10, (c("expected_return") - RF) / F.when(vol > 1e-10, vol)).otherwise(0.0).alias("sharpe"), F.when(vol > 1e-15, c("_ws") / F.when(vol > 1e-15, vol)).otherwise(1.0).alias("diversification_ratio"))
 
 
+def diversification_ratio(aligned: DataFrame, weights: DataFrame) -> DataFrame:
+    """One row: ratio of the weighted deviations to the portfolio's, 1 where that is 0. Weights must be of the same members and sum to 1."""
+    own, given = {r[0] for r in aligned.select("ticker").distinct().collect()}, {r[0]: r[1] for r in weights.select("ticker", "weight").collect()}  # a row a member
+    if not own or own != set(given):
+        raise ValueError(f"{len(given)} weights for {len(own)} members")
+    if abs(sum(given.values()) - 1) > 1e-6:
+        raise ValueError(f"the weights sum to {sum(given.values())}")
+    deviations = aligned.groupBy("ticker").agg(F.stddev_samp("ret").alias("s")).join(weights, "ticker").agg(F.sum(c("weight") * c("s")).alias("_parts"))
+    joint = aligned.join(weights, "ticker").groupBy("t").agg(F.sum(c("weight") * c("ret")).alias("r")).agg(F.stddev_samp("r").alias("_whole"))
+    return deviations.join(joint).select(ratio(c("_parts"), c("_whole"), 1.0).alias("ratio"))
+
+
 def risk_contribution(cov: DataFrame, weights: DataFrame) -> DataFrame:
     """ticker, contribution: each member's share of the variance; the shares sum to 1."""
     own = _weighted(cov, weights)

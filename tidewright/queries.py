@@ -16,7 +16,7 @@ from .operators.indicators import REGISTRY, indicator
 from .operators.strategy import BackTest
 from .plans.config import PRESETS, IndicatorConfig, Rule, Strategy
 from .sources import bars as fixtures
-from .sources import etl
+from .sources import etl, registry
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -215,6 +215,11 @@ register(
     lambda spark, sf_dir: rounded(portfolio.portfolio_risk(_annual_cov(spark, sf_dir), portfolio.ann_stats(_aligned(spark, sf_dir)), _weights(spark))),
     _own(", ".join(f"{sql.grid(x)} AS {k}" for k, x in {"expected_return": "sum(wi * mu)", "volatility": "sqrt(sum(wi * sw))", "sharpe": "(sum(wi * mu) - 0.06e0) / sqrt(sum(wi * sw))", "diversification_ratio": "sum(wi * sigma) / sqrt(sum(wi * sw))"}.items()), "sw JOIN st ON st.ticker = sw.i"),
 )
+register(
+    "diversification_ratio",
+    lambda spark, sf_dir: rounded(portfolio.diversification_ratio(_aligned(spark, sf_dir), _weights(spark))),
+    psql.select([*psql.ALIGNED, "pj AS (SELECT t, sum(weight * ret) AS r FROM al JOIN wt USING (ticker) GROUP BY t)", "ds AS (SELECT ticker, stddev_samp(ret) AS s FROM al GROUP BY ticker)"], f"{sql.grid('(SELECT sum(weight * s) FROM ds JOIN wt USING (ticker)) / (SELECT stddev_samp(r) FROM pj)')} AS ratio", "(SELECT 1)"),
+)
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -400,3 +405,12 @@ for _name, (_make, _text) in _FORMATS.items():
         lambda spark, sf_dir, m=_make: fixtures.read(spark, sf_dir, "customer").select("c_custkey", m(F.expr(_AMOUNT.replace("1373.77313", "1373.77D"))).alias("shown")),
         f"WITH a AS (SELECT c_custkey, {_AMOUNT.replace('1373.77313', '1373.77e0')} AS v FROM customer) SELECT c_custkey, {_text} AS shown FROM a",
     )
+
+
+def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    supplier = fixtures.read(spark, sf_dir, "supplier")
+    listed = supplier.where("s_suppkey % 3 <> 0").select(F.col("s_name").alias("symbol"), F.when(F.col("s_suppkey") % 3 == 1, "single").otherwise("index").alias("kind"))
+    return registry.with_class(supplier.select(F.col("s_name").alias("ticker")), listed)
+
+
+register("instrument_class", _classes, psql.select([f"ins AS ({sql.INSTRUMENTS})"], "ticker, instrument_class", "ins"))
