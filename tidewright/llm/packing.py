@@ -34,6 +34,8 @@ GROUP_PIECES = 4096
 #: Words that a worker remembers the ids of; when there are as many, later ones are looked up anew in each batch.
 REMEMBERED = 400_000
 
+#: Fixed value: ASCII punctuation.
+_ENDINGS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -51,6 +53,7 @@ class WordTokenizer:
 
     No token spans white space, so a text's ids are its words' ids in order; words are looked up with A-Z
     lower-cased, and those not yet known go to the tokenizer together, as one text with a mark between them.
+    Punctuation at the end of a word is a token sequence of its own, so word and ending are looked up apart.
     """
 
     MARK = b"\x00"
@@ -66,6 +69,20 @@ class WordTokenizer:
     def _ids(self, text: bytes) -> list[int]:
         return self.model.encode(text.decode(), add_special_tokens=False).ids
 
+    def _learn_all(self, words: set[bytes]) -> set[bytes]:
+        """Learns the words, and returns the stems and endings that it learned for them besides."""
+        ended = {}
+        for word in words:
+            stem = word.rstrip(_ENDINGS)
+            if stem != word and stem[-1:].isalnum():
+                ended[word] = stem, word[len(stem) :]
+        apart = set(chain.from_iterable(ended.values()))
+        extra = apart.difference(self.known, words)
+        self._learn([*(w for w in words if w not in ended), *extra])
+        for word, (stem, ending) in ended.items():
+            self.known[word] = self.known[stem] + self.known[ending]
+        return extra
+
     def _learn(self, words: list[bytes]) -> None:
         for at in range(0, len(words), 2048):
             part = words[at : at + 2048]
@@ -85,7 +102,7 @@ class WordTokenizer:
         split = [t.translate(_LOWER).split() for t in texts]
         full = len(self.known) >= REMEMBERED
         if new := set(chain.from_iterable(split)).difference(self.known):
-            self._learn(list(new))
+            new |= self._learn_all(new)
         end, of = closing.to_bytes(4, "little"), self.known.__getitem__
         found = [b"".join(map(of, words)) + end for words in split]
         for word in new if full else ():
