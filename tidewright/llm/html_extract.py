@@ -35,14 +35,17 @@ from .url_filters import url_host
 #: Hosts up to which the table of winning paths is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_HOSTS = 100_000
 
+#: Levels to which a path is spelled out (deeper elements share their ancestor's), and levels up to which a block counts for a container.
+SPELLED, NEAR = 100, 64
+
 #: Elements, roles and words of class and id.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CONTAINERS = frozenset("article body div main section td".split())
 RAW = frozenset("script style noscript template iframe textarea title svg object select button xmp".split())
 DROPPED = frozenset("nav footer aside form menu dialog head fieldset".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar note status".split())
 DROPPED_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer comment comments commentlist disqus respond reply replies discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations widget login toolbar pagination pager copyright masthead".split())
-VOID = frozenset("hr br img input meta link area base col embed source track wbr".split())
 #: What an opening tag ends, up to the element that holds it.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
@@ -60,7 +63,8 @@ class Page:
     """Block elements of a page (tag, path, parent, dropped) and its text blocks (element, text, share of it outside links)."""
 
     def __init__(self, source: str):
-        self.tag, self.path, self.parent, self.dropped = ["#"], [""], [0], [False]
+        self.tag, self.path, self.parent, self.depth, self.dropped = ["#"], [""], [0], [0], [False]
+        self.article, self.shown = [False], [True]
         self.blocks: list[tuple[int, str, float]] = []
         self._stack, self._parts, self._linked, self._in_link = [0], [], 0, False
         self._read(source)
@@ -122,17 +126,19 @@ class Page:
         names = f"{found.get('class', '')} {found.get('id', '')}".split()
         self.tag.append(tag)
         self.parent.append(up)
-        self.path.append(f"{self.path[up]}/{tag}" + "".join(f".{_DIGITS.sub('#', n)}" for n in sorted(set(names))))
-        self.dropped.append(self.dropped[up] or self._is_dropped(tag, up, names, found))
+        self.depth.append(self.depth[up] + 1)
+        self.path.append(self.path[up] if self.depth[up] >= SPELLED else f"{self.path[up]}/{tag}" + "".join(f".{_DIGITS.sub('#', n)}" for n in sorted(set(names))))
+        self.article.append(self.article[up] or tag in ("article", "main"))
+        self.shown.append(tag in HEADINGS or (tag != "header" and self.shown[up]))
+        self.dropped.append(self.dropped[up] or self._is_dropped(tag, self.article[up], names, found))
         self._stack.append(len(self.tag) - 1)
 
-    def _is_dropped(self, tag: str, up: int, names: list[str], found: dict[str, str]) -> bool:
-        words = {w for n in names for w in (n, *_PARTS.split(n))}
+    def _is_dropped(self, tag: str, in_article: bool, names: list[str], found: dict[str, str]) -> bool:
         if tag in DROPPED or "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in DROPPED_ROLES:
             return True
+        words = {w for n in names for w in (n, *_PARTS.split(n))}
         if tag in ("body", "html", "article", "main"):
             return bool({"comment", "comments", "reply"} & words)
-        in_article = any(t in self.path[up].split("/") or f"/{t}." in self.path[up] for t in ("article", "main"))
         return bool(DROPPED_WORDS & words) or (not in_article and (tag == "header" or "header" in words))
 
     def _close(self, tag: str) -> None:
@@ -150,8 +156,9 @@ class Page:
         found: dict[int, float] = defaultdict(float)
         for element, text, plain in self.blocks:
             if not self.dropped[element]:
-                at, share = element, 1.0
-                while at and share > 0.1:
+                at, share, level = element, 1.0, 0
+                while at and share > 0.1 and level < NEAR:
+                    level += 1
                     if self.tag[at] in CONTAINERS:
                         found[at] += share * plain * len(text)
                         share /= 2
@@ -163,23 +170,13 @@ class Page:
         return max(scores, key=lambda e: (scores[e], -e), default=0)
 
     def text(self, path: str | None) -> str:
-        """The blocks under the elements at the path, or else under the page's own best container."""
+        """The blocks under the elements at the path, or else under the page's own best container; of a header inside of an article, headings stay."""
         inside = [i and (p == path) for i, p in enumerate(self.path)]
         if not any(inside):
             inside = [i == (best := self.best()) for i in range(len(self.path))] if self.blocks else inside
         for i in range(1, len(inside)):
             inside[i] = inside[i] or inside[self.parent[i]]
-        return "\n".join(t for e, t, _ in self.blocks if inside[e] and not self.dropped[e] and self._stays(e))
-
-    def _stays(self, element: int) -> bool:
-        """Of a header inside of an article, headings stay."""
-        heading = False
-        while element:
-            heading = heading or self.tag[element] in ("h1", "h2", "h3", "h4", "h5", "h6", "hgroup")
-            if self.tag[element] == "header" and not heading:
-                return False
-            element = self.parent[element]
-        return True
+        return "\n".join(t for e, t, _ in self.blocks if inside[e] and self.shown[e] and not self.dropped[e])
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
