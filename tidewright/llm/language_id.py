@@ -2,9 +2,10 @@
 
 A text is the mean of the embeddings of its hashed byte n-grams; a linear softmax on that mean gives the
 languages' probabilities. Embeddings and softmax are trained together by stochastic gradient descent in numpy
-on a bounded sample (PER_LANGUAGE labelled rows a language). A fifth of the sample is held back to fit the
+on a bounded sample (PER_LANGUAGE labelled rows a language, fewer if they exceed SAMPLE_BYTES of text). A fifth of the sample is held back to fit the
 temperature of the softmax, so that scores are calibrated, and the score below which a text is rejected: of
-the held-back rows at most REJECTED lie below it. For scoring, embeddings and softmax are multiplied out to
+the held-back rows at most REJECTED lie below it, and it is at most UNSURE times an even share. Subwords never
+seen weigh nothing, so texts in other scripts or languages score near an even share. For scoring, embeddings and softmax are multiplied out to
 one small table, and each n-gram of the whole text is looked up once.
 
 Defined results: a text that is null or has no letter is "und" with score 0, and is rejected. Languages that
@@ -22,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .subword import BUCKETS, hashed_share, prepared, sample_features, table_means
+from .subword import BUCKETS, hashed_share, prepared, sample_features, sample_rows, table_means
 
 #: Documented bounds and settings of the fit.
 PER_LANGUAGE, REJECTED, ORDERS, WIDTH, EPOCHS, RATE = 500, 0.001, (2, 3), 16, 6, 0.5
+#: A text is rejected for its score only if that is also below so many times an even share.
+UNSURE = 1.5
 UNKNOWN = "und"
 
 
@@ -39,8 +42,8 @@ class Model:
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], n_languages: int, seed: int = 1) -> np.ndarray:
     """Embeddings times softmax weights of (language, buckets, shares) rows, by stochastic gradient descent."""
     rng = np.random.default_rng(seed)
-    embed = rng.uniform(-1, 1, (BUCKETS, WIDTH)).astype(np.float32) / WIDTH
-    soft = np.zeros((WIDTH, n_languages), dtype=np.float32)
+    embed = np.zeros((BUCKETS, WIDTH), dtype=np.float32)  # subwords never seen stay at nothing, so a text of them scores low
+    soft = rng.normal(0, WIDTH**-0.5, (WIDTH, n_languages)).astype(np.float32)
     steps = EPOCHS * len(rows)
     for step, k in enumerate(np.concatenate([rng.permutation(len(rows)) for _ in range(EPOCHS)]) if rows else []):
         y, buckets, shares = rows[k]
@@ -49,8 +52,8 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], n_languages: int, seed
         p = np.exp(z := mean @ soft - (mean @ soft).max()) / np.exp(z).sum()
         p[y] -= 1
         back = soft @ p
-        soft -= 10 * rate * np.outer(mean, p)  # means are short vectors, hence the larger step
-        embed[buckets] -= (100 * rate) * np.outer(shares, back)
+        soft -= 0.2 * rate * np.outer(mean, p)
+        embed[buckets] -= (50 * rate) * np.outer(shares, back)  # shares are small, hence the larger step
     return embed @ soft
 
 
@@ -62,13 +65,14 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, key: str = "doc_id") -> Model:
     """labelled: text, lang, and a key to sample by. Only a bounded sample of it is read out."""
     known = labelled.where("lang is not null")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    found = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg(F.octet_length("text")).alias("bytes")).collect()  # a row a language
+    counts = {r["lang"]: (r["n"], sample_rows(per_language, r["bytes"], 1 / len(found))) for r in found}
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((BUCKETS, 1), np.float32), 1.0)
     chosen = F.lit(False)
-    for lang, n in counts.items():
-        chosen = chosen | ((F.col("lang") == lang) & hashed_share(per_language, n, key))
+    for lang, (n, wanted) in counts.items():
+        chosen = chosen | ((F.col("lang") == lang) & hashed_share(wanted, n, key))
     number = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")).cast("int") - 1
     found = sample_features(known.where(chosen).select(number.alias("y"), "text").limit(2 * per_language * len(languages)), ORDERS, True)
     rows = [(y, np.asarray(b.values), np.asarray(s.values)) for y, b, s in zip(found["y"].to_pylist(), found["buckets"], found["shares"], strict=True)]
@@ -79,7 +83,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, key: str = "doc_i
     loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean()
     temperature = min(np.geomspace(1, 30, 41), key=loss)
     reject = float(np.quantile(softmax(logits / temperature).max(axis=1), REJECTED)) if len(rows) >= 50 else 0.0
-    return Model(languages, (table / temperature).astype(np.float32), min(reject, 0.5))
+    return Model(languages, (table / temperature).astype(np.float32), min(reject, UNSURE / len(languages)))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

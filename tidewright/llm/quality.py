@@ -5,7 +5,7 @@ class prior p of positives and a logistic loss, the fit minimises the non-negati
 
     p * R_pos(+) + max(0, R_unl(-) - p * R_pos(-))
 
-by full-batch Adam in numpy on a bounded sample (POSITIVES and UNLABELLED rows); where the estimated risk of
+by full-batch Adam in numpy on a bounded sample (POSITIVES and UNLABELLED rows, fewer if they exceed SAMPLE_BYTES of text); where the estimated risk of
 negatives falls below zero, the step ascends it instead, as the method has it. The prior is estimated as the
 share of positives among the labelled rows of the learning folds, or is a parameter. A text is the shares of
 its hashed byte n-grams, case kept, so scoring looks each n-gram of the whole text up once.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .subword import BUCKETS, hashed_share, prepared, sample_features, table_means
+from .subword import BUCKETS, hashed_share, prepared, sample_features, sample_rows, table_means
 
 #: Documented bounds and settings of the fit.
 POSITIVES, UNLABELLED, ORDERS, STEPS, RATE, DECAY = 2000, 3000, (1, 3), 150, 1.0, 1e-6
@@ -64,7 +64,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], positive: np.ndarray, prior
 
 def fit(texts: DataFrame, prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED, key: str = "doc_id") -> Model:
     """texts: text, quality (1, 0 or null) and a key to sample by, of the learning folds only."""
-    n, labelled, good = texts.agg(F.count(F.lit(1)), F.count("quality"), F.count_if(F.col("quality") == 1)).first()
+    n, labelled, good, size = texts.agg(F.count(F.lit(1)), F.count("quality"), F.count_if(F.col("quality") == 1), F.avg(F.octet_length("text"))).first()
+    share = positives / (positives + unlabelled)
+    positives, unlabelled = sample_rows(positives, size, share), sample_rows(unlabelled, size, 1 - share)
     prior = float(np.clip(good / labelled if labelled and prior is None else prior or 0.5, 0.05, 0.95))
     if not good:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(prior / (1 - prior))), prior)

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 _SLICE = 1 << 19
+#: Bytes of text that a fit's sample holds at most, about: with longer texts it has fewer rows.
+SAMPLE_BYTES = 16_000_000
 
 _SPACES = bytes([0x20, *range(0x09, 0x0E)])
 #: For translate(): white space as a space, and for folded() A-Z as a-z.
@@ -102,6 +104,11 @@ def sample_features(docs: DataFrame, orders: tuple[int, ...], fold_case: bool) -
     return docs.select("y", "text").mapInArrow(extract, f"y {kind}, buckets array<int>, shares array<float>").toArrow()
 
 
+def sample_rows(rows: int, mean_bytes: float | None, share: float = 1.0) -> int:
+    """So many rows, or as many of that mean length as a share of SAMPLE_BYTES holds."""
+    return max(1, min(rows, int(share * SAMPLE_BYTES / max(1.0, mean_bytes or 1.0))))
+
+
 def hashed_share(rows: int, of: int, *columns: str):
     """A condition that holds for about rows of the rows of a table of that many, the same on every run."""
     return F.pmod(F.xxhash64(*columns), F.lit(1_000_000)) < F.lit(int(1e6 * min(1.0, rows / max(1, of))) + 1)
