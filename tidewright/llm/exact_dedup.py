@@ -99,19 +99,20 @@ def exact_dedup(docs: DataFrame, text_col: str = "text") -> DataFrame:
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_recipes, "doc_id long, text_sha256 string, chunks array<struct<key: long, digest: binary>>")
     recipes = checkpointed(made.withColumn("row", F.monotonically_increasing_id()))
     parts = recipes.select("row", "doc_id", "text_sha256", F.posexplode("chunks").alias("at", "chunk")).select("row", "doc_id", "text_sha256", "at", "chunk.key", "chunk.digest")
-    known = (
+    # known, lists and groups are written, so that Spark can split a join's hot keys: those of a shared passage or of a large group of copies
+    known = checkpointed(
         parts.groupBy("key")
         .agg(F.sort_array(F.collect_set("digest")).alias("digests"))
         .select("key", F.posexplode("digests").alias("ordinal", "digest"))
     )
-    lists = (
+    lists = checkpointed(
         parts.join(known, ["key", "digest"])
         .groupBy("row", "doc_id", "text_sha256")
         .agg(F.sort_array(F.collect_list(F.struct("at", "key", "ordinal"))).alias("ids"))
         .withColumn("ids", F.transform("ids", lambda x: F.struct(x["key"].alias("key"), x["ordinal"].alias("ordinal"))))
     )
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
-    groups = lists.groupBy("ids").agg(first, F.count(F.lit(1)).alias("group_size"))
+    groups = checkpointed(lists.groupBy("ids").agg(first, F.count(F.lit(1)).alias("group_size")))
     return lists.join(groups, "ids").select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256"
     )
@@ -119,7 +120,7 @@ def exact_dedup(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def keep_first(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; of repeated rows one stays."""
-    kept = exact_dedup(docs, text_col).where("kept").select(row_key("doc_id").alias("_id"), F.col("text_sha256").alias("_sha256"))
+    kept = exact_dedup(docs, text_col).where("kept").select(row_key("doc_id").alias("_tw_id"), F.col("text_sha256").alias("_tw_sha256"))
     clean = F.regexp_replace(empty_text(text_col), SPACE + "+", " ")
-    keyed = docs.withColumns({"_id": row_key("doc_id"), "_sha256": F.sha2(clean, 256)})
-    return keyed.join(kept, ["_id", "_sha256"], "left_semi").dropDuplicates(["_id", "_sha256"]).drop("_id", "_sha256")
+    keyed = docs.withColumns({"_tw_id": row_key("doc_id"), "_tw_sha256": F.sha2(clean, 256)})
+    return keyed.join(kept, ["_tw_id", "_tw_sha256"], "left_semi").dropDuplicates(["_tw_id", "_tw_sha256"]).drop("_tw_id", "_tw_sha256")
