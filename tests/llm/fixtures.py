@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 WORDS = "the of and to in is that for with was stone river light house garden window paper mountain silver winter".split()
-DOC = "doc_id long, text string, lang string, source string, n_chars long, score string, kept string, size string, host string, fp string"
+DOC = "doc_id long, text string, lang string, source string, n_chars long, score string, kept string, size string, _id string, fp string"
 
 
 def prose(seed: int, n: int) -> str:

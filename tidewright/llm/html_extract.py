@@ -204,7 +204,7 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """pages with text and n_chars."""
-    won = checkpointed(host_paths(pages, url_col, html_col).select(F.col("host").alias("_host"), F.col("path").alias("_path")))
+    won = checkpointed(host_paths(pages, url_col, html_col).select(F.col("host").alias("_tw_host"), F.col("path").alias("_tw_path")))
     won = F.broadcast(won) if won.count() <= BROADCAST_HOSTS else won
 
     @F.arrow_udf("string")
@@ -212,5 +212,5 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
         for sources, paths in batches:
             yield pa.array([Page(s.as_py() or "").text(p.as_py()) for s, p in zip(sources, paths, strict=True)], pa.string())
 
-    found = pages.withColumn("_host", url_host(F.col(url_col))).join(won, "_host", "left")
-    return found.withColumn("text", text(F.col(html_col), F.col("_path"))).withColumn("n_chars", F.length("text").cast("long")).drop("_host", "_path")
+    found = pages.withColumn("_tw_host", url_host(F.col(url_col))).join(won, "_tw_host", "left")
+    return found.withColumn("text", text(F.col(html_col), F.col("_tw_path"))).withColumn("n_chars", F.length("text").cast("long")).drop("_tw_host", "_tw_path")

@@ -98,16 +98,16 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pa.StructArray.from_arrays([pa.array(p.argmax(axis=1), pa.int32()), pa.array(p.max(axis=1))], ["best", "score"])
 
     lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)) & F.lit(bool(model.languages))
-    scored = docs.withColumn("_best", best(F.col(text_col)))
+    scored = docs.withColumn("_tw_best", best(F.col(text_col)))
     return scored.withColumns(
         {
-            "lang_pred": F.when(lettered, F.get(F.array(*[F.lit(x) for x in names]), F.col("_best.best"))).otherwise(UNKNOWN),
-            "score": F.when(lettered, F.col("_best.score")).otherwise(0.0),
+            "lang_pred": F.when(lettered, F.get(F.array(*[F.lit(x) for x in names]), F.col("_tw_best.best"))).otherwise(UNKNOWN),
+            "score": F.when(lettered, F.col("_tw_best.score")).otherwise(0.0),
         }
-    ).drop("_best")
+    ).drop("_tw_best")
 
 
 def reject_unknown(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of docs that are not rejected, with their own columns."""
-    scored = predict(docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text")), model, "_text")
-    return scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= model.reject_below)).select("_row.*")
+    scored = predict(docs.select(F.struct("*").alias("_tw_row"), F.col(text_col).alias("_tw_text")), model, "_tw_text")
+    return scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= model.reject_below)).select("_tw_row.*")
