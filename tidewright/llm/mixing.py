@@ -31,7 +31,7 @@ from .common import WORD, checkpointed, empty_text, row_key
 CAP = 2.0
 MOST_ROUNDS, CLOSE = 60, 1e-9
 #: Documents of one (source, size) that are ranked together at most, about.
-RANKED = 2048
+RANKED = 512
 
 
 def words(text: str) -> Column:
@@ -146,6 +146,6 @@ def _deal(docs: DataFrame, dealt: DataFrame) -> DataFrame:
 
 def apply_mix(docs: DataFrame, weight_of: Callable[[int], float], budget_share: float = 1.5, text_col: str = "text") -> DataFrame:
     """The rows of docs, each as many times as it has copies; rows that share a doc_id share the count."""
-    copies = mix(docs, weight_of, budget_share, text_col).where("copies > 0").groupBy(row_key("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies"))
-    joined = docs.withColumn("_id", row_key("doc_id")).join(copies, "_id")
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).drop("_id", "_copies", "_copy")
+    copies = mix(docs, weight_of, budget_share, text_col).where("copies > 0").groupBy(row_key("doc_id").alias("_tw_id")).agg(F.max("copies").cast("int").alias("_tw_copies"))
+    joined = docs.withColumn("_tw_id", row_key("doc_id")).join(copies, "_tw_id")
+    return joined.withColumn("_tw_copy", F.explode(F.array_repeat(F.lit(1), F.col("_tw_copies")))).drop("_tw_id", "_tw_copies", "_tw_copy")
