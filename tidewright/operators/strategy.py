@@ -86,8 +86,8 @@ def with_pnl(df: DataFrame) -> DataFrame:
     return summed.withColumn("drawdown", c("cumulative") - F.max("cumulative").over(prefix()))
 
 
-def trade_log(daily: DataFrame) -> DataFrame:
-    """A row a run of equal non-zero signal: entered on its first bar, left on the first bar after it or on the last bar."""
+def _runs(daily: DataFrame, *more: Column) -> DataFrame:
+    """A row a maximal run of equal signal: entry, exit (the first bar after it, or the last bar), and more aggregates of its days."""
     changed = _flag(F.coalesce(c("signal") != prev("signal"), F.lit(True)), 1)
     runs = (
         daily.withColumn("_change", changed)
@@ -95,58 +95,73 @@ def trade_log(daily: DataFrame) -> DataFrame:
         .groupBy("ticker", "run")
         .agg(
             F.first("signal").alias("signal"), F.first("lot_size").alias("lot_size"), F.min("date").alias("entry_date"), F.min_by("close", "date").alias("entry_price"),
-            F.min_by("lots", "date").alias("lots"), F.max("date").alias("_last"), F.max_by("close", "date").alias("_last_close"),
+            F.min_by("lots", "date").alias("lots"), F.max("date").alias("_last"), F.max_by("close", "date").alias("_last_close"), *more,
         )
     )
-    by_run = Window.partitionBy("ticker").orderBy("run")
-    closed = runs.withColumns({"exit_date": F.coalesce(F.lead("entry_date").over(by_run), c("_last")), "exit_price": F.coalesce(F.lead("entry_price").over(by_run), c("_last_close"))})
+    closed = runs.withColumns({"exit_date": F.coalesce(F.lead("entry_date").over(_by_run()), c("_last")), "exit_price": F.coalesce(F.lead("entry_price").over(_by_run()), c("_last_close"))})
     move = c("exit_price") - c("entry_price")
-    return closed.where("signal <> 0").select(
-        "ticker", "entry_date", "exit_date", F.when(c("signal") == 1, "long").otherwise("short").alias("direction"), "lots", "entry_price", "exit_price",
-        (c("signal") * c("lots") * c("lot_size") * move).alias("pnl"), (ratio(move, c("entry_price"), 0.0) * 100 * c("signal")).alias("pnl_pct"),
-        F.greatest(F.datediff("exit_date", "entry_date"), F.lit(1)).alias("duration_days"),
+    return closed.withColumns(
+        {
+            "pnl": c("signal") * c("lots") * c("lot_size") * move,
+            "pnl_pct": ratio(move, c("entry_price"), 0.0) * 100 * c("signal"),
+            "duration_days": F.greatest(F.datediff("exit_date", "entry_date"), F.lit(1)),
+        }
     )
 
 
-def streaks(trades: DataFrame) -> DataFrame:
-    """Longest rows of wins (pnl > 0) and of others, in trade order."""
-    by = Window.partitionBy("ticker").orderBy("entry_date")
-    marked = trades.withColumn("_win", c("pnl") > 0).withColumn("_new", _flag(F.coalesce(c("_win") != F.lag("_win").over(by), F.lit(True)), 1))
-    lengths = marked.withColumn("_run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0))).groupBy("ticker", "_run").agg(F.first("_win").alias("_win"), F.count(F.lit(1)).alias("n"))
-    longest = lambda win: F.coalesce(F.max(F.when(c("_win") == win, c("n"))), F.lit(0))
-    return lengths.groupBy("ticker").agg(longest(True).alias("max_consec_wins"), longest(False).alias("max_consec_losses"))
+def _by_run():
+    return Window.partitionBy("ticker").orderBy("run")
 
 
-def _daily_metrics(daily: DataFrame) -> DataFrame:
-    before = F.coalesce(F.max("cumulative").over(ordered().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    peaks = daily.withColumn("_before", F.greatest(before, F.lit(0.0))).withColumns({"_peak": F.greatest("_before", "cumulative"), "_first": F.min("date").over(prefix())})
-    dated = peaks.withColumn("_peak_date", F.coalesce(F.last(F.when(c("cumulative") > c("_before"), c("date")), ignorenulls=True).over(prefix()), c("_first")))
-    depth = c("_peak") - c("cumulative")
-    deepest = F.struct(depth.alias("depth"), (-F.unix_date("date")).alias("earlier"), (depth / (CAPITAL + c("_peak")) * 100).alias("pct"), F.datediff("date", "_peak_date").alias("days"))
-    negative = c("net_pnl") < 0
-    return dated.groupBy("ticker").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("net_pnl").alias("total"), F.avg("net_pnl").alias("mean"), F.stddev_samp("net_pnl").alias("std"), F.sum("cost").alias("costs"),
-        F.sum(F.when(negative, c("net_pnl"))).alias("neg"), F.sum(F.when(negative, c("net_pnl") * c("net_pnl"))).alias("neg2"), F.count_if(negative).alias("neg_n"),
-        F.max(deepest).alias("dd"),
-    )
+def trade_log(daily: DataFrame) -> DataFrame:
+    """A row a run of equal non-zero signal: entered on its first bar, left on the first bar after it or on the last bar."""
+    direction = F.when(c("signal") == 1, "long").otherwise("short").alias("direction")
+    return _runs(daily).where("signal <> 0").select("ticker", "entry_date", "exit_date", direction, "lots", "entry_price", "exit_price", "pnl", "pnl_pct", "duration_days")
 
 
-def metrics(daily: DataFrame, trades: DataFrame) -> DataFrame:
-    """One row a ticker of at least two bars."""
-    won, lost = c("pnl") > 0, c("pnl") <= 0
-    by_trade = trades.groupBy("ticker").agg(
-        F.count(F.lit(1)).alias("num_trades"), F.count_if(won).alias("wins"), F.count_if(lost).alias("losses"), F.sum(F.when(won, c("pnl"))).alias("profit"), F.sum(F.when(lost, -c("pnl"))).alias("loss"),
-        F.avg("duration_days").alias("hold_days"), F.max("pnl").alias("best"), F.min("pnl").alias("worst"),
+def _with_streaks(runs: DataFrame) -> DataFrame:
+    """runs with trade (whether it is one), won (pnl > 0) and streak: its place in the row of trades that end alike."""
+    judged = runs.withColumn("trade", c("signal") != 0).withColumn("won", F.when(c("trade"), c("pnl") > 0))
+    before = F.last("won", ignorenulls=True).over(_by_run().rowsBetween(Window.unboundedPreceding, -1))
+    turns = judged.withColumn("_turn", _flag(c("trade") & F.coalesce(c("won") != before, F.lit(True)), 1))
+    islands = turns.withColumn("_island", F.sum("_turn").over(_by_run().rowsBetween(Window.unboundedPreceding, 0)))
+    place = Window.partitionBy("ticker", "_island").orderBy("run").rowsBetween(Window.unboundedPreceding, 0)
+    return islands.withColumn("streak", F.count_if("trade").over(place))
+
+
+def metrics(daily: DataFrame) -> DataFrame:
+    """One row a ticker of at least two bars.
+
+    Days are aggregated by run, runs by ticker: daily figures and trades come from one pass under one partitioning.
+    """
+    earlier = F.coalesce(F.max("cumulative").over(ordered().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    peaks = daily.withColumn("_before", F.greatest(earlier, F.lit(0.0))).withColumns({"_peak": F.greatest("_before", "cumulative"), "_first": F.min("date").over(prefix())})
+    dated = peaks.withColumn("_peak_date", F.coalesce(F.last(F.when(c("cumulative") > c("_before"), c("date")), ignorenulls=True).over(prefix()), c("_first")))
+    depth, net = c("_peak") - c("cumulative"), c("net_pnl")
+    deepest = F.struct(depth.alias("depth"), (-F.unix_date("date")).alias("earlier"), (depth / (CAPITAL + c("_peak")) * 100).alias("pct"), F.datediff("date", "_peak_date").alias("days"))
+    runs = _with_streaks(
+        _runs(
+            dated, F.count(F.lit(1)).alias("n"), F.sum("net_pnl").alias("total"), F.sum(net * net).alias("squares"), F.sum("cost").alias("costs"),
+            F.sum(F.when(net < 0, net)).alias("neg"), F.sum(F.when(net < 0, net * net)).alias("neg2"), F.count_if(net < 0).alias("neg_n"), F.max(deepest).alias("dd"),
+        )
     )
-    joined = _daily_metrics(daily).where("n >= 2").join(by_trade, "ticker", "left").join(streaks(trades), "ticker", "left")
-    zero = joined.fillna(0, ["num_trades", "wins", "losses", "profit", "loss", "hold_days", "best", "worst", "max_consec_wins", "max_consec_losses", "neg", "neg2", "std"])
-    m = c("neg") / c("n")
+    won, lost = c("won"), c("trade") & ~c("won")
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    best = lambda x: F.coalesce(x, F.lit(0)).cast("long")
+    total = runs.groupBy("ticker").agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.sum("costs").alias("costs"), zero(F.sum("neg")).alias("neg"), zero(F.sum("neg2")).alias("neg2"), F.sum("neg_n").alias("neg_n"), F.max("dd").alias("dd"),
+        F.count_if("trade").alias("num_trades"), F.count_if(won).alias("wins"), F.count_if(lost).alias("losses"), zero(F.sum(F.when(won, c("pnl")))).alias("profit"), zero(F.sum(F.when(lost, -c("pnl")))).alias("loss"),
+        zero(F.avg(F.when(c("trade"), c("duration_days")))).alias("hold_days"), zero(F.max(F.when(c("trade"), c("pnl")))).alias("best"), zero(F.min(F.when(c("trade"), c("pnl")))).alias("worst"),
+        best(F.max(F.when(won, c("streak")))).alias("max_consec_wins"), best(F.max(F.when(lost, c("streak")))).alias("max_consec_losses"),
+    ).where("n >= 2")
+    mean, m = c("total") / c("n"), c("neg") / c("n")
+    std = F.sqrt(F.greatest((c("squares") - c("total") * mean) / (c("n") - 1), F.lit(0.0)))
     downside = F.when(c("neg_n") > 0, F.sqrt((c("neg2") - 2 * m * c("neg") + c("neg_n") * m * m) / (c("n") - 1))).otherwise(0.0)
     yearly = c("total") * YEAR / c("n")
     deep, root = c("dd.depth"), math.sqrt(YEAR)
     win, loss = ratio(c("profit"), c("wins"), 0.0), ratio(c("loss"), c("losses"), 0.0)
     four = {
-        "sharpe": ratio(c("mean"), c("std"), 0.0) * root, "sortino": ratio(c("mean"), downside, 0.0) * root, "calmar": ratio(yearly, deep, 0.0), "max_dd_pct": F.when(deep > 0, -c("dd.pct")).otherwise(0.0),
+        "sharpe": ratio(mean, std, 0.0) * root, "sortino": ratio(mean, downside, 0.0) * root, "calmar": ratio(yearly, deep, 0.0), "max_dd_pct": F.when(deep > 0, -c("dd.pct")).otherwise(0.0),
         "total_return_pct": c("total") / CAPITAL * 100, "annual_return_pct": yearly / CAPITAL * 100, "payoff_ratio": ratio(win, loss, 0.0),
         "profit_factor": F.when(c("loss") == 0, F.when(c("profit") > 0, F.lit(math.inf)).otherwise(0.0)).otherwise(ratio(c("profit"), c("loss"), 0.0)),
     }
@@ -154,7 +169,7 @@ def metrics(daily: DataFrame, trades: DataFrame) -> DataFrame:
         "max_dd_inr": -deep, "total_pnl": c("total"), "win_rate_pct": ratio(100.0 * c("wins"), c("num_trades"), 0.0), "avg_hold_days": c("hold_days"), "avg_trade_pnl": ratio(c("total"), c("num_trades"), 0.0),
         "best_trade": c("best"), "worst_trade": c("worst"), "avg_win": win, "avg_loss": loss, "gross_profit": c("profit"), "gross_loss": c("loss"), "total_costs": c("costs"),
     }
-    return zero.select(
+    return total.select(
         "ticker", *[(half_up(x, 4) + 0.0).alias(k) for k, x in four.items()], *[(half_up(x, 2) + 0.0).alias(k) for k, x in two.items()],
         F.when(deep > 0, c("dd.days")).otherwise(0).cast("long").alias("max_dd_duration_days"), *[c(k).cast("long").alias(k) for k in ("num_trades", "max_consec_wins", "max_consec_losses")],
     )
@@ -187,7 +202,7 @@ class BackTest:
 
     @cached_property
     def metrics(self) -> DataFrame:
-        return metrics(self.daily, self.trades)
+        return metrics(self.daily)
 
     @cached_property
     def monthly(self) -> DataFrame:
