@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_outputs
+from .common import checkpointed, with_outputs
 
 PREFIX_HEX = 8
 
@@ -72,12 +72,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
         .select("host", "path", _digest(F.col("suffix"), F.col("start")).alias("digest"))
         .withColumn("prefix", F.substring("digest", 1, PREFIX_HEX))
     )
-    best = (
+    best = checkpointed(  # written, so that Spark can split the join of a URL that many rows have
         expanded.join(_hashed_rules(rules).withColumnRenamed("digest", "rule_digest"), "prefix")
         .where(F.col("digest") == F.col("rule_digest"))
         .groupBy("host", "path")
         .agg(F.max(F.struct("rule_length", "host_length", "v", "rule")).alias("best"))
-        .select("host", "path", F.col("best.rule").alias("_rule"), F.col("best.v").alias("_verdict"))
+        .select("host", "path", F.col("best.rule").alias("_tw_rule"), F.col("best.v").alias("_tw_verdict"))
     )
     found = judged.join(best, ["host", "path"], "left")
-    return with_outputs(found, rule=F.col("_rule"), verdict=F.coalesce("_verdict", F.lit(default_verdict))).drop("_rule", "_verdict")
+    return with_outputs(found, rule=F.col("_tw_rule"), verdict=F.coalesce("_tw_verdict", F.lit(default_verdict))).drop("_tw_rule", "_tw_verdict")
