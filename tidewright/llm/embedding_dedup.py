@@ -149,7 +149,7 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.98, vector_col: str =
     counted = found.groupBy("cid").agg(F.sum("links").alias("links"))
     linked = connected_components(found.select(F.col("cid").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "cid")
     of_class = classes.join(counted, "cid", "left").join(linked, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    smallest = of_class.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    smallest = checkpointed(of_class.groupBy("component").agg(F.min("first_id").alias("component_id")))  # written, so that Spark can split a large component's join
     known = of_class.join(smallest, "component").select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     alone = rows.where("not links_at_all").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = good.join(known, ["label", "vector"]).select("vec_id", "n_links", "component_id").unionByName(alone)
