@@ -183,7 +183,7 @@ def simhash_components(docs: DataFrame, text_col: str = "text", words_each: int
     firsts = checkpointed(thin.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     linked = fingerprint_components(firsts.select("fp"), budget).withColumnRenamed("node", "fp")
     of_fp = firsts.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    smallest = of_fp.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    smallest = checkpointed(of_fp.groupBy("component").agg(F.min("first_id").alias("component_id")))  # written, so that Spark can split a large component's join
     known = of_fp.join(smallest, "component").select("fp", "component_id")
     return thin.join(known, "fp").select("doc_id", "fp", "component_id")
 
@@ -193,5 +193,5 @@ def near_dedup(docs: DataFrame, text_col: str = "text", words_each: int = 3, bud
 
     Rows without a doc_id stay only where their component has no doc_id at all.
     """
-    kept = simhash_components(docs, text_col, words_each, budget).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(row_key("doc_id").alias("_id")).distinct()
-    return docs.withColumn("_id", row_key("doc_id")).join(kept, "_id", "left_semi").dropDuplicates(["_id"]).drop("_id")
+    kept = simhash_components(docs, text_col, words_each, budget).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(row_key("doc_id").alias("_tw_id")).distinct()
+    return docs.withColumn("_tw_id", row_key("doc_id")).join(kept, "_tw_id", "left_semi").dropDuplicates(["_tw_id"]).drop("_tw_id")
