@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, row_key
+from .common import checkpointed, empty_text, row_key
 from .components import connected_components, spanning_forest
 
 BITS, SEED = 64, 42
@@ -177,21 +177,34 @@ def fingerprint_components(fps: DataFrame, budget: int = 3) -> DataFrame:
     return connected_components(links)
 
 
-def simhash_components(docs: DataFrame, text_col: str = "text", words_each: int = 3, budget: int = 3) -> DataFrame:
-    """One row a document: doc_id, fp, component_id."""
-    thin = checkpointed(with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col), text_col, words_each).select("doc_id", "fp"))
+def _known(thin: DataFrame, budget: int) -> DataFrame:
+    """thin: doc_id, fp, as a checkpoint -> fp, component, component_id."""
     firsts = checkpointed(thin.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     linked = fingerprint_components(firsts.select("fp"), budget).withColumnRenamed("node", "fp")
     of_fp = firsts.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = checkpointed(of_fp.groupBy("component").agg(F.min("first_id").alias("component_id")))  # written, so that Spark can split a large component's join
-    known = of_fp.join(smallest, "component").select("fp", "component_id")
-    return thin.join(known, "fp").select("doc_id", "fp", "component_id")
+    return of_fp.join(smallest, "component").select("fp", "component", "component_id")
+
+
+def simhash_components(docs: DataFrame, text_col: str = "text", words_each: int = 3, budget: int = 3) -> DataFrame:
+    """One row a document: doc_id, fp, component_id."""
+    thin = checkpointed(with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col), text_col, words_each).select("doc_id", "fp"))
+    return thin.join(_known(thin, budget), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_firsts(docs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
+    """The row of docs with the smallest doc_id of each component, nulls last, then the smallest digest; of repeated rows one stays. rows: doc_id, sha256 of the text, component."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "sha256")).alias("first")
+    kept = rows.groupBy("component").agg(first).select(row_key("first.doc_id").alias("_tw_id"), F.col("first.sha256").alias("_tw_sha256"))
+    keyed = docs.withColumns({"_tw_id": row_key("doc_id"), "_tw_sha256": F.sha2(empty_text(text_col), 256)})
+    return keyed.join(kept, ["_tw_id", "_tw_sha256"], "left_semi").dropDuplicates(["_tw_id", "_tw_sha256"]).drop("_tw_id", "_tw_sha256")
 
 
 def near_dedup(docs: DataFrame, text_col: str = "text", words_each: int = 3, budget: int = 3) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their component; of repeated rows one stays.
+    """The rows of docs with the smallest doc_id of their component, and of those the smallest SHA-256 of the text; of repeated rows one stays.
 
-    Rows without a doc_id stay only where their component has no doc_id at all.
+    Rows without a doc_id stay only where their component has no doc_id at all: one for each such component.
     """
-    kept = simhash_components(docs, text_col, words_each, budget).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(row_key("doc_id").alias("_tw_id")).distinct()
-    return docs.withColumn("_tw_id", row_key("doc_id")).join(kept, "_tw_id", "left_semi").dropDuplicates(["_tw_id"]).drop("_tw_id")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(empty_text(text_col), 256).alias("sha256"), text_col)
+    thin = checkpointed(with_fingerprint(keyed, text_col, words_each).select("doc_id", "sha256", "fp"))
+    return keep_firsts(docs, thin.join(_known(thin, budget), "fp"), text_col)
