@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import exact_dedup, language_id, mixing, packing, simhash
+from tidewright.llm import exact_dedup, jaccard, language_id, mixing, packing
 from tidewright.llm.queries import SEQUENCE_TOKENS, source_weight, tokenizer_file
 
 #: No stage but exact dedup can be said in SQL; the stages are tested against brute force.
@@ -29,8 +29,8 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by SimHash, the one with the smallest doc_id."""
-    return simhash.near_dedup(docs)
+    """Of texts linked by five-word shingle sets of Jaccard similarity 0.8 or more, the one with the smallest doc_id."""
+    return jaccard.near_dedup(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

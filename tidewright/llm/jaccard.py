@@ -1,0 +1,168 @@
+"""Near-dedup by the exact Jaccard similarity of word-shingle sets.
+
+A text's set holds the 64-bit hashes of its shingles. Two sets of similarity t or more share one of the first
+n - ceil(t * n) + 1 hashes of each, in any order that holds for all sets (prefix filter), so those alone are
+dealt out to find candidates, and no pair is missed. The order is that of the hashes, with hashes known to be
+frequent last. Candidates are confirmed on the whole sets. Sets that share a hash are first compared with one
+of them, a leader, in rounds; what is linked so becomes one component, and only pairs from different
+components are compared after that, so a large group of near copies is never compared pair by pair.
+
+Defined results: A-Z are lower-cased and words are cut at ASCII white space, as for the fingerprints. A text of
+fewer words than a shingle is one shingle; null and empty texts have one empty shingle and are equal. Of the
+rows that links reach, the one with the smallest doc_id stays, nulls last, then the smallest SHA-256 of the
+text; of repeated rows one stays. An empty table gives no rows. Equal 64-bit hashes count as equal.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import checkpointed
+from .components import connected_components
+from .simhash import keep_firsts
+
+#: Hashes that come last in the order: those in more prefixes than FREQUENT of the SAMPLED-th part of the sets, MOST_FREQUENT at most. They decide the work, never the result.
+SAMPLED, FREQUENT, MOST_FREQUENT = 4, 8, 50_000
+#: Rows of long numbers up to which a table is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_ROWS = 500_000
+#: Leader rounds go on while they at least halve the pairs left and these are more than PAIRS_A_ROW times the rows.
+PAIRS_A_ROW = 4
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_SMALL = 1e-9
+
+
+def shingle_set(text: bytes | None, words_each: int = 5) -> np.ndarray:
+    """The distinct hashes of the shingles, sorted."""
+    words = (text or b"").lower().split()
+    if len(words) < words_each:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words))], dtype=np.uint64)
+    each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    size = len(words) - words_each + 1
+    found = each[:size].copy()
+    for k in range(1, words_each):
+        found = (found ^ (found >> np.uint64(29))) * _MIX + each[k : k + size]
+    return np.unique((found ^ (found >> np.uint64(32))) * _MIX)
+
+
+def prefix(hashes: np.ndarray, similarity: float, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first hashes of a set in the order; frequent is sorted, and rank says how frequent each of it is."""
+    size = len(hashes) - math.ceil(similarity * len(hashes) - _SMALL) + 1
+    if not len(frequent):
+        return hashes[:size]
+    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+    last = frequent[at] == hashes
+    first = hashes[~last]
+    return first[:size] if len(first) >= size else np.concatenate([first, hashes[last][np.argsort(rank[at[last]])]])[:size]
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is similarity or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - _SMALL
+
+
+def _sets(docs: DataFrame, text_col: str, words_each: int) -> DataFrame:
+    """One row a document: doc_id, sha256, node (of equal sets), n and hashes of the set."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(at, 512) for at in range(0, whole.num_rows, 512)):
+                texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
+                sets = [shingle_set(t, words_each) for t in texts]
+                raw = [s.tobytes() for s in sets]
+                nodes = np.array([xxhash.xxh3_64_intdigest(r) for r in raw], dtype=np.uint64).view(np.int64)
+                columns = [batch.column(0), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), pa.array(raw, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sha256", "node", "n", "hashes"])
+
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return thin.mapInArrow(made, "doc_id long, sha256 string, node long, n long, hashes binary")
+
+
+def _prefixes(sets: DataFrame, similarity: float, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """token, node, n of all hashes in prefixes."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [prefix(np.frombuffer(h.as_py(), np.uint64), similarity, frequent, rank) for h in batch.column(2)]
+            if found:
+                sizes = [len(f) for f in found]
+                columns = [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(np.repeat(batch.column(1).to_numpy(), sizes))]
+                yield pa.RecordBatch.from_arrays(columns, ["token", "node", "n"])
+
+    return sets.select("node", "n", "hashes").mapInArrow(made, "token long, node long, n long")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df, written, with the hint to broadcast it if it is small."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """u, v of the pairs whose sets are similar."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links = [similar(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), similarity) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(links, pa.bool_()))
+
+    of = lambda end, name: sets.select(F.col("node").alias(end), F.col("hashes").alias(name))
+    both = pairs.join(of("u", "a"), "u").join(of("v", "b"), "v").select("u", "v", "a", "b")
+    return both.mapInArrow(made, "u long, v long")
+
+
+def set_components(sets: DataFrame, similarity: float) -> DataFrame:
+    """sets: node, n, hashes, as a checkpoint; rows of one node are equal -> node, component over similar sets."""
+    none, no_rank = np.empty(0, np.uint64), np.empty(0, np.int64)
+    sampled = _prefixes(sets.where(F.pmod("node", F.lit(SAMPLED)) == 0), similarity, none, no_rank)
+    top = sampled.groupBy("token").count().where(F.col("count") > FREQUENT).orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).collect()
+    frequent = np.array([r["token"] for r in top], dtype=np.int64).view(np.uint64)
+    order = np.argsort(frequent)
+    tokens = _prefixes(sets, similarity, frequent[order], (len(order) - order).astype(np.int64))
+    shared = _small(tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token"))
+    live = checkpointed(checkpointed(tokens.join(shared, "token")).distinct().withColumn("component", F.col("node")))
+    needed = checkpointed(checkpointed(sets.join(_small(live.select("node").distinct()), "node", "left_semi").select("node", "hashes")).dropDuplicates(["node"]))
+    close = f"u_n >= {similarity} * v_n - {_SMALL} and v_n >= {similarity} * u_n - {_SMALL} and u_component <> v_component"
+    end = lambda e: live.select("token", *(F.col(c).alias(f"{e}_{c}") for c in ("node", "n", "component")))
+    links = connected_components(sets.sparkSession.createDataFrame([], "u long, v long"))
+    edges, rounds, before = None, 0, math.inf
+    while True:
+        counted = live.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own"))
+        state = counted.agg(F.sum("all").alias("rows"), F.sum((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs")).first()
+        left = state["pairs"] or 0
+        if not left:
+            return links
+        last = left <= PAIRS_A_ROW * state["rows"] or left > before / 2
+        if last:
+            pairs = end("u").join(end("v"), "token").where(f"u_node < v_node and {close}")
+        else:
+            leader = end("u").groupBy("token").agg(F.min(F.struct(F.xxhash64("u_node", F.lit(rounds)).alias("by"), "u_node", "u_n", "u_component")).alias("l")).select("token", "l.u_node", "l.u_n", "l.u_component")
+            pairs = end("v").join(checkpointed(leader), "token").where(close)
+        found = _confirmed(checkpointed(pairs.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).distinct()), needed, similarity)
+        edges = checkpointed(found if edges is None else edges.union(found))
+        links = connected_components(edges)
+        if last:
+            return links
+        links = checkpointed(links)
+        moved = live.drop("component").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        moved = checkpointed(moved)
+        mixed = checkpointed(moved.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token"))
+        live = checkpointed(moved.join(mixed, "token", "left_semi"))
+        rounds, before = rounds + 1, left
+
+
+def near_dedup(docs: DataFrame, text_col: str = "text", words_each: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Of the rows of docs that links of similarity or more reach, the one with the smallest doc_id."""
+    sets = checkpointed(_sets(docs, text_col, words_each))
+    linked = checkpointed(set_components(sets, similarity))
+    rows = sets.select("doc_id", "sha256", "node").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return keep_firsts(docs, rows, text_col)
