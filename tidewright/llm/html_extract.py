@@ -1,10 +1,11 @@
 """HTML extraction by consensus host paths.
 
 Every page is cut into blocks of text under a tree of block elements. Containers are scored by the text that
-their near descendants hold, less what stands in links, and a page votes for the generalised tag-class path
-(digits as #) of its best one. Votes are summed in Spark by host and path; the host's winning path then
+their near descendants hold, less what stands in links, and the best one is widened to its article or main
+element, or, outside of those, to the smallest container that holds nearly all text; the page itself counts as
+a container. A page votes for the generalised tag-class path (digits as #) of what it finds so. Votes are summed in Spark by host and path; the host's winning path then
 says where the main text stands on all of its pages. A page is extracted again from the elements at that
-path, or from its own best container where it has none there.
+path, or from its own best container where it has no text there.
 
 Dropped inside and outside of containers: menus, headers (headings inside of an article stay), footers,
 sidebars, notices, adverts, forms, scripts, styles, comments of markup and of readers, recognised by element,
@@ -38,6 +39,9 @@ BROADCAST_HOSTS = 100_000
 #: Levels to which a path is spelled out (deeper elements share their ancestor's), and levels up to which a block counts for a container.
 SPELLED, NEAR = 100, 64
 
+#: Share of the kept text outside links that a container outside of articles must hold.
+NEARLY_ALL = 0.9
+
 #: Elements, roles and words of class and id.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
@@ -157,23 +161,41 @@ class Page:
         for element, text, plain in self.blocks:
             if not self.dropped[element]:
                 at, share, level = element, 1.0, 0
-                while at and share > 0.1 and level < NEAR:
+                while share > 0.1 and level < NEAR:
                     level += 1
-                    if self.tag[at] in CONTAINERS:
+                    if self.tag[at] in CONTAINERS or not at:
                         found[at] += share * plain * len(text)
                         share /= 2
+                    if not at:
+                        break
                     at = self.parent[at]
         return found
 
-    def best(self) -> int:
-        scores = self.scores()
-        return max(scores, key=lambda e: (scores[e], -e), default=0)
+    def best(self, scores: dict[int, float]) -> int:
+        """The container of the best score, widened to its outermost article or else its main, or else to the smallest container around it that holds nearly all text."""
+        at = max(scores, key=lambda e: (scores[e], -e), default=0)
+        around = [at]
+        while around[-1]:
+            around.append(self.parent[around[-1]])
+        for tag in ("article", "main"):
+            if found := [e for e in around if self.tag[e] == tag]:
+                return found[-1]
+        held = [0.0] * len(self.tag)
+        for element, text, plain in self.blocks:
+            if not self.dropped[element]:
+                held[element] += plain * len(text)
+        for e in range(len(held) - 1, 0, -1):
+            held[self.parent[e]] += held[e]
+        return next((e for e in around if (self.tag[e] in CONTAINERS or not e) and held[e] >= NEARLY_ALL * held[0]), 0)
 
     def text(self, path: str | None) -> str:
         """The blocks under the elements at the path, or else under the page's own best container; of a header inside of an article, headings stay."""
-        inside = [i and (p == path) for i, p in enumerate(self.path)]
-        if not any(inside):
-            inside = [i == (best := self.best()) for i in range(len(self.path))] if self.blocks else inside
+        if found := self._under([p == path for p in self.path]):
+            return found
+        best = self.best(self.scores())
+        return self._under([e == best for e in range(len(self.path))])
+
+    def _under(self, inside: list[bool]) -> str:
         for i in range(1, len(inside)):
             inside[i] = inside[i] or inside[self.parent[i]]
         return "\n".join(t for e, t, _ in self.blocks if inside[e] and self.shown[e] and not self.dropped[e])
@@ -186,9 +208,8 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             page = Page(source.as_py() or "")
             scores = page.scores()
             if scores:
-                best = page.best()
-                vote = votes[host, page.path[best]]
-                vote[0] += scores[best] / sum(len(t) for _, t, _ in page.blocks)
+                vote = votes[host, page.path[page.best(scores)]]
+                vote[0] += max(scores.values()) / sum(len(t) for _, t, _ in page.blocks)
                 vote[1] += 1
         rows = [(h, p, w, n) for (h, p), (w, n) in votes.items()]
         columns = list(zip(*rows, strict=True)) or [()] * 4
