@@ -15,6 +15,7 @@ alone exceeds the attention capacity is an error of the settings.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -54,6 +55,8 @@ class WordTokenizer:
     No token spans white space, so a text's ids are its words' ids in order; words are looked up with A-Z
     lower-cased, and those not yet known go to the tokenizer together, as one text with a mark between them.
     Punctuation at the end of a word is a token sequence of its own, so word and ending are looked up apart.
+    The file's special tokens are cut out of the raw text first; words that only look like one when lower-cased
+    are ordinary text.
     """
 
     MARK = b"\x00"
@@ -62,12 +65,18 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
         self.mark = self._ids(self.MARK)[-1]
+        added = {t.content.encode(): k for k, t in self.model.get_added_tokens_decoder().items() if t.special}
+        self.special = {t: k.to_bytes(4, "little") for t, k in added.items()}
+        self.cut_special = re.compile(b"(" + b"|".join(map(re.escape, sorted(added, key=len, reverse=True))) + b")") if added else None
         self.known: dict[bytes, bytes] = {}
 
     def _ids(self, text: bytes) -> list[int]:
-        return self.model.encode(text.decode(), add_special_tokens=False).ids
+        self.model.encode_special_tokens = True
+        try:
+            return self.model.encode(text.decode(), add_special_tokens=False).ids
+        finally:
+            self.model.encode_special_tokens = False
 
     def _learn_all(self, words: set[bytes]) -> set[bytes]:
         """Learns the words, and returns the stems and endings that it learned for them besides."""
@@ -99,12 +108,16 @@ class WordTokenizer:
 
     def encode(self, texts: list[bytes], closing: int = 0) -> list[bytes]:
         """The ids of each text and the closing id, as little-endian unsigned 32-bit numbers."""
-        split = [t.translate(_LOWER).split() for t in texts]
+        parts = [self.cut_special.split(t) if self.cut_special else [t] for t in texts]  # text and special token by turns
+        split = [p.translate(_LOWER).split() for own in parts for p in own[::2]]
         full = len(self.known) >= REMEMBERED
         if new := set(chain.from_iterable(split)).difference(self.known):
             new |= self._learn_all(new)
         end, of = closing.to_bytes(4, "little"), self.known.__getitem__
-        found = [b"".join(map(of, words)) + end for words in split]
+        at, found = iter(split), []
+        for own in parts:
+            ids = [b"".join(map(of, next(at))) if k % 2 == 0 else self.special[p] for k, p in enumerate(own)]
+            found.append(b"".join(ids) + end)
         for word in new if full else ():
             del self.known[word]
         return found
