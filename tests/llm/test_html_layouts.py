@@ -24,3 +24,11 @@ def test_whole_articles_of_any_layout(spark):
     found = extracted(spark, pages)
     assert found.pop("http://inner.com/odd") == LONG
     assert {url: text for url, text in found.items() if text != WHOLE} == {}
+
+
+def test_names_inside_of_articles_drop_only_what_is_no_text(spark):
+    kept = ["<section id='discussion'><p>{}</p></section>", "<h2 id='related-work'>{}</h2>", "<h2 id='copyright-history'>{}</h2>", "<div class='social-science'>{}</div>", "<h2 id='navigation'>{}</h2>", "<p id='notice'>{}</p>", "<section id='login-and-menu-design'><p>{}</p></section>", "<h3 class='share'>{}</h3>"]
+    lost = ["<div class='ad-slot'>{}</div>", "<div class='share-buttons'>{}</div>", "<div class='comment-12'>{}</div>", "<section id='comments'>{}</section>", "<div class='related-articles'>{}</div>", "<div class='newsletter'>{}</div>", "<div class='big ad'>{}</div>", "<div id='comment-list'>{}</div>", "<div class='ad' id='x'><h2>{}</h2></div>"]
+    body = "".join(t.format(f"kept {k}") for k, t in enumerate(kept)) + "".join(t.format(f"lost {k}") for k, t in enumerate(lost))
+    page = f"<body><div class='social-bar'>outside</div><article><p>{LONG}</p>{body}</article></body>"
+    assert extracted(spark, [("http://a.com", page)])["http://a.com"].split("\n") == [LONG, *(f"kept {k}" for k in range(len(kept)))]

@@ -9,7 +9,7 @@ path, or from its own best container where it has no text there.
 
 Dropped inside and outside of containers: menus, headers (headings inside of an article stay), footers,
 sidebars, notices, adverts, forms, scripts, styles, comments of markup and of readers, recognised by element,
-role or words of class and id. Character references are decoded, white space inside a block becomes one
+role or words of class and id; inside of articles by whole names or known compounds, and never headings. Character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined by one line feed in page order; <br> ends a block. Nothing else is
 dropped or capped.
 
@@ -50,6 +50,10 @@ RAW = frozenset("script style noscript template iframe textarea title svg object
 DROPPED = frozenset("nav footer aside form menu dialog head fieldset".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar note status".split())
 DROPPED_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer comment comments commentlist disqus respond reply replies discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations widget login toolbar pagination pager copyright masthead".split())
+#: Inside of articles, a name counts as a whole, or as words of DROPPED_WORDS with these and numbers only; ids that are slugs of ordinary headings do not count.
+FITTINGS = frozenset("area article articles banner bar block body bottom box button buttons center container content count form group header icon icons inner item items js label left link links list media module outer page panel post posts right section site slot stories story title text tool tools top unit wrap wrapper".split())
+SLUGS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navigation menu footer comment reply replies discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations widget login pagination copyright masthead".split())
+TEXT_BLOCKS = HEADINGS | frozenset("p blockquote pre dt dd li caption figcaption summary".split())
 #: What an opening tag ends, up to the element that holds it.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
@@ -63,6 +67,12 @@ _PARTS = re.compile(r"[^a-z0-9]+")
 _DIGITS = re.compile(r"\d+")
 
 
+def _is_furniture(name: str) -> bool:
+    """Whether a class or id inside of an article says that its element is no text of it."""
+    parts = [w for w in _PARTS.split(name) if w]
+    return name in DROPPED_WORDS or (bool(DROPPED_WORDS.intersection(parts)) and all(w in DROPPED_WORDS or w in FITTINGS or w.isdigit() for w in parts))
+
+
 class Page:
     """Block elements of a page (tag, path, parent, dropped) and its text blocks (element, text, share of it outside links)."""
 
@@ -143,7 +153,10 @@ class Page:
         words = {w for n in names for w in (n, *_PARTS.split(n))}
         if tag in ("body", "html", "article", "main"):
             return bool({"comment", "comments", "reply"} & words)
-        return bool(DROPPED_WORDS & words) or (not in_article and (tag == "header" or "header" in words))
+        if in_article:
+            ids = () if tag in TEXT_BLOCKS else (n for n in found.get("id", "").split() if n not in SLUGS)
+            return tag not in HEADINGS and any(map(_is_furniture, (*found.get("class", "").split(), *ids)))
+        return bool(DROPPED_WORDS & words) or tag == "header" or "header" in words
 
     def _close(self, tag: str) -> None:
         if tag == "a":
