@@ -9,7 +9,7 @@ weighted dot-product of the piece's needs with the residuals. Sequences with no
 
 Defined results: a null text counts as empty; an empty text has the one token that ends a document. Repeated
 rows are packed each. Of equally good sequences the oldest is taken; pieces of one length come by doc_id,
-piece. Group and place depend only on the rows, not on their order. An empty table gives no rows. A piece that
+piece, ids_crc32. Group and place depend only on the rows, not on their order. An empty table gives no rows. A piece that
 alone exceeds the attention capacity is an error of the settings.
 """
 
@@ -25,7 +25,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, row_key
@@ -183,10 +183,12 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: Capacity = Capacity(),
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     pieces = checkpointed(cut(docs, tokenizer_path, capacity.tokens, text_col))
     groups = max(1, -(-pieces.count() // group_pieces))
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64(row_key("doc_id"), "piece"), F.lit(groups)))
+    same = [row_key("doc_id"), F.col("piece"), F.col("ids_crc32")]
+    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy(*same).orderBy("length")))  # rows without or of one doc_id go to different groups
+    dealt = ranked.withColumn("pack_group", F.pmod(F.xxhash64(*same, "rank"), F.lit(groups))).drop("rank")
 
     def place(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+        own = own.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         sequence, offset = best_fit(own["length"].to_numpy(), capacity)
         return own.assign(sequence_id=own["pack_group"].to_numpy() * (1 << 32) + sequence, offset=offset).drop(columns="pack_group")
 
