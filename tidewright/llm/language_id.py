@@ -9,7 +9,7 @@ seen weigh nothing, so texts in other scripts or languages score near an even sh
 one small table, and each n-gram of the whole text is looked up once.
 
 Defined results: a text that is null or has no letter is "und" with score 0, and is rejected. Languages that
-are null are not learned from. Repeated rows are all scored. Without any labelled row everything is "und".
+are null are not learned from. Repeated rows are all scored; in the sample they count once. Without any labelled row everything is "und".
 Input columns named like an output column are replaced.
 """
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .subword import BUCKETS, hashed_share, prepared, sample_features, sample_rows, table_means
+from .subword import BUCKETS, distinct_rows, hashed_share, prepared, sample_features, sample_rows, table_means
 
 #: Documented bounds and settings of the fit.
 PER_LANGUAGE, REJECTED, ORDERS, WIDTH, EPOCHS, RATE = 500, 0.001, (2, 3), 16, 6, 0.5
@@ -63,7 +63,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, key: str = "doc_id") -> Model:
-    """labelled: text, lang, and a key to sample by. Only a bounded sample of it is read out."""
+    """labelled: text, lang, and a key that is sampled by together with the text. Only a bounded sample of it is read out."""
     known = labelled.where("lang is not null")
     found = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg(F.octet_length("text")).alias("bytes")).collect()  # a row a language
     counts = {r["lang"]: (r["n"], sample_rows(per_language, r["bytes"], 1 / len(found))) for r in found}
@@ -72,9 +72,9 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, key: str = "doc_i
         return Model([], np.zeros((BUCKETS, 1), np.float32), 1.0)
     chosen = F.lit(False)
     for lang, (n, wanted) in counts.items():
-        chosen = chosen | ((F.col("lang") == lang) & hashed_share(wanted, n, key))
+        chosen = chosen | ((F.col("lang") == lang) & hashed_share(wanted, n, key, "text"))
     number = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")).cast("int") - 1
-    found = sample_features(known.where(chosen).select(number.alias("y"), "text").limit(2 * per_language * len(languages)), ORDERS, True)
+    found = sample_features(distinct_rows(known.where(chosen).select(key, number.alias("y"), "text")), ORDERS, True)
     rows = [(y, np.asarray(b.values), np.asarray(s.values)) for y, b, s in zip(found["y"].to_pylist(), found["buckets"], found["shares"], strict=True)]
     rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()))  # the order of arrival doesn't count
     held = rows[::5] if len(rows) >= 50 else rows

@@ -6,7 +6,7 @@ both see each n-gram of each text exactly once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,8 @@ _FOLDED = bytes.maketrans(_SPACES + bytes(range(65, 91)), b" " * len(_SPACES) +
 
 
 def prepared(text: bytes | None, fold_case: bool) -> bytes:
-    """The text with a space before and after it."""
-    return b" " + (text or b"").translate(_FOLDED if fold_case else _PLAIN) + b" "
+    """The text with a space before and after it; an empty text stays empty."""
+    return text and b" " + text.translate(_FOLDED if fold_case else _PLAIN) + b" " or b""
 
 
 def hashed(raw: np.ndarray, n: int) -> np.ndarray:
@@ -78,7 +78,7 @@ def table_means(texts: list[bytes], table: np.ndarray, orders: tuple[int, ...])
 
 
 def text_features(text: bytes, orders: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """The prepared text's buckets and their shares of its n-grams: at most BUCKETS entries."""
+    """The prepared text's buckets and their shares of its n-grams: at most BUCKETS entries. Without any, one bucket has the share 0."""
     counts = np.zeros(BUCKETS)
     for _, starts, joined in _slices([text], max(orders) - 1):
         raw = np.frombuffer(joined, dtype=np.uint8)
@@ -86,16 +86,22 @@ def text_features(text: bytes, orders: tuple[int, ...]) -> tuple[np.ndarray, np.
             for n in orders:
                 if stop - begin >= n:
                     counts += np.bincount(hashed(raw[begin:stop], n)[:_SLICE], minlength=BUCKETS)
-    found = np.flatnonzero(counts)
-    return found.astype(np.int32), (counts[found] / counts.sum()).astype(np.float32)
+    found = np.flatnonzero(counts) if counts.any() else np.zeros(1, int)
+    return found.astype(np.int32), (counts[found] / max(1.0, counts.sum())).astype(np.float32)
 
 
-def sample_features(docs: DataFrame, orders: tuple[int, ...], fold_case: bool) -> pa.Table:
-    """y, buckets, shares of each row of docs (y, text) on the driver. docs must be a bounded sample; a row takes at most BUCKETS pairs."""
+def sample_features(docs: DataFrame, orders: tuple[int, ...], fold_case: bool, more: Callable[[bytes], float] | None = None) -> pa.Table:
+    """y, buckets, shares of each row of docs (y, text) on the driver; more(text) is the share of one bucket more.
+
+    docs must be a bounded sample; a row takes at most BUCKETS + 1 pairs.
+    """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [text_features(prepared(t.as_py(), fold_case), orders) for t in batch.column(1).cast(pa.binary())]
+            texts = [t.as_py() for t in batch.column(1).cast(pa.binary())]
+            found = [text_features(prepared(t, fold_case), orders) for t in texts]
+            if more:
+                found = [(np.append(b, np.int32(BUCKETS)), np.append(s, np.float32(more(t or b"")))) for (b, s), t in zip(found, texts, strict=True)]
             ends = pa.array(np.cumsum([0, *(len(b) for b, _ in found)]), pa.int32())
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[k] for x in found]) if found else [], t)) for k, t in ((0, pa.int32()), (1, pa.float32()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["y", "buckets", "shares"])
@@ -112,3 +118,8 @@ def sample_rows(rows: int, mean_bytes: float | None, share: float = 1.0) -> int:
 def hashed_share(rows: int, of: int, *columns: str):
     """A condition that holds for about rows of the rows of a table of that many, the same on every run."""
     return F.pmod(F.xxhash64(*columns), F.lit(1_000_000)) < F.lit(int(1e6 * min(1.0, rows / max(1, of))) + 1)
+
+
+def distinct_rows(sample: DataFrame) -> DataFrame:
+    """Rows alike in all columns once, so that a row repeated over much of a table cannot swell a sample; repeats meet on the map side first."""
+    return sample.groupBy(*sample.columns).agg(F.count(F.lit(1)).alias("repeats")).drop("repeats")
