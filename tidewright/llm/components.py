@@ -1,4 +1,4 @@
-"""Connected components of an edge table by repeated contraction to the smallest neighbour."""
+"""Connected components of an edge table by repeated contraction to a neighbour."""
 
 from __future__ import annotations
 
@@ -31,21 +31,25 @@ def spanning_forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges: u, v (long, not null) -> node, component: the smallest node that links reach. Nodes without a link to another are left out.
 
-    Each round maps every node to its smallest neighbour or itself and keeps the edges between different images,
-    so that a component's smallest node stays and all others vanish within about log(n) rounds.
+    Nodes are ordered by a hash (xxhash64 of a long has no collisions), so that no order of the numbers makes
+    long chains. Each round maps every node to its first neighbour or itself, follows that map once more, and
+    keeps the edges between different images: about log(n) rounds, whatever the shape. The maps shrink from
+    round to round and are put together from the last to the first, each result written.
     """
     live = checkpointed(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     steps: list[DataFrame] = []
     while not live.isEmpty():
-        both = live.union(live.select("v", "u"))
-        step = checkpointed(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("image")))
+        first = live.union(live.select("v", "u")).groupBy("u").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
+        step = checkpointed(first.select(F.col("u").alias("node"), F.when(F.xxhash64("v") < F.xxhash64("u"), F.col("v")).otherwise(F.col("u")).alias("image")))
+        step = checkpointed(step.join(step.select(F.col("node").alias("image"), F.col("image").alias("further")), "image").select("node", F.col("further").alias("image")))
         steps.append(step)
         moved = live.join(step.select(F.col("node").alias("u"), F.col("image").alias("iu")), "u").join(step.select(F.col("node").alias("v"), F.col("image").alias("iv")), "v")
         live = checkpointed(moved.where("iu <> iv").select(F.least("iu", "iv").alias("u"), F.greatest("iu", "iv").alias("v")).distinct())
     if not steps:
         return live.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    reached = steps[0].select("node", F.col("image").alias("component"))
-    for step in steps[1:]:
-        later = step.select(F.col("node").alias("component"), "image")
-        reached = reached.join(later, "component", "left").select("node", F.coalesce("image", "component").alias("component"))
-    return reached
+    reached = steps.pop()
+    while steps:
+        later = reached.select(F.col("node").alias("image"), F.col("image").alias("last"))
+        reached = checkpointed(steps.pop().join(later, "image", "left").select("node", F.coalesce("last", "image").alias("image")))
+    smallest = checkpointed(reached.groupBy("image").agg(F.min("node").alias("component")))  # written, so that Spark can split a large component's join
+    return reached.join(smallest, "image").select("node", "component")
