@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from tidewright.llm import jaccard
+from tidewright.llm import near_copies
 
 from .fixtures import prose
 from .test_text_operators import brute_components
@@ -30,7 +30,7 @@ def test_stage_links_near_copies_of_similarity_0_8(spark):
     assert sum(want[100 + k] == k for k in range(40)) >= 20 and any(want[100 + k] != k for k in range(40))
     out = corpus_pipeline.no_near_copies(spark, df, "")
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == sorted(set(want.values()))
-    assert jaccard.near_dedup(df.where("false")).count() == 0
+    assert near_copies.near_dedup(df.where("false")).count() == 0
 
 
 def test_frequent_hashes_come_last_and_change_no_result(spark, monkeypatch):
@@ -39,9 +39,9 @@ def test_frequent_hashes_come_last_and_change_no_result(spark, monkeypatch):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     want = sorted(set(brute_components(sorted(texts), lambda a, b: similarity(texts[a], texts[b]) >= 0.8).values()))
     for frequent, pairs in ((8, 4), (10**6, 4), (1, 0)):
-        monkeypatch.setattr(jaccard, "FREQUENT", frequent)
-        monkeypatch.setattr(jaccard, "PAIRS_A_ROW", pairs)
-        assert sorted(r.doc_id for r in jaccard.near_dedup(df).collect()) == want
+        monkeypatch.setattr(near_copies, "FREQUENT", frequent)
+        monkeypatch.setattr(near_copies, "PAIRS_A_ROW", pairs)
+        assert sorted(r.doc_id for r in near_copies.near_dedup(df).collect()) == want
 
 
 def test_rows_without_or_of_one_doc_id(spark):
@@ -49,4 +49,4 @@ def test_rows_without_or_of_one_doc_id(spark):
     rows = [(None, a), (None, b), (None, b), (None, c), (1, c), (7, d), (7, prose(9, 80)), (7, d), (8, d)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted([("None", a), ("None", b), ("1", c), ("7", d), ("7", prose(9, 80))])
-    assert sorted((str(r.doc_id), r.text) for r in jaccard.near_dedup(df).collect()) == want
+    assert sorted((str(r.doc_id), r.text) for r in near_copies.near_dedup(df).collect()) == want

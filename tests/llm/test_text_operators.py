@@ -134,17 +134,36 @@ def test_trie_links(cluster):
     assert set(u.tolist()) | set(v.tolist()) == set(x[:half][cross.any(axis=1)].tolist()) | set(x[half:][cross.any(axis=0)].tolist())
 
 
-def test_node_pairs_are_all_within_the_budget():
+@pytest.mark.parametrize("bounds", [(64, 200, 3), (16, 100, 1), (100, 150, 2)])
+def test_each_pair_within_the_budget_meets_in_a_task(spark, monkeypatch, bounds):
+    for name, bound in zip(("NODE_ROWS", "CROWDED", "MOST_LEVELS"), bounds):
+        monkeypatch.setattr(simhash, name, bound)
     r = np.random.default_rng(1)
-    counts = Counter((r.integers(0, 1 << 16, 4000) & 0xFFC3).tolist())
-    nodes = simhash.top_nodes(counts, 200)
-    assert sum(n for _, _, n in nodes) == 4000
-    pairs = set(simhash.node_pairs(nodes, 3))
-    for i, (d, p, _) in enumerate(nodes):
-        for j in range(i, len(nodes)):
-            e, q, _ = nodes[j]
-            m = min(d, e)
-            assert ((i, j) in pairs) == (((p >> (d - m)) ^ (q >> (e - m))).bit_count() <= 3)
+    ball = np.uint64(12345) ^ (np.uint64(1) << r.integers(0, 40, (800, 5), dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    x = np.unique(np.concatenate([r.integers(0, 2**63, 800, dtype=np.uint64), ball, ball[:200] ^ np.uint64(1 << 63 | 7)]))
+    dealt = simhash.deal(spark.createDataFrame([(int(f),) for f in x.view(np.int64)], "fp long"), 3).toPandas()
+    met, sizes = set(), []
+    for (_, _, i, j), own in dealt.groupby(["mask", "value", "i", "j"]):
+        a, b = (np.unique(own.fp[own.block == k].to_numpy().view(np.uint64)) for k in (i, j))
+        sizes.append(max(len(a), len(b)))
+        near = np.argwhere(np.bitwise_count(a[:, None] ^ b[None, :]) <= 3)
+        met |= {(min(p), max(p)) for p in zip(a[near[:, 0]].tolist(), b[near[:, 1]].tolist())}
+    near = np.argwhere(np.bitwise_count(x[:, None] ^ x[None, :]) <= 3)
+    assert met == {(min(p), max(p)) for p in zip(x[near[:, 0]].tolist(), x[near[:, 1]].tolist())}
+    assert max(sizes) <= 1.5 * bounds[1]
+
+
+@pytest.mark.parametrize("order", ["sorted", "shuffled", "star"])
+def test_components_in_few_rounds(spark, monkeypatch, order):
+    from tidewright.llm import components
+
+    nodes = np.arange(1001) if order != "shuffled" else np.random.default_rng(4).permutation(1001)
+    edges = [(int(nodes[0] if order == "star" else nodes[k]), int(nodes[k + 1])) for k in range(1000)]
+    written, write = [], components.written
+    monkeypatch.setattr(components, "written", lambda df: written.append(1) or write(df))
+    found = dict(map(tuple, connected_components(spark.createDataFrame(edges, "u long, v long")).collect()))
+    assert found == dict.fromkeys(range(1001), 0)
+    assert len(written) <= 4 * 14 + 2  # four writes a round
 
 
 def test_targets_and_mix(spark):
@@ -262,9 +281,10 @@ def test_quality(spark):
     good = [(k, prose(k, 50), 1 if k % 2 else None, "x") for k in range(160)]
     bad = [(1000 + k, prose(k, 50).replace(" ", "%%% $$$ "), 0 if k % 2 else None, "x") for k in range(60)]
     df = spark.createDataFrame([*good, *bad, (5000, None, None, "x"), (5001, "", None, "x")], "doc_id long, text string, quality int, score string")
-    model = quality.fit(df)
+    model = quality.fit(df, df)
     found = {r.doc_id: r for r in quality.score(df, model).collect()}
     assert all(found[k].predicted == 1 for k, *_ in good) and sum(found[k].predicted == 0 for k, *_ in bad) >= 55
     assert all(0 <= r.score <= 1 for r in found.values()) and len(found) == 222
+    assert found[5000].score == found[5001].score == pytest.approx(1 / (1 + np.exp(-model.bias)))
     assert quality.score(df.where("false"), model).count() == 0
-    assert quality.fit(df.withColumn("quality", F.lit(None).cast("int"))).weights.any() == False  # noqa: E712
+    assert quality.fit(df, df.withColumn("quality", F.lit(None).cast("int"))).weights.any() == False  # noqa: E712

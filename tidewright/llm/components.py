@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import written
 
 
 def spanning_forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,20 +36,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     keeps the edges between different images: about log(n) rounds, whatever the shape. The maps shrink from
     round to round and are put together from the last to the first, each result written.
     """
-    live = checkpointed(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    live = written(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     steps: list[DataFrame] = []
     while not live.isEmpty():
         first = live.union(live.select("v", "u")).groupBy("u").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
-        step = checkpointed(first.select(F.col("u").alias("node"), F.when(F.xxhash64("v") < F.xxhash64("u"), F.col("v")).otherwise(F.col("u")).alias("image")))
-        step = checkpointed(step.join(step.select(F.col("node").alias("image"), F.col("image").alias("further")), "image").select("node", F.col("further").alias("image")))
+        step = written(first.select(F.col("u").alias("node"), F.when(F.xxhash64("v") < F.xxhash64("u"), F.col("v")).otherwise(F.col("u")).alias("image")))
+        step = written(step.join(step.select(F.col("node").alias("image"), F.col("image").alias("further")), "image").select("node", F.col("further").alias("image")))
         steps.append(step)
         moved = live.join(step.select(F.col("node").alias("u"), F.col("image").alias("iu")), "u").join(step.select(F.col("node").alias("v"), F.col("image").alias("iv")), "v")
-        live = checkpointed(moved.where("iu <> iv").select(F.least("iu", "iv").alias("u"), F.greatest("iu", "iv").alias("v")).distinct())
+        live = written(moved.where("iu <> iv").select(F.least("iu", "iv").alias("u"), F.greatest("iu", "iv").alias("v")).distinct())
     if not steps:
         return live.select(F.col("u").alias("node"), F.col("v").alias("component"))
     reached = steps.pop()
     while steps:
         later = reached.select(F.col("node").alias("image"), F.col("image").alias("last"))
-        reached = checkpointed(steps.pop().join(later, "image", "left").select("node", F.coalesce("last", "image").alias("image")))
-    smallest = checkpointed(reached.groupBy("image").agg(F.min("node").alias("component")))  # written, so that Spark can split a large component's join
+        reached = written(steps.pop().join(later, "image", "left").select("node", F.coalesce("last", "image").alias("image")))
+    smallest = written(reached.groupBy("image").agg(F.min("node").alias("component")))  # written, so that Spark can split a large component's join
     return reached.join(smallest, "image").select("node", "component")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import written
 from .components import connected_components, spanning_forest
 
 #: Documented bounds: rows that k-means is fitted on, cells, wanted classes a cell, rows a block.
@@ -115,7 +115,7 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.98, vector_col: str =
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col(vector_col).cast("array<double>").alias("vector")).withColumn("links_at_all", usable(F.col("vector")) & F.col("label").isNotNull())
     good = rows.where("links_at_all")
     grouped = good.groupBy("label", "vector").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    classes = checkpointed(grouped.withColumns({"cid": F.monotonically_increasing_id(), "dim": F.size("vector")}))
+    classes = written(grouped.withColumns({"cid": F.monotonically_increasing_id(), "dim": F.size("vector")}))
     sizes = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
     fitted = fit_cells(classes, sizes[1] or 0, sizes[0] or 0)
 
@@ -129,7 +129,7 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.98, vector_col: str =
                 yield from own.take(pa.array(row)).append_column("cell", pa.array(cell, pa.int32())).append_column("home", pa.array(home)).to_batches()
 
     placed = classes.select("label", "dim", "cid", "copies", "vector").mapInArrow(assign, f"label {classes.schema['label'].dataType.simpleString()}, dim int, cid long, copies long, vector array<double>, cell int, home boolean")
-    placed = checkpointed(placed)
+    placed = written(placed)
     keys = ["label", "dim", "cell"]
     blocks = placed.groupBy(*keys).agg(
         F.ceil(F.count_if("home") / BLOCK_ROWS).cast("int").alias("homes"), F.ceil(F.count_if(~F.col("home")) / BLOCK_ROWS).cast("int").alias("visits")
@@ -145,11 +145,11 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.98, vector_col: str =
     def work(key: tuple, rows: pa.Table) -> pa.Table:
         return compare(rows, key[3].as_py(), key[4].as_py(), cosine)
 
-    found = checkpointed(dealt.groupBy(*keys, "i", "j").applyInArrow(work, "cid long, links long, root long"))
+    found = written(dealt.groupBy(*keys, "i", "j").applyInArrow(work, "cid long, links long, root long"))
     counted = found.groupBy("cid").agg(F.sum("links").alias("links"))
     linked = connected_components(found.select(F.col("cid").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "cid")
     of_class = classes.join(counted, "cid", "left").join(linked, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    smallest = checkpointed(of_class.groupBy("component").agg(F.min("first_id").alias("component_id")))  # written, so that Spark can split a large component's join
+    smallest = written(of_class.groupBy("component").agg(F.min("first_id").alias("component_id")))  # written, so that Spark can split a large component's join
     known = of_class.join(smallest, "component").select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     alone = rows.where("not links_at_all").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = good.join(known, ["label", "vector"]).select("vec_id", "n_links", "component_id").unionByName(alone)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, checkpointed, empty_text, row_key
+from .common import written, keep_marked, text_key
 
 #: Chunk sizes in bytes of the normalised text. The mean is about SHORTEST + 2 ** MASK_BITS.
 SHORTEST, LONGEST, MASK_BITS = 512, 16384, 10
@@ -91,36 +91,42 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digests += d
             ends.append(len(keys))
         chunks = pa.StructArray.from_arrays([pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array(digests, pa.binary())], ["key", "digest"])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), chunks)], ["doc_id", "text_sha256", "chunks"])
-
-
-def exact_dedup(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, keep_id, group_size, kept, text_sha256."""
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_recipes, "doc_id long, text_sha256 string, chunks array<struct<key: long, digest: binary>>")
-    recipes = checkpointed(made.withColumn("row", F.monotonically_increasing_id()))
-    parts = recipes.select("row", "doc_id", "text_sha256", F.posexplode("chunks").alias("at", "chunk")).select("row", "doc_id", "text_sha256", "at", "chunk.key", "chunk.digest")
+        columns = [batch.column(0), pa.array(hashes, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), chunks), *batch.columns[2:]]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_sha256", "chunks", *batch.schema.names[2:]])
+
+
+def _grouped(docs: DataFrame, text_col: str, *carried: str) -> DataFrame:
+    """One row a document: doc_id, keep_id, group_size, kept, text_sha256 and the carried ones of text_key."""
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[text_key(text_col).alias(c) for c in carried])
+    extra = "".join(f", {c} long" for c in carried)
+    made = thin.mapInArrow(_recipes, f"doc_id long, text_sha256 string, chunks array<struct<key: long, digest: binary>>{extra}")
+    recipes = written(made.withColumn("row", F.monotonically_increasing_id()))
+    own = ["row", "doc_id", "text_sha256", *carried]
+    parts = recipes.select(*own, F.posexplode("chunks").alias("at", "chunk")).select(*own, "at", "chunk.key", "chunk.digest")
     # known, lists and groups are written, so that Spark can split a join's hot keys: those of a shared passage or of a large group of copies
-    known = checkpointed(
+    known = written(
         parts.groupBy("key")
         .agg(F.sort_array(F.collect_set("digest")).alias("digests"))
         .select("key", F.posexplode("digests").alias("ordinal", "digest"))
     )
-    lists = checkpointed(
+    lists = written(
         parts.join(known, ["key", "digest"])
-        .groupBy("row", "doc_id", "text_sha256")
+        .groupBy(*own)
         .agg(F.sort_array(F.collect_list(F.struct("at", "key", "ordinal"))).alias("ids"))
         .withColumn("ids", F.transform("ids", lambda x: F.struct(x["key"].alias("key"), x["ordinal"].alias("ordinal"))))
     )
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
-    groups = checkpointed(lists.groupBy("ids").agg(first, F.count(F.lit(1)).alias("group_size")))
+    groups = written(lists.groupBy("ids").agg(first, F.count(F.lit(1)).alias("group_size")))
     return lists.join(groups, "ids").select(
-        "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256"
+        "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256", *carried
     )
 
 
+def exact_dedup(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row a document: doc_id, keep_id, group_size, kept, text_sha256."""
+    return _grouped(docs, text_col)
+
+
 def keep_first(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; of repeated rows one stays."""
-    kept = exact_dedup(docs, text_col).where("kept").select(row_key("doc_id").alias("_tw_id"), F.col("text_sha256").alias("_tw_sha256"))
-    clean = F.regexp_replace(empty_text(text_col), SPACE + "+", " ")
-    keyed = docs.withColumns({"_tw_id": row_key("doc_id"), "_tw_sha256": F.sha2(clean, 256)})
-    return keyed.join(kept, ["_tw_id", "_tw_sha256"], "left_semi").dropDuplicates(["_tw_id", "_tw_sha256"]).drop("_tw_id", "_tw_sha256")
+    return keep_marked(docs, written(_grouped(docs, text_col, "text_key")), text_col)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import written
 from .url_filters import url_host
 
 #: Hosts up to which the table of winning paths is broadcast; beyond, it is joined by a shuffle.
@@ -238,7 +238,7 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """pages with text and n_chars."""
-    won = checkpointed(host_paths(pages, url_col, html_col).select(F.col("host").alias("_tw_host"), F.col("path").alias("_tw_path")))
+    won = written(host_paths(pages, url_col, html_col).select(F.col("host").alias("_tw_host"), F.col("path").alias("_tw_path")))
     won = F.broadcast(won) if won.count() <= BROADCAST_HOSTS else won
 
     @F.arrow_udf("string")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, checkpointed, empty_text, row_key
+from .common import WORD, written, empty_text, row_key
 
 CAP = 2.0
 MOST_ROUNDS, CLOSE = 60, 1e-9
@@ -102,8 +102,8 @@ def mix(docs: DataFrame, weight_of: Callable[[int], float], budget_share: float
     what follows works on (doc_id, source, size).
     """
     spark = docs.sparkSession
-    thin = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(text_col).alias("size")))
-    bins = checkpointed(thin.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
+    thin = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(text_col).alias("size")))
+    bins = written(thin.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     found = bins.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum(F.col("n") * F.col("size") * F.col("size").cast("double")).alias("squares")).collect()  # a row a source
     found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     sizes = [r["source_size"] for r in found]
@@ -115,12 +115,12 @@ def mix(docs: DataFrame, weight_of: Callable[[int], float], budget_share: float
     numbered = bins.join(numbers, same_source(bins, numbers)).select("number", "size", "n")
     if not found:
         return thin.select("doc_id", "source", "size", F.col("size").alias("source_size"), F.lit(0.0).alias("target"), F.col("size").alias("copies"), F.col("size").alias("taken"))
-    solved = _tilts(checkpointed(numbered), sources)
+    solved = _tilts(written(numbered), sources)
     full = solved.target >= CAP * solved.source_size * (1 - CLOSE)
     duals = spark.createDataFrame(solved.assign(full=full & (solved.target > 0), none=solved.target <= 0)[["number", "t", "scale", "full", "none"]])
     tilt = F.exp(F.least(F.col("t") * F.col("size") / F.col("scale"), F.lit(math.log(CAP))))
     rated = numbered.join(duals, "number").select("number", "size", "n", F.when(F.col("full"), CAP).when(F.col("none"), 0.0).otherwise(tilt).alias("rate"))
-    dealt = checkpointed(rated.groupBy("number").applyInPandas(_copies, "number long, size long, n long, copies long"))
+    dealt = written(rated.groupBy("number").applyInPandas(_copies, "number long, size long, n long, copies long"))
     tagged = thin.join(numbers, same_source(thin, numbers)).select("doc_id", thin["source"], "size", "source_size", "target", "number")
     return _deal(tagged, dealt)
 

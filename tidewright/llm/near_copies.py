@@ -1,21 +1,27 @@
-"""Near-dedup by the exact Jaccard similarity of word-shingle sets.
+"""SimHash near-dedup up to a Jaccard similarity of word-shingle sets.
 
-A text's set holds the 64-bit hashes of its shingles. Two sets of similarity t or more share one of the first
-n - ceil(t * n) + 1 hashes of each, in any order that holds for all sets (prefix filter), so those alone are
-dealt out to find candidates, and no pair is missed. The order is that of the hashes, with hashes known to be
-frequent last. Candidates are confirmed on the whole sets. Sets that share a hash are first compared with one
-of them, a leader, in rounds; what is linked so becomes one component, and only pairs from different
-components are compared after that, so a large group of near copies is never compared pair by pair.
+Fingerprints within a few bits find the closest copies; sets of similarity 0.8 differ in about ten bits of 64,
+where no trie prunes. So the trie self-join comes first: its spanning forest, at most one link a text, is
+confirmed on the whole sets, and what is confirmed becomes one component, so that large groups of close copies
+are never compared pair by pair. The links beyond its budget are completed from shared shingles: two sets of
+similarity t or more share one of the first n - ceil(t * n) + 1 hashes of each, in any order that holds for all
+sets (prefix filter). The order is that of the hashes, with hashes known to be frequent last. Sets that share
+such a hash and whose fingerprints differ in no more bits than similar sets' do (reach()) are confirmed on the
+whole sets: first with one of them, a leader, in rounds, then those of different components with each other.
+
+Only hashes, fingerprints and counts are dealt out; texts are read where they stand, and sets are made again
+for the pairs to confirm. The one source of loss is reach(): five standard deviations, about one link in a
+million at a similarity of exactly t, far fewer above; sets of up to FEW hashes skip it.
 
 Defined results: A-Z are lower-cased and words are cut at ASCII white space, as for the fingerprints. A text of
 fewer words than a shingle is one shingle; null and empty texts have one empty shingle and are equal. Of the
-rows that links reach, the one with the smallest doc_id stays, nulls last, then the smallest SHA-256 of the
-text; of repeated rows one stays. An empty table gives no rows. Equal 64-bit hashes count as equal.
+rows that links reach, the one with the smallest doc_id stays, nulls last, then the smallest hash of the text;
+of repeated rows one stays. An empty table gives no rows. Other columns are kept, whatever their names. Equal
+64-bit hashes count as equal.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -25,19 +31,32 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import written, row_key, small, text_key
 from .components import connected_components
-from .simhash import keep_firsts
+from .simhash import BITS, fingerprint_links, keep_firsts
 
-#: Hashes that come last in the order: those in more prefixes than FREQUENT of the SAMPLED-th part of the sets, MOST_FREQUENT at most. They decide the work, never the result.
+#: Hashes that come last in the order: those in more prefixes than FREQUENT of the SAMPLED-th part of the texts, MOST_FREQUENT at most. They decide the work, never the result.
 SAMPLED, FREQUENT, MOST_FREQUENT = 4, 8, 50_000
-#: Rows of long numbers up to which a table is broadcast; beyond, it is joined by a shuffle.
-BROADCAST_ROWS = 500_000
 #: Leader rounds go on while they at least halve the pairs left and these are more than PAIRS_A_ROW times the rows.
 PAIRS_A_ROW = 4
+#: Sets up to this size are compared whatever their fingerprints.
+FEW = 16
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SMALL = 1e-9
+_BLOCK = 1 << 14
+
+
+def reach(similarity: float) -> int:
+    """Bits in which fingerprints of similar sets differ at most: each does with probability acos(cosine) / pi, and five standard deviations are added."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(BITS * p + 5 * math.sqrt(BITS * p * (1 - p)))
+
+
+def set_fingerprint(hashes: np.ndarray) -> np.uint64:
+    """Bit b is 1 if it is set in over half of the hashes."""
+    ones = sum(np.unpackbits(hashes[at : at + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for at in range(0, len(hashes), _BLOCK))
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0]
 
 
 def shingle_set(text: bytes | None, words_each: int = 5) -> np.ndarray:
@@ -70,99 +89,124 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - _SMALL
 
 
-def _sets(docs: DataFrame, text_col: str, words_each: int) -> DataFrame:
-    """One row a document: doc_id, sha256, node (of equal sets), n and hashes of the set."""
+def _texts(docs: DataFrame, text_col: str) -> DataFrame:
+    """Each row's key and text."""
+    return docs.select(row_key("doc_id").alias("id"), text_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in (whole.slice(at, 512) for at in range(0, whole.num_rows, 512)):
-                texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
-                sets = [shingle_set(t, words_each) for t in texts]
-                raw = [s.tobytes() for s in sets]
-                nodes = np.array([xxhash.xxh3_64_intdigest(r) for r in raw], dtype=np.uint64).view(np.int64)
-                columns = [batch.column(0), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), pa.array(raw, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sha256", "node", "n", "hashes"])
 
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return thin.mapInArrow(made, "doc_id long, sha256 string, node long, n long, hashes binary")
+def _of_texts(batches: Iterator[pa.RecordBatch], words_each: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """The batches in small slices, with the set of each text, the last column."""
+    for whole in batches:
+        for batch in (whole.slice(at, 512) for at in range(0, whole.num_rows, 512)):
+            yield batch, [shingle_set(t.as_py(), words_each) for t in batch.columns[-1].cast(pa.binary())]
 
 
-def _prefixes(sets: DataFrame, similarity: float, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """token, node, n of all hashes in prefixes."""
+def _node(hashes: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(hashes.tobytes())
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [prefix(np.frombuffer(h.as_py(), np.uint64), similarity, frequent, rank) for h in batch.column(2)]
-            if found:
-                sizes = [len(f) for f in found]
-                columns = [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(np.repeat(batch.column(1).to_numpy(), sizes))]
-                yield pa.RecordBatch.from_arrays(columns, ["token", "node", "n"])
 
-    return sets.select("node", "n", "hashes").mapInArrow(made, "token long, node long, n long")
+def _longs(values: list) -> pa.Array:
+    return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
+
 
+def frequent_hashes(texts: DataFrame, words_each: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that are frequent in the prefixes of a part of the texts, sorted, and how frequent each is."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _of_texts(batches, words_each):
+            found = [prefix(s, similarity, s[:0], s[:0]) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["token"])
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, written, with the hint to broadcast it if it is small."""
-    df = checkpointed(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    part = texts.where(F.pmod(F.xxhash64("text_key"), F.lit(SAMPLED)) == 0).select("text")
+    counts = part.mapInArrow(made, "token long").groupBy("token").count()
+    top = counts.where(F.col("count") > FREQUENT).orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).collect()
+    frequent = np.array([r["token"] for r in top], dtype=np.int64).view(np.uint64)
+    order = np.argsort(frequent)
+    return frequent[order], (len(order) - order).astype(np.int64)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """u, v of the pairs whose sets are similar."""
+def _thin(texts: DataFrame, words_each: int, similarity: float) -> DataFrame:
+    """One row a document: id, text_key, node (of equal sets), n, fp, and the hashes of the set's prefix."""
+    frequent, rank = frequent_hashes(texts, words_each, similarity)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _of_texts(batches, words_each):
+            tokens = [prefix(s, similarity, frequent, rank) for s in sets]
+            ends = pa.array(np.cumsum([0, *map(len, tokens)]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(tokens).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], _longs([_node(s) for s in sets]), pa.array([len(s) for s in sets], pa.int64()), _longs([set_fingerprint(s) for s in sets]), lists], ["id", "text_key", "node", "n", "fp", "tokens"])
+
+    return written(texts.mapInArrow(made, "id long, text_key long, node long, n long, fp long, tokens array<long>"))
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words_each: int, similarity: float) -> DataFrame:
+    """u, v of the pairs, as a table, whose sets are similar. The sets are made from the one text that stands for each node."""
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _of_texts(batches, words_each):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             links = [similar(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), similarity) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(links, pa.bool_()))
 
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes.select("node", "at.id", "at.text_key"), "node")
+    rows = texts.join(small(wanted), ["id", "text_key"]).select("node", "text").mapInArrow(sets_of, "node long, hashes binary")
+    sets = written(rows.groupBy("node").agg(F.min("hashes").alias("hashes")))  # repeated rows meet on the map side first
     of = lambda end, name: sets.select(F.col("node").alias(end), F.col("hashes").alias(name))
     both = pairs.join(of("u", "a"), "u").join(of("v", "b"), "v").select("u", "v", "a", "b")
-    return both.mapInArrow(made, "u long, v long")
-
-
-def set_components(sets: DataFrame, similarity: float) -> DataFrame:
-    """sets: node, n, hashes, as a checkpoint; rows of one node are equal -> node, component over similar sets."""
-    none, no_rank = np.empty(0, np.uint64), np.empty(0, np.int64)
-    sampled = _prefixes(sets.where(F.pmod("node", F.lit(SAMPLED)) == 0), similarity, none, no_rank)
-    top = sampled.groupBy("token").count().where(F.col("count") > FREQUENT).orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).collect()
-    frequent = np.array([r["token"] for r in top], dtype=np.int64).view(np.uint64)
-    order = np.argsort(frequent)
-    tokens = _prefixes(sets, similarity, frequent[order], (len(order) - order).astype(np.int64))
-    shared = _small(tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token"))
-    live = checkpointed(checkpointed(tokens.join(shared, "token")).distinct().withColumn("component", F.col("node")))
-    needed = checkpointed(checkpointed(sets.join(_small(live.select("node").distinct()), "node", "left_semi").select("node", "hashes")).dropDuplicates(["node"]))
-    close = f"u_n >= {similarity} * v_n - {_SMALL} and v_n >= {similarity} * u_n - {_SMALL} and u_component <> v_component"
-    end = lambda e: live.select("token", *(F.col(c).alias(f"{e}_{c}") for c in ("node", "n", "component")))
-    links = connected_components(sets.sparkSession.createDataFrame([], "u long, v long"))
-    edges, rounds, before = None, 0, math.inf
+    return written(both.mapInArrow(compared, "u long, v long"))
+
+
+def _fingerprint_pairs(nodes: DataFrame, budget: int) -> DataFrame:
+    """u, v: the trie join's spanning forest between nodes, and nodes of one fingerprint with the first of them."""
+    firsts = written(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    links = written(fingerprint_links(firsts.select("fp"), budget))
+    of = lambda end, name: firsts.select(F.col("fp").alias(end), F.col("first").alias(name))
+    across = links.join(of("u", "a"), "u").join(of("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    within = nodes.join(firsts, "fp").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    return written(across.union(within).distinct())
+
+
+def similar_components(docs: DataFrame, text_col: str = "text", words_each: int = 5, similarity: float = 0.8, budget: int = 3) -> DataFrame:
+    """One row a document: id (row_key of doc_id), text_key, component over sets of that similarity."""
+    texts = _texts(docs, text_col)
+    thin = _thin(texts, words_each, similarity)
+    nodes = written(thin.groupBy("node").agg(F.min(F.struct("id", "text_key")).alias("at"), F.min("n").alias("n"), F.min("fp").alias("fp")))
+    confirm = lambda pairs: _confirmed(pairs, nodes, texts, words_each, similarity)
+    edges = confirm(_fingerprint_pairs(nodes, budget))
+    links = small(connected_components(edges))
+
+    tokens = thin.select("node", "n", "fp", F.explode("tokens").alias("token")).join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = lambda rows: small(rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token"))
+    live = written(tokens.join(mixed(tokens), "token").distinct())
+    close = f"u_n >= {similarity} * v_n - {_SMALL} and v_n >= {similarity} * u_n - {_SMALL} and u_component <> v_component and (least(u_n, v_n) <= {FEW} or bit_count(u_fp ^ v_fp) <= {reach(similarity)})"
+    end = lambda e: live.select("token", *(F.col(c).alias(f"{e}_{c}") for c in ("node", "n", "fp", "component")))
+    rounds, before = 0, math.inf
     while True:
         counted = live.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own"))
         state = counted.agg(F.sum("all").alias("rows"), F.sum((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs")).first()
         left = state["pairs"] or 0
         if not left:
-            return links
+            break
         last = left <= PAIRS_A_ROW * state["rows"] or left > before / 2
         if last:
             pairs = end("u").join(end("v"), "token").where(f"u_node < v_node and {close}")
         else:
-            leader = end("u").groupBy("token").agg(F.min(F.struct(F.xxhash64("u_node", F.lit(rounds)).alias("by"), "u_node", "u_n", "u_component")).alias("l")).select("token", "l.u_node", "l.u_n", "l.u_component")
-            pairs = end("v").join(checkpointed(leader), "token").where(close)
-        found = _confirmed(checkpointed(pairs.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).distinct()), needed, similarity)
-        edges = checkpointed(found if edges is None else edges.union(found))
-        links = connected_components(edges)
+            of_node = F.min(F.struct(F.xxhash64("u_node", F.lit(rounds)).alias("by"), "u_node", "u_n", "u_fp", "u_component")).alias("l")
+            leader = end("u").groupBy("token").agg(of_node).select("token", "l.u_node", "l.u_n", "l.u_fp", "l.u_component")
+            pairs = end("v").join(written(leader), "token").where(close)
+        edges = written(edges.union(confirm(written(pairs.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).distinct()))))
+        links = small(connected_components(edges))
         if last:
-            return links
-        links = checkpointed(links)
-        moved = live.drop("component").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        moved = checkpointed(moved)
-        mixed = checkpointed(moved.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token"))
-        live = checkpointed(moved.join(mixed, "token", "left_semi"))
+            break
+        moved = written(live.drop("component").join(links, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        live = written(moved.join(mixed(moved), "token", "left_semi"))
         rounds, before = rounds + 1, left
+    return thin.select("id", "text_key", "node").join(links, "node", "left").select("id", "text_key", F.coalesce("component", "node").alias("component"))
 
 
-def near_dedup(docs: DataFrame, text_col: str = "text", words_each: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Of the rows of docs that links of similarity or more reach, the one with the smallest doc_id."""
-    sets = checkpointed(_sets(docs, text_col, words_each))
-    linked = checkpointed(set_components(sets, similarity))
-    rows = sets.select("doc_id", "sha256", "node").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return keep_firsts(docs, rows, text_col)
+def near_dedup(docs: DataFrame, text_col: str = "text", words_each: int = 5, similarity: float = 0.8, budget: int = 3) -> DataFrame:
+    """Of the rows of docs that links of that similarity reach, the one with the smallest doc_id."""
+    return keep_firsts(docs, written(similar_components(docs, text_col, words_each, similarity, budget)), text_col)

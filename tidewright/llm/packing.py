@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, row_key
+from .common import written, row_key
 
 #: Pieces packed together, about; each group leaves about one sequence part-filled.
 GROUP_PIECES = 4096
@@ -181,7 +181,7 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: Capacity = Capacity(), group_pieces: int = GROUP_PIECES, text_col: str = "text") -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = checkpointed(cut(docs, tokenizer_path, capacity.tokens, text_col))
+    pieces = written(cut(docs, tokenizer_path, capacity.tokens, text_col))
     groups = max(1, -(-pieces.count() // group_pieces))
     same = [row_key("doc_id"), F.col("piece"), F.col("ids_crc32")]
     ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy(*same).orderBy("length")))  # rows without or of one doc_id go to different groups

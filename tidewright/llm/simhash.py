@@ -2,11 +2,14 @@
 
 The trie of all distinct fingerprints is walked over pairs of nodes: a pair starts at (root, root), its
 children are the pairs of its nodes' children, the bits in which the two prefixes differ add up, and a pair
-whose sum exceeds the error budget is dropped with all that lies below it. The upper part of the walk, down
-to nodes of bounded counts, runs on node counts only (at most 2 ** TOP_BITS of them); each pair of such nodes
-that survives becomes one task's work, which walks on below with numpy and compares small leaves directly.
-Equal fingerprints are one leaf entry, so copies cost nothing, and a task returns a spanning forest of the
-links that it found, never all pairs.
+whose sum exceeds the error budget is dropped with all that lies below it. Small leaves are compared directly.
+
+The walk is divided among tasks by reading the bits in budget + 1 orders, each with another part of them
+first: a pair within the budget has a part without difference, so in one of the orders it comes down that part
+on the diagonal, both in one node. So a task is a node with itself, each fingerprint goes to budget + 1 tasks
+whatever their number, and crowded nodes are divided in the same way by the bits left. Equal fingerprints are
+one entry, so copies cost nothing, and a task returns a spanning forest of the links that it found, never all
+pairs.
 
 Defined results: a null or empty text, or one of white space only, has the fingerprint zero, which is linked
 like any other. A text of fewer words than a shingle is one shingle. component_id is the smallest doc_id of
@@ -17,22 +20,23 @@ simhash_components.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import islice, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, empty_text, row_key
+from .common import written, keep_marked, row_key, text_key
 from .components import connected_components, spanning_forest
 
 BITS, SEED = 64, 42
-TOP_BITS = 16
-MOST_NODES, NODE_ROWS = 4096, 65536
+#: Fingerprints a task, as wished for, and so many that a node is dealt on, as often as MOST_LEVELS. They divide the work; the result does not depend on them.
+NODE_ROWS, CROWDED, MOST_LEVELS = 4096, 16384, 3
 LEAF_PAIRS = 4096
 _BLOCK = 1 << 14
 
@@ -67,42 +71,50 @@ def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def top_nodes(counts: dict[int, int], most_rows: int) -> list[tuple[int, int, int]]:
-    """(depth, prefix, count) of the trie's uppermost nodes of at most most_rows entries, or at TOP_BITS. counts: by the first TOP_BITS bits."""
-    by_depth = [counts]
-    for _ in range(TOP_BITS):
-        up: dict[int, int] = {}
-        for prefix, n in by_depth[-1].items():
-            up[prefix >> 1] = up.get(prefix >> 1, 0) + n
-        by_depth.append(up)
-    by_depth.reverse()
-    found, todo = [], [(0, 0)]
-    while todo:
-        depth, prefix = todo.pop()
-        if (n := by_depth[depth].get(prefix, 0)) and (n <= most_rows or depth == TOP_BITS):
-            found.append((depth, prefix, n))
-        elif n:
-            todo += [(depth + 1, 2 * prefix), (depth + 1, 2 * prefix + 1)]
-    return sorted(found, key=lambda x: x[1] << (TOP_BITS - x[0]))
-
-
-def node_pairs(nodes: list[tuple[int, int, int]], budget: int) -> list[tuple[int, int]]:
-    """Index pairs i <= j of the nodes whose common prefix bits differ in at most budget places, by a walk over pairs."""
-    index = {(d, p): i for i, (d, p, _) in enumerate(nodes)}
-    inner = {(d, p >> (depth - d)) for depth, p, _ in nodes for d in range(depth)}
-    below = lambda x: [x] if x in index else [y for y in ((x[0] + 1, 2 * x[1]), (x[0] + 1, 2 * x[1] + 1)) if y in index or y in inner]
-    found, todo = [], [((0, 0), (0, 0))]
-    while todo:
-        a, b = todo.pop()
-        if a in index and b in index:
-            found.append((index[a], index[b]))
-            continue
-        for x in below(a):
-            for y in below(b):
-                d = min(x[0], y[0])
-                if (a != b or x <= y) and ((x[1] >> (x[0] - d)) ^ (y[1] >> (y[0] - d))).bit_count() <= budget:
-                    todo.append((x, y))
-    return sorted((min(p), max(p)) for p in found)
+def _signed(x: int) -> int:
+    return x - (1 << BITS) if x >> (BITS - 1) else x
+
+
+def parts_of(mask: int, parts: int, most_bits: int) -> list[int]:
+    """The bits that a mask leaves free, from the first on, in so many even parts; of each part at most most_bits of the first."""
+    free = [b for b in reversed(range(BITS)) if not mask >> b & 1]
+    return [sum(1 << b for b in free[k * len(free) // parts : (k + 1) * len(free) // parts][:most_bits]) for k in range(parts)]
+
+
+def deal(fps: DataFrame, budget: int) -> DataFrame:
+    """fps: distinct fp (long), as a table -> mask, value, block, i, j, fp: the tasks' rows.
+
+    A task (mask, value, i, j) compares block i with block j of the fingerprints that have that value under the
+    mask. Each pair within the budget meets in one task at least: of budget + 1 parts of the bits that are not
+    under the mask one has no difference, so in the trie that reads this part first the pair stays on the
+    diagonal, a node with itself, as far as the part goes. A crowded node is dealt on in the same way by the
+    bits left, and after MOST_LEVELS cut into blocks, of which each meets each.
+    """
+    parts, tasks, level = budget + 1, [], 0
+    rows, largest = fps.select(F.lit(0).cast("long").alias("mask"), F.lit(0).cast("long").alias("value"), "fp"), {0: fps.count()}
+    crowded = None  # the nodes to deal on; None: all rows
+    while level < MOST_LEVELS and max(largest.values(), default=0) > CROWDED:
+        here = rows if crowded is None else rows.join(crowded.select("mask", "value"), ["mask", "value"], "left_semi")
+        finer = F.lit(None).cast("array<bigint>")
+        for mask, n in largest.items():  # parts ** level masks at most
+            bits = max(1, math.ceil(math.log2(n / NODE_ROWS)))
+            finer = F.when(F.col("mask") == mask, F.array(*[F.lit(_signed(mask % (1 << BITS) | part)).cast("long") for part in parts_of(mask % (1 << BITS), parts, bits)])).otherwise(finer)
+        below = here.select(F.explode(finer).alias("mask"), "fp").select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp")
+        counts = below.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n"))
+        crowded = written(counts.where(F.col("n") > CROWDED))
+        largest = {r["mask"]: r["n"] for r in crowded.groupBy("mask").agg(F.max("n").alias("n")).collect()}
+        tasks.append(below.join(crowded.select("mask", "value"), ["mask", "value"], "left_anti") if largest else below)
+        rows, level = below, level + 1
+    single = [F.lit(0).alias(c) for c in ("block", "i", "j")]
+    if crowded is None:
+        return rows.select("mask", "value", *single, "fp")
+    dealt = reduce(DataFrame.union, tasks).select("mask", "value", *single, "fp")
+    if largest:
+        cut = rows.join(crowded, ["mask", "value"]).withColumn("blocks", F.ceil(F.col("n") / CROWDED).cast("int"))
+        cut = cut.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        others = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.union(others.select("mask", "value", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp"))
+    return dealt
 
 
 def trie_links(a: np.ndarray, b: np.ndarray, budget: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -146,65 +158,54 @@ def trie_links(a: np.ndarray, b: np.ndarray, budget: int, same: bool) -> tuple[n
     return spanning_forest(np.concatenate(us), np.concatenate(vs))
 
 
-def fingerprint_components(fps: DataFrame, budget: int = 3) -> DataFrame:
-    """fps: distinct fp (long), as a checkpoint or table -> node, component over the linked ones."""
-    spark = fps.sparkSession
-    top = F.shiftrightunsigned("fp", BITS - TOP_BITS).cast("int")
-    counts = {r["top"]: r["n"] for r in fps.groupBy(top.alias("top")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 2 ** TOP_BITS rows
-    total = sum(counts.values())
-    wanted = min(MOST_NODES, max(64, total // NODE_ROWS))
-    nodes = top_nodes(counts, max(1, -(-total // wanted)))
-    none = spark.createDataFrame([], "u long, v long")
-    if not nodes:
-        return connected_components(none)
-    of_top = [(t, i) for i, (d, p, _) in enumerate(nodes) for t in range(p << (TOP_BITS - d), (p + 1) << (TOP_BITS - d)) if t in counts]
-    pairs = [(k, i, j) for k, (i, j) in enumerate(node_pairs(nodes, budget))]
-    node_of = spark.createDataFrame(pd.DataFrame(of_top, columns=["top", "trie_node"]).astype("int32"))
-    sides = spark.createDataFrame(pd.DataFrame([(i, k, 0, i == j) for k, i, j in pairs] + [(j, k, 1, False) for k, i, j in pairs if i != j], columns=["trie_node", "pair", "side", "same"]))
-    grouped = (
-        fps.select("fp", top.alias("top"))
-        .join(F.broadcast(node_of), "top")  # at most 2 ** TOP_BITS rows of two ints
-        .groupBy(F.col("trie_node").cast("long").alias("trie_node"))
-        .agg(F.collect_list("fp").alias("fps"))
-    )
+def fingerprint_links(fps: DataFrame, budget: int = 3) -> DataFrame:
+    """fps: distinct fp (long), as a table -> u, v: spanning forests, one a task, of the links within the budget."""
 
     def walk(key: tuple, rows: pa.Table) -> pa.Table:
-        side = {s: np.sort(np.asarray(f.values).view(np.uint64)) for s, f in zip(rows["side"].to_pylist(), rows["fps"].combine_chunks(), strict=True)}
-        u, v = trie_links(side[0], side.get(1, side[0]), budget, 1 not in side)
+        block, found = rows["block"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
+        i, j = key[2].as_py(), key[3].as_py()
+        u, v = trie_links(np.sort(found[block == i]), np.sort(found[block == j]), budget, i == j)
         return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    links = grouped.join(sides, "trie_node").select("pair", "side", "fps").groupBy("pair").applyInArrow(walk, "u long, v long")
-    return connected_components(links)
+    return deal(fps, budget).groupBy("mask", "value", "i", "j").applyInArrow(walk, "u long, v long")
+
+
+def fingerprint_components(fps: DataFrame, budget: int = 3) -> DataFrame:
+    """fps: distinct fp (long), as a table -> node, component over the linked ones."""
+    return connected_components(fingerprint_links(fps, budget))
 
 
 def _known(thin: DataFrame, budget: int) -> DataFrame:
-    """thin: doc_id, fp, as a checkpoint -> fp, component, component_id."""
-    firsts = checkpointed(thin.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    """thin: doc_id, fp, as a table -> fp, component, component_id."""
+    firsts = written(thin.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     linked = fingerprint_components(firsts.select("fp"), budget).withColumnRenamed("node", "fp")
     of_fp = firsts.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    smallest = checkpointed(of_fp.groupBy("component").agg(F.min("first_id").alias("component_id")))  # written, so that Spark can split a large component's join
+    smallest = written(of_fp.groupBy("component").agg(F.min("first_id").alias("component_id")))  # written, so that Spark can split a large component's join
     return of_fp.join(smallest, "component").select("fp", "component", "component_id")
 
 
 def simhash_components(docs: DataFrame, text_col: str = "text", words_each: int = 3, budget: int = 3) -> DataFrame:
     """One row a document: doc_id, fp, component_id."""
-    thin = checkpointed(with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col), text_col, words_each).select("doc_id", "fp"))
+    thin = written(with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col), text_col, words_each).select("doc_id", "fp"))
     return thin.join(_known(thin, budget), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_firsts(docs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
-    """The row of docs with the smallest doc_id of each component, nulls last, then the smallest digest; of repeated rows one stays. rows: doc_id, sha256 of the text, component."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "sha256")).alias("first")
-    kept = rows.groupBy("component").agg(first).select(row_key("first.doc_id").alias("_tw_id"), F.col("first.sha256").alias("_tw_sha256"))
-    keyed = docs.withColumns({"_tw_id": row_key("doc_id"), "_tw_sha256": F.sha2(empty_text(text_col), 256)})
-    return keyed.join(kept, ["_tw_id", "_tw_sha256"], "left_semi").dropDuplicates(["_tw_id", "_tw_sha256"]).drop("_tw_id", "_tw_sha256")
+    """The row of docs with the smallest doc_id of each component, nulls last, then the smallest hash of the text; of repeated rows one stays.
+
+    rows: id (row_key of doc_id), text_key and component of every row of docs, as a table.
+    """
+    order = F.struct((F.col("id") == row_key(F.lit(None))).alias("last"), "id", "text_key")
+    first = written(rows.groupBy("component").agg(F.min(order).alias("first")))  # written, so that Spark can split a large component's join
+    marks = rows.join(first, "component").select(F.col("id").alias("doc_id"), "text_key", ((F.col("id") == F.col("first.id")) & (F.col("text_key") == F.col("first.text_key"))).alias("kept"))
+    return keep_marked(docs, marks, text_col)
 
 
 def near_dedup(docs: DataFrame, text_col: str = "text", words_each: int = 3, budget: int = 3) -> DataFrame:
-    """The rows of docs with the smallest doc_id of their component, and of those the smallest SHA-256 of the text; of repeated rows one stays.
+    """The rows of docs with the smallest doc_id of their component, and of those the smallest hash of the text; of repeated rows one stays.
 
     Rows without a doc_id stay only where their component has no doc_id at all: one for each such component.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(empty_text(text_col), 256).alias("sha256"), text_col)
-    thin = checkpointed(with_fingerprint(keyed, text_col, words_each).select("doc_id", "sha256", "fp"))
-    return keep_firsts(docs, thin.join(_known(thin, budget), "fp"), text_col)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id").alias("id"), text_key(text_col).alias("text_key"), text_col)
+    thin = written(with_fingerprint(keyed, text_col, words_each).select("doc_id", "id", "text_key", "fp"))
+    return keep_firsts(docs, written(thin.join(_known(thin, budget), "fp").select("id", "text_key", "component")), text_col)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, with_outputs
+from .common import written, with_outputs
 
 PREFIX_HEX = 8
 
@@ -72,7 +72,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
         .select("host", "path", _digest(F.col("suffix"), F.col("start")).alias("digest"))
         .withColumn("prefix", F.substring("digest", 1, PREFIX_HEX))
     )
-    best = checkpointed(  # written, so that Spark can split the join of a URL that many rows have
+    best = written(  # written, so that Spark can split the join of a URL that many rows have
         expanded.join(_hashed_rules(rules).withColumnRenamed("digest", "rule_digest"), "prefix")
         .where(F.col("digest") == F.col("rule_digest"))
         .groupBy("host", "path")
