@@ -6,12 +6,12 @@ next one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import exact_dedup, jaccard, language_id, mixing, packing
+from tidewright.llm import exact_dedup, language_id, mixing, near_copies, packing
+from tidewright.llm.common import shared_folder
 from tidewright.llm.queries import SEQUENCE_TOKENS, source_weight, tokenizer_file
 
 #: No stage but exact dedup can be said in SQL; the stages are tested against brute force.
@@ -29,8 +29,8 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by five-word shingle sets of Jaccard similarity 0.8 or more, the one with the smallest doc_id."""
-    return jaccard.near_dedup(docs)
+    """Of texts linked by five-word shingle sets of Jaccard similarity 0.8 or more, the one with the smallest doc_id: SimHash links on the trie, completed beyond its budget."""
+    return near_copies.near_dedup(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +54,8 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. What goes between stages is written under spark.checkpoint.dir, which all executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
