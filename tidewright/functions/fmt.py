@@ -8,13 +8,27 @@ from pyspark.sql import functions as F
 RUPEE, DASH = "₹", "—"
 
 
-def fixed(x: Column, digits: int) -> Column:
+def decimal_fixed(x: Column, digits: int) -> Column:
+    """Rounded half up from the shortest decimal that stands for the number: 1.005 is 1.01."""
     return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", x))
 
 
-def indian_grouping(x: Column, digits: int) -> Column:
+def fixed(x: Column, digits: int) -> Column:
+    """Rounded from the number's exact binary value, a tie away from zero: 1.005 is 1.00, 0.125 is 0.13.
+
+    format_number rounds exact values but ties to even; a tie has an odd multiple of a power of two below the
+    last place, and is moved off by a fraction of it.
+    """
+    size = F.abs(x)
+    doubled = size * float(2 ** (digits + 1))
+    tie = (doubled == F.floor(doubled)) & (F.pmod(doubled, F.lit(2.0)) == 1)
+    shown = F.replace(F.format_number(F.when(tie, size + 10.0 ** -(digits + 2)).otherwise(size), digits), F.lit(","), F.lit(""))
+    return F.concat(_sign(x), shown)
+
+
+def indian_grouping(x: Column, digits: int, rounded=fixed) -> Column:
     """Of a number that is not negative: the last three digits, then pairs."""
-    text = fixed(x, digits)
+    text = rounded(x, digits)
     whole = F.regexp_replace(F.substring_index(text, ".", 1), r"(?<=\d)(?=(\d\d)*\d{3}$)", ",")
     return F.concat(whole, F.regexp_extract(text, r"\..*$", 0))
 
@@ -41,7 +55,7 @@ def format_inr_full(x: Column) -> Column:
 
 
 def format_price(x: Column) -> Column:
-    return F.coalesce(F.concat(F.lit(RUPEE), _sign(x), indian_grouping(F.abs(x), 2)), F.lit(DASH))
+    return F.coalesce(F.concat(F.lit(RUPEE), _sign(x), indian_grouping(F.abs(x), 2, decimal_fixed)), F.lit(DASH))
 
 
 def format_pct(x: Column, digits: int = 1) -> Column:
@@ -82,3 +96,8 @@ def relative_time(then: Column, now: Column) -> Column:
     said = lambda n, unit: F.concat(n.cast("string"), F.lit(f"{unit} ago"))
     label = F.when(seconds < 60, "just now").when(minutes < 60, said(minutes, "m")).when(hours < 24, said(hours, "h")).when(days < 7, said(days, "d")).when(weeks < 5, said(weeks, "w")).otherwise(said(near(days / 30), "mo"))
     return F.when(then.isNull(), "").otherwise(label)
+
+
+def days_between(start: Column, end: Column) -> Column:
+    """Whole days from one date to another; 0 where either is missing."""
+    return F.coalesce(F.datediff(end, start), F.lit(0))

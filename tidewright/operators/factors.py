@@ -29,8 +29,10 @@ PRESETS = {
 }
 
 
-def market_proxy(bars: DataFrame) -> DataFrame:
-    """date, level: equal-weight mean return of all tickers each date, cumulated from 100; the window is over dates, few at any scale."""
+def market_proxy(bars: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """date, level: the closes of an index's bars if there is one, else the equal-weight mean return of all tickers each date, cumulated from 100; the window is over dates, few at any scale."""
+    if index is not None:
+        return index.select("date", c("close").alias("level"))
     returns = bars.select("date", F.when(prev("close") > 0, c("close") / F.when(prev("close") > 0, prev("close")) - 1).alias("r"))
     daily = returns.groupBy("date").agg(F.avg("r").alias("r"))
     by_date = Window.orderBy("date")
@@ -81,15 +83,16 @@ def long_form(factors: DataFrame) -> DataFrame:
 def xs_zscore(values: DataFrame) -> DataFrame:
     """values (ticker, factor, value) with z: clipped at 3 population deviations and standardised again; what is missing or not finite is 0.
 
-    Moments are aggregated by factor and joined back, so no task holds a whole cross-section.
+    Both passes are windows over one partitioning by factor, so the factors are computed once. A factor's
+    cross-section has a row a ticker.
     """
-    known = values.withColumn("_v", F.when(F.abs("value") < float("inf"), c("value")))
-    raw = known.groupBy("factor").agg(F.avg("_v").alias("_mu"), F.stddev_pop("_v").alias("_sd"))
-    clipped = known.join(raw, "factor").withColumn("_c", F.greatest(F.least(c("_v"), c("_mu") + WINSOR * c("_sd")), c("_mu") - WINSOR * c("_sd")))
-    clipped = clipped.withColumn("_c", F.when(c("_v").isNotNull(), c("_c")))
-    again = clipped.groupBy("factor").agg(F.avg("_c").alias("_mu2"), F.stddev_pop("_c").alias("_sd2"))
+    own = Window.partitionBy("factor")
+    raw = values.withColumn("_v", F.when(F.abs("value") < float("inf"), c("value")))
+    raw = raw.withColumns({"_mu": F.avg("_v").over(own), "_sd": F.stddev_pop("_v").over(own)})
+    clipped = F.greatest(F.least(c("_v"), c("_mu") + WINSOR * c("_sd")), c("_mu") - WINSOR * c("_sd"))
+    again = raw.withColumn("_c", F.when(c("_v").isNotNull(), clipped)).withColumns({"_mu2": F.avg("_c").over(own), "_sd2": F.stddev_pop("_c").over(own)})
     z = F.when((c("_sd") > 0) & (c("_sd2") > 0), (c("_c") - c("_mu2")) / F.when(c("_sd2") > 0, c("_sd2")))
-    return clipped.join(again, "factor").select("ticker", "factor", "value", F.coalesce(z, F.lit(0.0)).alias("z"))
+    return again.select("ticker", "factor", "value", F.coalesce(z, F.lit(0.0)).alias("z"))
 
 
 def preset_weights(spark, preset: str) -> DataFrame:
@@ -117,8 +120,7 @@ def select_top_n(scores: DataFrame, sectors: DataFrame, n: int, per_sector: int
     good = scores.where(F.abs("score") < float("inf")).join(sectors.select("ticker", "sector"), "ticker", "left")
     if per_sector is not None:
         place = F.row_number().over(Window.partitionBy("sector").orderBy(F.desc("score"), "ticker"))
-        capped = good.where("sector is not null").withColumn("_place", place).where(c("_place") <= per_sector).drop("_place")
-        good = capped.unionByName(good.where("sector is null"))
+        good = good.withColumn("_place", place).where(c("sector").isNull() | (c("_place") <= per_sector)).drop("_place")
     return good.orderBy(F.desc("score"), "ticker").limit(n)
 
 

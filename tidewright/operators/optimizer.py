@@ -1,4 +1,4 @@
-"""Iterative allocation of K members: numpy on K x K statistics, one grouped task a portfolio."""
+"""Iterative allocation of K members: K x K statistics are aggregated in Spark, and each portfolio's matrix is solved in numpy by one grouped task."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .portfolio import align_returns, pair_table, shrink
+
 YEAR, RF, ROUNDS, CLOSE, TINY = 252, 0.06, 1000, 1e-8, 1e-15
 METHODS = ("equal", "inverse_vol", "risk_parity", "min_variance", "max_sharpe", "max_diversification", "target_vol")
 
@@ -119,27 +121,34 @@ def at_return(cov: np.ndarray, mu: np.ndarray, target: float, sectors: np.ndarra
     return project(w, sectors, k)
 
 
-def statistics(returns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shrunk annual covariances, annual returns and deviations of returns[member, day]."""
-    n, t = returns.shape
-    cov = np.cov(returns, ddof=1).reshape(n, n)
-    a = min(max(n / (n + t), 0.01), 0.5)
-    cov = ((1 - a) * cov + a * np.trace(cov) / n * np.eye(n)) * YEAR
-    return cov, returns.mean(axis=1) * YEAR, returns.std(axis=1, ddof=1) * np.sqrt(YEAR)
-
-
 def _described(w: np.ndarray, cov: np.ndarray, mu: np.ndarray, sigma: np.ndarray) -> dict[str, float]:
     variance, reward = max(w @ cov @ w, 0.0), float(w @ mu)
     vol = float(np.sqrt(variance))
     return {"expected_return": reward, "volatility": vol, "sharpe": (reward - RF) / vol if vol > 1e-10 else 0.0, "diversification_ratio": float(w @ sigma) / vol if vol > TINY else 1.0}
 
 
-def _matrix(own: pd.DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Members in name order, their last common count of returns by position, and their sectors."""
-    own = own.sort_values(["ticker", "date"], kind="stable")
-    series = {t: g["ret"].fillna(0.0).to_numpy() for t, g in own.groupby("ticker", sort=True)}
-    shortest = min(map(len, series.values()))
-    return list(series), np.stack([x[len(x) - shortest :] for x in series.values()]), own.groupby("ticker", sort=True)["sector"].first().fillna("").to_numpy()
+def statistics(returns: DataFrame) -> DataFrame:
+    """portfolio_id, i, j, cov, periods, mu, sigma, sector: shrunk annual covariances of each two members, and on the diagonal annual return, deviation and sector.
+
+    K x K rows a portfolio, aggregated in Spark from portfolio_id, ticker, date, ret, sector.
+    """
+    by = ["portfolio_id"]
+    own = F.col("i") == F.col("j")
+    found = pair_table(
+        align_returns(returns, by),
+        F.coalesce(F.covar_samp("x", "y"), F.lit(0.0)).alias("cov"), F.count(F.lit(1)).alias("periods"), (F.avg("x") * YEAR).alias("mu"), (F.coalesce(F.stddev_samp("x"), F.lit(0.0)) * np.sqrt(YEAR)).alias("sigma"),
+        by=by,
+    )
+    sectors = returns.groupBy(*by, F.col("ticker").alias("i")).agg(F.coalesce(F.min("sector"), F.lit("")).alias("sector"))
+    only = {x: F.when(own, F.col(x)) for x in ("mu", "sigma")}
+    return shrink(found, by).withColumns({"cov": F.col("cov") * YEAR, **only}).join(sectors, [*by, "i"])
+
+
+def _matrices(own: pd.DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Members in name order, covariances, returns, deviations, sectors and periods of one portfolio's statistics."""
+    cov = own.pivot(index="i", columns="j", values="cov").sort_index(axis=0).sort_index(axis=1)
+    diagonal = own[own["i"] == own["j"]].sort_values("i")
+    return list(cov.index), cov.to_numpy(), diagonal["mu"].to_numpy(), diagonal["sigma"].to_numpy(), diagonal["sector"].to_numpy(), int(own["periods"].iloc[0])
 
 
 def optimise(returns: DataFrame, method: str, constraints: Constraints = Constraints()) -> DataFrame:
@@ -149,26 +158,24 @@ def optimise(returns: DataFrame, method: str, constraints: Constraints = Constra
     """
 
     def solve(own: pd.DataFrame) -> pd.DataFrame:
-        names, matrix, sectors = _matrix(own)
-        n, t = matrix.shape
-        cov, mu, sigma = statistics(matrix) if t > 1 else (np.zeros((n, n)), np.nan_to_num(matrix.mean(axis=1)) * YEAR if t else np.zeros(n), np.zeros(n))
-        w = np.ones(1) if n == 1 else np.full(n, 1 / n) if t < 20 else allocate(method, cov, mu, sigma, sectors, constraints)
+        names, cov, mu, sigma, sectors, periods = _matrices(own)
+        n = len(names)
+        w = np.ones(1) if n == 1 else np.full(n, 1 / n) if periods < 20 else allocate(method, cov, mu, sigma, sectors, constraints)
         total = w @ cov @ w
         shares = w * (cov @ w) / total if total > TINY else np.zeros(n)
         return pd.DataFrame({"portfolio_id": own["portfolio_id"].iloc[0], "ticker": names, "weight": w, "risk_contribution": shares, **_described(w, cov, mu, sigma)})
 
-    return returns.groupBy("portfolio_id").applyInPandas(solve, "portfolio_id string, ticker string, weight double, risk_contribution double, expected_return double, volatility double, sharpe double, diversification_ratio double")
+    return statistics(returns).groupBy("portfolio_id").applyInPandas(solve, "portfolio_id string, ticker string, weight double, risk_contribution double, expected_return double, volatility double, sharpe double, diversification_ratio double")
 
 
 def efficient_frontier(returns: DataFrame, constraints: Constraints = Constraints(), points: int = 25) -> DataFrame:
     """returns as for optimise -> a row a point: target returns from the least to the largest member's, by volatility, none within 0.001 of the last kept."""
 
     def solve(own: pd.DataFrame) -> pd.DataFrame:
-        names, matrix, sectors = _matrix(own)
+        names, cov, mu, sigma, sectors, periods = _matrices(own)
         columns = ["portfolio_id", "point", "return", "volatility", "sharpe", "weights"]
-        if len(names) < 2 or matrix.shape[1] < 20:
+        if len(names) < 2 or periods < 20:
             return pd.DataFrame(columns=columns)
-        cov, mu, sigma = statistics(matrix)
         flat = mu.max() - mu.min() < 1e-10
         found = [allocate("min_variance", cov, mu, sigma, sectors, constraints)] if flat else [at_return(cov, mu, t, sectors, constraints) for t in np.linspace(mu.min(), mu.max(), points)]
         rows, last = [], -np.inf
@@ -178,7 +185,7 @@ def efficient_frontier(returns: DataFrame, constraints: Constraints = Constraint
                 rows.append((own["portfolio_id"].iloc[0], len(rows), d["expected_return"], last, d["sharpe"], w.tolist()))
         return pd.DataFrame(rows, columns=columns)
 
-    return returns.groupBy("portfolio_id").applyInPandas(solve, "portfolio_id string, point int, `return` double, volatility double, sharpe double, weights array<double>")
+    return statistics(returns).groupBy("portfolio_id").applyInPandas(solve, "portfolio_id string, point int, `return` double, volatility double, sharpe double, weights array<double>")
 
 
 def members(returns: DataFrame, sectors: DataFrame, portfolio_id: str = "all") -> DataFrame:

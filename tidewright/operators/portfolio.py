@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,35 +33,54 @@ def last_dates(period: int):
 
 def align_tail(bars: DataFrame) -> DataFrame:
     """ticker, t, ret: the last min(length) returns of each ticker by position from the end (t = 1 newest), null as 0."""
-    rows = returns_by_date(bars).withColumn("t", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date"))))
-    shortest = rows.groupBy("ticker").agg(F.max("t").alias("n")).agg(F.min("n").alias("n"))
-    return rows.join(F.broadcast(shortest), c("t") <= c("n")).select("ticker", "t", F.coalesce("ret", F.lit(0.0)).alias("ret"))
+    return align_returns(returns_by_date(bars))
 
 
-def _pairs(aligned: DataFrame, *aggregates: Column) -> DataFrame:
-    left = aligned.select(c("ticker").alias("i"), "t", c("ret").alias("x"))
-    right = aligned.select(c("ticker").alias("j"), "t", c("ret").alias("y"))
-    half = left.join(right, "t").where("i <= j").groupBy("i", "j").agg(*aggregates)
-    rest = [x for x in half.columns if x not in ("i", "j")]
-    return half.unionByName(half.where("i < j").select(c("j").alias("i"), c("i").alias("j"), *rest))
+def align_returns(returns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, ticker, t, ret) of ticker, date, ret: the last min(length) returns of each ticker of a portfolio, null as 0."""
+    rows = returns.withColumn("t", F.row_number().over(Window.partitionBy(*by, "ticker").orderBy(F.desc("date"))))
+    lengths = rows.groupBy(*by, "ticker").agg(F.max("t").alias("_n"))
+    shortest = lengths.groupBy(*by).agg(F.min("_n").alias("_n"))
+    joined = rows.join(shortest, list(by)) if by else rows.join(F.broadcast(shortest))  # one row
+    return joined.where(c("t") <= c("_n")).select(*by, "ticker", "t", F.coalesce("ret", F.lit(0.0)).alias("ret"))
 
 
-def covariance(aligned: DataFrame) -> DataFrame:
-    """i, j, cov: sample covariances; the upper half is computed and mirrored."""
-    return _pairs(aligned, F.coalesce(F.covar_samp("x", "y"), F.lit(0.0)).alias("cov"))
+def pair_table(aligned: DataFrame, *aggregates: Column, by: Sequence[str] = ()) -> DataFrame:
+    """(by, i, j) with aggregates over x and y, the returns of i and j at one position t; the upper half is computed and mirrored.
 
+    The members at one position (K of them) meet in one row, and their pairs are made from it, so the returns are read once.
+    """
+    at_t = aligned.groupBy(*by, "t").agg(F.sort_array(F.collect_list(F.struct("ticker", "ret"))).alias("own"))
 
-def shrink(cov: DataFrame, periods: int) -> DataFrame:
-    """(1 - a) cov + a * mean variance on the diagonal, a = n / (n + periods) within 0.01 and 0.5."""
-    diagonal = cov.where("i = j").agg(F.avg("cov").alias("_avg"), F.count(F.lit(1)).alias("_n"))
-    a = F.greatest(F.least(c("_n") / (c("_n") + periods), F.lit(0.5)), F.lit(0.01))
-    return cov.join(F.broadcast(diagonal)).select("i", "j", ((1 - a) * c("cov") + F.when(c("i") == c("j"), a * c("_avg")).otherwise(0.0)).alias("cov"))
+    def with_later(a: Column, k: Column) -> Column:
+        return F.transform(F.slice("own", k + 1, F.size("own")), lambda b: F.struct(a["ticker"].alias("i"), b["ticker"].alias("j"), a["ret"].alias("x"), b["ret"].alias("y")))
+
+    pairs = at_t.select(*by, F.explode(F.flatten(F.transform("own", with_later))).alias("p")).select(*by, "p.*")
+    half = pairs.groupBy(*by, "i", "j").agg(*aggregates)
+    rest = [x for x in half.columns if x not in (*by, "i", "j")]
+    one = lambda i, j: F.struct(c(i).alias("i"), c(j).alias("j"))
+    sides = F.when(c("i") == c("j"), F.array(one("i", "j"))).otherwise(F.array(one("i", "j"), one("j", "i")))
+    return half.select(*by, F.explode(sides).alias("_side"), *rest).select(*by, "_side.i", "_side.j", *rest)
+
+
+def covariance(aligned: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, i, j), cov, periods: sample covariances and the returns that they are of."""
+    return pair_table(aligned, F.coalesce(F.covar_samp("x", "y"), F.lit(0.0)).alias("cov"), F.count(F.lit(1)).alias("periods"), by=by)
+
+
+def shrink(cov: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(1 - a) cov + a * mean variance on the diagonal, a = n / (n + periods) within 0.01 and 0.5. A portfolio's K x K rows are one window partition."""
+    whole = Window.partitionBy(*(by or [F.lit(0)]))
+    own = c("i") == c("j")
+    known = cov.withColumns({"_avg": F.avg(F.when(own, c("cov"))).over(whole), "_n": F.count_if(own).over(whole)})
+    a = F.greatest(F.least(c("_n") / (c("_n") + c("periods")), F.lit(0.5)), F.lit(0.01))
+    return known.withColumn("cov", (1 - a) * c("cov") + F.when(own, a * c("_avg")).otherwise(0.0)).drop("_avg", "_n")
 
 
 def correlation(cov: DataFrame) -> DataFrame:
     """i, j, corr from covariances, within -1 and 1; 1 on the diagonal, 0 where a deviation is tiny."""
-    own = cov.where("i = j").select(c("i").alias("k"), c("cov").alias("var"))
-    joined = cov.join(own.select(c("k").alias("i"), c("var").alias("vi")), "i").join(own.select(c("k").alias("j"), c("var").alias("vj")), "j")
+    own = F.max(F.when(c("i") == c("j"), c("cov")))
+    joined = cov.withColumns({"vi": own.over(Window.partitionBy("i")), "vj": own.over(Window.partitionBy("j"))})
     scale = F.sqrt(c("vi") * c("vj"))
     value = F.when(c("i") == c("j"), 1.0).when(scale > 1e-15, F.greatest(F.least(c("cov") / F.when(scale > 1e-15, scale), F.lit(1.0)), F.lit(-1.0))).otherwise(0.0)
     return joined.select("i", "j", value.alias("corr"))
@@ -69,7 +89,7 @@ def correlation(cov: DataFrame) -> DataFrame:
 def correlation_matrix(aligned: DataFrame) -> DataFrame:
     """i, j, corr from returns; a constant series has 0 throughout, its diagonal too."""
     value = ratio(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y"), 0.0)
-    return _pairs(aligned, F.greatest(F.least(F.coalesce(value, F.lit(0.0)), F.lit(1.0)), F.lit(-1.0)).alias("corr"))
+    return pair_table(aligned, F.greatest(F.least(F.coalesce(value, F.lit(0.0)), F.lit(1.0)), F.lit(-1.0)).alias("corr"))
 
 
 def mat_mul(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -110,15 +130,13 @@ def portfolio_risk(cov: DataFrame, stats: DataFrame, weights: DataFrame) -> Data
 
 
 def diversification_ratio(aligned: DataFrame, weights: DataFrame) -> DataFrame:
-    """One row: ratio of the weighted deviations to the portfolio's, 1 where that is 0. Weights must be of the same members and sum to 1."""
-    own, given = {r[0] for r in aligned.select("ticker").distinct().collect()}, {r[0]: r[1] for r in weights.select("ticker", "weight").collect()}  # a row a member
-    if not own or own != set(given):
-        raise ValueError(f"{len(given)} weights for {len(own)} members")
-    if abs(sum(given.values()) - 1) > 1e-6:
-        raise ValueError(f"the weights sum to {sum(given.values())}")
-    deviations = aligned.groupBy("ticker").agg(F.stddev_samp("ret").alias("s")).join(weights, "ticker").agg(F.sum(c("weight") * c("s")).alias("_parts"))
-    joint = aligned.join(weights, "ticker").groupBy("t").agg(F.sum(c("weight") * c("ret")).alias("r")).agg(F.stddev_samp("r").alias("_whole"))
-    return deviations.join(joint).select(ratio(c("_parts"), c("_whole"), 1.0).alias("ratio"))
+    """One row: ratio of the weighted deviations to the portfolio's, 1 where that is 0. Weights must be of the same members and sum to 1, or the query fails."""
+    given = weights.select("ticker", "weight")
+    members = aligned.groupBy("ticker").agg(F.stddev_samp("ret").alias("s"), F.lit(True).alias("_own")).join(given, "ticker", "full")
+    parts = members.agg(F.sum(c("weight") * c("s")).alias("_parts"), F.count_if(c("_own").isNull() | c("weight").isNull()).alias("_odd"), F.count(F.lit(1)).alias("_n"), F.sum("weight").alias("_sum"))
+    fits = F.when((c("_odd") > 0) | (c("_n") == 0), F.raise_error(F.lit("the weights are not of the members"))).when(F.abs(c("_sum") - 1) > 1e-6, F.raise_error(F.concat(F.lit("the weights sum to "), c("_sum").cast("string")))).otherwise(c("_parts"))
+    joint = aligned.join(given, "ticker").groupBy("t").agg(F.sum(c("weight") * c("ret")).alias("r")).agg(F.stddev_samp("r").alias("_whole"))
+    return parts.select(fits.cast("double").alias("_parts")).join(joint).select(ratio(c("_parts"), c("_whole"), 1.0).alias("ratio"))
 
 
 def risk_contribution(cov: DataFrame, weights: DataFrame) -> DataFrame:

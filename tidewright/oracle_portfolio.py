@@ -107,3 +107,27 @@ def dca(frequency: str) -> str:
 
 
 LUMP = select([_T], f"ticker, date, {grid(f'1000000e0 * close / first_value(close) {P}', 2)} AS value", "b")
+
+
+def annualized(frequency: str) -> str:
+    pays = f"coalesce(date_trunc('{frequency.removesuffix('ly')}', date) <> date_trunc('{frequency.removesuffix('ly')}', lag(date) {O}), true)"
+    parts = [_T, f"py AS (SELECT *, CASE WHEN {pays} THEN 1 ELSE 0 END AS pay FROM b)", "pp AS (SELECT *, 1000000e0 * pay / sum(pay) OVER (PARTITION BY ticker) AS part FROM py)"]
+    return select(parts, f"ticker, {grid('pow(sum(part / close) * arg_max(close, date) / sum(part), 252e0 / count(*)) - 1')} AS annualized", "pp GROUP BY ticker")
+
+
+def optimised(method: str) -> str | None:
+    """The methods that have a closed form: clipped at 0.25, sectors scaled down to 0.4, then summing to 1."""
+    start = {"equal": "SELECT ticker, 1e0 / count(*) OVER () AS w FROM st", "inverse_vol": "SELECT ticker, v / sum(v) OVER () AS w FROM iv"}.get(method)
+    if start is None:
+        return None
+    sectors = "se AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{s}')" for t, s in zip(MEMBERS, SECTORS, strict=True)) + ") t(ticker, sector))"
+    parts = [
+        *ALIGNED, sectors, f"w0 AS ({start})",
+        "w1 AS (SELECT ticker, sector, greatest(least(w, 0.25e0), 0e0) AS w FROM w0 JOIN se USING (ticker))",
+        "w2 AS (SELECT ticker, w * CASE WHEN sum(w) OVER (PARTITION BY sector) > 0.4e0 THEN 0.4e0 / sum(w) OVER (PARTITION BY sector) ELSE 1e0 END AS w FROM w1)",
+        "w3 AS MATERIALIZED (SELECT ticker, w / sum(w) OVER () AS w FROM w2)",
+        "cw AS MATERIALIZED (SELECT i AS ticker, any_value(a.w) AS w, sum(cov * b.w) AS sw FROM an JOIN w3 a ON a.ticker = i JOIN w3 b ON b.ticker = j GROUP BY i)",
+        "fg AS (SELECT sum(cw.w * mu) AS r, sum(cw.w * sigma) AS ws, sqrt(sum(cw.w * sw)) AS vol FROM cw JOIN st USING (ticker))",
+    ]
+    figures = {"weight": "w", "risk_contribution": "w * sw / (vol * vol)", "expected_return": "r", "volatility": "vol", "sharpe": "(r - 0.06e0) / vol", "diversification_ratio": "ws / vol"}
+    return select(parts, "'all' AS portfolio_id, ticker, " + ", ".join(f"{grid(x)} AS {k}" for k, x in figures.items()), "cw, fg")

@@ -9,7 +9,7 @@ from .plans.config import PRESETS, Rule, Strategy
 LOT = 100
 
 
-def _values(preset: str) -> list[str]:
+def values_of(preset: str) -> list[str]:
     """Tables that end in x(ticker, i, date, close, x0, x1, ...)."""
     rows = "SELECT s.ticker, s.i, s.date, s.close"
     join = lambda *names: "".join(f" LEFT JOIN {n} ON {n}.ticker = s.ticker AND {n}.i = s.i" for n in names)
@@ -66,16 +66,21 @@ def signal_tables(values: list[str], rules: tuple[Rule, ...], logic: str, rebala
     return [*tables, walk]
 
 
-def _leg(sells: str, lots: str) -> str:
+#: Fixed values by instrument class: exchange share, tax on sales, slippage base, threshold in lots, large.
+FEES = {"NSE_FO_STOCK": ("0.0000183", "0.000125", 2, 50, 8), "MCX_SINGLE": ("0.000026", "0.0001", 3, 10, 10), "MCX_INDEX": ("0.000026", "0", 4, 20, 12)}
+
+
+def _leg(sells: str, lots: str, kind: str) -> str:
+    exchange, tax, base, edge, large = FEES[kind]
     value = f"(({lots}) * {LOT}e0 * close)"
-    slip = f"CASE WHEN ({lots}) <= 50 THEN 2e0 ELSE 2e0 + least((({lots}) - 50e0) / 50e0, 1e0) * 6e0 END"
-    return f"CASE WHEN ({lots}) > 0 AND {value} > 0 THEN 20e0 + {value} * 0.0000183e0 + {value} * CASE WHEN {sells} THEN 0.000125e0 ELSE 0.00002e0 END + (20e0 + {value} * 0.0000183e0) * 0.18e0 + {value} * ({slip}) / 1e4 ELSE 0 END"
+    slip = f"CASE WHEN ({lots}) <= {edge} THEN {base}e0 ELSE {base}e0 + least((({lots}) - {edge}e0) / {edge}e0, 1e0) * {large - base}e0 END"
+    return f"CASE WHEN ({lots}) > 0 AND {value} > 0 THEN 20e0 + {value} * {exchange}e0 + {value} * CASE WHEN {sells} THEN {tax}e0 ELSE 0.00002e0 END + (20e0 + {value} * {exchange}e0) * 0.18e0 + {value} * ({slip}) / 1e4 ELSE 0 END"
 
 
-def daily_tables(tables: list[str]) -> list[str]:
+def daily_tables(tables: list[str], kind: str = "NSE_FO_STOCK") -> list[str]:
     """Tables that end in dy: signal, lots, gross_pnl, cost, net_pnl, cumulative, drawdown."""
     sized = f"CASE WHEN i >= 20 AND signal <> 0 AND risk > 0 THEN CAST(greatest(floor(500000e0 / risk), 1) AS BIGINT) ELSE 0 END"
-    one, both = _leg("now < bef", "abs(now - bef)"), f"{_leg('bef > 0', 'abs(bef)')} + {_leg('now < 0', 'abs(now)')}"
+    one, both = _leg("now < bef", "abs(now - bef)", kind), f"{_leg('bef > 0', 'abs(bef)', kind)} + {_leg('now < 0', 'abs(now)', kind)}"
     return [
         *tables,
         f"rt AS (SELECT ticker, i, date, close, signal, coalesce({div(f'close - lag(close) {O}', f'lag(close) {O}', '0')}, 0) AS ret FROM sg)",
@@ -132,7 +137,7 @@ def metrics_sql(tables: list[str]) -> str:
 
 def preset_tables(preset: str) -> list[str]:
     s = PRESETS[preset]
-    return signal_tables(_values(preset), s.rules, s.logic, s.rebalance)
+    return signal_tables(values_of(preset), s.rules, s.logic, s.rebalance)
 
 
 #: Two moving averages: the values that the rule, combination and rebalancing queries look at.

@@ -12,9 +12,10 @@ from . import oracle_portfolio as psql
 from . import oracle_strategy as osql
 from .functions import fmt
 from .operators import factors, optimizer, portfolio
+from .operators.costs import SCHEDULES
 from .operators.indicators import REGISTRY, indicator
 from .operators.strategy import BackTest
-from .plans.config import PRESETS, IndicatorConfig, Rule, Strategy
+from .plans.config import FIRST_THRESHOLD, PRESETS, IndicatorConfig, Rule, Strategy, blocks_to_strategy, default_blocks, strategy_to_blocks
 from .sources import bars as fixtures
 from .sources import etl, registry
 
@@ -49,8 +50,8 @@ for _key in REGISTRY:
 # Strategies, on the dense fixture series with one lot size and fee schedule.
 
 
-def _typed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.bars_type(spark, sf_dir).withColumns({"lot_size": F.lit(osql.LOT), "instrument_class": F.lit("NSE_FO_STOCK")})
+def _typed_bars(spark: SparkSession, sf_dir: str, kind: str = "NSE_FO_STOCK") -> DataFrame:
+    return fixtures.bars_type(spark, sf_dir).withColumns({"lot_size": F.lit(osql.LOT), "instrument_class": F.lit(kind)})
 
 
 def _test(strategy: Strategy) -> Callable[[SparkSession, str], BackTest]:
@@ -66,6 +67,9 @@ def _sample(*rules: Rule, logic: str = "or", rebalance: str = "daily") -> Strate
 
 _CROSS = (Rule(0, "crosses_above", "long", reference=1), Rule(0, "crosses_below", "short", reference=1), Rule(2, "is_above", "long", 80))
 _SIGNALS = {
+    "rule_both_crosses_above": _sample(Rule(0, "crosses_above", "both", reference=1)),
+    "rule_both_crosses_below": _sample(Rule(0, "crosses_below", "both", reference=1)),
+    "rule_both_between": _sample(Rule(2, "between", "both", 40)),
     "rule_crosses_above": _sample(Rule(0, "crosses_above", reference=1)),
     "rule_crosses_below": _sample(Rule(0, "crosses_below", reference=1)),
     "rule_is_above": _sample(Rule(0, "is_above", reference=1)),
@@ -96,6 +100,12 @@ def _daily_of(*columns: str):
 register("lots", *_daily_of("signal", "lots"))
 register("daily_pnl", *_daily_of("gross_pnl"))
 register("trade_costs", *_daily_of("cost"))
+for _kind in SCHEDULES:
+    register(
+        f"trade_costs_{_kind.lower()}",
+        lambda spark, sf_dir, k=_kind: rounded(BackTest(_typed_bars(spark, sf_dir, k), _base).daily.select("ticker", "date", "cost"), 2),
+        osql.select(osql.daily_tables(_base_tables, _kind), f"ticker, date, {osql.grid('cost', 2)} AS cost", "dy"),
+    )
 register("equity_curve", *_daily_of("net_pnl", "cumulative"))
 register("drawdown_abs", *_daily_of("drawdown"))
 register("trade_log", lambda spark, sf_dir: rounded(_run(spark, sf_dir).trades), osql.select(osql.trade_tables(_base_tables), osql.TRADES, "tl"))
@@ -105,6 +115,12 @@ register("agg_monthly", lambda spark, sf_dir: _run(spark, sf_dir).monthly, osql.
 register("agg_yearly", lambda spark, sf_dir: _run(spark, sf_dir).yearly, osql.select(osql.daily_tables(_base_tables), f"ticker, year(date) AS year, {_half}", "dy GROUP BY ALL"))
 for _name, _strategy in PRESETS.items():
     register(f"preset_{_name}", lambda spark, sf_dir, t=_test(_strategy): t(spark, sf_dir).metrics, osql.metrics_sql(osql.preset_tables(_name)))
+# Blocks: a preset taken apart and compiled again has the preset's metrics; a new indicator's blocks are a rule on its first threshold.
+for _name in ("golden_cross", "rsi_mean_reversion"):
+    _compiled = blocks_to_strategy(strategy_to_blocks(PRESETS[_name]), rebalance=PRESETS[_name].rebalance, logic=PRESETS[_name].logic)
+    register(f"blocks_of_{_name}", lambda spark, sf_dir, t=_test(_compiled): t(spark, sf_dir).metrics, osql.metrics_sql(osql.preset_tables(_name)))
+_level = (Rule(0, "is_above", "both", threshold=FIRST_THRESHOLD["rsi"]),)
+register("default_blocks_rsi", lambda spark, sf_dir, t=_test(blocks_to_strategy(default_blocks("rsi"))): t(spark, sf_dir).metrics, osql.metrics_sql(osql.signal_tables(osql.values_of("rsi_mean_reversion"), _level, "or", "daily")))
 
 
 # Factors and cross-sections, on the fixture of many sparse series.
@@ -132,19 +148,27 @@ for _name in factors.PRICE_FACTORS:
     register(f"factor_{_name}", lambda spark, sf_dir, f=_name: rounded(_factors(spark, sf_dir).select("ticker", f), 6), psql.select(psql.FACTOR_TABLES, f"ticker, {sql.grid(_name, 6)} AS {_name}", "fa"))
 _all = ", ".join(f"{sql.grid(f, 6)} AS {f}" for f in factors.FACTORS)
 register("build_factors", lambda spark, sf_dir: rounded(_factors(spark, sf_dir).select("ticker", *factors.FACTORS), 6), psql.select(psql.FACTOR_TABLES, f"ticker, {_all}", "fa"))
-register("market_proxy", lambda spark, sf_dir: rounded(factors.market_proxy(fixtures.bars_supplier(spark, sf_dir)).select("date", F.ln("level").alias("log_level"))), psql.select(psql.PROXY, f"date, {sql.grid('ln(level)')} AS log_level", "px"))
+register("market_proxy", lambda spark, sf_dir: rounded(factors.market_proxy(fixtures.bars_supplier(spark, sf_dir)).withColumn("log_level", F.ln("level")), level=0), psql.select(psql.PROXY, f"date, {sql.grid('level', 0)} AS level, {sql.grid('ln(level)')} AS log_level", "px"))
+register(
+    "market_proxy_index",
+    lambda spark, sf_dir: rounded(factors.market_proxy(fixtures.bars_supplier(spark, sf_dir), fixtures.bars_type(spark, sf_dir).where("ticker = 'ECONOMY'"))),
+    psql.select([f"b AS ({sql.BARS_TYPE})"], f"date, {sql.grid('close')} AS level", "b WHERE ticker = 'ECONOMY'"),
+)
 
 
 def _aligned_market(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = fixtures.bars_supplier(spark, sf_dir)
     weekly = factors.market_proxy(bars).where(F.dayofweek("date") == 2)  # Mondays only, so that most dates are filled forward
-    return rounded(factors.align_market(bars, weekly).select("ticker", "date", F.ln("market").alias("log_market")))
+    return rounded(factors.align_market(bars, weekly).select("ticker", "date", "market", F.ln("market").alias("log_market")), market=0)
 
 
 register(
     "align_market",
     _aligned_market,
-    psql.select(psql.PROXY, f"ticker, s.date AS date, {sql.grid('ln(last_value(level IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY s.date ROWS UNBOUNDED PRECEDING))')} AS log_market", "s LEFT JOIN (SELECT * FROM px WHERE isodow(date) = 1) q ON q.date = s.date"),
+    psql.select(
+        [*psql.PROXY, "am AS (SELECT ticker, s.date AS date, last_value(level IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY s.date ROWS UNBOUNDED PRECEDING) AS market FROM s LEFT JOIN (SELECT * FROM px WHERE isodow(date) = 1) q ON q.date = s.date)"],
+        f"ticker, date, {sql.grid('market', 0)} AS market, {sql.grid('ln(market)')} AS log_market", "am",
+    ),
 )
 register("xs_zscore", lambda spark, sf_dir: rounded(_scored(spark, sf_dir).select("ticker", "factor", "z")), psql.select(psql.FACTOR_TABLES, f"ticker, factor, {sql.grid('z')} AS z", "zs"))
 for _name in factors.PRESETS:
@@ -181,9 +205,7 @@ def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _annual_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aligned = _aligned(spark, sf_dir)
-    periods = aligned.agg(F.max("t")).first()[0]
-    return portfolio.shrink(portfolio.covariance(aligned), periods).withColumn("cov", F.col("cov") * 252)
+    return portfolio.shrink(portfolio.covariance(_aligned(spark, sf_dir))).select("i", "j", (F.col("cov") * 252).alias("cov"))
 
 
 def _curve(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +220,7 @@ def _own(columns: str, source: str, tables: list[str] = psql.ALIGNED) -> str:
 register("daily_returns", lambda spark, sf_dir: rounded(factors.returns_by_date(fixtures.bars_type(spark, sf_dir)), 6), _own(f"ticker, date, {sql.grid('ret', 6)} AS ret", "rt", psql.RETURNS))
 register("ann_stats", lambda spark, sf_dir: rounded(portfolio.ann_stats(_aligned(spark, sf_dir))), _own(f"ticker, {sql.grid('mu')} AS mu, {sql.grid('sigma')} AS sigma", "st"))
 register("align_tail", lambda spark, sf_dir: rounded(_aligned(spark, sf_dir).withColumn("t", F.col("t").cast("long")), 6), _own(f"ticker, t, {sql.grid('ret', 6)} AS ret", "al"))
-register("covariance", lambda spark, sf_dir: rounded(portfolio.covariance(_aligned(spark, sf_dir))), _own(f"i, j, {sql.grid('cov')} AS cov", "cv"))
+register("covariance", lambda spark, sf_dir: rounded(portfolio.covariance(_aligned(spark, sf_dir))), _own(f"i, j, {sql.grid('cov')} AS cov, (SELECT max(t) FROM al) AS periods", "cv"))
 register("annual_shrunk_covariance", lambda spark, sf_dir: rounded(_annual_cov(spark, sf_dir)), _own(f"i, j, {sql.grid('cov')} AS cov", "an"))
 register("correlation", lambda spark, sf_dir: rounded(portfolio.correlation(portfolio.covariance(_aligned(spark, sf_dir)))), _own(f"i, j, {sql.grid('CASE WHEN i = j THEN 1 ELSE corr END')} AS corr", "cv"))
 register("correlation_matrix", lambda spark, sf_dir: rounded(portfolio.correlation_matrix(_aligned(spark, sf_dir))), _own(f"i, j, {sql.grid('corr')} AS corr", "cv"))
@@ -227,12 +249,12 @@ def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 for _method in optimizer.METHODS:
-    register(f"optimise_{_method}", lambda spark, sf_dir, m=_method: rounded(optimizer.optimise(_members(spark, sf_dir), m)))
+    register(f"optimise_{_method}", lambda spark, sf_dir, m=_method: rounded(optimizer.optimise(_members(spark, sf_dir), m)), psql.optimised(_method))
 register("efficient_frontier", lambda spark, sf_dir: rounded(optimizer.efficient_frontier(_members(spark, sf_dir))))
 
 register("date_intersection", lambda spark, sf_dir: portfolio.date_intersection(fixtures.bars_type(spark, sf_dir), len(psql.MEMBERS)).select("ticker", "date"), _own("ticker, date", "ix", psql.SERIES))
 register("portfolio_returns", lambda spark, sf_dir: rounded(_curve(spark, sf_dir).select("date", "ret"), 6), _own(f"date, {sql.grid('ret', 6)} AS ret", "pr", psql.SERIES))
-register("portfolio_equity", lambda spark, sf_dir: rounded(_curve(spark, sf_dir).select("date", F.log10("equity").alias("log_equity"))), _own(f"date, {sql.grid('log10(equity)')} AS log_equity", "eq", psql.SERIES))
+register("portfolio_equity", lambda spark, sf_dir: rounded(_curve(spark, sf_dir).select("date", "equity"), 2), _own(f"date, {sql.grid('equity', 2)} AS equity", "eq", psql.SERIES))
 register(
     "lots_for_capital",
     lambda spark, sf_dir: portfolio.lots_for_capital(fixtures.bars_type(spark, sf_dir), _weights(spark), _sectors(spark), 50_000_000.0),
@@ -254,6 +276,15 @@ for _frequency in ("weekly", "monthly"):
     register(f"dca_{_frequency}", lambda spark, sf_dir, f=_frequency: rounded(portfolio.dca(fixtures.bars_type(spark, sf_dir), 1_000_000.0, f), 2), psql.dca(_frequency))
 
 
+register(
+    "annualized_return",
+    lambda spark, sf_dir: rounded(
+        portfolio.dca(fixtures.bars_type(spark, sf_dir), 1_000_000.0, "monthly").groupBy("ticker").agg(F.max_by("value", "date").alias("v"), F.max_by("invested", "date").alias("i"), F.count(F.lit(1)).alias("n"))
+        .select("ticker", portfolio.annualized_return(F.col("v"), F.col("i"), F.col("n")).alias("annualized"))
+    ),
+    psql.annualized("monthly"),
+)
+
 # Batch jobs and formats.
 
 _TYPE, _SUPPLIER = f"b AS MATERIALIZED ({sql.BARS_TYPE})", f"b AS MATERIALIZED ({sql.BARS_SUPPLIER})"
@@ -262,10 +293,10 @@ _CUT = "1999-06-01"
 
 register(
     "price_summary",
-    lambda spark, sf_dir: rounded(etl.price_summary(fixtures.bars_supplier(spark, sf_dir)), 3),
+    lambda spark, sf_dir: etl.price_summary(fixtures.bars_supplier(spark, sf_dir)),
     psql.select(
         [_SUPPLIER, "n AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS back FROM b)", "o AS (SELECT ticker, arg_min(close, back) AS c, max(date) AS d, arg_min(close, back) FILTER (back >= 253) AS o FROM n WHERE close > 0 GROUP BY ticker)"],
-        f"ticker, {sql.grid('round_even(c, 4)', 3)} AS close, d AS date, {sql.grid('round_even(c / o - 1, 4)', 3)} AS yr1_pct", "o",
+        "ticker, round_even(c, 4) AS close, d AS date, round_even(c / o - 1, 4) AS yr1_pct", "o",
     ),
 )
 
@@ -332,7 +363,7 @@ def _news(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fixtures.read(spark, sf_dir, "documents")
     number = F.col("doc_id")
     return docs.select(
-        F.substring_index("text", "\n", 1).alias("title"), F.concat(F.lit(" https://news/ "), (number % 700).cast("string")).alias("url"), "source",
+        F.col("text").alias("title"), F.concat(F.lit(" https://news/ "), F.floor(number / 2).cast("string")).alias("url"), "source",
         F.timestamp_seconds(F.lit(1_700_000_000) + number * 977 % 1_000_000).alias("published"), number.alias("arrival"), F.regexp_extract("source", r"\d+", 0).cast("int").alias("priority"),
     )
 
@@ -344,17 +375,17 @@ def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TOKENS = {t: [t] + [w for w in n.lower().split() if len(w) >= 4 and w not in etl.STOP_WORDS] for t, n in _STOCKS}
 _NEWS = [
-    "nw AS MATERIALIZED (SELECT trim(regexp_replace(split_part(text, chr(10), 1), '\\s+', ' ', 'g')) AS title, 'https://news/ ' || (doc_id % 700) AS url, source, make_timestamp((1700000000 + doc_id * 977 % 1000000) * 1000000) AS published, doc_id AS arrival, CAST(regexp_extract(source, '\\d+') AS INT) AS priority FROM documents)",
+    "nw AS MATERIALIZED (SELECT trim(regexp_replace(text, '\\s+', ' ', 'g')) AS title, 'https://news/ ' || (doc_id // 2) AS url, source, make_timestamp((1700000000 + doc_id * 977 % 1000000) * 1000000) AS published, doc_id AS arrival, CAST(regexp_extract(source, '\\d+') AS INT) AS priority FROM documents)",
     "nc AS MATERIALIZED (SELECT * FROM nw WHERE title <> '')",
-    "tk AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', '(?i)\\b{w}\\b')" for t, ws in _TOKENS.items() for w in ws) + ") t(ticker, pattern))",
+    "tk AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', '(?i)(^|[^\\p{{L}}\\p{{N}}_]){w}($|[^\\p{{L}}\\p{{N}}_])')" for t, ws in _TOKENS.items() for w in ws) + ") t(ticker, pattern))",
     "tg AS MATERIALIZED (SELECT nc.*, coalesce((SELECT list_sort(list(DISTINCT ticker)) FROM tk WHERE regexp_matches(title, pattern)), []) AS tickers FROM nc)",
 ]
 _joined = "array_to_string(tickers, ' ') AS tickers"
 register("news_tag", lambda spark, sf_dir: _tagged(spark, sf_dir).select("arrival", "title", F.array_join("tickers", " ").alias("tickers")), psql.select(_NEWS, f"arrival, title, {_joined}", "tg"))
 register(
     "news_dedupe_cap",
-    lambda spark, sf_dir: etl.news_dedupe_cap(_tagged(spark, sf_dir), 20).select("url", "source", "arrival"),
-    psql.select([*_NEWS, "f AS (SELECT * FROM tg QUALIFY row_number() OVER (PARTITION BY url ORDER BY arrival) = 1)"], "url, source, arrival", "f QUALIFY row_number() OVER (PARTITION BY source ORDER BY published DESC, arrival) <= 20"),
+    lambda spark, sf_dir: etl.news_dedupe_cap(_tagged(spark, sf_dir)).select("url", "source", "arrival"),
+    psql.select([*_NEWS, "f AS (SELECT * FROM tg QUALIFY row_number() OVER (PARTITION BY url ORDER BY arrival) = 1)"], "url, source, arrival", "f QUALIFY row_number() OVER (PARTITION BY source ORDER BY published DESC, arrival) <= 200"),
 )
 _MERGED = [*_NEWS, "mg AS MATERIALIZED (SELECT url, arg_min(title, (priority, arrival)) AS title, arg_min(source, (priority, arrival)) AS source, arg_min(published, (priority, arrival)) AS published, list_sort(list_distinct(flatten(list(tickers)))) AS tickers FROM tg GROUP BY url)"]
 register("news_merge", lambda spark, sf_dir: etl.news_merge(_tagged(spark, sf_dir)).select("url", "title", "source", "published", F.array_join("tickers", " ").alias("tickers")), psql.select(_MERGED, f"url, title, source, published, {_joined}", "mg"))
@@ -381,30 +412,58 @@ register(
 register(
     "csv_export",
     lambda spark, sf_dir: etl.csv_lines(fixtures.read(spark, sf_dir, "customer").select("c_custkey", F.concat_ws(", ", "c_name", "c_mktsegment").alias("who")), ["c_custkey", "who"]),
-    "SELECT c_custkey || ',\"' || c_name || ', ' || c_mktsegment || '\"' AS line FROM customer",
+    "SELECT 'c_custkey,who' AS line UNION ALL SELECT c_custkey || ',\"' || c_name || ', ' || c_mktsegment || '\"' AS line FROM customer",
 )
 
-_AMOUNT = "c_acctbal * 1373.77313 * (1 + c_custkey % 3 * 300)"
+#: Amounts of each size, and steps of 0.005 with their multiples, which meet ties and near-ties of every number of places.
+_AMOUNT, _STEP = "c_acctbal * CAST(1373.77 AS DOUBLE) * (1 + c_custkey % 3 * 300)", "(c_custkey - 400) / CAST(200 AS DOUBLE)"
+_SHOWN = {"amount": _AMOUNT, "step": _STEP, "step_lakh": f"{_STEP} * 100000", "step_crore": f"{_STEP} * 10000000"}
 _group = lambda x: f"CASE WHEN length({x}) <= 3 THEN {x} ELSE ltrim(reverse(regexp_replace(reverse(left({x}, length({x}) - 3)), '(\\d\\d)', '\\1,', 'g')), ',') || ',' || right({x}, 3) END"
-_whole = lambda x: _group(f"printf('%.0f', {x})")
-_two = lambda x: f"({_group(f'''split_part(printf('%.2f', {x}), '.', 1)''')}) || '.' || split_part(printf('%.2f', {x}), '.', 2)"
+
+
+def _exact(x: str, digits: int) -> str:
+    """printf rounds exact binary values, ties to even; a tie is moved away from zero first."""
+    tie = f"abs({x}) * {2 ** (digits + 1)} = floor(abs({x}) * {2 ** (digits + 1)}) AND fmod(abs({x}) * {2 ** (digits + 1)}, 2) = 1"
+    return f"CASE WHEN ({x}) < 0 THEN '-' ELSE '' END || printf('%.{digits}f', CASE WHEN {tie} THEN abs({x}) + 1e-{digits + 2} ELSE abs({x}) END)"
+
+
+def _grouped(text: str) -> str:
+    whole = f"split_part({text}, '.', 1)"
+    return f"({_group(whole)}) || CASE WHEN contains({text}, '.') THEN '.' || split_part({text}, '.', 2) ELSE '' END"
+
+
+_whole = lambda x: _grouped(f"({_exact(x, 0)})")
+_two = lambda x: _grouped(f"({_exact(x, 2)})")
+_decimal_two = _grouped("CAST(CAST(round(CAST(CAST(abs(v) AS VARCHAR) AS DECIMAL(38, 15)), 2) AS DECIMAL(38, 2)) AS VARCHAR)")
 _neg = "CASE WHEN v < 0 THEN '-' ELSE '' END"
 _FORMATS = {
     "format_inr": (fmt.format_inr, f"{_neg} || '₹' || CASE WHEN abs(v) >= 1e7 THEN {_two('abs(v) / 1e7')} || 'Cr' WHEN abs(v) >= 1e5 THEN {_two('abs(v) / 1e5')} || 'L' ELSE {_whole('abs(v)')} END"),
     "format_inr_full": (fmt.format_inr_full, f"{_neg} || '₹' || {_whole('abs(v)')}"),
-    "format_price": (fmt.format_price, f"'₹' || {_neg} || {_two('abs(v)')}"),
-    "format_pct": (lambda x: fmt.format_pct(x / 1e5), "CASE WHEN v >= 0 THEN '+' ELSE '' END || printf('%.1f', v / 1e5) || '%'"),
-    "format_sharpe": (lambda x: fmt.format_sharpe(x / 1e6), "printf('%.2f', v / 1e6)"),
-    "format_price_short": (fmt.format_price_short, f"'₹' || CASE WHEN v >= 1e5 THEN printf('%.1f', v / 1e5) || 'L' WHEN v >= 1000 THEN {_whole('v')} ELSE printf('%.2f', v) END"),
-    "format_yr1_pct": (lambda x: fmt.format_yr1_pct(x / 1e6), "CASE WHEN v >= 0 THEN '+' ELSE '' END || printf('%.1f', v / 1e6 * 100) || '%'"),
-    "fmt_rupees": (fmt.fmt_rupees, f"'₹' || CASE WHEN abs(v) >= 1e7 THEN printf('%.2f', v / 1e7) || ' Cr' WHEN abs(v) >= 1e5 THEN printf('%.1f', v / 1e5) || ' L' ELSE {_neg} || {_whole('abs(v)')} END"),
+    "format_price": (fmt.format_price, f"'₹' || {_neg} || {_decimal_two}"),
+    "format_pct": (fmt.format_pct, f"CASE WHEN v >= 0 THEN '+' ELSE '' END || {_exact('v', 1)} || '%'"),
+    "format_sharpe": (fmt.format_sharpe, _exact("v", 2)),
+    "format_price_short": (fmt.format_price_short, f"'₹' || CASE WHEN v >= 1e5 THEN {_exact('v / 1e5', 1)} || 'L' WHEN v >= 1000 THEN {_whole('v')} ELSE {_exact('v', 2)} END"),
+    "format_yr1_pct": (fmt.format_yr1_pct, f"CASE WHEN v >= 0 THEN '+' ELSE '' END || {_exact('v * 100', 1)} || '%'"),
+    "fmt_rupees": (fmt.fmt_rupees, f"'₹' || CASE WHEN abs(v) >= 1e7 THEN {_exact('v / 1e7', 2)} || ' Cr' WHEN abs(v) >= 1e5 THEN {_exact('v / 1e5', 1)} || ' L' ELSE {_neg} || {_whole('abs(v)')} END"),
 }
+
+
+def _shown(make) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.expr(x).alias("v")) for k, x in _SHOWN.items()])
+        return fixtures.read(spark, sf_dir, "customer").select("c_custkey", F.explode(rows).alias("r")).select("c_custkey", "r.kind", make(F.col("r.v")).alias("shown"))
+
+    return query
+
+
+_amounts = " UNION ALL ".join(f"SELECT c_custkey, '{k}' AS kind, {x} AS v FROM customer" for k, x in _SHOWN.items())
 for _name, (_make, _text) in _FORMATS.items():
-    register(
-        _name,
-        lambda spark, sf_dir, m=_make: fixtures.read(spark, sf_dir, "customer").select("c_custkey", m(F.expr(_AMOUNT.replace("1373.77313", "1373.77D"))).alias("shown")),
-        f"WITH a AS (SELECT c_custkey, {_AMOUNT.replace('1373.77313', '1373.77e0')} AS v FROM customer) SELECT c_custkey, {_text} AS shown FROM a",
-    )
+    register(_name, _shown(_make), f"WITH a AS ({_amounts}) SELECT c_custkey, kind, {_text} AS shown FROM a")
+register(
+    "days_between",
+    lambda spark, sf_dir: fixtures.read(spark, sf_dir, "orders").select("o_orderkey", fmt.days_between(F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate").cast("date")), F.lit("1995-06-17").cast("date")).alias("days")),
+    "SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 5 <> 0 THEN DATE '1995-06-17' - CAST(o_orderdate AS DATE) ELSE 0 END AS INT) AS days FROM orders",
+)
 
 
 def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,8 +55,9 @@ PRICE_FILE = T.StructType(
 
 
 def scan_prices_json(spark: SparkSession, path: str) -> DataFrame:
-    """Bars of all price files under a path or glob: one JSON object a ticker, with aligned arrays. Unreadable files give no rows."""
+    """Bars of all price files under a path or glob: one JSON object a ticker, with aligned arrays. Unreadable files give no rows; a file without a ticker has its own name's stem."""
     files = spark.read.schema(PRICE_FILE).json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
-    good = files.where(F.col("_corrupt_record").isNull() & F.col("ticker").isNotNull())
-    rows = good.select("ticker", F.explode(F.arrays_zip("dates", "open", "high", "low", "close", "volume")).alias("r"))
+    stem = F.regexp_replace(F.url_decode(F.col("_metadata.file_name")), r"\.[^.]*$", "")
+    good = files.where(F.col("_corrupt_record").isNull())
+    rows = good.select(F.coalesce(F.when(F.col("ticker") != "", F.col("ticker")), stem).alias("ticker"), F.explode(F.arrays_zip("dates", "open", "high", "low", "close", "volume")).alias("r"))
     return rows.select("ticker", F.to_date("r.dates").alias("date"), *[F.col(f"r.{c}").alias(c) for c in COLUMNS[2:]])

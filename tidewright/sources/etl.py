@@ -82,15 +82,15 @@ def news_patterns(stocks: DataFrame) -> DataFrame:
 
 
 def news_tag(items: DataFrame, patterns: DataFrame) -> DataFrame:
-    """items with tickers: those with a token that stands in the title as a whole word, whatever the case.
+    """items with tickers: those with a token that stands in the title as a whole word, whatever the case; letters and digits of any script make words.
 
     Tokens of word characters are joined by equality with the title's words; only tokens with other characters need a pattern search.
     """
-    keyed = items.withColumn("_key", F.xxhash64("url", "title"))
-    words = keyed.select("_key", F.explode(F.array_distinct(F.split(F.lower("title"), r"[^0-9a-z_]+"))).alias("token"))
+    keyed = items.withColumn("_key", F.sha2(F.concat_ws("\n", "url", "title"), 256))
+    words = keyed.select("_key", F.explode(F.array_distinct(F.split(F.lower("title"), r"[^\p{L}\p{N}_]+"))).alias("token"))
     simple = c("token").rlike(r"^\w+$")
     exact = words.join(patterns.where(simple), "token").select("_key", "ticker")
-    edge = F.concat(F.lit(r"\b\Q"), c("token"), F.lit(r"\E\b"))
+    edge = F.concat(F.lit(r"(?U)\b\Q"), c("token"), F.lit(r"\E\b"))
     others = keyed.select("_key", F.lower("title").alias("_low")).join(patterns.where(~simple), F.regexp_like(c("_low"), edge)).select("_key", "ticker")
     tags = exact.unionByName(others).groupBy("_key").agg(F.array_sort(F.collect_set("ticker")).alias("tickers"))
     return keyed.join(tags, "_key", "left").withColumn("tickers", F.coalesce("tickers", F.array().cast("array<string>"))).drop("_key")
@@ -132,13 +132,23 @@ def search(dims: DataFrame, text: str) -> DataFrame:
 
 
 def csv_lines(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """line: values joined by commas, those with a comma in quotes."""
-    shown = [F.coalesce(F.when(c(x).cast("string").contains(","), F.concat(F.lit('"'), c(x).cast("string"), F.lit('"'))).otherwise(c(x).cast("string")), F.lit("")) for x in columns]
-    return df.select(F.concat_ws(",", *shown).alias("line"))
+    """line: the names, then values joined by commas, texts with a comma in quotes; no line at all without rows."""
+    kinds = dict(df.dtypes)
+    quoted = lambda x: F.when(c(x).contains(","), F.concat(F.lit('"'), c(x), F.lit('"'))).otherwise(c(x)) if kinds[x] == "string" else c(x).cast("string")
+    names = df.limit(1).select(F.lit(",".join(columns)).alias("line"))
+    return names.union(df.select(F.concat_ws(",", *[F.coalesce(quoted(x), F.lit("")) for x in columns]).alias("line")))
 
 
 def write_csv(df: DataFrame, columns: Sequence[str], path: str) -> None:
-    df.select(*columns).write.mode("overwrite").option("header", True).csv(path)
+    """The lines as text files; in the order of their names, the first line is that of the names."""
+    csv_lines(df, columns).write.mode("overwrite").text(path)
+
+
+def write_news(items: DataFrame, path: str, least: int = 20) -> None:
+    """Merged items as JSON; fewer than least are taken for a failed fetch and refused, so that what is there stays."""
+    if (n := items.limit(least).count()) < least:
+        raise ValueError(f"{n} items are too few to write")
+    write_json(items, path)
 
 
 def write_json(df: DataFrame, path: str, *order: str) -> None:
