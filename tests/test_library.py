@@ -3,6 +3,7 @@ import math
 import subprocess
 import sys
 from datetime import date, datetime, timedelta
+from decimal import ROUND_HALF_UP, Decimal
 from pathlib import Path
 
 import numpy as np
@@ -139,11 +140,131 @@ def _universe(n, t, seed=1):
     return r.normal(0.0005, 0.01, (n, t)) * np.linspace(0.5, 2, n)[:, None]
 
 
+def _annual(returns):
+    n, t = returns.shape
+    cov = np.cov(returns, ddof=1)
+    a = min(max(n / (n + t), 0.01), 0.5)
+    return ((1 - a) * cov + a * np.trace(cov) / n * np.eye(n)) * 252, returns.mean(axis=1) * 252, returns.std(axis=1, ddof=1) * math.sqrt(252)
+
+
+def test_statistics_of_returns(spark):
+    returns = _universe(4, 60)
+    rows = [("p", t, date(2020, 1, 1) + timedelta(days=d), float(x), "ab"[k % 2]) for k, t in enumerate("wxyz") for d, x in enumerate(returns[k])]
+    rows += [("p", "w", date(2019, 12, 1), 5.0, "a")]  # older than the common length
+    found = optimizer.statistics(spark.createDataFrame(rows, "portfolio_id string, ticker string, date date, ret double, sector string")).toPandas()
+    cov, mu, sigma = _annual(returns)
+    for r in found.itertuples():
+        i, j = "wxyz".index(r.i), "wxyz".index(r.j)
+        assert r.cov == pytest.approx(cov[i, j]) and r.periods == 60 and r.sector == "ab"[i % 2]
+        if i == j:
+            assert (r.mu, r.sigma) == pytest.approx((mu[i], sigma[i]))
+    assert len(found) == 16
+
+
+def _plain_allocation(method, cov, mu, sigma, sectors):
+    """The same methods in plain loops over lists."""
+    n = len(mu)
+    rng = range(n)
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    times = lambda w: [dot(cov[i], w) for i in rng]
+    unit = lambda w: [x / sum(w) for x in w] if sum(w) >= 1e-15 else [1 / n] * n
+    clip = lambda w: [min(max(x, 0.0), 0.25) for x in w]
+
+    def feasible(w):
+        w = clip(w)
+        total = {s: sum(x for x, t in zip(w, sectors) if t == s) for s in set(sectors)}
+        return unit([x * 0.4 / total[s] if total[s] > 0.4 else x for x, s in zip(w, sectors)])
+
+    def search(value, slope):
+        w, rate = [1 / n] * n, 0.01
+        best = value(w)
+        for step in range(1, 1001):
+            g = slope(w)
+            tried = feasible([x - rate * y for x, y in zip(w, g)])
+            if value(tried) < best:
+                best, w = value(tried), tried
+            else:
+                rate *= 0.95
+            if math.sqrt(dot(g, g)) < 1e-8:
+                break
+            if step % 100 == 0:
+                rate /= 2
+        return w
+
+    def ratio_of(reward, free):
+        vol = lambda w: math.sqrt(max(dot(w, times(w)), 1e-15))
+        gain = lambda w: dot(w, reward) - free
+        return search(lambda w: -gain(w) / vol(w), lambda w: [gain(w) * s / vol(w) ** 3 - r / vol(w) for s, r in zip(times(w), reward)])
+
+    if method == "min_variance":
+        w = search(lambda w: dot(w, times(w)), lambda w: [2 * x for x in times(w)])
+    elif method == "max_diversification":
+        w = ratio_of(sigma, 0.0)
+    elif method in ("max_sharpe", "target_vol"):
+        w = ratio_of(mu, 0.06)
+        if method == "target_vol":
+            w = unit([x * 0.15 / math.sqrt(dot(w, times(w))) for x in w])
+    else:
+        w = [1 / n] * n
+        for _ in range(1000):
+            risk = [x / math.sqrt(dot(w, times(w))) for x in times(w)]
+            new = unit(clip(unit([1 / x if x > 1e-15 else 0.0 for x in risk])))
+            moved, w = max(abs(a - b) for a, b in zip(new, w)), new
+            if moved < 1e-8:
+                break
+    return feasible(w)
+
+
+@pytest.mark.parametrize("method", ["risk_parity", "min_variance", "max_sharpe", "max_diversification", "target_vol"])
+def test_allocations_equal_plain_loops(method):
+    cov, mu, sigma = _annual(_universe(6, 200))
+    sectors = list("aabbcc")
+    want = _plain_allocation(method, cov.tolist(), mu.tolist(), sigma.tolist(), sectors)
+    assert optimizer.allocate(method, cov, mu, sigma, np.array(sectors), optimizer.Constraints()) == pytest.approx(want, abs=1e-6)
+
+
+def test_exact_and_decimal_formats(spark):
+    from tidewright.functions import fmt
+
+    values = [1.005, 2.675, 0.125, 0.375, 0.5, 1.5, 2.5, 0.25, 0.35, -0.125, -2.675, 1234567.125, 99999.995, 0.045, None]
+    exact = lambda x, d: None if x is None else str(Decimal(x).quantize(Decimal(1).scaleb(-d), ROUND_HALF_UP))
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for d in (0, 1, 2):
+        assert [r[0] for r in df.select(fmt.fixed(F.col("v"), d)).collect()] == [exact(v, d) for v in values]
+    shown = [r[0] for r in df.select(fmt.format_price(F.col("v"))).collect()]
+    assert shown[:3] == ["₹1.01", "₹2.68", "₹0.13"] and shown[11] == "₹12,34,567.13" and shown[-1] == "—"
+
+
+def test_files_without_a_ticker_csv_and_few_news(spark, tmp_path):
+    (tmp_path / "ABC.json").write_text('{"dates": ["2020-01-01"], "open": [1.0], "high": [1.0], "low": [1.0], "close": [2.0], "volume": [3.0]}')
+    (tmp_path / "x.json").write_text('{"ticker": "DEF", "dates": ["2020-01-01"], "open": [1.0], "high": [1.0], "low": [1.0], "close": [2.0], "volume": [3.0]}')
+    (tmp_path / "bad.json").write_text("{")
+    assert sorted(r.ticker for r in bar_source.scan_prices_json(spark, f"{tmp_path}/*.json").collect()) == ["ABC", "DEF"]
+    assert etl.csv_lines(spark.createDataFrame([], "x string"), ["x"]).count() == 0
+    with pytest.raises(ValueError):
+        etl.write_news(spark.range(19), str(tmp_path / "news"))
+
+
+def test_words_of_any_script_in_news(spark):
+    stocks = spark.createDataFrame([("ENTRE", "Entre Group"), ("M&M", "Mahindra")], "ticker string, name string")
+    titles = ["une entreé ici", "Entre nous", "xentre", "the M&M car", "éM&M", "m&m"]
+    items = spark.createDataFrame([(t, str(k)) for k, t in enumerate(titles)], "title string, url string")
+    found = {r.title: r.tickers for r in etl.news_tag(items, etl.news_patterns(stocks)).collect()}
+    assert found == {"une entreé ici": [], "Entre nous": ["ENTRE"], "xentre": [], "the M&M car": ["M&M"], "éM&M": [], "m&m": ["M&M"]}
+
+
+def test_weights_of_other_members_fail(spark):
+    aligned = spark.createDataFrame([("a", 1, 0.1), ("a", 2, 0.2), ("b", 1, 0.3), ("b", 2, 0.1)], "ticker string, t int, ret double")
+    for weights in ([("a", 1.0)], [("a", 0.5), ("b", 0.4)], [("a", 0.5), ("c", 0.5)]):
+        with pytest.raises(Exception, match="weights"):
+            portfolio.diversification_ratio(aligned, spark.createDataFrame(weights, "ticker string, weight double")).collect()
+
+
 @pytest.mark.parametrize("method", optimizer.METHODS)
 def test_allocations(method):
     returns, sectors = _universe(8, 300), np.array(list("aabbccdd"))
     k = optimizer.Constraints()
-    cov, mu, sigma = optimizer.statistics(returns)
+    cov, mu, sigma = _annual(returns)
     w = optimizer.allocate(method, cov, mu, sigma, sectors, k)
     assert w.sum() == pytest.approx(1) and (w >= 0).all()
     assert w.max() <= k.max_sector  # scaling to a sum of 1 comes last and can exceed the limit, as stated
@@ -208,7 +329,7 @@ def test_price_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
     etl.write_csv(spark.createDataFrame([("a,b", 1)], "x string, y int"), ["x", "y"], str(tmp_path / "csv"))
     etl.write_json(spark.createDataFrame([("b",), ("a",)], "x string"), str(tmp_path / "json"), "x")
-    assert spark.read.csv(str(tmp_path / "csv"), header=True).first().x == "a,b"
+    assert "".join(f.read_text() for f in sorted((tmp_path / "csv").glob("part-*"))) == 'x,y\n"a,b",1\n'
 
 
 def test_formats_of_missing_values(spark):
@@ -264,5 +385,5 @@ def test_diversification_ratio_checks_its_weights(spark):
     assert portfolio.diversification_ratio(aligned, weights(0.5, 0.5)).first().ratio > 1
     assert portfolio.diversification_ratio(aligned.withColumn("ret", F.col("t") * 0.01), weights(0.4, 0.6)).first().ratio == pytest.approx(1)
     for bad in ((0.5, 0.6), (1.0,), (0.3, 0.3, 0.4)):
-        with pytest.raises(ValueError):
-            portfolio.diversification_ratio(aligned, weights(*bad))
+        with pytest.raises(Exception, match="weights"):
+            portfolio.diversification_ratio(aligned, weights(*bad)).collect()
