@@ -6,8 +6,9 @@ confirmed on the whole sets, and what is confirmed becomes one component, so tha
 are never compared pair by pair. The links beyond its budget are completed from shared shingles: two sets of
 similarity t or more share one of the first n - ceil(t * n) + 1 hashes of each, in any order that holds for all
 sets (prefix filter). The order is that of the hashes, with hashes known to be frequent last. Sets that share
-such a hash and whose fingerprints differ in no more bits than similar sets' do (reach()) are confirmed on the
-whole sets: first with one of them, a leader, in rounds, then those of different components with each other.
+such a hash, and enough of them for the rest to reach t, and whose fingerprints differ in no more bits than similar
+sets' do (reach()) are confirmed on the whole sets: first with one of them, a leader, in rounds, then those of
+different components with each other.
 
 Only hashes, fingerprints and counts are dealt out; texts are read where they stand, and sets are made again
 for the pairs to confirm. The one source of loss is reach(): five standard deviations, about one link in a
@@ -83,12 +84,6 @@ def prefix(hashes: np.ndarray, similarity: float, frequent: np.ndarray, rank: np
     return first[:size] if len(first) >= size else np.concatenate([first, hashes[last][np.argsort(rank[at[last]])]])[:size]
 
 
-def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether the Jaccard similarity of two sorted sets is similarity or more."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= similarity * (len(a) + len(b) - both) - _SMALL
-
-
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     """Each row's key and text."""
     return docs.select(row_key("doc_id").alias("id"), text_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
@@ -144,19 +139,16 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words_each:
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _of_texts(batches, words_each):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            links = [similar(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), similarity) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(links, pa.bool_()))
+            ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))], ["node", "hashes"])
 
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes.select("node", "at.id", "at.text_key"), "node")
-    rows = texts.join(small(wanted), ["id", "text_key"]).select("node", "text").mapInArrow(sets_of, "node long, hashes binary")
+    rows = texts.join(small(wanted), ["id", "text_key"]).select("node", "text").mapInArrow(sets_of, "node long, hashes array<long>")
     sets = written(rows.groupBy("node").agg(F.min("hashes").alias("hashes")))  # repeated rows meet on the map side first
     of = lambda end, name: sets.select(F.col("node").alias(end), F.col("hashes").alias(name))
-    both = pairs.join(of("u", "a"), "u").join(of("v", "b"), "v").select("u", "v", "a", "b")
-    return written(both.mapInArrow(compared, "u long, v long"))
+    both = F.size(F.array_intersect("a", "b"))
+    close = both >= similarity * (F.size("a") + F.size("b") - both) - _SMALL
+    return written(pairs.join(of("u", "a"), "u").join(of("v", "b"), "v").where(close).select("u", "v"))
 
 
 def _fingerprint_pairs(nodes: DataFrame, budget: int) -> DataFrame:
@@ -173,16 +165,25 @@ def similar_components(docs: DataFrame, text_col: str = "text", words_each: int
     """One row a document: id (row_key of doc_id), text_key, component over sets of that similarity."""
     texts = _texts(docs, text_col)
     thin = _thin(texts, words_each, similarity)
-    nodes = written(thin.groupBy("node").agg(F.min(F.struct("id", "text_key")).alias("at"), F.min("n").alias("n"), F.min("fp").alias("fp")))
+    size = F.min(F.size("tokens").cast("long")).alias("p")
+    nodes = written(thin.groupBy("node").agg(F.min(F.struct("id", "text_key")).alias("at"), F.min("n").alias("n"), size, F.min("fp").alias("fp")))
     confirm = lambda pairs: _confirmed(pairs, nodes, texts, words_each, similarity)
     edges = confirm(_fingerprint_pairs(nodes, budget))
     links = small(connected_components(edges))
 
-    tokens = thin.select("node", "n", "fp", F.explode("tokens").alias("token")).join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = lambda rows: small(rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token"))
-    live = written(tokens.join(mixed(tokens), "token").distinct())
+    tokens = thin.select("node", F.explode("tokens").alias("token"))
+    ends = lambda rows, of: rows.groupBy("token").agg(F.min(of).alias("lo"), F.max(of).alias("hi")).where("lo <> hi").select("token")
+    shared = tokens.join(small(ends(tokens, "node")), "token").distinct()
+    with_links = lambda rows, links: rows.join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    live = written(with_links(shared.join(nodes.select("node", "n", "p", "fp"), "node"), links))
     close = f"u_n >= {similarity} * v_n - {_SMALL} and v_n >= {similarity} * u_n - {_SMALL} and u_component <> v_component and (least(u_n, v_n) <= {FEW} or bit_count(u_fp ^ v_fp) <= {reach(similarity)})"
-    end = lambda e: live.select("token", *(F.col(c).alias(f"{e}_{c}") for c in ("node", "n", "fp", "component")))
+    end = lambda e: live.select("token", *(F.col(c).alias(f"{e}_{c}") for c in ("node", "n", "p", "fp", "component")))
+
+    def enough(pairs: DataFrame) -> DataFrame:
+        """Pairs that share enough of their prefixes: all that comes after is at most the rest of the set whose prefix ends first."""
+        counted = pairs.groupBy(F.col("u_node").alias("u"), F.col("v_node").alias("v"), (F.col("u_n") + F.col("v_n")).alias("both"), F.greatest(F.col("u_n") - F.col("u_p"), F.col("v_n") - F.col("v_p")).alias("rest")).agg(F.count(F.lit(1)).alias("c"))
+        return written(counted.where(F.col("c") + F.col("rest") >= similarity / (1 + similarity) * F.col("both") - _SMALL).select("u", "v"))
+
     rounds, before = 0, math.inf
     while True:
         counted = live.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own"))
@@ -194,15 +195,15 @@ def similar_components(docs: DataFrame, text_col: str = "text", words_each: int
         if last:
             pairs = end("u").join(end("v"), "token").where(f"u_node < v_node and {close}")
         else:
-            of_node = F.min(F.struct(F.xxhash64("u_node", F.lit(rounds)).alias("by"), "u_node", "u_n", "u_fp", "u_component")).alias("l")
-            leader = end("u").groupBy("token").agg(of_node).select("token", "l.u_node", "l.u_n", "l.u_fp", "l.u_component")
+            of_node = F.min(F.struct(F.xxhash64("u_node", F.lit(rounds)).alias("by"), "u_node", "u_n", "u_p", "u_fp", "u_component")).alias("l")
+            leader = end("u").groupBy("token").agg(of_node).select("token", "l.u_node", "l.u_n", "l.u_p", "l.u_fp", "l.u_component")
             pairs = end("v").join(written(leader), "token").where(close)
-        edges = written(edges.union(confirm(written(pairs.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).distinct()))))
+        edges = written(edges.union(confirm(enough(pairs))))
         links = small(connected_components(edges))
         if last:
             break
-        moved = written(live.drop("component").join(links, "node", "left").withColumn("component", F.coalesce("component", "node")))
-        live = written(moved.join(mixed(moved), "token", "left_semi"))
+        moved = written(with_links(live.drop("component"), links))
+        live = written(moved.join(small(ends(moved, "component")), "token", "left_semi"))
         rounds, before = rounds + 1, left
     return thin.select("id", "text_key", "node").join(links, "node", "left").select("id", "text_key", F.coalesce("component", "node").alias("component"))
 
