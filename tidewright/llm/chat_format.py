@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 TURN, BODY, NEXT, END = "<|turn|>", "<|body|>", "<|next|>", "<|end|>"
 FOREIGN = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
 
+#: Turns or pieces that one aggregate collects from.
+CHUNK = 256
+
 _CONTROL = r"([<\[])(?=\||/?s>|/?INST\]|<SYS>>|</SYS>>|/?SYS>>)"
 
 
@@ -39,34 +42,64 @@ def format_chats(turns: DataFrame, trained_roles: tuple[str, ...] = ("assistant"
     """One row a conversation: conv_id, formatted string, loss_spans array<struct<start, length>>."""
     rows = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     sorted_turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    marked = sorted_turns.withColumn("pieces", F.transform("turns", _piece(trained_roles)))
-    closed = marked.withColumn("formatted", F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["mark"], p["text"])), ""), F.lit(END)))
+    merged = sorted_turns.withColumn("runs", _runs(F.col("turns"))).withColumn("pieces", _pieces(F.col("turns"), F.col("runs"), trained_roles))
+    closed = merged.withColumn("formatted", F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["mark"], p["text"])), ""), F.lit(END)))
     return closed.select("conv_id", "formatted", _spans(F.col("pieces")).alias("loss_spans"))
 
 
-def _piece(trained_roles: tuple[str, ...]):
-    """What stands before a turn's text, its escaped text, and whether it is trained: the first turn of a run opens a block."""
+def _chunks(items: Column) -> Column:
+    """Where each CHUNK-th item stands: an aggregate that collects is run on parts of bounded size, so that its copying stays linear."""
+    return F.sequence(F.lit(0), F.size(items) - 1, F.lit(CHUNK))
+
+
+def _runs(turns: Column) -> Column:
+    """Adjacent turns of one role merged: where each run starts, found by aggregating over the sorted turns."""
+
+    def of_chunk(at: Column) -> Column:
+        start = F.struct(F.get(turns, at - 1)["role"].alias("role"), at.alias("at"), F.array().cast("array<int>").alias("starts"))
+
+        def merge(state: Column, turn: Column) -> Column:
+            starts = F.when(state["role"].eqNullSafe(turn["role"]), state["starts"]).otherwise(F.array_append(state["starts"], state["at"]))
+            return F.struct(turn["role"].alias("role"), (state["at"] + 1).alias("at"), starts.alias("starts"))
+
+        return F.aggregate(F.slice(turns, at + 1, F.lit(CHUNK)), start, merge, lambda state: state["starts"])
+
+    return F.flatten(F.transform(_chunks(turns), of_chunk))
 
-    def piece(turn: Column, i: Column) -> Column:
-        before = F.get(F.col("turns"), i - 1)["role"]
-        opens = F.concat(F.lit(TURN), escape(turn["role"]), F.lit(BODY))
-        mark = F.when(i == 0, opens).when(before == turn["role"], F.lit(NEXT)).otherwise(F.concat(F.lit(END), opens))
-        return F.struct(mark.alias("mark"), escape(turn["text"]).alias("text"), turn["role"].isin(*trained_roles).alias("trained"))
 
-    return piece
+def _pieces(turns: Column, runs: Column, trained_roles: tuple[str, ...]) -> Column:
+    """For each turn what stands before its text, its escaped text, and whether it is trained: the first turn of a run opens a block."""
+
+    def of_run(start: Column, k: Column) -> Column:
+        length = F.coalesce(F.get(runs, k + 1), F.size(turns)) - start
+
+        def piece(turn: Column, j: Column) -> Column:
+            opens = F.concat(F.when(k > 0, END).otherwise(""), F.lit(TURN), escape(turn["role"]), F.lit(BODY))
+            return F.struct(F.when(j == 0, opens).otherwise(NEXT).alias("mark"), escape(turn["text"]).alias("text"), turn["role"].isin(*trained_roles).alias("trained"))
+
+        return F.transform(F.slice(turns, start + 1, length), piece)
+
+    return F.flatten(F.transform(runs, of_run))
 
 
 def _spans(pieces: Column) -> Column:
-    """Running code-point offsets, kept where the piece is trained."""
-    none = F.array().cast("array<struct<start:bigint,length:bigint>>")
+    """Running code-point offsets, kept where the piece is trained: those of the chunks first, then within each."""
+    size = lambda p: (F.length(p["mark"]) + F.length(p["text"])).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    totals = F.transform(_chunks(pieces), lambda at: F.aggregate(F.slice(pieces, at + 1, F.lit(CHUNK)), zero, lambda total, p: total + size(p)))
+    start = F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("bases"))
+    bases = F.aggregate(totals, start, lambda state, total: F.struct((state["at"] + total).alias("at"), F.array_append(state["bases"], state["at"]).alias("bases")), lambda state: state["bases"])
+
+    def of_chunk(base: Column, k: Column) -> Column:
+        none = F.array().cast("array<struct<start:bigint,length:bigint>>")
+
+        def add(state: Column, p: Column) -> Column:
+            span = F.struct((state["at"] + F.length(p["mark"])).alias("start"), F.length(p["text"]).cast("bigint").alias("length"))
+            return F.struct((state["at"] + size(p)).alias("at"), F.when(p["trained"], F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
-    def add(state: Column, p: Column) -> Column:
-        start = state["at"] + F.length(p["mark"])
-        length = F.length(p["text"]).cast("bigint")
-        span = F.struct(start.alias("start"), length.alias("length"))
-        return F.struct((start + length).alias("at"), F.when(p["trained"], F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+        return F.aggregate(F.slice(pieces, k * CHUNK + 1, F.lit(CHUNK)), F.struct(base.alias("at"), none.alias("spans")), add, lambda state: state["spans"])
 
-    return F.aggregate(pieces, F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("spans")), add, lambda s: s["spans"])
+    return F.flatten(F.transform(bases, of_chunk))
 
 
 def read_turns(formatted: Column) -> Column:
