@@ -5,7 +5,10 @@ texts and tokens never leave the task that reads them) are dealt into groups of
 each group is packed by vector best-fit: pieces come from long to short, and a piece goes to the open sequence
 with the best score among those whose residual capacities of tokens, documents and attention cost (the sum of
 squared lengths) all admit it. Score "norm": least weighted norm of what is left; score "dot": greatest
-weighted dot-product of the piece's needs with the residuals. Sequences with no token left are closed.
+weighted dot-product of the piece's needs with the residuals. Sequences with no token left are closed. The
+default weights count a full share of documents or of attention cost half as much as one of tokens: pieces
+still fill sequences (on sf0.1 as few as the tokens need), and of sequences with about as many tokens left the
+one with less attention cost and fewer documents to spare is taken first.
 
 Defined results: a null text counts as empty; an empty text has the one token that ends a document. Repeated
 rows are packed each. Of equally good sequences the oldest is taken; pieces of one length come by doc_id,
@@ -45,7 +48,7 @@ class Capacity:
     tokens: int = 2048
     documents: int = 2048
     attention: int = 2048 * 2048
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    weights: tuple[float, float, float] = (1.0, 0.5, 0.5)
     score: str = "norm"
 
 
