@@ -4,7 +4,8 @@ Targets: the sources share the budget by weight; a target stops at CAP times its
 is reshared by weight until none is above. Rates: among all rates r in [0, CAP] that give a source its target
 tokens, the one with the least relative entropy to taking each document once is r = min(CAP, exp(t * size /
 scale)): exponentially tilted by document size, with one dual variable t a source. The convex dual is solved
-by Newton iterations, each one Spark aggregation of gradient and curvature over the counts by (source, size);
+by Newton iterations, each one Spark aggregation of gradient and curvature over the counts by (source, size),
+in whole numbers, so that reruns agree whatever the order of rows;
 a step that leaves the bracket known so far is replaced by its middle. Rounding: copies of equal documents
 are dealt by size from large to small, each size taking the whole number of copies that brings the source's
 running total nearest to the running target, so that only the smallest sizes are left to balance; within a
@@ -30,6 +31,8 @@ from .common import WORD, written, empty_text, row_key
 
 CAP = 2.0
 MOST_ROUNDS, CLOSE = 60, 1e-9
+#: Parts of one in which rates are summed.
+UNIT = 2**40
 #: Documents of one (source, size) that are ranked together at most, about.
 RANKED = 512
 
@@ -55,6 +58,11 @@ def targets(sizes: list[int], weights: list[float], budget: float, cap: float =
     return found
 
 
+def _exact_sum(rate: Column) -> Column:
+    """Of n * size * rate in whole UNIT-th parts, so that the order of rows does not count."""
+    return F.sum((F.col("n") * F.col("size")).cast("decimal(18,0)") * F.floor(rate * UNIT).cast("decimal(19,0)"))
+
+
 def _tilts(bins: DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
     """sources (number, target, scale) with the dual variable t of each; bins: number, size, n."""
     spark = bins.sparkSession
@@ -65,18 +73,19 @@ def _tilts(bins: DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
         duals = spark.createDataFrame(solved.loc[~solved.done, ["number", "t", "scale"]])
         z = F.col("size") / F.col("scale")
         tilted = F.exp(F.least(F.col("t") * z, F.lit(math.log(CAP))))
-        moved = F.col("n") * F.col("size") * tilted
         free = F.col("t") * z < F.lit(math.log(CAP))
-        sums = bins.join(duals, "number").groupBy("number").agg(F.sum(moved).alias("got"), F.sum(F.when(free, moved * z).otherwise(0.0)).alias("curve")).toPandas()  # a row a source
-        for r in sums.itertuples():
-            s = solved.index[solved.number == r.number][0]
-            t, gap = solved.at[s, "t"], r.got - solved.at[s, "target"]
+        slope = F.when(free, tilted * z).otherwise(0.0)
+        sums = bins.join(duals, "number").groupBy("number").agg(_exact_sum(tilted).alias("got"), _exact_sum(slope).alias("curve")).collect()  # a row a source
+        for r in sums:
+            s = solved.index[solved.number == r["number"]][0]
+            got, curve = float(r["got"]) / UNIT, float(r["curve"]) / UNIT
+            t, gap = solved.at[s, "t"], got - solved.at[s, "target"]
             if abs(gap) <= CLOSE * max(1.0, solved.at[s, "target"]):
                 solved.at[s, "done"] = True
                 continue
             solved.at[s, "high" if gap > 0 else "low"] = t
             low, high = solved.at[s, "low"], solved.at[s, "high"]
-            step = t - gap / r.curve if r.curve > 0 else math.nan
+            step = t - gap / curve if curve > 0 else math.nan
             if not low < step < high:
                 step = (low + high) / 2 if math.isfinite(low + high) else (2 * t + 1 if gap < 0 else 2 * t - 1)
             solved.at[s, "t"] = step
@@ -104,11 +113,11 @@ def mix(docs: DataFrame, weight_of: Callable[[int], float], budget_share: float
     spark = docs.sparkSession
     thin = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(text_col).alias("size")))
     bins = written(thin.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
-    found = bins.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum(F.col("n") * F.col("size") * F.col("size").cast("double")).alias("squares")).collect()  # a row a source
+    found = bins.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum((F.col("n") * F.col("size")).cast("decimal(18,0)") * F.col("size").cast("decimal(18,0)")).alias("squares")).collect()  # a row a source
     found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     sizes = [r["source_size"] for r in found]
     aims = targets(sizes, [float(weight_of(k)) for k in range(len(found))], budget_share * sum(sizes))
-    sources = pd.DataFrame({"number": range(len(found)), "source_size": sizes, "target": aims, "scale": [max(1.0, r["squares"] / max(1, r["source_size"])) for r in found]})
+    sources = pd.DataFrame({"number": range(len(found)), "source_size": sizes, "target": aims, "scale": [max(1.0, float(r["squares"]) / max(1, r["source_size"])) for r in found]})
     named = T.StructType([T.StructField("source", T.StringType()), T.StructField("number", T.LongType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
     numbers = spark.createDataFrame([(r["source"], k, sizes[k], aims[k]) for k, r in enumerate(found)], named)
     same_source = lambda a, b: a["source"].eqNullSafe(b["source"])
