@@ -9,9 +9,11 @@ path, or from its own best container where it has no text there.
 
 Dropped inside and outside of containers: menus, headers (headings inside of an article stay), footers,
 sidebars, notices, adverts, forms, scripts, styles, comments of markup and of readers, recognised by element,
-role or words of class and id; inside of articles by whole names or known compounds, and never headings. Character references are decoded, white space inside a block becomes one
-space, blocks are trimmed and joined by one line feed in page order; <br> ends a block. Nothing else is
-dropped or capped.
+role, or class and id: by whole names or known compounds, inside of articles never headings; outside of articles
+other compounds with such a word drop what holds at most half of the page's text, unless they say what a
+container has or lacks (with-sidebar). Character references are decoded, white space inside a block becomes
+one space, blocks are trimmed and joined by one line feed in page order; <br> ends a block. Nothing else is
+dropped or capped; two paths with one 64-bit key count as one.
 
 Defined results: null html counts as empty; a page without text gives the empty string. A null url, or one
 without host, votes under the empty host. A tag that the page's end cuts off is markup. Ties of votes go to
@@ -27,18 +29,13 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small
 from .url_filters import url_host
 
-#: Hosts up to which the table of winning paths is broadcast; beyond, it is joined by a shuffle.
-BROADCAST_HOSTS = 100_000
-
-#: Levels to which a path is spelled out (deeper elements share their ancestor's), and levels up to which a block counts for a container.
-SPELLED, NEAR = 100, 64
-
 #: Share of the kept text outside links that a container outside of articles must hold.
 NEARLY_ALL = 0.9
 
@@ -53,6 +50,9 @@ DROPPED_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement adve
 #: Inside of articles, a name counts as a whole, or as words of DROPPED_WORDS with these and numbers only; ids that are slugs of ordinary headings do not count.
 FITTINGS = frozenset("area article articles banner bar block body bottom box button buttons center container content count form group header icon icons inner item items js label left link links list media module outer page panel post posts right section site slot stories story title text tool tools top unit wrap wrapper".split())
 SLUGS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navigation menu footer comment reply replies discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations widget login pagination copyright masthead".split())
+#: Words that say in a compound what a container has or lacks; such a name drops nothing. Words of readers' comments, which may hold most of a page.
+STATES = frozenset("with without has have no non not less show hide is open off layout theme template".split())
+READERS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
 TEXT_BLOCKS = HEADINGS | frozenset("p blockquote pre dt dd li caption figcaption summary".split())
 #: What an opening tag ends, up to the element that holds it.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -74,14 +74,18 @@ def _is_furniture(name: str) -> bool:
 
 
 class Page:
-    """Block elements of a page (tag, path, parent, dropped) and its text blocks (element, text, share of it outside links)."""
+    """Block elements of a page (tag, step and key of its path, parent, dropped) and its text blocks (element, text, share of it outside links).
+
+    A path's key is a 64-bit hash of its parent's key and its last step, so that deep pages cost no more an element than flat ones.
+    """
 
     def __init__(self, source: str):
-        self.tag, self.path, self.parent, self.depth, self.dropped = ["#"], [""], [0], [0], [False]
-        self.article, self.shown = [False], [True]
+        self.tag, self.step, self.key, self.parent, self.dropped = ["#"], [""], [0], [0], [False]
+        self.article, self.shown, self.holder, self.weak = [False], [True], [0], [False]
         self.blocks: list[tuple[int, str, float]] = []
         self._stack, self._parts, self._linked, self._in_link = [0], [], 0, False
         self._read(source)
+        self._settle()
 
     def _read(self, source: str) -> None:
         at = 0
@@ -140,8 +144,10 @@ class Page:
         names = f"{found.get('class', '')} {found.get('id', '')}".split()
         self.tag.append(tag)
         self.parent.append(up)
-        self.depth.append(self.depth[up] + 1)
-        self.path.append(self.path[up] if self.depth[up] >= SPELLED else f"{self.path[up]}/{tag}" + "".join(f".{_DIGITS.sub('#', n)}" for n in sorted(set(names))))
+        self.step.append(tag + "".join(f".{_DIGITS.sub('#', n)}" for n in sorted(set(names))))
+        self.key.append(xxhash.xxh3_64_intdigest(f"{self.key[up]}/{self.step[-1]}") >> 1)
+        self.holder.append(len(self.tag) - 1 if tag in CONTAINERS else self.holder[up])
+        self.weak.append(False)
         self.article.append(self.article[up] or tag in ("article", "main"))
         self.shown.append(tag in HEADINGS or (tag != "header" and self.shown[up]))
         self.dropped.append(self.dropped[up] or self._is_dropped(tag, self.article[up], names, found))
@@ -156,7 +162,36 @@ class Page:
         if in_article:
             ids = () if tag in TEXT_BLOCKS else (n for n in found.get("id", "").split() if n not in SLUGS)
             return tag not in HEADINGS and any(map(_is_furniture, (*found.get("class", "").split(), *ids)))
-        return bool(DROPPED_WORDS & words) or tag == "header" or "header" in words
+        if tag == "header" or any(n == "header" or _is_furniture(n) for n in names):
+            return True
+        told = [p for n in names for p in [set(_PARTS.split(n))] if not p & STATES]
+        self.weak[-1] = any(p & (DROPPED_WORDS | {"header"}) for p in told)
+        return self.weak[-1] and any(p & READERS for p in told)
+
+    def _settle(self) -> None:
+        """Drops the containers outside of articles whose compound names only hint at it, but for those that hold most of the page's text."""
+        if any(self.weak):
+            held = self._held()
+            for e in range(1, len(self.tag)):
+                self.dropped[e] = self.dropped[e] or self.dropped[self.parent[e]] or (self.weak[e] and held[e] <= held[0] / 2)
+
+    def _held(self) -> list[float]:
+        """Of each element the kept text outside links."""
+        held = [0.0] * len(self.tag)
+        for element, text, plain in self.blocks:
+            if not self.dropped[element]:
+                held[element] += plain * len(text)
+        for e in range(len(held) - 1, 0, -1):
+            held[self.parent[e]] += held[e]
+        return held
+
+    def path(self, element: int) -> str:
+        """The generalised path, spelled out."""
+        steps = []
+        while element:
+            steps.append(self.step[element])
+            element = self.parent[element]
+        return "".join(f"/{x}" for x in reversed(steps))
 
     def _close(self, tag: str) -> None:
         if tag == "a":
@@ -173,15 +208,13 @@ class Page:
         found: dict[int, float] = defaultdict(float)
         for element, text, plain in self.blocks:
             if not self.dropped[element]:
-                at, share, level = element, 1.0, 0
-                while share > 0.1 and level < NEAR:
-                    level += 1
-                    if self.tag[at] in CONTAINERS or not at:
-                        found[at] += share * plain * len(text)
-                        share /= 2
+                at, share = self.holder[element], 1.0
+                while share > 0.1:
+                    found[at] += share * plain * len(text)
+                    share /= 2
                     if not at:
                         break
-                    at = self.parent[at]
+                    at = self.holder[self.parent[at]]
         return found
 
     def best(self, scores: dict[int, float]) -> int:
@@ -193,20 +226,15 @@ class Page:
         for tag in ("article", "main"):
             if found := [e for e in around if self.tag[e] == tag]:
                 return found[-1]
-        held = [0.0] * len(self.tag)
-        for element, text, plain in self.blocks:
-            if not self.dropped[element]:
-                held[element] += plain * len(text)
-        for e in range(len(held) - 1, 0, -1):
-            held[self.parent[e]] += held[e]
+        held = self._held()
         return next((e for e in around if (self.tag[e] in CONTAINERS or not e) and held[e] >= NEARLY_ALL * held[0]), 0)
 
-    def text(self, path: str | None) -> str:
-        """The blocks under the elements at the path, or else under the page's own best container; of a header inside of an article, headings stay."""
-        if found := self._under([p == path for p in self.path]):
+    def text(self, key: int | None) -> str:
+        """The blocks under the elements at the path of that key, or else at the path of the page's own best container; of a header inside of an article, headings stay."""
+        if found := self._under([k == key for k in self.key]):
             return found
-        best = self.best(self.scores())
-        return self._under([e == best for e in range(len(self.path))])
+        own = self.key[self.best(self.scores())]
+        return self._under([k == own for k in self.key])
 
     def _under(self, inside: list[bool]) -> str:
         for i in range(1, len(inside)):
@@ -216,35 +244,35 @@ class Page:
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        votes: dict[tuple[str, str], list[float]] = defaultdict(lambda: [0.0, 0])
+        votes: dict[tuple[str, int], list] = {}
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             page = Page(source.as_py() or "")
-            scores = page.scores()
-            if scores:
-                vote = votes[host, page.path[page.best(scores)]]
-                vote[0] += max(scores.values()) / sum(len(t) for _, t, _ in page.blocks)
-                vote[1] += 1
-        rows = [(h, p, w, n) for (h, p), (w, n) in votes.items()]
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64(), pa.int64()), strict=True)], ["host", "path", "weight", "pages"])
+            if scores := page.scores():
+                best = page.best(scores)
+                vote = votes.setdefault((host, page.key[best]), [page.path(best), 0.0, 0])
+                vote[1] += max(scores.values()) / sum(len(t) for _, t, _ in page.blocks)
+                vote[2] += 1
+        rows = [(h, k, *v) for (h, k), v in votes.items()]
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.float64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "key", "path", "weight", "pages"])
 
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The winning path of each host: host, path, weight, pages."""
-    votes = pages.select(url_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_votes, "host string, path string, weight double, pages long")
-    summed = votes.groupBy("host", "path").agg(F.round(F.sum("weight"), 6).alias("weight"), F.sum("pages").alias("pages"))
-    return summed.groupBy("host").agg(F.max(F.struct("weight", "path", "pages")).alias("won")).select("host", "won.path", "won.weight", "won.pages")
+    """The winning path of each host: host, key, path, weight, pages."""
+    votes = pages.select(url_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_votes, "host string, key long, path string, weight double, pages long")
+    summed = votes.groupBy("host", "key").agg(F.min("path").alias("path"), F.round(F.sum("weight"), 6).alias("weight"), F.sum("pages").alias("pages"))
+    return summed.groupBy("host").agg(F.max(F.struct("weight", "path", "key", "pages")).alias("won")).select("host", "won.key", "won.path", "won.weight", "won.pages")
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """pages with text and n_chars."""
-    won = written(host_paths(pages, url_col, html_col).select(F.col("host").alias("_tw_host"), F.col("path").alias("_tw_path")))
-    won = F.broadcast(won) if won.count() <= BROADCAST_HOSTS else won
+    won = small(host_paths(pages, url_col, html_col).select(F.xxhash64("host").alias("_tw_host"), F.col("key").alias("_tw_key")))  # two longs a host
 
     @F.arrow_udf("string")
     def text(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for sources, paths in batches:
-            yield pa.array([Page(s.as_py() or "").text(p.as_py()) for s, p in zip(sources, paths, strict=True)], pa.string())
+        for sources, keys in batches:
+            yield pa.array([Page(s.as_py() or "").text(k.as_py()) for s, k in zip(sources, keys, strict=True)], pa.string())
 
-    found = pages.withColumn("_tw_host", url_host(F.col(url_col))).join(won, "_tw_host", "left")
-    return found.withColumn("text", text(F.col(html_col), F.col("_tw_path"))).withColumn("n_chars", F.length("text").cast("long")).drop("_tw_host", "_tw_path")
+    found = pages.withColumn("_tw_host", F.xxhash64(url_host(F.col(url_col)))).join(won, "_tw_host", "left")
+    return found.withColumn("text", text(F.col(html_col), F.col("_tw_key"))).withColumn("n_chars", F.length("text").cast("long")).drop("_tw_host", "_tw_key")
