@@ -29,6 +29,8 @@ from .components import connected_components, spanning_forest
 
 #: Documented bounds: rows that k-means is fitted on, cells, wanted classes a cell, rows a block.
 SAMPLE_ROWS, MOST_CELLS, CELL_ROWS, BLOCK_ROWS = 20_000, 1024, 2048, 2048
+#: Bytes of vectors that the sample holds at most, about.
+SAMPLE_BYTES = 32_000_000
 
 
 def usable(vector: Column) -> Column:
@@ -70,13 +72,14 @@ def _matrix(column: pa.Array, n: int) -> np.ndarray:
     return np.asarray(column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten(), dtype=np.float64).reshape(n, -1)
 
 
-def fit_cells(classes: DataFrame, total: int, largest: int) -> dict[int, np.ndarray]:
+def fit_cells(classes: DataFrame, total: int, largest: int, longest: int) -> dict[int, np.ndarray]:
     """Centroids by vector length, none where one cell does. classes: cid, dim, vector."""
     k = min(MOST_CELLS, -(-largest // CELL_ROWS))
     if k < 2:
         return {}
-    share = F.pmod(F.xxhash64("cid"), F.lit(1_000_000)) < F.lit(int(1e6 * min(1.0, SAMPLE_ROWS / total)) + 1)
-    sample = classes.where(share).select("dim", "vector").limit(2 * SAMPLE_ROWS).toArrow()
+    wanted = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * longest)))
+    share = F.pmod(F.xxhash64("cid"), F.lit(1_000_000)) < F.lit(int(1e6 * min(1.0, wanted / total)) + 1)
+    sample = classes.where(share).select("dim", "vector").limit(2 * wanted).toArrow()
     fitted = {}
     for dim in sorted(set(sample["dim"].to_pylist())):
         own = sample.filter(pa.compute.equal(sample["dim"], dim))
@@ -116,8 +119,8 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.98, vector_col: str =
     good = rows.where("links_at_all")
     grouped = good.groupBy("label", "vector").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     classes = written(grouped.withColumns({"cid": F.monotonically_increasing_id(), "dim": F.size("vector")}))
-    sizes = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
-    fitted = fit_cells(classes, sizes[1] or 0, sizes[0] or 0)
+    sizes = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n"), F.max("dim")).first()
+    fitted = fit_cells(classes, sizes[1] or 0, sizes[0] or 0, sizes[2] or 1)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
