@@ -38,9 +38,9 @@ def test_frequent_hashes_come_last_and_change_no_result(spark, monkeypatch):
     texts = {k: shared + " " + prose(100 + k // 2, 20) + f" x{k % 2}" for k in range(60)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     want = sorted(set(brute_components(sorted(texts), lambda a, b: similarity(texts[a], texts[b]) >= 0.8).values()))
-    for frequent, pairs in ((8, 4), (10**6, 4), (1, 0)):
+    for frequent, group in ((8, 512), (10**6, 7), (1, 2)):
         monkeypatch.setattr(near_copies, "FREQUENT", frequent)
-        monkeypatch.setattr(near_copies, "PAIRS_A_ROW", pairs)
+        monkeypatch.setattr(near_copies, "GROUP", group)
         assert sorted(r.doc_id for r in near_copies.near_dedup(df).collect()) == want
 
 

@@ -40,8 +40,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     steps: list[DataFrame] = []
     while not live.isEmpty():
         first = live.union(live.select("v", "u")).groupBy("u").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
-        step = written(first.select(F.col("u").alias("node"), F.when(F.xxhash64("v") < F.xxhash64("u"), F.col("v")).otherwise(F.col("u")).alias("image")))
-        step = written(step.join(step.select(F.col("node").alias("image"), F.col("image").alias("further")), "image").select("node", F.col("further").alias("image")))
+        near = first.select(F.col("u").alias("node"), F.when(F.xxhash64("v") < F.xxhash64("u"), F.col("v")).otherwise(F.col("u")).alias("image"))
+        step = written(near.join(near.select(F.col("node").alias("image"), F.col("image").alias("further")), "image").select("node", F.col("further").alias("image")))
         steps.append(step)
         moved = live.join(step.select(F.col("node").alias("u"), F.col("image").alias("iu")), "u").join(step.select(F.col("node").alias("v"), F.col("image").alias("iv")), "v")
         live = written(moved.where("iu <> iv").select(F.least("iu", "iv").alias("u"), F.greatest("iu", "iv").alias("v")).distinct())

@@ -7,8 +7,9 @@ are never compared pair by pair. The links beyond its budget are completed from
 similarity t or more share one of the first n - ceil(t * n) + 1 hashes of each, in any order that holds for all
 sets (prefix filter). The order is that of the hashes, with hashes known to be frequent last. Sets that share
 such a hash, and enough of them for the rest to reach t, and whose fingerprints differ in no more bits than similar
-sets' do (reach()) are confirmed on the whole sets: first with one of them, a leader, in rounds, then those of
-different components with each other.
+sets' do (reach()) are compared whole. That is done first for the sets that share a hash with one of them, a
+leader, in groups of bounded size, which joins most of a large group of copies; then for all such pairs of
+different components.
 
 Only hashes, fingerprints and counts are dealt out; texts are read where they stand, and sets are made again
 for the pairs to confirm. The one source of loss is reach(): five standard deviations, about one link in a
@@ -33,19 +34,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written, row_key, small, text_key
-from .components import connected_components
+from .components import connected_components, spanning_forest
 from .simhash import BITS, fingerprint_links, keep_firsts
 
 #: Hashes that come last in the order: those in more prefixes than FREQUENT of the SAMPLED-th part of the texts, MOST_FREQUENT at most. They decide the work, never the result.
 SAMPLED, FREQUENT, MOST_FREQUENT = 4, 8, 50_000
-#: Leader rounds go on while they at least halve the pairs left and these are more than PAIRS_A_ROW times the rows.
-PAIRS_A_ROW = 4
+#: Sets compared with each other in one group around a leader, about.
+GROUP = 512
 #: Sets up to this size are compared whatever their fingerprints.
 FEW = 16
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SMALL = 1e-9
-_BLOCK = 1 << 14
+_BLOCK, _COLUMNS = 1 << 14, 4096
 
 
 def reach(similarity: float) -> int:
@@ -134,23 +135,95 @@ def _thin(texts: DataFrame, words_each: int, similarity: float) -> DataFrame:
     return written(texts.mapInArrow(made, "id long, text_key long, node long, n long, fp long, tokens array<long>"))
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words_each: int, similarity: float) -> DataFrame:
-    """u, v of the pairs, as a table, whose sets are similar. The sets are made from the one text that stands for each node."""
+def _sets(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, words_each: int) -> DataFrame:
+    """node, hashes of the wanted nodes, as a table: made from the one text that stands for each."""
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _of_texts(batches, words_each):
             ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))], ["node", "hashes"])
 
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes.select("node", "at.id", "at.text_key"), "node")
-    rows = texts.join(small(wanted), ["id", "text_key"]).select("node", "text").mapInArrow(sets_of, "node long, hashes array<long>")
-    sets = written(rows.groupBy("node").agg(F.min("hashes").alias("hashes")))  # repeated rows meet on the map side first
+    keys = wanted.distinct().join(nodes.select("node", "at.id", "at.text_key"), "node")
+    rows = texts.join(small(keys), ["id", "text_key"]).select("node", "text").mapInArrow(made, "node long, hashes array<long>")
+    return written(rows.groupBy("node").agg(F.min("hashes").alias("hashes")))  # repeated rows meet on the map side first
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words_each: int, similarity: float) -> DataFrame:
+    """u, v of the pairs, a table, whose sets are similar."""
+    sets = _sets(pairs.select(F.col("u").alias("node")).union(pairs.select("v")), nodes, texts, words_each)
     of = lambda end, name: sets.select(F.col("node").alias(end), F.col("hashes").alias(name))
     both = F.size(F.array_intersect("a", "b"))
     close = both >= similarity * (F.size("a") + F.size("b") - both) - _SMALL
     return written(pairs.join(of("u", "a"), "u").join(of("v", "b"), "v").where(close).select("u", "v"))
 
 
+def similar_pairs(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions i < j of all similar sets, by products of the incidence of shared hashes."""
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, owners = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = owners[column] > 1
+    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    overlap = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        lo, hi = np.searchsorted(column, [first, first + _COLUMNS])
+        incidence = np.zeros((len(sets), _COLUMNS), dtype=np.float32)
+        incidence[owner[lo:hi], column[lo:hi] - first] = 1
+        overlap += incidence @ incidence.T
+    i, j = np.nonzero(overlap >= similarity * (sizes[:, None] + sizes[None, :] - overlap) - _SMALL)
+    return i[i < j], j[i < j]
+
+
+def _collapsed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words_each: int, similarity: float) -> DataFrame:
+    """u, v: spanning forests of the similar sets among those that share a leader (u of the pairs), in groups of about GROUP sets; each set goes to one leader's group."""
+    stars = pairs.groupBy("v").agg(F.min("u").alias("leader")).select("leader", F.col("v").alias("node"))
+    counted = written(stars.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups")))
+    members = stars.join(counted, "leader").select("leader", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int").alias("group"), "node")
+    leaders = counted.select("leader", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.col("leader").alias("node"))
+    grouped = members.where("node <> leader").union(leaders)
+    sets = _sets(grouped.select("node"), nodes, texts, words_each)
+
+    return _forests(grouped.join(sets, "node"), ["leader", "group"], similarity)
+
+
+def _forests(rows: DataFrame, by: list[str], similarity: float) -> DataFrame:
+    """u, v, a table: a spanning forest of the similar sets of each group. rows: by, node, hashes."""
+
+    def linked(own: pa.Table) -> pa.Table:
+        node = own["node"].to_numpy()
+        i, j = similar_pairs([np.asarray(h.values) for h in own["hashes"].combine_chunks()], similarity)
+        u, v = spanning_forest(node[i], node[j])
+        return pa.table({"u": u, "v": v})
+
+    return written(rows.select(*by, "node", "hashes").groupBy(*by).applyInArrow(linked, "u long, v long"))
+
+
+def _compared(pairs: DataFrame, links: DataFrame, nodes: DataFrame, texts: DataFrame, words_each: int, similarity: float) -> DataFrame:
+    """u, v: spanning forests of the similar sets among the pairs and some more.
+
+    Pairs hang together in clusters: copies of copies that are hardly less alike than links. A cluster is cut
+    into blocks of about GROUP sets, and each block meets each, so that a set is moved once a block, not once a
+    pair. Components of more sets than that have blocks of their own, which do not meet each other.
+    """
+    clusters = connected_components(pairs).withColumnRenamed("component", "cluster").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = written(clusters)
+    sized = members.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n")).withColumn("own", F.when(F.col("n") > GROUP, F.col("component")))
+    counts = written(sized.groupBy("cluster", "own").agg(F.ceil(F.sum("n") / GROUP).cast("int").alias("blocks")))
+    large = small(sized.where("own is not null").select("cluster", "component", "own"))
+    same = F.col("a.cluster").eqNullSafe(F.col("b.cluster")) & F.col("a.own").eqNullSafe(F.col("b.own"))
+    known = members.join(large, ["cluster", "component"], "left").alias("a").join(counts.alias("b"), same).select("a.cluster", "a.own", "node", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+    label = F.xxhash64(F.coalesce("own", F.lit(0)), F.col("own").isNull(), "block").alias("label")
+    placed = written(known.select("cluster", "own", label, "node"))
+    blocks = placed.select("cluster", "own", "label").distinct()
+    left, right = (blocks.select("cluster", F.col("own").alias(f"own_{e}"), F.col("label").alias(e)) for e in "ij")
+    tasks = left.join(right, "cluster").where("i <= j and not coalesce(own_i = own_j, false)").select("cluster", "i", "j")
+    parts = tasks.withColumn("label", F.explode(F.array_distinct(F.array("i", "j"))))
+    sets = _sets(members.select("node"), nodes, texts, words_each)
+    return _forests(placed.select("cluster", "label", "node").join(sets, "node").join(parts, ["cluster", "label"]), ["cluster", "i", "j"], similarity)
+
+
 def _fingerprint_pairs(nodes: DataFrame, budget: int) -> DataFrame:
     """u, v: the trie join's spanning forest between nodes, and nodes of one fingerprint with the first of them."""
     firsts = written(nodes.groupBy("fp").agg(F.min("node").alias("first")))
@@ -167,44 +240,32 @@ def similar_components(docs: DataFrame, text_col: str = "text", words_each: int
     thin = _thin(texts, words_each, similarity)
     size = F.min(F.size("tokens").cast("long")).alias("p")
     nodes = written(thin.groupBy("node").agg(F.min(F.struct("id", "text_key")).alias("at"), F.min("n").alias("n"), size, F.min("fp").alias("fp")))
-    confirm = lambda pairs: _confirmed(pairs, nodes, texts, words_each, similarity)
-    edges = confirm(_fingerprint_pairs(nodes, budget))
-    links = small(connected_components(edges))
+    about = nodes, texts, words_each, similarity
+    close = _confirmed(_fingerprint_pairs(nodes, budget), *about)
 
     tokens = thin.select("node", F.explode("tokens").alias("token"))
     ends = lambda rows, of: rows.groupBy("token").agg(F.min(of).alias("lo"), F.max(of).alias("hi")).where("lo <> hi").select("token")
-    shared = tokens.join(small(ends(tokens, "node")), "token").distinct()
-    with_links = lambda rows, links: rows.join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    live = written(with_links(shared.join(nodes.select("node", "n", "p", "fp"), "node"), links))
-    close = f"u_n >= {similarity} * v_n - {_SMALL} and v_n >= {similarity} * u_n - {_SMALL} and u_component <> v_component and (least(u_n, v_n) <= {FEW} or bit_count(u_fp ^ v_fp) <= {reach(similarity)})"
-    end = lambda e: live.select("token", *(F.col(c).alias(f"{e}_{c}") for c in ("node", "n", "p", "fp", "component")))
+    live = written(tokens.join(small(ends(tokens, "node")), "token").distinct().join(nodes.select("node", "n", "p", "fp"), "node"))
+    may = f"u_n >= {similarity} * v_n - {_SMALL} and v_n >= {similarity} * u_n - {_SMALL} and (least(u_n, v_n) <= {FEW} or bit_count(u_fp ^ v_fp) <= {reach(similarity)})"
 
     def enough(pairs: DataFrame) -> DataFrame:
         """Pairs that share enough of their prefixes: all that comes after is at most the rest of the set whose prefix ends first."""
-        counted = pairs.groupBy(F.col("u_node").alias("u"), F.col("v_node").alias("v"), (F.col("u_n") + F.col("v_n")).alias("both"), F.greatest(F.col("u_n") - F.col("u_p"), F.col("v_n") - F.col("v_p")).alias("rest")).agg(F.count(F.lit(1)).alias("c"))
+        rest = F.greatest(F.col("u.n") - F.col("u.p"), F.col("v.n") - F.col("v.p"))
+        counted = pairs.groupBy(F.col("u.node").alias("u"), F.col("v.node").alias("v"), (F.col("u.n") + F.col("v.n")).alias("both"), rest.alias("rest")).agg(F.count(F.lit(1)).alias("c"))
         return written(counted.where(F.col("c") + F.col("rest") >= similarity / (1 + similarity) * F.col("both") - _SMALL).select("u", "v"))
 
-    rounds, before = 0, math.inf
-    while True:
-        counted = live.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own"))
-        state = counted.agg(F.sum("all").alias("rows"), F.sum((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs")).first()
-        left = state["pairs"] or 0
-        if not left:
-            break
-        last = left <= PAIRS_A_ROW * state["rows"] or left > before / 2
-        if last:
-            pairs = end("u").join(end("v"), "token").where(f"u_node < v_node and {close}")
-        else:
-            of_node = F.min(F.struct(F.xxhash64("u_node", F.lit(rounds)).alias("by"), "u_node", "u_n", "u_p", "u_fp", "u_component")).alias("l")
-            leader = end("u").groupBy("token").agg(of_node).select("token", "l.u_node", "l.u_n", "l.u_p", "l.u_fp", "l.u_component")
-            pairs = end("v").join(written(leader), "token").where(close)
-        edges = written(edges.union(confirm(enough(pairs))))
-        links = small(connected_components(edges))
-        if last:
-            break
-        moved = written(with_links(live.drop("component"), links))
-        live = written(moved.join(small(ends(moved, "component")), "token", "left_semi"))
-        rounds, before = rounds + 1, left
+    end = lambda rows, e: rows.select("token", *(F.col(c).alias(f"{e}_{c}") for c in rows.columns if c != "token"))
+    of_pair = lambda pairs: pairs.select(*(F.struct(*(F.col(f"{e}_{c}").alias(c) for c in ("node", "n", "p"))).alias(e) for e in "uv"))
+    first = F.min(F.struct(F.xxhash64("node").alias("by"), "node", "n", "p", "fp")).alias("l")
+    leaders = written(live.groupBy("token").agg(first).select("token", "l.node", "l.n", "l.p", "l.fp"))
+    stars = enough(of_pair(end(live, "v").join(end(leaders, "u"), "token").where(f"u_node <> v_node and {may}")))
+    edges = written(close.union(_collapsed(stars, *about)))
+
+    links = written(connected_components(edges))
+    moved = written(live.join(links, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    mixed = written(moved.join(small(ends(moved, "component")), "token", "left_semi"))
+    others = enough(of_pair(end(mixed, "u").join(end(mixed, "v"), "token").where(f"u_node < v_node and u_component <> v_component and {may}")))
+    links = written(connected_components(edges.union(_compared(others, links, *about))))
     return thin.select("id", "text_key", "node").join(links, "node", "left").select("id", "text_key", F.coalesce("component", "node").alias("component"))
 
 
