@@ -240,6 +240,10 @@ def test_files_without_a_ticker_csv_and_few_news(spark, tmp_path):
     (tmp_path / "x.json").write_text('{"ticker": "DEF", "dates": ["2020-01-01"], "open": [1.0], "high": [1.0], "low": [1.0], "close": [2.0], "volume": [3.0]}')
     (tmp_path / "bad.json").write_text("{")
     assert sorted(r.ticker for r in bar_source.scan_prices_json(spark, f"{tmp_path}/*.json").collect()) == ["ABC", "DEF"]
+    assert bar_source.preload(spark, f"{tmp_path}/*.json").count() == 2 and bar_source.is_preloaded(spark)
+    bar_source.clear(spark)
+    bar_source.clear(spark)
+    assert not bar_source.is_preloaded(spark)
     assert etl.csv_lines(spark.createDataFrame([], "x string"), ["x"]).count() == 0
     with pytest.raises(ValueError):
         etl.write_news(spark.range(19), str(tmp_path / "news"))

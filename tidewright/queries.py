@@ -17,7 +17,7 @@ from .operators.indicators import REGISTRY, indicator
 from .operators.strategy import BackTest
 from .plans.config import FIRST_THRESHOLD, PRESETS, IndicatorConfig, Rule, Strategy, blocks_to_strategy, default_blocks, strategy_to_blocks
 from .sources import bars as fixtures
-from .sources import etl, registry
+from .sources import etl, registry, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -473,3 +473,36 @@ def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("instrument_class", _classes, psql.select([f"ins AS ({sql.INSTRUMENTS})"], "ticker, instrument_class", "ins"))
+
+
+# Stored portfolios, one a nation in lines of JSON arrays; every fifth lacks its name and one line is no JSON.
+
+
+def _portfolio(name, created: int, updated: int, step: int) -> list:
+    key = F.col("n_nationkey")
+    at = lambda start: F.timestamp_seconds(F.lit(start) + key * step)
+    return [name.alias("name"), F.array(F.col("n_name"), F.lit("X")).alias("tickers"), F.array(F.lit(0.5), F.lit(0.5)).alias("weights"), F.lit("{}").alias("strategy"), at(created).alias("createdAt"), at(updated).alias("updatedAt")]
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    record = F.struct(*_portfolio(F.when(F.col("n_nationkey") % 5 != 0, F.col("n_name")), 1_600_000_000, 1_700_000_000, 3600))
+    lines = fixtures.read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.to_json(F.collect_list(record)).alias("value")).select("value")
+    return store.parse(lines.union(spark.createDataFrame([("no json",)], "value string")))
+
+
+def _saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = fixtures.read(spark, sf_dir, "nation").where("n_nationkey % 4 = 1").select(*_portfolio(F.col("n_name"), 1_800_000_000, 1_800_000_000, 60))
+    return store.save(_stored(spark, sf_dir), new.withColumnsRenamed({"createdAt": "created_at", "updatedAt": "updated_at"}))
+
+
+_time = lambda start, step: f"make_timestamp(({start} + CAST(n_nationkey AS BIGINT) * {step}) * 1000000)"
+_STORED = f"st AS (SELECT n_name AS name, {_time(1600000000, 3600)} AS created_at, {_time(1700000000, 3600)} AS updated_at FROM nation WHERE n_nationkey % 5 <> 0)"
+_NEW = f"nw AS (SELECT n_name AS name, {_time(1800000000, 60)} AS created_at, {_time(1800000000, 60)} AS updated_at FROM nation WHERE n_nationkey % 4 = 1)"
+register("portfolio_list", lambda spark, sf_dir: store.listed(_stored(spark, sf_dir)).select("name", "created_at", "updated_at"), psql.select([_STORED], "name, created_at, updated_at", "st"))
+register(
+    "portfolio_save",
+    lambda spark, sf_dir: _saved(spark, sf_dir).select("name", "created_at", "updated_at"),
+    psql.select([_STORED, _NEW, "al AS (SELECT name, min(created_at) AS created_at, max(updated_at) AS updated_at FROM (SELECT * FROM st UNION ALL SELECT * FROM nw) GROUP BY name)"], "name, created_at, updated_at", "(SELECT * FROM al ORDER BY updated_at DESC, name LIMIT 20)"),
+)
+register("portfolio_load", lambda spark, sf_dir: store.load(_saved(spark, sf_dir), "NATION_9").select("name", F.array_join("tickers", " ").alias("tickers")), "SELECT n_name AS name, n_name || ' X' AS tickers FROM nation WHERE n_name = 'NATION_9'")
+register("portfolio_delete", lambda spark, sf_dir: store.delete(_stored(spark, sf_dir), "NATION_9").select("name"), psql.select([_STORED], "name", "st WHERE name <> 'NATION_9'"))

@@ -61,3 +61,21 @@ def scan_prices_json(spark: SparkSession, path: str) -> DataFrame:
     good = files.where(F.col("_corrupt_record").isNull())
     rows = good.select(F.coalesce(F.when(F.col("ticker") != "", F.col("ticker")), stem).alias("ticker"), F.explode(F.arrays_zip("dates", "open", "high", "low", "close", "volume")).alias("r"))
     return rows.select("ticker", F.to_date("r.dates").alias("date"), *[F.col(f"r.{c}").alias(c) for c in COLUMNS[2:]])
+
+
+def preload(spark: SparkSession, path: str, name: str = "prices") -> DataFrame:
+    """The bars of price files as a temporary view that Spark keeps in memory, and on disk beyond it."""
+    scan_prices_json(spark, path).createOrReplaceTempView(name)
+    spark.catalog.cacheTable(name)
+    return spark.table(name)
+
+
+def is_preloaded(spark: SparkSession, name: str = "prices") -> bool:
+    return spark.catalog.tableExists(name) and spark.catalog.isCached(name)
+
+
+def clear(spark: SparkSession, name: str = "prices") -> None:
+    """Forgets the view and what is kept of it; a name that is not known changes nothing."""
+    if spark.catalog.tableExists(name):
+        spark.catalog.uncacheTable(name)
+        spark.catalog.dropTempView(name)
