@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns what Arrow's allocator keeps for later to the system: workers are kept between tasks, next to each other."""
+    pa.default_memory_pool().release_unused()
+
+
 def empty_text(text: Column | str) -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
@@ -80,10 +86,11 @@ def keep_marked(docs: DataFrame, marks: DataFrame, text_col: str) -> DataFrame:
     going = written(counts.select("_tw_id", "_tw_text", F.col("stays").alias("again")))
     keys = ["_tw_id", "_tw_text"]
     keyed = docs.withColumns({"_tw_id": row_key("doc_id"), "_tw_text": text_key(text_col)})
-    kept = keyed.join(small(going.select(*keys)), keys, "left_anti").select(docs.columns)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    kept = keyed.join(small(going.select(*keys)), keys, "left_anti").select(*own)
     repeated = going.where("again").select(*keys)
     if repeated.isEmpty():
         return kept
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.struct(*own)
     first = keyed.join(small(repeated), keys, "left_semi").groupBy(*keys).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("row"))
     return kept.union(first.select("row.*"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written, keep_marked, text_key
+from .common import give_back, keep_marked, text_key, written
 
 #: Chunk sizes in bytes of the normalised text. The mean is about SHORTEST + 2 ** MASK_BITS.
 SHORTEST, LONGEST, MASK_BITS = 512, 16384, 10
@@ -93,6 +93,7 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = pa.StructArray.from_arrays([pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array(digests, pa.binary())], ["key", "digest"])
         columns = [batch.column(0), pa.array(hashes, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), chunks), *batch.columns[2:]]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_sha256", "chunks", *batch.schema.names[2:]])
+    give_back()
 
 
 def _grouped(docs: DataFrame, text_col: str, *carried: str) -> DataFrame:

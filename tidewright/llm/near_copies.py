@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written, row_key, small, text_key
+from .common import give_back, row_key, small, text_key, written
 from .components import connected_components, spanning_forest
 from .simhash import BITS, fingerprint_links, keep_firsts
 
@@ -95,6 +95,7 @@ def _of_texts(batches: Iterator[pa.RecordBatch], words_each: int) -> Iterator[tu
     for whole in batches:
         for batch in (whole.slice(at, 512) for at in range(0, whole.num_rows, 512)):
             yield batch, [shingle_set(t.as_py(), words_each) for t in batch.columns[-1].cast(pa.binary())]
+    give_back()
 
 
 def _node(hashes: np.ndarray) -> int:
@@ -255,16 +256,21 @@ def similar_components(docs: DataFrame, text_col: str = "text", words_each: int
         return written(counted.where(F.col("c") + F.col("rest") >= similarity / (1 + similarity) * F.col("both") - _SMALL).select("u", "v"))
 
     end = lambda rows, e: rows.select("token", *(F.col(c).alias(f"{e}_{c}") for c in rows.columns if c != "token"))
-    of_pair = lambda pairs: pairs.select(*(F.struct(*(F.col(f"{e}_{c}").alias(c) for c in ("node", "n", "p"))).alias(e) for e in "uv"))
+    node_of = lambda e: F.struct(*(F.col(f"{e}_{c}").alias(c) for c in ("node", "n", "p")))
+    of_pair = lambda pairs: pairs.select(F.least(node_of("u"), node_of("v")).alias("u"), F.greatest(node_of("u"), node_of("v")).alias("v"))
     first = F.min(F.struct(F.xxhash64("node").alias("by"), "node", "n", "p", "fp")).alias("l")
     leaders = written(live.groupBy("token").agg(first).select("token", "l.node", "l.n", "l.p", "l.fp"))
-    stars = enough(of_pair(end(live, "v").join(end(leaders, "u"), "token").where(f"u_node <> v_node and {may}")))
+    stars = enough(end(live, "v").join(end(leaders, "u"), "token").where(f"u_node <> v_node and {may}").select(node_of("u").alias("u"), node_of("v").alias("v")))
     edges = written(close.union(_collapsed(stars, *about)))
 
     links = written(connected_components(edges))
     moved = written(live.join(links, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    mixed = written(moved.join(small(ends(moved, "component")), "token", "left_semi"))
-    others = enough(of_pair(end(mixed, "u").join(end(mixed, "v"), "token").where(f"u_node < v_node and u_component <> v_component and {may}")))
+    # of each hash with several components, all but the largest meet the rest, so that a large group of copies does not meet itself
+    sizes = moved.groupBy("token", "component").agg(F.count(F.lit(1)).alias("rows"))
+    largest = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("rows", "component")).alias("largest")).where("components > 1")
+    mixed = written(moved.join(small(largest.select("token", F.col("largest.component").alias("most"))), "token").withColumn("lesser", F.col("component") != F.col("most")).drop("most"))
+    differ = f"u_component <> v_component and (not v_lesser or u_node < v_node) and {may}"
+    others = enough(of_pair(end(mixed.where("lesser"), "u").hint("merge").join(end(mixed, "v"), "token").where(differ)))  # few rows, many pairs: not in the few tasks that read them
     links = written(connected_components(edges.union(_compared(others, links, *about))))
     return thin.select("id", "text_key", "node").join(links, "node", "left").select("id", "text_key", F.coalesce("component", "node").alias("component"))
 
