@@ -1,7 +1,12 @@
 """Training text from documents: language ID, exact dedup, near-dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and reread as the
-next one's docs. All but the last return the columns of documents.
+next one's docs. All but the last return the columns of documents, whatever else these are named.
+
+Defined results: a null or empty text, or one without a letter, has no language and goes in the first stage. A
+null doc_id is an id like any other in the first, fourth and fifth stage; of texts alike, or nearly so, a row
+with a doc_id stays before one without, then the smallest doc_id, and of repeated rows one. A null source is a
+source, last in order. Very long texts are read whole. An empty table gives no rows in every stage.
 """
 
 from __future__ import annotations
