@@ -35,11 +35,23 @@ def written(df: DataFrame) -> DataFrame:
     Unlike a checkpoint, the table has its real size for Spark to choose joins by; estimates carried on from
     table to table would double their digits with each self-join.
     """
+    bounded_batches(df.sparkSession)
     path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch of whole texts, unless the session has its own number: Spark's default would hold 10,000 texts, of any length, several times outside of the heap.
+BATCH_ROWS, DEFAULT_ROWS = 1000, "10000"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session's rows of an Arrow batch to BATCH_ROWS where they are Spark's default."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting) == DEFAULT_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
+
+
 def give_back() -> None:
     """Returns what Arrow's allocator keeps for later to the system: workers are kept between tasks, next to each other."""
     pa.default_memory_pool().release_unused()

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .subword import BUCKETS, distinct_rows, hashed_share, prepared, sample_features, sample_rows, table_means
 
 #: Documented bounds and settings of the fit.
@@ -88,6 +89,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, key: str = "doc_i
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score."""
+    bounded_batches(docs.sparkSession)
     names = np.array([*model.languages, UNKNOWN], dtype=object)
     table = model.table
 

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .subword import BUCKETS, distinct_rows, hashed_share, prepared, sample_features, sample_rows, table_means
 
 #: Documented bounds and settings of the fit.
@@ -135,6 +136,7 @@ def fit(texts: DataFrame, marks: DataFrame, prior: float | None = None, positive
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """docs with score and predicted."""
+    bounded_batches(docs.sparkSession)
     table, of_repeats, bias = model.weights[:BUCKETS, None], float(model.weights[BUCKETS]), model.bias
 
     @F.arrow_udf("double")
