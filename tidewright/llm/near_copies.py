@@ -178,8 +178,10 @@ def similar_pairs(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray
 
 
 def _collapsed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words_each: int, similarity: float) -> DataFrame:
-    """u, v: spanning forests of the similar sets among those that share a leader (u of the pairs), in groups of about GROUP sets; each set goes to one leader's group."""
-    stars = pairs.groupBy("v").agg(F.min("u").alias("leader")).select("leader", F.col("v").alias("node"))
+    """u, v: spanning forests of the similar sets among those that share a leader (of a pair, the first by hash), in groups of about GROUP sets; each set goes to one leader's group."""
+    leads = F.xxhash64("u") < F.xxhash64("v")
+    sides = pairs.select(F.when(leads, F.col("u")).otherwise(F.col("v")).alias("leader"), F.when(leads, F.col("v")).otherwise(F.col("u")).alias("node"))
+    stars = sides.groupBy("node").agg(F.min_by("leader", F.xxhash64("leader")).alias("leader"))
     counted = written(stars.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups")))
     members = stars.join(counted, "leader").select("leader", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int").alias("group"), "node")
     leaders = counted.select("leader", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.col("leader").alias("node"))
@@ -251,26 +253,24 @@ def similar_components(docs: DataFrame, text_col: str = "text", words_each: int
 
     def enough(pairs: DataFrame) -> DataFrame:
         """Pairs that share enough of their prefixes: all that comes after is at most the rest of the set whose prefix ends first."""
-        rest = F.greatest(F.col("u.n") - F.col("u.p"), F.col("v.n") - F.col("v.p"))
-        counted = pairs.groupBy(F.col("u.node").alias("u"), F.col("v.node").alias("v"), (F.col("u.n") + F.col("v.n")).alias("both"), rest.alias("rest")).agg(F.count(F.lit(1)).alias("c"))
+        sizes = (F.col("u_n") + F.col("v_n")).alias("both"), F.greatest(F.col("u_n") - F.col("u_p"), F.col("v_n") - F.col("v_p")).alias("rest")
+        counted = pairs.groupBy(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v"), *sizes).agg(F.count(F.lit(1)).alias("c"))
         return written(counted.where(F.col("c") + F.col("rest") >= similarity / (1 + similarity) * F.col("both") - _SMALL).select("u", "v"))
 
     end = lambda rows, e: rows.select("token", *(F.col(c).alias(f"{e}_{c}") for c in rows.columns if c != "token"))
-    node_of = lambda e: F.struct(*(F.col(f"{e}_{c}").alias(c) for c in ("node", "n", "p")))
-    of_pair = lambda pairs: pairs.select(F.least(node_of("u"), node_of("v")).alias("u"), F.greatest(node_of("u"), node_of("v")).alias("v"))
     first = F.min(F.struct(F.xxhash64("node").alias("by"), "node", "n", "p", "fp")).alias("l")
     leaders = written(live.groupBy("token").agg(first).select("token", "l.node", "l.n", "l.p", "l.fp"))
-    stars = enough(end(live, "v").join(end(leaders, "u"), "token").where(f"u_node <> v_node and {may}").select(node_of("u").alias("u"), node_of("v").alias("v")))
+    stars = enough(end(live, "v").join(end(leaders, "u"), "token").where(f"u_node <> v_node and {may}"))
     edges = written(close.union(_collapsed(stars, *about)))
 
     links = written(connected_components(edges))
     moved = written(live.join(links, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    # of each hash with several components, all but the largest meet the rest, so that a large group of copies does not meet itself
-    sizes = moved.groupBy("token", "component").agg(F.count(F.lit(1)).alias("rows"))
-    largest = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("rows", "component")).alias("largest")).where("components > 1")
-    mixed = written(moved.join(small(largest.select("token", F.col("largest.component").alias("most"))), "token").withColumn("lesser", F.col("component") != F.col("most")).drop("most"))
+    # of each hash with several components, all but the first meet the rest, so that a large group of copies, whose
+    # number is the least of many and so most often the first, does not meet itself
+    first = small(moved.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", "lo"))
+    mixed = written(moved.join(first, "token").withColumn("lesser", F.col("component") != F.col("lo")).drop("lo"))
     differ = f"u_component <> v_component and (not v_lesser or u_node < v_node) and {may}"
-    others = enough(of_pair(end(mixed.where("lesser"), "u").hint("merge").join(end(mixed, "v"), "token").where(differ)))  # few rows, many pairs: not in the few tasks that read them
+    others = enough(end(mixed.where("lesser"), "u").join(end(mixed, "v"), "token").where(differ))
     links = written(connected_components(edges.union(_compared(others, links, *about))))
     return thin.select("id", "text_key", "node").join(links, "node", "left").select("id", "text_key", F.coalesce("component", "node").alias("component"))
 
