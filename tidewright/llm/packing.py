@@ -36,7 +36,7 @@ from .common import give_back, row_key, written
 #: Pieces packed together, about; each group leaves about one sequence part-filled.
 GROUP_PIECES = 4096
 #: Words that a worker remembers the ids of; when there are as many, later ones are looked up anew in each batch. Between tasks it keeps the KEPT that it met first, the common ones.
-REMEMBERED, KEPT = 200_000, 50_000
+REMEMBERED, KEPT = 400_000, 100_000
 
 #: Fixed value: ASCII punctuation.
 _ENDINGS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
