@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, exact_dedup, html_extract, language_id, mixing, packing, quality, simhash, url_filters
+from . import chat_format, collocations, embedding_dedup, exact_dedup, filter_audit, html_extract, language_id, mixing, packing, quality, simhash, toxicity, url_filters
 from .common import read
 
 #: The rules of query op1.
@@ -142,6 +142,64 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_file(), packing.Capacity(tokens=SEQUENCE_TOKENS))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+m AS (SELECT doc_id, part, (len(ws) < 50)::INT + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::INT
+             + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT
+             + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS fails FROM w),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+cells AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+letters(x, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM letters a, letters b, letters c, letters d, letters e
+           WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps AS (SELECT filter_order, s AS step, bits[s] AS bit, list_sum([0] || bits[1:s - 1])::INT AS before FROM orders, range(1, 6) r(s))
+SELECT part, filter_order, step::INT AS step,
+       coalesce(sum(n) FILTER (fails & (bit | before) = 0), 0)::BIGINT AS kept,
+       coalesce(sum(n) FILTER (fails & bit > 0 AND fails & before = 0), 0)::BIGINT AS removed,
+       coalesce(sum(n) FILTER (fails & bit > 0 AND fails & before > 0), 0)::BIGINT AS redundant,
+       coalesce(sum(n) FILTER (fails = bit), 0)::BIGINT AS unique_fails,
+       coalesce(sum(n_good) FILTER (fails & bit > 0 AND fails & before = 0), 0)::BIGINT AS good_lost,
+       coalesce(sum(n_toxic) FILTER (fails & bit > 0 AND fails & before = 0), 0)::BIGINT AS toxic_lost,
+       coalesce(sum(n * (120 // greatest(1, bit_count(fails)))) FILTER (fails & bit > 0), 0)::BIGINT AS shapley
+FROM cells, steps GROUP BY part, filter_order, step
+"""
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    marks = read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs.where(_fold(5) != 0), marks.where(_fold(5) != 0))
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+lists AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+starts AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM lists WHERE len(ws) > 0),
+grams AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM starts, range(1, 5) r(k) WHERE i + k - 1 <= len(ws)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 30),
+cuts AS (SELECT c.lang, c.phrase, c.a, cut, l.f AS l, r.f AS r, (2000000::HUGEINT * c.a // (l.f + r.f))::BIGINT AS score
+         FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) c
+         JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(ws[1:cut], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(ws[cut + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (SELECT lang, a, array_to_string(ws[i:i + s - 1], ' ') AS phrase FROM (SELECT *, unnest(range(2, k)) AS s FROM candidates), range(1, 4) x(i) WHERE i + s - 1 <= k),
+covered AS (SELECT c.lang, c.phrase FROM candidates c JOIN inside i ON i.lang = c.lang AND i.phrase = c.phrase WHERE 100 * i.a >= 80 * c.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best JOIN n USING (lang) WHERE (lang, phrase) NOT IN (SELECT (lang, phrase) FROM covered) QUALIFY rank <= 2000
+"""
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_exact_dedup": op2_exact_dedup,
@@ -153,5 +211,8 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_toxicity": op12_toxicity,
+    "op13_collocations": op13_collocations,
 }
-ORACLES = {"op1_url_filters": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_chat_formatting": OP3_SQL, "op5_embedding_dedup": OP5_SQL}
+ORACLES = {"op1_url_filters": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_chat_formatting": OP3_SQL, "op5_embedding_dedup": OP5_SQL, "op11_filter_audit": OP11_SQL, "op13_collocations": OP13_SQL}
