@@ -45,8 +45,8 @@ COMMON_BYTES, CLASS_BYTES = 8192, 8192
 GRAM, SIGNIFICANT, RATIO = 6, 15.0, 3.0
 WINDOW, PADDING = 64, bytes(96)
 STEPS, SHARES = (2, 3, 4, 5, 6), (0.0, 0.3, 0.4, 0.5)
-#: Windows whose result a task remembers.
-REMEMBERED = 200_000
+#: Windows whose result a task remembers, and about how many it reads before it compresses the new ones.
+REMEMBERED, AT_ONCE = 200_000, 50_000
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _HIT_KINDS = len(STEPS) * len(SHARES)
@@ -65,7 +65,7 @@ def windows(text: bytes) -> Iterator[list[bytes]]:
     """The text's windows, a list a slice."""
     for words in word_lists(text.translate(_LOWER)):
         found = [b" " + w + b" " for w in words]
-        if any(len(w) > WINDOW for w in found):
+        if found and max(map(len, found)) > WINDOW:
             found = [w[at : at + WINDOW] for w in found for at in range(0, len(w), WINDOW)]
         yield found
 
@@ -113,14 +113,28 @@ class Counter:
             new = list(dict.fromkeys(found))
         self.seen.update((w, kinds if kinds.any() else None) for w, kinds in zip(new, hit_kinds(self.toxic, self.ordinary, new), strict=True))
 
-    def counts(self, text: bytes) -> np.ndarray:
-        """Hits of each kind, and the number of windows."""
-        total = np.zeros(_HIT_KINDS + 1)
-        for found in windows(text):
-            self.learn(found)
-            hits = [kinds for w in found if (kinds := self.seen[w]) is not None]
-            total[:-1] += np.sum(hits, axis=0) if hits else 0
-            total[-1] += len(found)
+    def counts(self, texts: list[bytes]) -> np.ndarray:
+        """For each text its hits of each kind, and the number of its windows. Windows of many texts are compressed together, at most about AT_ONCE."""
+        total = np.zeros((len(texts), _HIT_KINDS + 1))
+        held: list[tuple[int, list[bytes]]] = []
+
+        def add() -> None:
+            self.learn([w for _, found in held for w in found])
+            for i, found in held:
+                hits = [kinds for w in found if (kinds := self.seen[w]) is not None]
+                total[i, :-1] += np.sum(hits, axis=0) if hits else 0
+                total[i, -1] += len(found)
+            held.clear()
+
+        size = 0
+        for i, text in enumerate(texts):
+            for found in windows(text):
+                held.append((i, found))
+                size += len(found)
+                if size >= AT_ONCE:
+                    add()
+                    size = 0
+        add()
         return total
 
 
@@ -190,10 +204,9 @@ def learn(rows: list[tuple[int, bytes]]) -> Model:
         rest = [[r for i, r in enumerate(side) if i % FOLDS != fold] for side in (toxic, ordinary)]
         counter = Counter(*dictionaries(*rest))
         for y, side in ((1, toxic), (0, ordinary)):
-            for text, _ in side[fold::FOLDS]:
-                counts.append(counter.counts(text))
-                truth.append(y)
-    return Model(*dictionaries(toxic, ordinary), *calibrate(features(np.array(counts)), np.array(truth)))
+            counts.append(counter.counts([text for text, _ in side[fold::FOLDS]]))
+            truth += [y] * len(counts[-1])
+    return Model(*dictionaries(toxic, ordinary), *calibrate(features(np.concatenate(counts)), np.array(truth)))
 
 
 def fit(texts: DataFrame, marks: DataFrame, toxic: int = TOXIC, ordinary: int = ORDINARY, key: str = "doc_id", text_col: str = "text") -> Model:
@@ -222,8 +235,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
             if counter is None:
                 yield pa.array(np.zeros(len(batch)))
                 continue
-            counts = [counter.counts(t.as_py() or b"") for t in batch.cast(pa.binary())]
-            z = (features(np.array(counts)) - model.mean) / model.spread if counts else np.zeros((0, len(model.mean)))
+            counts = counter.counts([t.as_py() or b"" for t in batch.cast(pa.binary())])
+            z = (features(counts) - model.mean) / model.spread
             yield pa.array(1 / (1 + np.exp(-np.clip(z @ model.weights[:-1] + model.weights[-1], -50, 50))))
         give_back()
 
