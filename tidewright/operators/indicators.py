@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.series import full, highest, lowest, mean, ordered, pop_std, prefix, prev, ratio, sample_std, total, trailing, weighted
-from . import recursive
+from . import recursive, scan
 
 Params = dict[str, float]
 c = F.col
@@ -311,3 +311,8 @@ def indicator(bars: DataFrame, key: str, **params: float) -> DataFrame:
         return bars.select("ticker", "date", F.lit(None).cast("double").alias("value"))
     outputs = REGISTRY[key].outputs
     return add_indicators(bars, [(key, params)], [outputs]).select("ticker", "date", *outputs)
+
+
+def indicator_in_blocks(bars: DataFrame, key: str, block: Column | None = None, **params: float) -> DataFrame:
+    """As indicator, for the recursive types of `scan.SCANS`, with a ticker's series computed in blocks: none need fit one task."""
+    return scan.indicator_in_blocks(bars, key, REGISTRY[key].defaults | params, block)

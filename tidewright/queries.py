@@ -13,7 +13,8 @@ from . import oracle_strategy as osql
 from .functions import fmt
 from .operators import factors, optimizer, portfolio
 from .operators.costs import SCHEDULES
-from .operators.indicators import REGISTRY, indicator
+from .operators.indicators import REGISTRY, indicator, indicator_in_blocks
+from .operators.scan import SCANS
 from .operators.strategy import BackTest
 from .plans.config import FIRST_THRESHOLD, PRESETS, IndicatorConfig, Rule, Strategy, blocks_to_strategy, default_blocks, strategy_to_blocks
 from .sources import bars as fixtures
@@ -46,6 +47,9 @@ def _indicator(key: str) -> Query:
 for _key in REGISTRY:
     register(f"ind_{_key}", _indicator(_key), sql.indicator_sql(_key))
 
+for _key in SCANS:
+    register(f"scan_{_key}", lambda spark, sf_dir, key=_key: rounded(indicator_in_blocks(fixtures.bars_type(spark, sf_dir), key)), sql.indicator_sql(_key))
+
 
 # Strategies, on the dense fixture series with one lot size and fee schedule.
 
