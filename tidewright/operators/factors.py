@@ -41,10 +41,26 @@ def market_proxy(bars: DataFrame, index: DataFrame | None = None) -> DataFrame:
 
 
 def align_market(bars: DataFrame, proxy: DataFrame) -> DataFrame:
-    """bars with market: the last proxy level known on or before each date, null before the first."""
+    """bars with market: the proxy level of the last of the ticker's own dates that has one, up to each date; null before the first. Levels dated between two bars are not seen: see asof_market."""
     return bars.join(proxy.select("date", c("level").alias("market")), "date", "left").withColumn("market", F.last("market", ignorenulls=True).over(prefix()))
 
 
+def asof_market(bars: DataFrame, proxy: DataFrame) -> DataFrame:
+    """bars with market: the last proxy level known on or before each date, whatever dates the proxy has; null before the first, repeated dates by the highest level.
+
+    Both sides' dates are merged, each once, and levels carried forward: within a year by a window of its dates,
+    over years by one of a row a year. Bars only join the dates.
+    """
+    dates = bars.select("date", F.lit(None).cast("double").alias("level")).unionByName(proxy.select("date", "level"))
+    known = dates.groupBy("date").agg(F.max("level").alias("level")).withColumn("_year", F.year("date"))
+    ends = known.groupBy("_year").agg(F.max_by("level", F.when(c("level").isNotNull(), c("date"))).alias("_end"))
+    years = Window.orderBy("_year").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select("_year", F.last("_end", ignorenulls=True).over(years).alias("_before"))
+    inside = Window.partitionBy("_year").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    levels = known.withColumn("_within", F.last("level", ignorenulls=True).over(inside)).join(before, "_year")
+    return bars.join(levels.select("date", F.coalesce("_within", "_before").alias("market")), "date")
+
+
 def price_factors(bars: DataFrame, proxy: DataFrame) -> DataFrame:
     """One row a ticker with the six price factors, null where history is too short."""
     simple = lambda x: F.coalesce(ratio(c(x), prev(x), 1.0) - 1, F.lit(0.0))

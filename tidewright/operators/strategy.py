@@ -212,6 +212,15 @@ class BackTest:
     def yearly(self) -> DataFrame:
         return self.daily.groupBy("ticker", F.year("date").alias("year")).agg((half_up(F.sum("net_pnl"), 2) + 0.0).alias("pnl"))
 
+    @cached_property
+    def totals(self) -> DataFrame:
+        """ticker, year, month, level, pnl, days, up_days: sums by month (level 0), by year (1, no month) and in all (3, neither), in one aggregation over grouping sets."""
+        dated = self.daily.withColumns({"year": F.year("date"), "month": F.month("date")})
+        sets = dated.groupingSets([[c("ticker"), c("year"), c("month")], [c("ticker"), c("year")], [c("ticker")]], c("ticker"), c("year"), c("month"))
+        return sets.agg(
+            F.grouping_id().cast("int").alias("level"), (half_up(F.sum("net_pnl"), 2) + 0.0).alias("pnl"), F.count(F.lit(1)).alias("days"), F.count_if(c("net_pnl") > 0).alias("up_days")
+        )
+
 
 def back_test(bars: DataFrame, dims: DataFrame, strategy: Strategy) -> BackTest:
     """dims: ticker, lot_size, instrument_class."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from .operators.scan import SCANS
 from .operators.strategy import BackTest
 from .plans.config import FIRST_THRESHOLD, PRESETS, IndicatorConfig, Rule, Strategy, blocks_to_strategy, default_blocks, strategy_to_blocks
 from .sources import bars as fixtures
-from .sources import etl, registry, store
+from .sources import bar_store, etl, registry, store, table_functions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -117,10 +118,19 @@ register("metrics", lambda spark, sf_dir: _run(spark, sf_dir).metrics, osql.metr
 _half = "floor(sum(net_pnl) * 100 + 0.5e0) / 100 AS pnl"
 register("agg_monthly", lambda spark, sf_dir: _run(spark, sf_dir).monthly, osql.select(osql.daily_tables(_base_tables), f"ticker, year(date) AS year, month(date) AS month, {_half}", "dy GROUP BY ALL"))
 register("agg_yearly", lambda spark, sf_dir: _run(spark, sf_dir).yearly, osql.select(osql.daily_tables(_base_tables), f"ticker, year(date) AS year, {_half}", "dy GROUP BY ALL"))
+register(
+    "totals",
+    lambda spark, sf_dir: _run(spark, sf_dir).totals,
+    osql.select(
+        [*osql.daily_tables(_base_tables), "dm AS (SELECT *, year(date)::INT AS year, month(date)::INT AS month FROM dy)"],
+        f"ticker, year, month, grouping(ticker, year, month)::INT AS level, {_half}, count(*) AS days, count(*) FILTER (net_pnl > 0) AS up_days",
+        "dm GROUP BY GROUPING SETS ((ticker, year, month), (ticker, year), (ticker))",
+    ),
+)
 for _name, _strategy in PRESETS.items():
     register(f"preset_{_name}", lambda spark, sf_dir, t=_test(_strategy): t(spark, sf_dir).metrics, osql.metrics_sql(osql.preset_tables(_name)))
 # Blocks: a preset taken apart and compiled again has the preset's metrics; a new indicator's blocks are a rule on its first threshold.
-for _name in ("golden_cross", "rsi_mean_reversion"):
+for _name in ("bollinger_bounce", "momentum_6m", "golden_cross"):
     _compiled = blocks_to_strategy(strategy_to_blocks(PRESETS[_name]), rebalance=PRESETS[_name].rebalance, logic=PRESETS[_name].logic)
     register(f"blocks_of_{_name}", lambda spark, sf_dir, t=_test(_compiled): t(spark, sf_dir).metrics, osql.metrics_sql(osql.preset_tables(_name)))
 _level = (Rule(0, "is_above", "both", threshold=FIRST_THRESHOLD["rsi"]),)
@@ -174,6 +184,22 @@ register(
         f"ticker, date, {sql.grid('market', 0)} AS market, {sql.grid('ln(market)')} AS log_market", "am",
     ),
 )
+
+
+def _asof_market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = fixtures.bars_supplier(spark, sf_dir)
+    weekly = factors.market_proxy(bars).where(F.dayofweek("date") == 2)  # few bars are of a Monday
+    return rounded(factors.asof_market(bars, weekly).select("ticker", "date", "market", F.ln("market").alias("log_market")), market=0)
+
+
+register(
+    "asof_market",
+    _asof_market,
+    psql.select(
+        [*psql.PROXY, "am AS (SELECT s.ticker, s.date, q.level AS market FROM s ASOF LEFT JOIN (SELECT * FROM px WHERE isodow(date) = 1) q ON s.date >= q.date)"],
+        f"ticker, date, {sql.grid('market', 0)} AS market, {sql.grid('ln(market)')} AS log_market", "am",
+    ),
+)
 register("xs_zscore", lambda spark, sf_dir: rounded(_scored(spark, sf_dir).select("ticker", "factor", "z")), psql.select(psql.FACTOR_TABLES, f"ticker, factor, {sql.grid('z')} AS z", "zs"))
 for _name in factors.PRESETS:
     register(
@@ -337,6 +363,55 @@ register("append_new", lambda spark, sf_dir: rounded(etl.append_new(*_split(spar
 register("upsert_by_date", lambda spark, sf_dir: rounded(etl.upsert_by_date(*_split(spark, sf_dir))), psql.select(_TWO, _shown, "(SELECT * FROM w UNION ALL SELECT * FROM h WHERE (ticker, date) NOT IN (SELECT (ticker, date) FROM w))"))
 
 
+def _new_path(spark: SparkSession, name: str) -> str:
+    return f"{bar_store.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _merged_bars(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
+    """What a stored table holds after two batches, the first of them merged twice."""
+    history, new = _split(spark, sf_dir)
+    bars, path = fixtures.bars_type(spark, sf_dir), _new_path(spark, "bars")
+    later = bars.where(F.col("date") >= F.date_sub(F.lit(_CUT).cast("date"), 5)).withColumn("close", F.col("close") + 2)
+    bar_store.write_history(history, path, buckets=4)
+    for name, batch in (("first", new), ("second", later), ("second", later)):
+        bar_store.merge_batch(batch, path, name, how, buckets=4)
+    return rounded(bar_store.read_bars(spark, path))
+
+
+_LATER = [*_TWO, f"z AS (SELECT * REPLACE (close + 2 AS close) FROM b WHERE date >= DATE '{_CUT}' - 5)"]
+register("stored_upsert", lambda spark, sf_dir: _merged_bars(spark, sf_dir, "upsert"), psql.select(_LATER, _shown, "(SELECT * FROM z UNION ALL SELECT * FROM w WHERE (ticker, date) NOT IN (SELECT (ticker, date) FROM z) UNION ALL SELECT * FROM h WHERE (ticker, date) NOT IN (SELECT (ticker, date) FROM w))"))
+register("stored_append", lambda spark, sf_dir: _merged_bars(spark, sf_dir, "append"), psql.select(_LATER, _shown, "(SELECT * FROM h UNION ALL SELECT * FROM w WHERE (ticker, date) NOT IN (SELECT (ticker, date) FROM h))"))
+
+
+def _bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = f"bars_{uuid.uuid4().hex}"
+    return bar_store.write_bucketed(_typed_bars(spark, sf_dir), name, _new_path(spark, name), buckets=4)
+
+
+for _name in ("bollinger_bounce", "momentum_6m", "golden_cross"):
+    register(f"bucketed_{_name}", lambda spark, sf_dir, n=_name: BackTest(_bucketed(spark, sf_dir), PRESETS[n]).metrics, ORACLES[f"preset_{_name}"])
+
+
+def _price_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    etl.write_price_files(fixtures.bars_type(spark, sf_dir), path := _new_path(spark, "prices"))
+    return rounded(fixtures.scan_prices_json(spark, path))
+
+
+register("price_files", _price_files, psql.select([_TYPE], _shown, "b"))
+
+
+def _table_function(key: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        table_functions.register_functions(spark)
+        return rounded(spark.sql(f"SELECT * FROM {key}(TABLE({{bars}}) PARTITION BY ticker ORDER BY date)", bars=fixtures.bars_type(spark, sf_dir)))
+
+    return run
+
+
+for _key in table_functions.NAMES:
+    register(f"sql_{_key}", _table_function(_key), sql.indicator_sql(_key))
+
+
 def _calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = fixtures.read(spark, sf_dir, "orders").agg(F.min("o_orderdate").cast("date"), F.max("o_orderdate").cast("date")).first()
     return etl.business_days(spark, F.lit(ends[0]), F.lit(ends[1]))

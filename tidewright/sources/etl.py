@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,11 +83,51 @@ def news_patterns(stocks: DataFrame) -> DataFrame:
     return stocks.select("ticker", F.lower("ticker").alias("token")).unionByName(words).distinct()
 
 
+#: Tokens up to which an automaton of them is sent to all tasks.
+MOST_TOKENS = 500_000
+
+
+def _word_edge(text: str, at: int) -> bool:
+    """Whether a word begins or ends before the character at this place; letters and digits of any script and the underscore make words."""
+    inside = lambda i: 0 <= i < len(text) and (text[i].isalnum() or text[i] == "_")
+    return inside(at - 1) != inside(at)
+
+
+def found_tickers(automaton: ahocorasick.Automaton, text: str) -> list[str]:
+    """Tickers, in order, of the automaton's tokens that stand in the text as whole words; one walk over the text."""
+    found: set[str] = set()
+    for end, (token, tickers) in automaton.iter(text):
+        if not found.issuperset(tickers) and _word_edge(text, end + 1) and _word_edge(text, end + 1 - len(token)):
+            found.update(tickers)
+    return sorted(found)
+
+
 def news_tag(items: DataFrame, patterns: DataFrame) -> DataFrame:
     """items with tickers: those with a token that stands in the title as a whole word, whatever the case; letters and digits of any script make words.
 
-    Tokens of word characters are joined by equality with the title's words; only tokens with other characters need a pattern search.
+    Each title is walked once, in place, through an automaton of all tokens, which every task gets; more than
+    MOST_TOKENS are joined with the titles' words instead.
     """
+    listed = patterns.where("token <> ''").groupBy("token").agg(F.collect_set("ticker").alias("tickers")).limit(MOST_TOKENS + 1).collect()
+    if len(listed) > MOST_TOKENS:
+        return news_tag_by_join(items, patterns)
+    sent = items.sparkSession.sparkContext.broadcast([(r["token"], r["tickers"]) for r in listed])
+
+    @F.arrow_udf("array<string>")
+    def tag(titles: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        automaton = ahocorasick.Automaton()
+        for token, tickers in sent.value:
+            automaton.add_word(token, (token, tickers))
+        automaton.make_automaton()
+        ready = len(automaton) > 0
+        for batch in titles:
+            yield pa.array([found_tickers(automaton, t.as_py() or "") if ready else [] for t in batch], pa.list_(pa.string()))
+
+    return items.withColumn("tickers", tag(F.lower("title")))
+
+
+def news_tag_by_join(items: DataFrame, patterns: DataFrame) -> DataFrame:
+    """news_tag for any number of tokens: those of word characters are joined by equality with the title's words; only tokens with other characters need a pattern search."""
     keyed = items.withColumn("_key", F.sha2(F.concat_ws("\n", "url", "title"), 256))
     words = keyed.select("_key", F.explode(F.array_distinct(F.split(F.lower("title"), r"[^\p{L}\p{N}_]+"))).alias("token"))
     simple = c("token").rlike(r"^\w+$")
@@ -159,3 +201,11 @@ def write_bars(bars: DataFrame, path: str, buckets: int = 64) -> None:
     """Bars as Parquet in folders by a hash of the ticker, so that a ticker's scan reads one folder."""
     keyed = bars.withColumn("bucket", F.pmod(F.xxhash64("ticker"), F.lit(buckets)).cast("int"))
     keyed.repartition("bucket").sortWithinPartitions("ticker", "date").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def write_price_files(bars: DataFrame, path: str) -> None:
+    """One JSON file a ticker, as scan_prices_json reads them: aligned arrays, oldest first."""
+    fields = ("date", "open", "high", "low", "close", "volume")
+    rows = bars.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("r"))
+    dates = F.transform(c("r.date"), lambda d: d.cast("string")).alias("dates")
+    rows.select("ticker", dates, *[c(f"r.{x}").alias(x) for x in fields[1:]]).write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
