@@ -115,14 +115,69 @@ def annualized(frequency: str) -> str:
     return select(parts, f"ticker, {grid('pow(sum(part / close) * arg_max(close, date) / sum(part), 252e0 / count(*)) - 1')} AS annualized", "pp GROUP BY ticker")
 
 
-def optimised(method: str) -> str | None:
-    """The methods that have a closed form: clipped at 0.25, sectors scaled down to 0.4, then summing to 1."""
-    start = {"equal": "SELECT ticker, 1e0 / count(*) OVER () AS w FROM st", "inverse_vol": "SELECT ticker, v / sum(v) OVER () AS w FROM iv"}.get(method)
-    if start is None:
-        return None
+def _nested(source: str, *steps: str) -> str:
+    """A query that adds one column after the other, each of those before."""
+    for step in steps:
+        source = f"(SELECT *, {step} FROM {source})"
+    return source
+
+
+_TIMES = "list_transform(cov, lambda r: list_dot_product(r, {0}))"
+_CLIP = "list_transform({0}, lambda v: greatest(0e0, least(v, 0.25e0)))"
+_SUM_TO_1 = "CASE WHEN list_sum({0}) >= 1e-15 THEN list_transform({0}, lambda v: v / list_sum({0})) ELSE list_transform({0}, lambda v: 1e0 / n) END"
+_CAP = "list_transform(list_zip({0}, list_transform(same, lambda r: list_dot_product(r, {0}))), lambda p: p[1] * CASE WHEN p[2] > 0.4e0 THEN 0.4e0 / p[2] ELSE 1e0 END)"
+#: The members' covariances, returns, deviations and who shares a sector, as lists in one row.
+_LISTS = """mx AS MATERIALIZED (SELECT (SELECT list(r ORDER BY i) FROM (SELECT i, list(cov ORDER BY j) AS r FROM an GROUP BY i)) AS cov,
+    (SELECT list(mu ORDER BY ticker) FROM st) AS mu, (SELECT list(sigma ORDER BY ticker) FROM st) AS sigma, (SELECT list(ticker ORDER BY ticker) FROM st) AS names,
+    (SELECT list(r ORDER BY t) FROM (SELECT a.ticker AS t, list(CASE WHEN a.sector = b.sector THEN 1e0 ELSE 0e0 END ORDER BY b.ticker) AS r FROM se a, se b GROUP BY a.ticker)) AS same,
+    (SELECT count(*) FROM st) AS n)"""
+_EQUAL = "list_transform(names, lambda x: 1e0 / n)"
+
+
+def _descent(value: str, slope: str) -> str:
+    """Projected gradient steps from equal weights, as a recursive table; value and slope are of weights {0} with cov * {0} as {1}."""
+    start = _nested("mx", f"{_EQUAL} AS w", f"{_TIMES.format('w')} AS cw")
+    step = _nested(
+        "(SELECT * FROM it, mx WHERE step < 1000 AND NOT stop)", f"{_TIMES.format('w')} AS cw", f"{slope.format('w', 'cw')} AS slope", "list_transform(list_zip(w, slope), lambda p: p[1] - rate * p[2]) AS x",
+        f"{_CLIP.format('x')} AS x1", f"{_CAP.format('x1')} AS x2", f"{_SUM_TO_1.format('x2')} AS tried", f"{_TIMES.format('tried')} AS ct", f"{value.format('tried', 'ct')} AS value", "sqrt(list_dot_product(slope, slope)) < 1e-8 AS small",
+    )
+    return f"""it(step, w, rate, best, stop) AS (SELECT 0, w, 0.01e0, {value.format('w', 'cw')}, false FROM {start}
+    UNION ALL SELECT step + 1, CASE WHEN value < best THEN tried ELSE w END, rate * CASE WHEN value < best THEN 1e0 ELSE 0.95e0 END * CASE WHEN (step + 1) % 100 = 0 THEN 0.5e0 ELSE 1e0 END, least(value, best), small FROM {step})"""
+
+
+def _per_risk(reward: str, free: str) -> str:
+    vol = "sqrt(greatest(list_dot_product({0}, {1}), 1e-15))"
+    over = f"(list_dot_product({{0}}, {reward}) - {free})"
+    return _descent(f"-{over} / {vol}", f"list_transform(list_zip({{1}}, {reward}), lambda p: {over} * p[1] / {vol} ** 3 - p[2] / {vol})")
+
+
+def _parity() -> str:
+    """Weights in proportion to one over the marginal risk, clipped, until they stay."""
+    step = _nested(
+        "(SELECT * FROM it, mx WHERE step < 1000 AND NOT stop)", f"{_TIMES.format('w')} AS cw", "sqrt(greatest(list_dot_product(w, cw), 1e-15)) AS vol", "list_transform(cw, lambda v: CASE WHEN v / vol > 1e-15 THEN vol / v ELSE 0e0 END) AS inv",
+        "list_transform(inv, lambda v: v / list_sum(inv)) AS x", f"{_CLIP.format('x')} AS x1", f"{_SUM_TO_1.format('x1')} AS new", "list_max(list_transform(list_zip(new, w), lambda p: abs(p[1] - p[2]))) AS moved",
+    )
+    return f"it(step, w, stop) AS (SELECT 0, {_EQUAL}, false FROM mx UNION ALL SELECT step + 1, new, moved < 1e-8 FROM {step})"
+
+
+#: The iterative methods' walks; the weights of their last row are projected once more.
+_WALKS = {
+    "risk_parity": _parity(),
+    "min_variance": _descent("list_dot_product({0}, {1})", "list_transform({1}, lambda v: 2 * v)"),
+    "max_sharpe": _per_risk("mu", "0.06e0"),
+    "max_diversification": _per_risk("sigma", "0e0"),
+    "target_vol": _per_risk("mu", "0.06e0"),  # scaled to the target and back to a sum of 1
+}
+
+
+def optimised(method: str) -> str:
+    """Weights of a method, clipped at 0.25, sectors scaled down to 0.4, then summing to 1; the iterative ones walk in a recursive table."""
+    closed = {"equal": "SELECT ticker, 1e0 / count(*) OVER () AS w FROM st", "inverse_vol": "SELECT ticker, v / sum(v) OVER () AS w FROM iv"}
+    start = closed.get(method, "SELECT unnest(names) AS ticker, unnest(w) AS w FROM (SELECT w, names FROM it, mx ORDER BY step DESC LIMIT 1)")
+    walk = [_LISTS, _WALKS[method]] if method in _WALKS else []
     sectors = "se AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{s}')" for t, s in zip(MEMBERS, SECTORS, strict=True)) + ") t(ticker, sector))"
     parts = [
-        *ALIGNED, sectors, f"w0 AS ({start})",
+        *ALIGNED, sectors, *walk, f"w0 AS ({start})",
         "w1 AS (SELECT ticker, sector, greatest(least(w, 0.25e0), 0e0) AS w FROM w0 JOIN se USING (ticker))",
         "w2 AS (SELECT ticker, w * CASE WHEN sum(w) OVER (PARTITION BY sector) > 0.4e0 THEN 0.4e0 / sum(w) OVER (PARTITION BY sector) ELSE 1e0 END AS w FROM w1)",
         "w3 AS MATERIALIZED (SELECT ticker, w / sum(w) OVER () AS w FROM w2)",
