@@ -130,19 +130,19 @@ _CAP = "list_transform(list_zip({0}, list_transform(same, lambda r: list_dot_pro
 _LISTS = """mx AS MATERIALIZED (SELECT (SELECT list(r ORDER BY i) FROM (SELECT i, list(cov ORDER BY j) AS r FROM an GROUP BY i)) AS cov,
     (SELECT list(mu ORDER BY ticker) FROM st) AS mu, (SELECT list(sigma ORDER BY ticker) FROM st) AS sigma, (SELECT list(ticker ORDER BY ticker) FROM st) AS names,
     (SELECT list(r ORDER BY t) FROM (SELECT a.ticker AS t, list(CASE WHEN a.sector = b.sector THEN 1e0 ELSE 0e0 END ORDER BY b.ticker) AS r FROM se a, se b GROUP BY a.ticker)) AS same,
-    (SELECT count(*) FROM st) AS n)"""
+    (SELECT count(*) FROM st) AS n, pt, {goal} AS goal FROM {points})"""
 _EQUAL = "list_transform(names, lambda x: 1e0 / n)"
 
 
 def _descent(value: str, slope: str) -> str:
-    """Projected gradient steps from equal weights, as a recursive table; value and slope are of weights {0} with cov * {0} as {1}."""
+    """Projected gradient steps from equal weights for each row (pt) of mx, as a recursive table; value and slope are of weights {0} with cov * {0} as {1}."""
     start = _nested("mx", f"{_EQUAL} AS w", f"{_TIMES.format('w')} AS cw")
     step = _nested(
-        "(SELECT * FROM it, mx WHERE step < 1000 AND NOT stop)", f"{_TIMES.format('w')} AS cw", f"{slope.format('w', 'cw')} AS slope", "list_transform(list_zip(w, slope), lambda p: p[1] - rate * p[2]) AS x",
+        "(SELECT * FROM it JOIN mx USING (pt) WHERE step < 1000 AND NOT stop)", f"{_TIMES.format('w')} AS cw", f"{slope.format('w', 'cw')} AS slope", "list_transform(list_zip(w, slope), lambda p: p[1] - rate * p[2]) AS x",
         f"{_CLIP.format('x')} AS x1", f"{_CAP.format('x1')} AS x2", f"{_SUM_TO_1.format('x2')} AS tried", f"{_TIMES.format('tried')} AS ct", f"{value.format('tried', 'ct')} AS value", "sqrt(list_dot_product(slope, slope)) < 1e-8 AS small",
     )
-    return f"""it(step, w, rate, best, stop) AS (SELECT 0, w, 0.01e0, {value.format('w', 'cw')}, false FROM {start}
-    UNION ALL SELECT step + 1, CASE WHEN value < best THEN tried ELSE w END, rate * CASE WHEN value < best THEN 1e0 ELSE 0.95e0 END * CASE WHEN (step + 1) % 100 = 0 THEN 0.5e0 ELSE 1e0 END, least(value, best), small FROM {step})"""
+    return f"""it(pt, step, w, rate, best, stop) AS (SELECT pt, 0, w, 0.01e0, {value.format('w', 'cw')}, false FROM {start}
+    UNION ALL SELECT pt, step + 1, CASE WHEN value < best THEN tried ELSE w END, rate * CASE WHEN value < best THEN 1e0 ELSE 0.95e0 END * CASE WHEN (step + 1) % 100 = 0 THEN 0.5e0 ELSE 1e0 END, least(value, best), small FROM {step})"""
 
 
 def _per_risk(reward: str, free: str) -> str:
@@ -174,7 +174,7 @@ def optimised(method: str) -> str:
     """Weights of a method, clipped at 0.25, sectors scaled down to 0.4, then summing to 1; the iterative ones walk in a recursive table."""
     closed = {"equal": "SELECT ticker, 1e0 / count(*) OVER () AS w FROM st", "inverse_vol": "SELECT ticker, v / sum(v) OVER () AS w FROM iv"}
     start = closed.get(method, "SELECT unnest(names) AS ticker, unnest(w) AS w FROM (SELECT w, names FROM it, mx ORDER BY step DESC LIMIT 1)")
-    walk = [_LISTS, _WALKS[method]] if method in _WALKS else []
+    walk = [_LISTS.format(goal="0e0", points="range(1) r(pt)"), _WALKS[method]] if method in _WALKS else []
     sectors = "se AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{s}')" for t, s in zip(MEMBERS, SECTORS, strict=True)) + ") t(ticker, sector))"
     parts = [
         *ALIGNED, sectors, *walk, f"w0 AS ({start})",
@@ -186,3 +186,22 @@ def optimised(method: str) -> str:
     ]
     figures = {"weight": "w", "risk_contribution": "w * sw / (vol * vol)", "expected_return": "r", "volatility": "vol", "sharpe": "(r - 0.06e0) / vol", "diversification_ratio": "ws / vol"}
     return select(parts, "'all' AS portfolio_id, ticker, " + ", ".join(f"{grid(x)} AS {k}" for k, x in figures.items()), "cw, fg")
+
+
+def frontier(points: int = 25) -> str:
+    """Least variance with a penalty on missing each target return, by volatility, none within 0.001 of the last kept."""
+    off = "(list_dot_product({0}, mu) - goal)"
+    goal = f"(SELECT min(mu) FROM st) + pt * ((SELECT max(mu) FROM st) - (SELECT min(mu) FROM st)) / {points - 1}"
+    walk = _descent(f"list_dot_product({{0}}, {{1}}) + 100 * {off} ** 2", f"list_transform(list_zip({{1}}, mu), lambda p: 2 * (p[1] + 100 * {off} * p[2]))")
+    last = _nested(
+        "(SELECT mx.*, w FROM (SELECT pt, arg_max(w, step) AS w FROM it GROUP BY pt) JOIN mx USING (pt))", f"{_CLIP.format('w')} AS x1", f"{_CAP.format('x1')} AS x2", f"{_SUM_TO_1.format('x2')} AS z", f"{_TIMES.format('z')} AS cz",
+        "sqrt(greatest(list_dot_product(z, cz), 0e0)) AS vol", "list_dot_product(z, mu) AS reward",
+    )
+    sectors = "se AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{s}')" for t, s in zip(MEMBERS, SECTORS, strict=True)) + ") t(ticker, sector))"
+    parts = [
+        *ALIGNED, sectors, _LISTS.format(goal=goal, points=f"range({points}) r(pt)"), walk,
+        f"po AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vol, pt) AS k, vol, reward, z FROM {last})",
+        "kp(k, point, vol) AS (SELECT k, 0, vol FROM po WHERE k = 1 UNION ALL SELECT * FROM (SELECT po.k, kp.point + 1, po.vol FROM kp JOIN po ON po.k > kp.k AND po.vol - kp.vol > 0.001e0 ORDER BY po.k LIMIT 1))",
+    ]
+    weights = f"list_transform(z, lambda v: {grid('v')})"
+    return select(parts, f"'all' AS portfolio_id, point, {grid('reward')} AS return, {grid('po.vol')} AS volatility, {grid('(reward - 0.06e0) / po.vol')} AS sharpe, {weights} AS weights", "kp JOIN po USING (k)")

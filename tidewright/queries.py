@@ -280,7 +280,14 @@ def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 for _method in optimizer.METHODS:
     register(f"optimise_{_method}", lambda spark, sf_dir, m=_method: rounded(optimizer.optimise(_members(spark, sf_dir), m)), psql.optimised(_method))
-register("efficient_frontier", lambda spark, sf_dir: rounded(optimizer.efficient_frontier(_members(spark, sf_dir))))
+
+
+def _frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rounded(optimizer.efficient_frontier(_members(spark, sf_dir)))
+    return found.withColumn("weights", F.transform("weights", lambda w: F.floor(w * 1e4 + HALF) / 1e4))
+
+
+register("efficient_frontier", _frontier, psql.frontier())
 
 register("date_intersection", lambda spark, sf_dir: portfolio.date_intersection(fixtures.bars_type(spark, sf_dir), len(psql.MEMBERS)).select("ticker", "date"), _own("ticker, date", "ix", psql.SERIES))
 register("portfolio_returns", lambda spark, sf_dir: rounded(_curve(spark, sf_dir).select("date", "ret"), 6), _own(f"date, {sql.grid('ret', 6)} AS ret", "pr", psql.SERIES))
