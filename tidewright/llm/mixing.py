@@ -23,11 +23,11 @@ import math
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, written, empty_text, row_key
+from .common import WORD, empty_text, small, written
 
 CAP = 2.0
 MOST_ROUNDS, CLOSE = 60, 1e-9
@@ -104,14 +104,8 @@ def _copies(frames: pd.DataFrame) -> pd.DataFrame:
     return own.assign(copies=copies)[["number", "size", "n", "copies"]]
 
 
-def mix(docs: DataFrame, weight_of: Callable[[int], float], budget_share: float = 1.5, text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, copies, taken.
-
-    weight_of: the weight of the source that is k-th by code point (from 0), null last. The table is read once;
-    what follows works on (doc_id, source, size).
-    """
-    spark = docs.sparkSession
-    thin = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(text_col).alias("size")))
+def _solved(spark: SparkSession, thin: DataFrame, weight_of: Callable[[int], float], budget_share: float) -> tuple[DataFrame, DataFrame] | None:
+    """(source, number, source_size, target) and, by number and size, the documents there are and the copies they get in all; None of an empty table. thin: source, size."""
     bins = written(thin.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     found = bins.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum((F.col("n") * F.col("size")).cast("decimal(18,0)") * F.col("size").cast("decimal(18,0)")).alias("squares")).collect()  # a row a source
     found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
@@ -120,17 +114,34 @@ def mix(docs: DataFrame, weight_of: Callable[[int], float], budget_share: float
     sources = pd.DataFrame({"number": range(len(found)), "source_size": sizes, "target": aims, "scale": [max(1.0, float(r["squares"]) / max(1, r["source_size"])) for r in found]})
     named = T.StructType([T.StructField("source", T.StringType()), T.StructField("number", T.LongType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
     numbers = spark.createDataFrame([(r["source"], k, sizes[k], aims[k]) for k, r in enumerate(found)], named)
-    same_source = lambda a, b: a["source"].eqNullSafe(b["source"])
-    numbered = bins.join(numbers, same_source(bins, numbers)).select("number", "size", "n")
+    numbered = bins.join(numbers, _same_source(bins, numbers)).select("number", "size", "n")
     if not found:
-        return thin.select("doc_id", "source", "size", F.col("size").alias("source_size"), F.lit(0.0).alias("target"), F.col("size").alias("copies"), F.col("size").alias("taken"))
+        return None
     solved = _tilts(written(numbered), sources)
     full = solved.target >= CAP * solved.source_size * (1 - CLOSE)
     duals = spark.createDataFrame(solved.assign(full=full & (solved.target > 0), none=solved.target <= 0)[["number", "t", "scale", "full", "none"]])
     tilt = F.exp(F.least(F.col("t") * F.col("size") / F.col("scale"), F.lit(math.log(CAP))))
     rated = numbered.join(duals, "number").select("number", "size", "n", F.when(F.col("full"), CAP).when(F.col("none"), 0.0).otherwise(tilt).alias("rate"))
     dealt = written(rated.groupBy("number").applyInPandas(_copies, "number long, size long, n long, copies long"))
-    tagged = thin.join(numbers, same_source(thin, numbers)).select("doc_id", thin["source"], "size", "source_size", "target", "number")
+    return numbers, dealt
+
+
+def _same_source(a: DataFrame, b: DataFrame) -> Column:
+    return a["source"].eqNullSafe(b["source"])
+
+
+def mix(docs: DataFrame, weight_of: Callable[[int], float], budget_share: float = 1.5, text_col: str = "text") -> DataFrame:
+    """One row a document: doc_id, source, size, source_size, target, copies, taken.
+
+    weight_of: the weight of the source that is k-th by code point (from 0), null last. The table is read once;
+    what follows works on (doc_id, source, size).
+    """
+    spark = docs.sparkSession
+    thin = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(text_col).alias("size")))
+    if (found := _solved(spark, thin, weight_of, budget_share)) is None:
+        return thin.select("doc_id", "source", "size", F.col("size").alias("source_size"), F.lit(0.0).alias("target"), F.col("size").alias("copies"), F.col("size").alias("taken"))
+    numbers, dealt = found
+    tagged = thin.join(numbers, _same_source(thin, numbers)).select("doc_id", thin["source"], "size", "source_size", "target", "number")
     return _deal(tagged, dealt)
 
 
@@ -153,8 +164,35 @@ def _deal(docs: DataFrame, dealt: DataFrame) -> DataFrame:
     return grouped.withColumn("got", copies).select("doc_id", "source", "size", "source_size", "target", F.col("got").alias("copies"), (F.col("got") * F.col("size")).alias("taken"))
 
 
+#: Documents of one (source, size) up to which apply_mix ranks their hashes; of more, it takes a share of all hashes.
+EXACT = 100_000
+
+
 def apply_mix(docs: DataFrame, weight_of: Callable[[int], float], budget_share: float = 1.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs, each as many times as it has copies; rows that share a doc_id share the count."""
-    copies = mix(docs, weight_of, budget_share, text_col).where("copies > 0").groupBy(row_key("doc_id").alias("_tw_id")).agg(F.max("copies").cast("int").alias("_tw_copies"))
-    joined = docs.withColumn("_tw_id", row_key("doc_id")).join(copies, "_tw_id")
-    return joined.withColumn("_tw_copy", F.explode(F.array_repeat(F.lit(1), F.col("_tw_copies")))).drop("_tw_id", "_tw_copies", "_tw_copy")
+    """The rows of docs, each as many times as it has copies.
+
+    Each (source, size) has a lower number of copies and the hash of (doc_id, text) up to which its documents get
+    one more; these rows, as many as there are sizes, are joined with the texts, which stay where they are. So
+    null and repeated doc_ids are told apart by their texts; only rows alike in both get the same number.
+    """
+    spark, own = docs.sparkSession, [F.col(f"`{x}`") for x in docs.columns]
+    hashed = F.xxhash64(F.col("doc_id").cast("long"), text_col)
+    thin = written(docs.select(F.col("source").cast("string").alias("source"), words(text_col).alias("size"), hashed.alias("h")))
+    if (found := _solved(spark, thin, weight_of, budget_share)) is None:
+        return docs
+    numbers, dealt = found
+    bins = dealt.join(numbers.select("number", "source"), "number").select("source", "size", "n", "copies")
+    bins = bins.withColumns({"least": F.floor(F.col("copies") / F.col("n")), "more": F.col("copies") % F.col("n")})
+    lowest, span = float(-(2**63)), float(2**64)
+    share = (F.lit(lowest) + F.col("more") / F.col("n") * span).cast("long")
+    few = bins.where((F.col("n") <= EXACT) & (F.col("more") > 0)).select(F.col("source").alias("_s"), F.col("size").alias("_n"), "more")
+    place = F.row_number().over(Window.partitionBy("source", "size").orderBy("h"))
+    ranked = thin.join(few, thin["source"].eqNullSafe(few["_s"]) & (thin["size"] == few["_n"])).select("source", "size", "h", "more", place.alias("place"))
+    cuts = ranked.where("place = more").select(F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("h").alias("cut"))
+    cut = F.when(F.col("more") > 0, F.coalesce("cut", share))
+    counts = bins.join(cuts, bins["source"].eqNullSafe(cuts["_s"]) & (bins["size"] == cuts["_n"]), "left")
+    counts = small(counts.select(F.col("source").alias("_tw_source"), F.col("size").alias("_tw_size"), "least", cut.alias("cut")))
+    keyed = docs.select(F.struct(*own).alias("_tw_row"), F.col("source").cast("string").alias("_tw_own"), words(text_col).alias("_tw_words"), hashed.alias("_tw_h"))
+    joined = keyed.join(counts, F.col("_tw_own").eqNullSafe(F.col("_tw_source")) & (F.col("_tw_words") == F.col("_tw_size")))
+    copies = F.col("least") + F.coalesce(F.col("_tw_h") <= F.col("cut"), F.lit(False)).cast("long")
+    return joined.select("_tw_row", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias("_tw_copy")).select("_tw_row.*")
