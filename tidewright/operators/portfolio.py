@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,17 +17,17 @@ c = F.col
 YEAR, RF = 252, 0.06
 
 
-def by_date():
-    """A portfolio's own series has one row a date, few at any scale, so windows over all dates are one task's work."""
-    return Window.orderBy("date")
+def by_date(by: Sequence[str] = ()):
+    """Dates in order, of each portfolio if by names the columns that tell them apart; a single one's series has a row a date, few at any scale."""
+    return Window.partitionBy(*by).orderBy("date") if by else Window.orderBy("date")
 
 
-def to_date():
-    return by_date().rowsBetween(Window.unboundedPreceding, 0)
+def to_date(by: Sequence[str] = ()):
+    return by_date(by).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def last_dates(period: int):
-    return by_date().rowsBetween(-(period - 1), 0)
+def last_dates(period: int, by: Sequence[str] = ()):
+    return by_date(by).rowsBetween(-(period - 1), 0)
 
 
 # Matrices in long form: i, j and a value.
@@ -68,6 +70,58 @@ def covariance(aligned: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return pair_table(aligned, F.coalesce(F.covar_samp("x", "y"), F.lit(0.0)).alias("cov"), F.count(F.lit(1)).alias("periods"), by=by)
 
 
+def tiled_covariance(aligned: DataFrame, by: Sequence[str] = (), tile: int = 256, dates: int = 1024) -> DataFrame:
+    """As covariance, for thousands of members: products of tiles of members and dates instead of a row a pair and date.
+
+    Returns less their member's mean are laid out as tiles (tile members x dates positions); every two tiles of the
+    same positions meet in one task, which multiplies them, and their products are added by pair of tiles. A task
+    holds two tiles, and one sum of tile x tile, whatever the members and dates.
+    """
+    key = list(by)
+    names = aligned.groupBy(*key, "ticker").agg(F.avg("ret").alias("_mean"), F.count(F.lit(1)).alias("periods"))
+    order = Window.partitionBy(*key).orderBy("ticker") if key else Window.orderBy("ticker")  # a row a member
+    placed = names.withColumn("_k", F.row_number().over(order) - 1)
+    rows = aligned.join(placed, [*key, "ticker"]).select(*key, F.floor(c("_k") / tile).alias("_tile"), (c("_k") % tile).alias("_at"), F.floor(c("t") / dates).alias("_part"), (c("t") % dates).alias("_t"), (c("ret") - c("_mean")).alias("_x"))
+    tiles = rows.groupBy(*key, "_tile", "_part").agg(F.collect_list(F.struct("_at", "_t", "_x")).alias("_cells"))
+    last = placed.groupBy(*key).agg(F.floor(F.max("_k") / tile).alias("_last"))
+    tiles = tiles.join(last, key) if key else tiles.join(F.broadcast(last))  # one row
+    # every tile goes to its pairs with all tiles, the smaller number first
+    paired = tiles.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), c("_last")))).select(
+        *key, "_part", F.least("_tile", "_other").alias("_a"), F.greatest("_tile", "_other").alias("_b"), "_tile", "_cells"
+    )
+    kinds = {f.name: f.dataType.simpleString() for f in aligned.schema.fields}
+    keys = "".join(f"{x} {kinds[x]}, " for x in key)
+
+    def laid_out(cells) -> np.ndarray:
+        flat = cells.combine_chunks().flatten()
+        at, t, x = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+        out = np.zeros((tile, dates))
+        out[at, t] = x
+        return out
+
+    def multiply(group, table):
+        of = {n: laid_out(table.column("_cells").slice(i, 1)) for i, n in enumerate(table.column("_tile").to_pylist())}
+        *own, _, a, b = (v.as_py() for v in group)
+        product = of[a] @ of[b].T if a in of and b in of else np.zeros((tile, tile))
+        return pa.table({**{x: [v] for x, v in zip(key, own, strict=True)}, "_a": [a], "_b": [b], "_product": pa.array([product.tobytes()], pa.binary())})
+
+    def add(group, table):
+        *own, a, b = (v.as_py() for v in group)
+        total = sum(np.frombuffer(v.as_py()) for v in table.column("_product")).reshape(tile, tile)
+        i, j = (x.ravel() for x in np.meshgrid(np.arange(tile) + a * tile, np.arange(tile) + b * tile, indexing="ij"))
+        return pa.table({**{x: [v] * len(i) for x, v in zip(key, own, strict=True)}, "_i": i, "_j": j, "_sum": total.ravel()})
+
+    parts = paired.groupBy(*key, "_part", "_a", "_b").applyInArrow(multiply, f"{keys}_a long, _b long, _product binary")
+    sums = parts.groupBy(*key, "_a", "_b").applyInArrow(add, f"{keys}_i long, _j long, _sum double")
+    left = placed.select(*key, c("_k").cast("long").alias("_i"), c("ticker").alias("i"), "periods")
+    right = placed.select(*key, c("_k").cast("long").alias("_j"), c("ticker").alias("j"))
+    half = sums.where("_i <= _j").join(left, [*key, "_i"]).join(right, [*key, "_j"])
+    cov = F.when(c("periods") > 1, c("_sum") / (c("periods") - 1)).otherwise(0.0)
+    one = lambda i, j: F.struct(c(i).alias("i"), c(j).alias("j"))
+    sides = F.when(c("i") == c("j"), F.array(one("i", "j"))).otherwise(F.array(one("i", "j"), one("j", "i")))
+    return half.select(*key, F.explode(sides).alias("_side"), cov.alias("cov"), "periods").select(*key, "_side.i", "_side.j", "cov", "periods")
+
+
 def shrink(cov: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(1 - a) cov + a * mean variance on the diagonal, a = n / (n + periods) within 0.01 and 0.5. A portfolio's K x K rows are one window partition."""
     whole = Window.partitionBy(*(by or [F.lit(0)]))
@@ -160,9 +214,21 @@ def portfolio_returns(bars: DataFrame, weights: DataFrame) -> DataFrame:
     return rows.where("_n > 1").join(weights, "ticker").groupBy("date").agg(F.sum(c("weight") * c("r")).alias("ret"))
 
 
-def equity(returns: DataFrame) -> DataFrame:
+def equity(returns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """date, ret, equity: 100 times the running product of 1 + ret."""
-    return returns.withColumn("equity", 100 * F.product(1 + c("ret")).over(to_date()))
+    return returns.withColumn("equity", 100 * F.product(1 + c("ret")).over(to_date(by)))
+
+
+def portfolio_series(bars: DataFrame, weights: DataFrame) -> DataFrame:
+    """portfolio_id, date, ret, equity of any number of portfolios (weights: portfolio_id, ticker, weight), each on the dates that all of its members have."""
+    sized = weights.select("portfolio_id", "ticker", "weight", F.count(F.lit(1)).over(Window.partitionBy("portfolio_id")).alias("_k"))
+    held = bars.select("ticker", "date", "close").join(sized, "ticker")
+    common = held.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("portfolio_id", "date"))).where(c("_n") == c("_k"))
+    own = Window.partitionBy("portfolio_id", "ticker").orderBy("date")
+    before = F.lag("close").over(own)
+    rows = common.select("portfolio_id", "date", "weight", F.row_number().over(own).alias("_row"), F.when(before > 0, c("close") / F.when(before > 0, before) - 1).otherwise(0.0).alias("r"))
+    returns = rows.where("_row > 1").groupBy("portfolio_id", "date").agg(F.sum(c("weight") * c("r")).alias("ret"))
+    return equity(returns, ["portfolio_id"])
 
 
 def lots_for_capital(bars: DataFrame, weights: DataFrame, dims: DataFrame, capital: float) -> DataFrame:
@@ -173,40 +239,45 @@ def lots_for_capital(bars: DataFrame, weights: DataFrame, dims: DataFrame, capit
     return joined.select("ticker", F.when(value > 0, F.floor(capital * c("weight") / F.when(value > 0, value))).otherwise(0).cast("long").alias("lots"))
 
 
-def _full(x: Column, period: int) -> Column:
-    return F.when(F.count("ret").over(last_dates(period)) == period, x)
+def _full(x: Column, period: int, by: Sequence[str]) -> Column:
+    return F.when(F.count("ret").over(last_dates(period, by)) == period, x)
 
 
-def rolling_volatility(returns: DataFrame, period: int = 126) -> DataFrame:
-    return returns.select("date", _full(F.stddev_samp("ret").over(last_dates(period)) * math.sqrt(YEAR), period).alias("volatility"))
+def rolling_volatility(returns: DataFrame, period: int = 126, by: Sequence[str] = ()) -> DataFrame:
+    return returns.select(*by, "date", _full(F.stddev_samp("ret").over(last_dates(period, by)) * math.sqrt(YEAR), period, by).alias("volatility"))
 
 
-def rolling_sharpe(returns: DataFrame, period: int = 126, rf: float = RF) -> DataFrame:
-    mean, sd = F.avg("ret").over(last_dates(period)), F.stddev_samp("ret").over(last_dates(period))
-    return returns.select("date", _full(ratio(mean - rf / YEAR, sd) * math.sqrt(YEAR), period).alias("sharpe"))
+def rolling_sharpe(returns: DataFrame, period: int = 126, rf: float = RF, by: Sequence[str] = ()) -> DataFrame:
+    mean, sd = F.avg("ret").over(last_dates(period, by)), F.stddev_samp("ret").over(last_dates(period, by))
+    return returns.select(*by, "date", _full(ratio(mean - rf / YEAR, sd) * math.sqrt(YEAR), period, by).alias("sharpe"))
 
 
-def risk_summary(curve: DataFrame, rf: float = RF) -> DataFrame:
-    """One row: ann_volatility, sharpe, sortino (against 0), max_drawdown and calmar of date, ret, equity."""
-    peak = F.max("equity").over(to_date())
+def risk_summary(curve: DataFrame, rf: float = RF, by: Sequence[str] = ()) -> DataFrame:
+    """One row (each of by): ann_volatility, sharpe, sortino (against 0), max_drawdown and calmar of date, ret, equity."""
+    peak = F.max("equity").over(to_date(by))
     rows = curve.withColumn("_dd", F.when(peak > 0, (peak - c("equity")) / F.when(peak > 0, peak)).otherwise(0.0))
     short = F.least(c("ret"), F.lit(0.0))
-    total = rows.agg(F.avg("ret").alias("m"), F.coalesce(F.stddev_samp("ret"), F.lit(0.0)).alias("s"), F.sqrt(F.avg(short * short)).alias("d"), F.max("_dd").alias("max_drawdown"))
+    total = rows.groupBy(*by).agg(F.avg("ret").alias("m"), F.coalesce(F.stddev_samp("ret"), F.lit(0.0)).alias("s"), F.sqrt(F.avg(short * short)).alias("d"), F.max("_dd").alias("max_drawdown"))
     root = math.sqrt(YEAR)
     return total.select(
-        (c("s") * root).alias("ann_volatility"), (ratio(c("m") - rf / YEAR, c("s"), 0.0) * root).alias("sharpe"), (ratio(c("m"), c("d"), 0.0) * root).alias("sortino"), "max_drawdown", ratio(c("m") * YEAR, c("max_drawdown"), 0.0).alias("calmar"),
+        *by, (c("s") * root).alias("ann_volatility"), (ratio(c("m") - rf / YEAR, c("s"), 0.0) * root).alias("sharpe"), (ratio(c("m"), c("d"), 0.0) * root).alias("sortino"), "max_drawdown", ratio(c("m") * YEAR, c("max_drawdown"), 0.0).alias("calmar"),
     )
 
 
-def top_drawdowns(curve: DataFrame, n: int = 5) -> DataFrame:
-    """The n deepest episodes: peak (the latest equal high), trough (the first minimum), recovery (first date back at the peak, or null)."""
-    marked = curve.withColumn("_high", (c("equity") >= F.max("equity").over(to_date())).cast("int")).withColumn("_g", F.sum("_high").over(to_date()))
-    episodes = marked.groupBy("_g").agg(
+def top_drawdowns(curve: DataFrame, n: int = 5, by: Sequence[str] = ()) -> DataFrame:
+    """The n deepest episodes (of each of by): peak (the latest equal high), trough (the first minimum), recovery (first date back at the peak, or null)."""
+    marked = curve.withColumn("_high", (c("equity") >= F.max("equity").over(to_date(by))).cast("int")).withColumn("_g", F.sum("_high").over(to_date(by)))
+    episodes = marked.groupBy(*by, "_g").agg(
         F.min("date").alias("peak_date"), F.max("equity").alias("_peak"), F.min(F.struct("equity", "date")).alias("_low"), F.count(F.lit(1)).alias("_n")
     )
-    ended = episodes.withColumn("recovery_date", F.lead("peak_date").over(Window.orderBy("_g"))).where((c("_n") > 1) & (c("_low.equity") < c("_peak")) & (c("_peak") > 0))
+    order = (Window.partitionBy(*by) if by else Window).orderBy("_g")
+    ended = episodes.withColumn("recovery_date", F.lead("peak_date").over(order)).where((c("_n") > 1) & (c("_low.equity") < c("_peak")) & (c("_peak") > 0))
     depth = (c("_peak") - c("_low.equity")) / F.when(c("_peak") > 0, c("_peak"))
-    return ended.select("peak_date", c("_low.date").alias("trough_date"), "recovery_date", depth.alias("depth")).orderBy(F.desc("depth"), "peak_date").limit(n)
+    found = ended.select(*by, "peak_date", c("_low.date").alias("trough_date"), "recovery_date", depth.alias("depth"))
+    if not by:
+        return found.orderBy(F.desc("depth"), "peak_date").limit(n)
+    deepest = Window.partitionBy(*by).orderBy(F.desc("depth"), "peak_date")
+    return found.withColumn("_n", F.row_number().over(deepest)).where(c("_n") <= n).drop("_n")
 
 
 def histogram(values: DataFrame, column: str, buckets: int | Column) -> DataFrame:

@@ -53,7 +53,8 @@ def select(tables: list[str], columns: str, source: str) -> str:
 MEMBERS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 SECTORS = ["A", "A", "B", "B", "C", "C"]
 _T = f"b AS MATERIALIZED ({BARS_TYPE})"
-_WT = "wt AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', {k} / 21e0)" for k, t in enumerate(MEMBERS, 1)) + ") t(ticker, weight))"
+WEIGHTS = "wt AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', {k} / 21e0)" for k, t in enumerate(MEMBERS, 1)) + ") t(ticker, weight))"
+EVEN = "wt AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', 1 / 6e0)" for t in MEMBERS) + ") t(ticker, weight))"
 RETURNS = [_T, f"rt AS MATERIALIZED (SELECT * FROM (SELECT ticker, date, row_number() {O} AS n, CASE WHEN lag(close) {O} > 0 THEN close / lag(close) {O} - 1 END AS ret FROM b) WHERE n > 1)"]
 ALIGNED = [
     *RETURNS,
@@ -63,12 +64,12 @@ ALIGNED = [
     "cv AS MATERIALIZED (SELECT a.ticker AS i, b.ticker AS j, covar_samp(a.ret, b.ret) AS cov, corr(a.ret, b.ret) AS corr FROM al a JOIN al b ON a.t = b.t GROUP BY ALL)",
     "sk AS (SELECT i, j, (1 - a) * cov + CASE WHEN i = j THEN a * av ELSE 0 END AS cov FROM cv, (SELECT avg(cov) AS av, greatest(least(count(*) / (count(*) + (SELECT max(t) FROM al)::DOUBLE), 0.5e0), 0.01e0) AS a FROM cv WHERE i = j))",
     "an AS MATERIALIZED (SELECT i, j, cov * 252 AS cov FROM sk)",
-    _WT,
+    WEIGHTS,
     "sw AS MATERIALIZED (SELECT i, any_value(wi.weight) AS wi, sum(cov * wj.weight) AS sw FROM an JOIN wt wi ON wi.ticker = i JOIN wt wj ON wj.ticker = j GROUP BY i)",
     "iv AS (SELECT ticker, 1 / sigma AS v FROM st)",
 ]
 SERIES = [
-    _T, _WT,
+    _T, WEIGHTS,
     "ix AS MATERIALIZED (SELECT * FROM b WHERE date IN (SELECT date FROM b GROUP BY date HAVING count(*) = 6))",
     f"ir AS (SELECT *, lag(close) {O} AS pc FROM ix)",
     "pr AS MATERIALIZED (SELECT date, sum(weight * CASE WHEN pc > 0 THEN close / pc - 1 ELSE 0 END) AS ret FROM ir JOIN wt USING (ticker) WHERE pc IS NOT NULL GROUP BY date)",

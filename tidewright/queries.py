@@ -251,6 +251,7 @@ register("daily_returns", lambda spark, sf_dir: rounded(factors.returns_by_date(
 register("ann_stats", lambda spark, sf_dir: rounded(portfolio.ann_stats(_aligned(spark, sf_dir))), _own(f"ticker, {sql.grid('mu')} AS mu, {sql.grid('sigma')} AS sigma", "st"))
 register("align_tail", lambda spark, sf_dir: rounded(_aligned(spark, sf_dir).withColumn("t", F.col("t").cast("long")), 6), _own(f"ticker, t, {sql.grid('ret', 6)} AS ret", "al"))
 register("covariance", lambda spark, sf_dir: rounded(portfolio.covariance(_aligned(spark, sf_dir))), _own(f"i, j, {sql.grid('cov')} AS cov, (SELECT max(t) FROM al) AS periods", "cv"))
+register("tiled_covariance", lambda spark, sf_dir: rounded(portfolio.tiled_covariance(_aligned(spark, sf_dir)).select("i", "j", "cov"), 8), _own(f"i, j, {sql.grid('cov', 8)} AS cov", "cv"))
 register("annual_shrunk_covariance", lambda spark, sf_dir: rounded(_annual_cov(spark, sf_dir)), _own(f"i, j, {sql.grid('cov')} AS cov", "an"))
 register("correlation", lambda spark, sf_dir: rounded(portfolio.correlation(portfolio.covariance(_aligned(spark, sf_dir)))), _own(f"i, j, {sql.grid('CASE WHEN i = j THEN 1 ELSE corr END')} AS corr", "cv"))
 register("correlation_matrix", lambda spark, sf_dir: rounded(portfolio.correlation_matrix(_aligned(spark, sf_dir))), _own(f"i, j, {sql.grid('corr')} AS corr", "cv"))
@@ -301,6 +302,25 @@ register("rolling_volatility", lambda spark, sf_dir: rounded(portfolio.rolling_v
 register("rolling_sharpe", lambda spark, sf_dir: rounded(portfolio.rolling_sharpe(_curve(spark, sf_dir))), _own(psql.ROLLING_SHARPE, "pr", psql.SERIES))
 register("risk_summary", lambda spark, sf_dir: rounded(portfolio.risk_summary(_curve(spark, sf_dir))), _own(psql.RISK, "dd", psql.SERIES))
 register("top_drawdowns", lambda spark, sf_dir: rounded(portfolio.top_drawdowns(_curve(spark, sf_dir))), _own(f"peak_date, trough_date, recovery_date, {sql.grid('(pk - lo) / pk')} AS depth", "(SELECT * FROM er WHERE lo < pk ORDER BY (pk - lo) / pk DESC, peak_date LIMIT 5)", psql.EPISODES))
+
+
+def _portfolios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series of two portfolios of the same members: weights k / 21 and equal ones."""
+    even = _weights(spark).select(F.lit("even").alias("portfolio_id"), "ticker", F.lit(1 / 6).alias("weight"))
+    return portfolio.portfolio_series(fixtures.bars_type(spark, sf_dir), _weights(spark).select(F.lit("rising").alias("portfolio_id"), "ticker", "weight").union(even))
+
+
+def _both(name: str) -> str:
+    """The query of one portfolio's series for both."""
+    return f"SELECT 'rising' AS portfolio_id, * FROM ({ORACLES[name]}) UNION ALL SELECT 'even' AS portfolio_id, * FROM ({ORACLES[name].replace(psql.WEIGHTS, psql.EVEN)})"
+
+
+_ID = ["portfolio_id"]
+register("portfolios_equity", lambda spark, sf_dir: rounded(_portfolios(spark, sf_dir).select("portfolio_id", "date", "equity"), 2), _both("portfolio_equity"))
+register("portfolios_rolling_sharpe", lambda spark, sf_dir: rounded(portfolio.rolling_sharpe(_portfolios(spark, sf_dir), by=_ID)), _both("rolling_sharpe"))
+register("portfolios_rolling_volatility", lambda spark, sf_dir: rounded(portfolio.rolling_volatility(_portfolios(spark, sf_dir), by=_ID)), _both("rolling_volatility"))
+register("portfolios_risk_summary", lambda spark, sf_dir: rounded(portfolio.risk_summary(_portfolios(spark, sf_dir), by=_ID)), _both("risk_summary"))
+register("portfolios_top_drawdowns", lambda spark, sf_dir: rounded(portfolio.top_drawdowns(_portfolios(spark, sf_dir), by=_ID)), _both("top_drawdowns"))
 register("return_distribution", lambda spark, sf_dir: rounded(portfolio.histogram(_curve(spark, sf_dir), "ret", 30)), psql.histogram(psql.SERIES, "pr", "ret", "30"))
 register("trade_histogram", lambda spark, sf_dir: rounded(portfolio.histogram(_run(spark, sf_dir).trades, "pnl", portfolio.trade_buckets())), psql.histogram([sql.SERIES, *osql.trade_tables(_base_tables)], "tl", "pnl", "greatest(least(floor(sqrt(count(*))), 20), 5)"))
 register(
