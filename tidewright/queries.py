@@ -440,8 +440,8 @@ for _key in table_functions.NAMES:
 
 
 def _calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ends = fixtures.read(spark, sf_dir, "orders").agg(F.min("o_orderdate").cast("date"), F.max("o_orderdate").cast("date")).first()
-    return etl.business_days(spark, F.lit(ends[0]), F.lit(ends[1]))
+    orders = fixtures.read(spark, sf_dir, "orders").agg(F.min("o_orderdate").cast("date").alias("first"), F.max("o_orderdate").cast("date").alias("last"))
+    return etl.business_days(orders, F.col("first"), F.col("last"))
 
 
 _DAYS = ["cal AS (SELECT CAST(unnest(generate_series((SELECT min(o_orderdate)::DATE FROM orders), (SELECT max(o_orderdate)::DATE FROM orders), INTERVAL 1 DAY)) AS DATE) AS date)", "wd AS (SELECT date FROM cal WHERE isodow(date) < 6)"]

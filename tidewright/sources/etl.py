@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.series import ordered
@@ -49,9 +49,9 @@ def upsert_by_date(history: DataFrame, batch: DataFrame) -> DataFrame:
     return both.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n", "_new")
 
 
-def business_days(spark: SparkSession, first: Column, last: Column) -> DataFrame:
-    """date of each weekday from first to last."""
-    days = spark.range(1).select(F.explode(F.sequence(first, last)).alias("date"))
+def business_days(spans: DataFrame, first: Column, last: Column) -> DataFrame:
+    """date of each weekday from first to last of each row of spans."""
+    days = spans.select(F.explode(F.sequence(first, last)).alias("date"))
     return days.where(F.weekday("date") < 5)
 
 

@@ -19,14 +19,12 @@ def parse(lines: DataFrame) -> DataFrame:
 
 
 def save(store: DataFrame, new: DataFrame, most: int = MOST) -> DataFrame:
-    """store with new portfolios: one of a known name replaces it and keeps its created_at; the oldest updated go when there are more than most."""
+    """store with new portfolios: one of a known name replaces it and keeps its created_at; the oldest updated go when a new name makes them more than most. One user's portfolios are few, so their windows are one task's work."""
     both = store.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     named = Window.partitionBy("name")
-    one = both.withColumn("created_at", F.min("created_at").over(named)).withColumn("_n", F.row_number().over(named.orderBy(F.desc("_new"), F.desc("updated_at")))).where("_n = 1").drop("_n")
-    inserted = one.join(store.select("name"), "name", "left_anti").limit(1).count() > 0
-    if inserted:
-        one = one.orderBy(F.desc("updated_at"), F.desc("_new"), "name").limit(most)
-    return one.drop("_new")
+    one = both.withColumns({"created_at": F.min("created_at").over(named), "_fresh": F.min("_new").over(named) == 1}).withColumn("_n", F.row_number().over(named.orderBy(F.desc("_new"), F.desc("updated_at")))).where("_n = 1").drop("_n")
+    kept = one.withColumns({"_any": F.max(c("_fresh").cast("int")).over(Window.partitionBy(F.lit(0))), "_rank": F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("updated_at"), F.desc("_new"), "name"))})
+    return kept.where((c("_any") == 0) | (c("_rank") <= most)).select(*store.columns)
 
 
 def listed(store: DataFrame) -> DataFrame:
