@@ -11,7 +11,9 @@ Dropped inside and outside of containers: menus, headers (headings inside of an
 sidebars, notices, adverts, forms, scripts, styles, comments of markup and of readers, recognised by element,
 role, or class and id: by whole names or known compounds, inside of articles never headings; outside of articles
 other compounds with such a word drop what holds at most half of the page's text, unless they say what a
-container has or lacks (with-sidebar). Character references are decoded, white space inside a block becomes
+container has or lacks (with-sidebar). A form or a container of such a whole name, not of readers' comments, that
+holds nearly all text of a page, WHOLE_PAGE code points at least, is the page's frame and stays, unless text
+stands in an article outside of it. A head that is not closed ends at the first text or block element. Character references are decoded, white space inside a block becomes
 one space, blocks are trimmed and joined by one line feed in page order; <br> ends a block. Nothing else is
 dropped or capped; two paths with one 64-bit key count as one.
 
@@ -38,21 +40,27 @@ from .url_filters import url_host
 
 #: Share of the kept text outside links that a container outside of articles must hold.
 NEARLY_ALL = 0.9
+#: Code points outside links that a form, or a container named like furniture, must hold to be taken for a page's frame.
+WHOLE_PAGE = 200
 
 #: Elements, roles and words of class and id.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CONTAINERS = frozenset("article body div main section td".split())
 RAW = frozenset("script style noscript template iframe textarea title svg object select button xmp".split())
-DROPPED = frozenset("nav footer aside form menu dialog head fieldset".split())
+DROPPED = frozenset("nav footer aside menu dialog head fieldset".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar note status".split())
 DROPPED_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer comment comments commentlist disqus respond reply replies discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations widget login toolbar pagination pager copyright masthead".split())
 #: Inside of articles, a name counts as a whole, or as words of DROPPED_WORDS with these and numbers only; ids that are slugs of ordinary headings do not count.
-FITTINGS = frozenset("area article articles banner bar block body bottom box button buttons center container content count form group header icon icons inner item items js label left link links list media module outer page panel post posts right section site slot stories story title text tool tools top unit wrap wrapper".split())
+FITTINGS = frozenset("area article articles banner bar block body bottom box button buttons center container content count form group header heading icon icons inner item items js label left link links list media module outer page panel post posts right section site slot stories story title text tool tools top unit wrap wrapper".split())
 SLUGS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navigation menu footer comment reply replies discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations widget login pagination copyright masthead".split())
 #: Words that say in a compound what a container has or lacks; such a name drops nothing. Words of readers' comments, which may hold most of a page.
 STATES = frozenset("with without has have no non not less show hide is open off layout theme template".split())
 READERS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+#: Inside of articles: words of a class that may name a paragraph's topic, words of a heading's class that stand for readers' comments, and words that make a page's header of "header".
+TOPICS = frozenset("social related discussion notice notices notification alert copyright respond navigation".split())
+COMMENT_WORDS = READERS - {"discussion"}
+SITE_WORDS = frozenset("site global page top main".split())
 TEXT_BLOCKS = HEADINGS | frozenset("p blockquote pre dt dd li caption figcaption summary".split())
 #: What an opening tag ends, up to the element that holds it.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -73,6 +81,12 @@ def _is_furniture(name: str) -> bool:
     return name in DROPPED_WORDS or (bool(DROPPED_WORDS.intersection(parts)) and all(w in DROPPED_WORDS or w in FITTINGS or w.isdigit() for w in parts))
 
 
+def _is_site_header(name: str) -> bool:
+    """Whether a class or id inside of an article is that of the site's or page's header."""
+    parts = {w for w in _PARTS.split(name) if w}
+    return "header" in parts and bool(parts & SITE_WORDS) and parts <= SITE_WORDS | {"header"}
+
+
 class Page:
     """Block elements of a page (tag, step and key of its path, parent, dropped) and its text blocks (element, text, share of it outside links).
 
@@ -81,7 +95,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.step, self.key, self.parent, self.dropped = ["#"], [""], [0], [0], [False]
-        self.article, self.shown, self.holder, self.weak = [False], [True], [0], [False]
+        self.article, self.shown, self.holder, self.weak, self.frame = [False], [True], [0], [False], [False]
         self.blocks: list[tuple[int, str, float]] = []
         self._stack, self._parts, self._linked, self._in_link = [0], [], 0, False
         self._read(source)
@@ -121,14 +135,22 @@ class Page:
         if self._parts:
             raw = "".join(self._parts)
             if text := " ".join(entities.unescape(raw).split()):
+                self._end_head()
                 self.blocks.append((self._stack[-1], text, 1 - min(1.0, self._linked / len(raw))))
             self._parts, self._linked = [], 0
 
+    def _end_head(self) -> None:
+        """A head whose end tag is left out ends where the body's content begins."""
+        if self.tag[self._stack[-1]] == "head":
+            self._stack.pop()
+
     def _open(self, tag: str, attributes: str) -> None:
         self._flush()
         self._in_link = False
         if tag == "hr":
             return
+        if tag not in ("head", "html"):
+            self._end_head()
         if self.tag[self._stack[-1]] == "p":
             self._stack.pop()
         if tag in ENDS:
@@ -148,9 +170,11 @@ class Page:
         self.key.append(xxhash.xxh3_64_intdigest(f"{self.key[up]}/{self.step[-1]}") >> 1)
         self.holder.append(len(self.tag) - 1 if tag in CONTAINERS else self.holder[up])
         self.weak.append(False)
+        self.frame.append(False)
         self.article.append(self.article[up] or tag in ("article", "main"))
         self.shown.append(tag in HEADINGS or (tag != "header" and self.shown[up]))
-        self.dropped.append(self.dropped[up] or self._is_dropped(tag, self.article[up], names, found))
+        dropped = self._is_dropped(tag, self.article[up], names, found)
+        self.dropped.append(dropped or (tag != "body" and self.dropped[up]))
         self._stack.append(len(self.tag) - 1)
 
     def _is_dropped(self, tag: str, in_article: bool, names: list[str], found: dict[str, str]) -> bool:
@@ -160,20 +184,41 @@ class Page:
         if tag in ("body", "html", "article", "main"):
             return bool({"comment", "comments", "reply"} & words)
         if in_article:
+            classes = found.get("class", "").split()
+            if tag in HEADINGS:
+                return any(_is_furniture(n) and COMMENT_WORDS.intersection(_PARTS.split(n)) for n in classes)
+            if tag == "p":
+                return any(_is_furniture(n) and not DROPPED_WORDS.intersection(_PARTS.split(n)) <= TOPICS for n in classes)
             ids = () if tag in TEXT_BLOCKS else (n for n in found.get("id", "").split() if n not in SLUGS)
-            return tag not in HEADINGS and any(map(_is_furniture, (*found.get("class", "").split(), *ids)))
-        if tag == "header" or any(n == "header" or _is_furniture(n) for n in names):
-            return True
+            return tag == "form" or any(_is_furniture(n) or _is_site_header(n) for n in (*classes, *ids))
+        if tag in ("form", "header") or any(n == "header" or _is_furniture(n) for n in names):
+            self.frame[-1] = tag != "header" and not any(READERS.intersection(_PARTS.split(n)) for n in names)
+            return not self.frame[-1]
         told = [p for n in names for p in [set(_PARTS.split(n))] if not p & STATES]
         self.weak[-1] = any(p & (DROPPED_WORDS | {"header"}) for p in told)
         return self.weak[-1] and any(p & READERS for p in told)
 
     def _settle(self) -> None:
-        """Drops the containers outside of articles whose compound names only hint at it, but for those that hold most of the page's text."""
+        """Drops the forms and named containers outside of articles, but for a page's frame; then those whose compound names only hint at it, but for those that hold most of the page's text."""
+        if any(self.frame):
+            held = self._held()
+            least = max(NEARLY_ALL * held[0], WHOLE_PAGE)
+            apart = self._articles_apart()
+            for e in range(1, len(self.tag)):
+                self.dropped[e] = self.dropped[e] or (self.tag[e] != "body" and self.dropped[self.parent[e]]) or (self.frame[e] and (apart[e] or held[e] < least))
         if any(self.weak):
             held = self._held()
             for e in range(1, len(self.tag)):
-                self.dropped[e] = self.dropped[e] or self.dropped[self.parent[e]] or (self.weak[e] and held[e] <= held[0] / 2)
+                self.dropped[e] = self.dropped[e] or (self.tag[e] != "body" and self.dropped[self.parent[e]]) or (self.weak[e] and held[e] <= held[0] / 2)
+
+    def _articles_apart(self) -> list[bool]:
+        """Of each element, whether kept text stands in an article or main element outside of it."""
+        inside = [0] * len(self.tag)
+        for element, _, _ in self.blocks:
+            inside[element] += self.article[element] and not self.dropped[element]
+        for e in range(len(inside) - 1, 0, -1):
+            inside[self.parent[e]] += inside[e]
+        return [n < inside[0] and not self.article[e] for e, n in enumerate(inside)]
 
     def _held(self) -> list[float]:
         """Of each element the kept text outside links."""
