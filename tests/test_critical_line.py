@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from tidewright.operators import optimizer
-from tidewright.operators.critical_line import bounds, critical_line, exact_frontier, frontier_corners, optimality_gap, volatility_at
+from tidewright.operators.critical_line import at_slope, bounds, critical_line, exact_frontier, frontier_corners, optimality_gap, volatility_at
 
 
 def problem(n, seed, tie=False):
@@ -71,6 +71,14 @@ def test_projected_gradient_lies_above_and_close():
     assert np.isnan(volatility_at(corners, cov, mu, mu.max() + 1))
 
 
+def test_weights_between_corners_are_optimal_too():
+    cov, mu = problem(20, 5)
+    lower, upper = bounds(20, optimizer.Constraints(max_weight=0.2))
+    corners = critical_line(cov, mu, lower, upper)
+    for slope in (0.0, 0.01, 0.1, 0.5, 2.0, 100.0):
+        assert abs(optimality_gap(at_slope(corners, slope), cov, mu, slope, lower, upper)) < 1e-8 * max(1.0, slope)
+
+
 def test_two_portfolios_in_spark(spark):
     r = np.random.default_rng(7)
     days = pd.date_range("2024-01-01", periods=60).date

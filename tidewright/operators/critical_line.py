@@ -17,6 +17,7 @@ Bounds that admit no weights are widened to 1 / K. A portfolio of one member has
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -117,6 +118,12 @@ def volatility_at(corners: list[Corner], cov: np.ndarray, mu: np.ndarray, target
     return float(np.sqrt(max(w @ cov @ w, 0.0)))
 
 
+def at_slope(corners: list[Corner], slope: float) -> np.ndarray:
+    """The weights of that slope: linear between corners, those of the largest return beyond the first."""
+    slopes, weights = np.array([c.slope for c in corners[::-1]]), np.array([c.weights for c in corners[::-1]])
+    return np.array([np.interp(slope, slopes, own) for own in weights.T])
+
+
 def frontier_corners(returns: DataFrame, constraints: Constraints = Constraints()) -> DataFrame:
     """returns: portfolio_id, ticker, date, ret, sector -> a row a corner and member, corners from the largest return down.
 
@@ -152,3 +159,21 @@ def exact_frontier(returns: DataFrame, constraints: Constraints = Constraints(),
         return pd.DataFrame({"portfolio_id": own["portfolio_id"].iloc[0], "point": range(points), "return": targets, "volatility": [volatility_at(corners, cov, mu, t) for t in targets]})
 
     return statistics(returns).groupBy("portfolio_id").applyInPandas(solve, "portfolio_id string, point int, `return` double, volatility double")
+
+
+def frontier_at(returns: DataFrame, slopes: Sequence[float], constraints: Constraints = Constraints()) -> DataFrame:
+    """returns as for frontier_corners -> a row a slope and member: the exact portfolio that gives a unit of return that price in variance."""
+
+    def solve(own: pd.DataFrame) -> pd.DataFrame:
+        names, cov, mu, sigma, _, periods = _matrices(own)
+        columns = ["portfolio_id", "slope", "ticker", "weight", "return", "volatility"]
+        if periods < 20:
+            return pd.DataFrame(columns=columns)
+        corners, rows = critical_line(cov, mu, *bounds(len(names), constraints)), []
+        for slope in slopes:
+            w = at_slope(corners, slope)
+            d = _described(w, cov, mu, sigma)
+            rows += [(own["portfolio_id"].iloc[0], float(slope), n, x, d["expected_return"], d["volatility"]) for n, x in zip(names, w.tolist(), strict=True)]
+        return pd.DataFrame(rows, columns=columns)
+
+    return statistics(returns).groupBy("portfolio_id").applyInPandas(solve, "portfolio_id string, slope double, ticker string, weight double, `return` double, volatility double")

@@ -138,25 +138,28 @@ def metrics(daily: DataFrame) -> DataFrame:
     peaks = daily.withColumn("_before", F.greatest(earlier, F.lit(0.0))).withColumns({"_peak": F.greatest("_before", "cumulative"), "_first": F.min("date").over(prefix())})
     dated = peaks.withColumn("_peak_date", F.coalesce(F.last(F.when(c("cumulative") > c("_before"), c("date")), ignorenulls=True).over(prefix()), c("_first")))
     depth, net = c("_peak") - c("cumulative"), c("net_pnl")
+    # deviations are taken from the ticker's means, not from sums of squares, which cancel where a mean is large against them
+    own, lost_day = Window.partitionBy("ticker"), F.when(net < 0, net)
+    dated = dated.withColumns({"_off": net - F.avg("net_pnl").over(own), "_neg_off": lost_day - F.sum(lost_day).over(own) / F.count(F.lit(1)).over(own)})
     deepest = F.struct(depth.alias("depth"), (-F.unix_date("date")).alias("earlier"), (depth / (CAPITAL + c("_peak")) * 100).alias("pct"), F.datediff("date", "_peak_date").alias("days"))
     runs = _with_streaks(
         _runs(
-            dated, F.count(F.lit(1)).alias("n"), F.sum("net_pnl").alias("total"), F.sum(net * net).alias("squares"), F.sum("cost").alias("costs"),
-            F.sum(F.when(net < 0, net)).alias("neg"), F.sum(F.when(net < 0, net * net)).alias("neg2"), F.count_if(net < 0).alias("neg_n"), F.max(deepest).alias("dd"),
+            dated, F.count(F.lit(1)).alias("n"), F.sum("net_pnl").alias("total"), F.sum(c("_off") * c("_off")).alias("squares"), F.sum("cost").alias("costs"),
+            F.sum(c("_neg_off") * c("_neg_off")).alias("neg2"), F.count_if(net < 0).alias("neg_n"), F.max(deepest).alias("dd"),
         )
     )
     won, lost = c("won"), c("trade") & ~c("won")
     zero = lambda x: F.coalesce(x, F.lit(0.0))
     best = lambda x: F.coalesce(x, F.lit(0)).cast("long")
     total = runs.groupBy("ticker").agg(
-        F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.sum("costs").alias("costs"), zero(F.sum("neg")).alias("neg"), zero(F.sum("neg2")).alias("neg2"), F.sum("neg_n").alias("neg_n"), F.max("dd").alias("dd"),
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.sum("costs").alias("costs"), zero(F.sum("neg2")).alias("neg2"), F.sum("neg_n").alias("neg_n"), F.max("dd").alias("dd"),
         F.count_if("trade").alias("num_trades"), F.count_if(won).alias("wins"), F.count_if(lost).alias("losses"), zero(F.sum(F.when(won, c("pnl")))).alias("profit"), zero(F.sum(F.when(lost, -c("pnl")))).alias("loss"),
         zero(F.avg(F.when(c("trade"), c("duration_days")))).alias("hold_days"), zero(F.max(F.when(c("trade"), c("pnl")))).alias("best"), zero(F.min(F.when(c("trade"), c("pnl")))).alias("worst"),
         best(F.max(F.when(won, c("streak")))).alias("max_consec_wins"), best(F.max(F.when(lost, c("streak")))).alias("max_consec_losses"),
     ).where("n >= 2")
-    mean, m = c("total") / c("n"), c("neg") / c("n")
-    std = F.sqrt(F.greatest((c("squares") - c("total") * mean) / (c("n") - 1), F.lit(0.0)))
-    downside = F.when(c("neg_n") > 0, F.sqrt((c("neg2") - 2 * m * c("neg") + c("neg_n") * m * m) / (c("n") - 1))).otherwise(0.0)
+    mean = c("total") / c("n")
+    std = F.sqrt(c("squares") / (c("n") - 1))
+    downside = F.when(c("neg_n") > 0, F.sqrt(c("neg2") / (c("n") - 1))).otherwise(0.0)
     yearly = c("total") * YEAR / c("n")
     deep, root = c("dd.depth"), math.sqrt(YEAR)
     win, loss = ratio(c("profit"), c("wins"), 0.0), ratio(c("loss"), c("losses"), 0.0)

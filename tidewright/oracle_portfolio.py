@@ -206,3 +206,23 @@ def frontier(points: int = 25) -> str:
     ]
     weights = f"list_transform(z, lambda v: {grid('v')})"
     return select(parts, f"'all' AS portfolio_id, point, {grid('reward')} AS return, {grid('po.vol')} AS volatility, {grid('(reward - 0.06e0) / po.vol')} AS sharpe, {weights} AS weights", "kp JOIN po USING (k)")
+
+
+#: Prices of a unit of return in variance that the registered query asks for.
+SLOPES = [0.0, 0.125, 0.25, 0.5, 1.0, 2.0, 4.0]
+
+
+def frontier_at() -> str:
+    """Least variance less slope times return, weights between 0 and 0.25: what a member gains another gives, the pair of the most different gradients first, until none differ."""
+    step = _nested(
+        "(SELECT * FROM it JOIN mx USING (pt) WHERE step < 3000 AND NOT stop)", f"list_transform(list_zip({_TIMES.format('w')}, mu), lambda p: p[1] - goal * p[2]) AS g",
+        "list_transform(list_zip(g, w), lambda p: CASE WHEN p[2] < 0.25e0 - 1e-13 THEN p[1] ELSE 1e300 END) AS up", "list_transform(list_zip(g, w), lambda p: CASE WHEN p[2] > 1e-13 THEN p[1] ELSE -1e300 END) AS down",
+        "list_position(up, list_min(up)) AS i, list_position(down, list_max(down)) AS j", "g[j] - g[i] < 1e-11 AS even",
+        "CASE WHEN even THEN 0e0 ELSE least((g[j] - g[i]) / (cov[i][i] + cov[j][j] - 2 * cov[i][j]), 0.25e0 - w[i], w[j]) END AS t", "list_transform(range(1, n + 1), lambda k: w[k] + CASE WHEN k = i THEN t WHEN k = j THEN -t ELSE 0e0 END) AS moved",
+    )
+    walk = f"it(pt, step, w, stop) AS (SELECT pt, 0, {_EQUAL}, false FROM mx UNION ALL SELECT pt, step + 1, moved, even FROM {step})"
+    last = _nested("(SELECT mx.*, w FROM (SELECT pt, arg_max(w, step) AS w FROM it GROUP BY pt) JOIN mx USING (pt))", f"{_TIMES.format('w')} AS cw", "list_dot_product(w, mu) AS reward, sqrt(list_dot_product(w, cw)) AS vol")
+    sectors = "se AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{s}')" for t, s in zip(MEMBERS, SECTORS, strict=True)) + ") t(ticker, sector))"
+    goal = f"CAST({SLOPES}[pt + 1] AS DOUBLE)"
+    parts = [*ALIGNED, sectors, _LISTS.format(goal=goal, points=f"range({len(SLOPES)}) r(pt)"), walk, f"po AS (SELECT goal, reward, vol, unnest(names) AS ticker, unnest(w) AS w FROM {last})"]
+    return select(parts, f"'all' AS portfolio_id, {grid('goal')} AS slope, ticker, {grid('w')} AS weight, {grid('reward')} AS return, {grid('vol')} AS volatility", "po")

@@ -289,16 +289,7 @@ def _frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("efficient_frontier", _frontier, psql.frontier())
-
-
-def _two_portfolios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All members, and all but the last, as two portfolios of one table."""
-    both = F.explode(F.when(F.col("ticker") == psql.MEMBERS[-1], F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("but_last"))))
-    return _members(spark, sf_dir).withColumn("portfolio_id", both)
-
-
-register("frontier_corners", lambda spark, sf_dir: rounded(critical_line.frontier_corners(_two_portfolios(spark, sf_dir))))
-register("exact_frontier", lambda spark, sf_dir: rounded(critical_line.exact_frontier(_two_portfolios(spark, sf_dir))))
+register("frontier_at", lambda spark, sf_dir: rounded(critical_line.frontier_at(_members(spark, sf_dir), psql.SLOPES)), psql.frontier_at())
 
 register("date_intersection", lambda spark, sf_dir: portfolio.date_intersection(fixtures.bars_type(spark, sf_dir), len(psql.MEMBERS)).select("ticker", "date"), _own("ticker, date", "ix", psql.SERIES))
 register("portfolio_returns", lambda spark, sf_dir: rounded(_curve(spark, sf_dir).select("date", "ret"), 6), _own(f"date, {sql.grid('ret', 6)} AS ret", "pr", psql.SERIES))
