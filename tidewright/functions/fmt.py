@@ -85,17 +85,20 @@ def fmt_rupees(x: Column) -> Column:
     return F.when(_finite(x), F.concat(F.lit(RUPEE), body)).otherwise(DASH)
 
 
-def relative_time(then: Column, now: Column) -> Column:
-    """The age of a timestamp, each unit rounded from the one before; an empty text for null."""
+def relative_age(seconds: Column) -> Column:
+    """The words for an age in seconds, each unit rounded from the one before. Ages may be longer than any timestamps lie apart; null for null."""
     near = lambda x: F.floor(x + 0.5)
-    seconds = F.greatest(F.unix_timestamp(now) - F.unix_timestamp(then), F.lit(0))
     minutes = near(seconds / 60)
     hours = near(minutes / 60)
     days = near(hours / 24)
     weeks = near(days / 7)
     said = lambda n, unit: F.concat(n.cast("string"), F.lit(f"{unit} ago"))
-    label = F.when(seconds < 60, "just now").when(minutes < 60, said(minutes, "m")).when(hours < 24, said(hours, "h")).when(days < 7, said(days, "d")).when(weeks < 5, said(weeks, "w")).otherwise(said(near(days / 30), "mo"))
-    return F.when(then.isNull(), "").otherwise(label)
+    return F.when(seconds < 60, "just now").when(minutes < 60, said(minutes, "m")).when(hours < 24, said(hours, "h")).when(days < 7, said(days, "d")).when(weeks < 5, said(weeks, "w")).otherwise(said(near(days / 30), "mo"))
+
+
+def relative_time(then: Column, now: Column) -> Column:
+    """The age of a timestamp in words; an empty text for null."""
+    return F.when(then.isNull(), "").otherwise(relative_age(F.unix_timestamp(now) - F.unix_timestamp(then)))
 
 
 def days_between(start: Column, end: Column) -> Column:
