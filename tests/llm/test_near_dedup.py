@@ -50,3 +50,17 @@ def test_rows_without_or_of_one_doc_id(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted([("None", a), ("None", b), ("1", c), ("7", d), ("7", prose(9, 80))])
     assert sorted((str(r.doc_id), r.text) for r in near_copies.near_dedup(df).collect()) == want
+
+
+def test_a_family_less_alike_than_the_links_meets_in_no_prefix(spark):
+    base = prose(77, 300)
+    texts = {k: changed(base, k, 12) for k in range(60)}
+    assert max(similarity(texts[0], texts[k]) for k in range(1, 60)) < 0.8
+    rows = near_copies._texts(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "text")
+    met = {}
+    for r in near_copies._thin(rows, 5, 0.8).collect():
+        for token, place in zip(r.tokens, r.places):
+            met.setdefault(token, []).append(r.n - place)
+    # rows of the join: what is left of both sets, of about 300 each, may reach 0.8 / 1.8 of their sum
+    made = sum(min(a, b) >= 4 / 9 * 590 for left in met.values() for k, a in enumerate(left) for b in left[:k])
+    assert made < 60  # in the order of hashes, each two of the 1770 pairs share about ten

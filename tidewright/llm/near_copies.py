@@ -5,12 +5,20 @@ where no trie prunes. So the trie self-join comes first: its spanning forest, at
 confirmed on the whole sets, and what is confirmed becomes one component, so that large groups of close copies
 are never compared pair by pair. The links beyond its budget are completed from shared shingles: two sets of
 similarity t or more share one of the first n - ceil(t * n) + 1 hashes of each, in any order that holds for all
-sets (prefix filter). The order is that of the hashes, with hashes known to be frequent last. Sets that share
-such a hash, and enough of them for the rest to reach t, and whose fingerprints differ in no more bits than similar
+sets (prefix filter). The order is that of document frequency, rarest first, so that the prefix of a set that
+is not a close copy of others is filled by hashes of its own, which meet nothing; and the first hash that two
+sets share stands so early in both that the rest of each can reach t (positional filter). Sets that share such a
+hash, and whose fingerprints differ in no more bits than similar
 sets' do (reach()) are compared whole. That is done first for the sets that share a hash with one of them, a
 leader, in groups of bounded size, which joins most of a large group of copies; then for all such pairs of
 different components.
 
+Frequencies are counted in buckets of the hashes' range: chunks of sets deal out 32 bits of each hash beyond
+its bucket's and the set's place in the chunk, and only hashes of several sets come back to the chunk. Bits that
+collide make hashes look shared, which costs a comparison and loses nothing: a set keeps its size n, and so its
+prefix is never shorter than its distinct bits need. Hashes known from a part of the texts to be very frequent
+are not dealt; they come last in the order.
+
 Only hashes, fingerprints and counts are dealt out; texts are read where they stand, and sets are made again
 for the pairs to confirm. The one source of loss is reach(): five standard deviations, about one link in a
 million at a similarity of exactly t, far fewer above; sets of up to FEW hashes skip it.
@@ -30,6 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +46,10 @@ from .common import give_back, row_key, small, text_key, written
 from .components import connected_components, spanning_forest
 from .simhash import BITS, fingerprint_links, keep_firsts
 
-#: Hashes that come last in the order: those in more prefixes than FREQUENT of the SAMPLED-th part of the texts, MOST_FREQUENT at most. They decide the work, never the result.
-SAMPLED, FREQUENT, MOST_FREQUENT = 4, 8, 50_000
+#: Hashes that come last in the order: those in more sets than FREQUENT of the SAMPLED-th part of the texts, MOST_FREQUENT at most. They decide the work, never the result.
+SAMPLED, FREQUENT, MOST_FREQUENT = 16, 8, 50_000
+#: Hashes, about, in a chunk of sets, and bytes of text a bucket of hashes: some two million hashes.
+CHUNK_HASHES, CHUNK_SETS, BUCKET_BYTES = 1 << 20, 1 << 15, 12 << 20
 #: Sets compared with each other in one group around a leader, about.
 GROUP = 512
 #: Sets up to this size are compared whatever their fingerprints.
@@ -74,15 +85,9 @@ def shingle_set(text: bytes | None, words_each: int = 5) -> np.ndarray:
     return np.unique((found ^ (found >> np.uint64(32))) * _MIX)
 
 
-def prefix(hashes: np.ndarray, similarity: float, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first hashes of a set in the order; frequent is sorted, and rank says how frequent each of it is."""
-    size = len(hashes) - math.ceil(similarity * len(hashes) - _SMALL) + 1
-    if not len(frequent):
-        return hashes[:size]
-    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-    last = frequent[at] == hashes
-    first = hashes[~last]
-    return first[:size] if len(first) >= size else np.concatenate([first, hashes[last][np.argsort(rank[at[last]])]])[:size]
+def prefix_size(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Hashes of a set of n, in any common order, of which one at least stands in the prefix of each similar set."""
+    return n - np.ceil(similarity * n - _SMALL).astype(np.int64) + 1
 
 
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -106,34 +111,117 @@ def _longs(values: list) -> pa.Array:
     return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
 
 
-def frequent_hashes(texts: DataFrame, words_each: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes that are frequent in the prefixes of a part of the texts, sorted, and how frequent each is."""
+def frequent_hashes(texts: DataFrame, words_each: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that are frequent in the sets of a part of the texts, sorted, and how frequent each is."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _of_texts(batches, words_each):
-            found = [prefix(s, similarity, s[:0], s[:0]) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["token"])
+            found, counts = np.unique(np.concatenate(sets), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], ["token", "n"])
 
     part = texts.where(F.pmod(F.xxhash64("text_key"), F.lit(SAMPLED)) == 0).select("text")
-    counts = part.mapInArrow(made, "token long").groupBy("token").count()
+    counts = part.mapInArrow(made, "token long, n long").groupBy("token").agg(F.sum("n").alias("count"))
     top = counts.where(F.col("count") > FREQUENT).orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).collect()
     frequent = np.array([r["token"] for r in top], dtype=np.int64).view(np.uint64)
     order = np.argsort(frequent)
     return frequent[order], (len(order) - order).astype(np.int64)
 
 
+def _dealt(chunk: int, parts: list[tuple[pa.RecordBatch, list[np.ndarray]]], bits: int, frequent: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
+    """A chunk's rows: of each bucket the places of sets in the chunk (at) and the hashes' next 32 bits (token); and one of the sets themselves (docs)."""
+    sets = [s for _, found in parts for s in found]
+    n = np.array([len(s) for s in sets])
+    hashes, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    last = np.zeros(len(hashes), dtype=bool)
+    if len(frequent):
+        place = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        last = frequent[place] == hashes
+    lasts = [rank[place[lo:hi][last[lo:hi]]] for lo, hi in zip(np.cumsum(n) - n, np.cumsum(n), strict=True)] if last.any() else [rank[:0]] * len(sets)
+    ends = pa.array(np.cumsum([0, *map(len, lasts)]), pa.int32())
+    hashes, owner = hashes[~last] >> np.uint64(32 - bits), owner[~last]
+    first = np.ones(len(hashes), dtype=bool)  # of bits that collide within a set
+    first[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    hashes, owner = hashes[first], owner[first]
+    docs = pa.table({
+        "id": pa.chunked_array([b.column(0) for b, _ in parts]), "text_key": pa.chunked_array([b.column(1) for b, _ in parts]), "node": _longs([_node(s) for s in sets]), "n": pa.array(n, pa.int64()),
+        "fp": _longs([set_fingerprint(s) for s in sets]), "distinct": pa.array(np.bincount(owner, minlength=len(sets))), "last": pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.sort(x) for x in lasts]))),
+    })
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, docs.schema) as stream:
+        stream.write_table(docs)
+    bucket = (hashes >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    found, starts = np.unique(bucket[order], return_index=True)
+    cut = lambda x: np.split(x[order], starts[1:])
+    at = [x.tobytes() for x in cut(owner.astype(np.uint16))] if len(found) else []
+    token = [x.tobytes() for x in cut((hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32))] if len(found) else []
+    rows = len(found)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([*found.tolist(), chunk % (1 << bits)], pa.int32()), pa.array([chunk] * (rows + 1), pa.int64()), pa.array([*at, None], pa.binary()), pa.array([*token, None], pa.binary()), pa.array([None] * rows + [sink.getvalue().to_pybytes()], pa.binary())],
+        ["bucket", "chunk", "at", "token", "docs"],
+    )
+
+
+def _shared(key: tuple, own: pa.Table) -> pa.Table:
+    """A bucket's rows with the hashes of one set left out: token is all bits of the rest, df in how many sets each stands."""
+    rows = own.filter(own["docs"].is_null())
+    at, token = ([np.frombuffer(x.as_py(), kind) for x in rows[c]] for c, kind in (("at", np.uint16), ("token", np.uint32)))
+    cuts = np.cumsum([len(x) for x in token])[:-1]
+    _, place, counts = np.unique(np.concatenate([*token, np.zeros(0, np.uint32)]), return_inverse=True, return_counts=True)
+    df = np.split(np.minimum(counts[place], 65535).astype(np.uint16), cuts) if len(token) else []
+    high = np.int64(key[0].as_py() << 32)
+    out = [(a[d > 1].tobytes(), (t[d > 1].astype(np.int64) | high).tobytes(), d[d > 1].tobytes()) for a, t, d in zip(at, token, df, strict=True)]
+    none = pa.array([None] * len(out), pa.binary())
+    made = pa.table({"chunk": rows["chunk"], **{c: pa.array([r[k] for r in out], pa.binary()) for k, c in enumerate(("at", "token", "df"))}, "docs": none})
+    docs = own.filter(own["docs"].is_valid())
+    none = pa.array([None] * len(docs), pa.binary())
+    return pa.concat_tables([made, pa.table({"chunk": docs["chunk"], "at": none, "token": none, "df": none, "docs": docs["docs"]})])
+
+
+def _prefixes(own: pa.Table, similarity: float) -> pa.Table:
+    """The sets of a chunk with what is shared of their prefixes (tokens), and its places in the order: hashes of the set alone, then by frequency, then the very frequent."""
+    docs = pa.ipc.open_stream(own.filter(own["docs"].is_valid())["docs"][0].as_py()).read_all()
+    n, distinct = docs["n"].to_numpy(), docs["distinct"].to_numpy()
+    rows = own.filter(own["docs"].is_null())
+    at, token, df = (np.frombuffer(b"".join(x.as_py() for x in rows[c]), kind) for c, kind in (("at", np.uint16), ("token", np.int64), ("df", np.uint16)))
+    order = np.lexsort((token, df, at))
+    at, token = at[order].astype(np.int64), token[order]
+    shared = np.bincount(at, minlength=len(n))
+    place = np.arange(len(at)) - (np.cumsum(shared) - shared)[at] + (distinct - shared)[at]
+    lasts = docs["last"].combine_chunks()
+    many = lasts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(np.arange(len(n)), many)
+    behind = np.arange(len(owner)) - (np.cumsum(many) - many)[owner] + distinct[owner]
+    at, token, place = np.concatenate([at, owner]), np.concatenate([token, -1 - lasts.flatten().to_numpy()]), np.concatenate([place, behind])
+    inside = place < prefix_size(n, similarity)[at]
+    at, token, place = at[inside], token[inside], place[inside]
+    order = np.argsort(at, kind="stable")
+    ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(n)))]), pa.int32())
+    listed = lambda x: pa.ListArray.from_arrays(ends, pa.array(x[order]))
+    return docs.select(["id", "text_key", "node", "n", "fp"]).append_column("tokens", listed(token)).append_column("places", listed(place))
+
+
 def _thin(texts: DataFrame, words_each: int, similarity: float) -> DataFrame:
-    """One row a document: id, text_key, node (of equal sets), n, fp, and the hashes of the set's prefix."""
-    frequent, rank = frequent_hashes(texts, words_each, similarity)
+    """One row a document: id, text_key, node (of equal sets), n, fp, and the hashes of the set's prefix that other texts have, with their places."""
+    frequent, rank = frequent_hashes(texts, words_each)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(31, math.ceil(math.log2(max(1, size / BUCKET_BYTES))))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in _of_texts(batches, words_each):
-            tokens = [prefix(s, similarity, frequent, rank) for s in sets]
-            ends = pa.array(np.cumsum([0, *map(len, tokens)]), pa.int32())
-            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(tokens).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], _longs([_node(s) for s in sets]), pa.array([len(s) for s in sets], pa.int64()), _longs([set_fingerprint(s) for s in sets]), lists], ["id", "text_key", "node", "n", "fp", "tokens"])
-
-    return written(texts.mapInArrow(made, "id long, text_key long, node long, n long, fp long, tokens array<long>"))
+        chunk, held, hashes, sets = TaskContext.get().partitionId() << 32, [], 0, 0
+        for batch, found in _of_texts(batches, words_each):
+            held.append((batch.select(["id", "text_key"]), found))
+            hashes, sets = hashes + sum(map(len, found)), sets + len(found)
+            if hashes >= CHUNK_HASHES or sets >= CHUNK_SETS:
+                yield _dealt(chunk, held, bits, frequent, rank)
+                chunk, held, hashes, sets = chunk + 1, [], 0, 0
+        if held:
+            yield _dealt(chunk, held, bits, frequent, rank)
+
+    dealt = texts.mapInArrow(made, "bucket int, chunk long, at binary, token binary, docs binary")
+    shared = dealt.groupBy("bucket").applyInArrow(_shared, "chunk long, at binary, token binary, df binary, docs binary")
+    kinds = "id long, text_key long, node long, n long, fp long, tokens array<long>, places array<long>"
+    return written(shared.groupBy("chunk").applyInArrow(lambda own: _prefixes(own, similarity), kinds))
 
 
 def _sets(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, words_each: int) -> DataFrame:
@@ -241,25 +329,21 @@ def similar_components(docs: DataFrame, text_col: str = "text", words_each: int
     """One row a document: id (row_key of doc_id), text_key, component over sets of that similarity."""
     texts = _texts(docs, text_col)
     thin = _thin(texts, words_each, similarity)
-    size = F.min(F.size("tokens").cast("long")).alias("p")
-    nodes = written(thin.groupBy("node").agg(F.min(F.struct("id", "text_key")).alias("at"), F.min("n").alias("n"), size, F.min("fp").alias("fp")))
+    nodes = written(thin.groupBy("node").agg(F.min(F.struct("id", "text_key")).alias("at"), F.min("n").alias("n"), F.min("fp").alias("fp")))
     about = nodes, texts, words_each, similarity
     close = _confirmed(_fingerprint_pairs(nodes, budget), *about)
 
-    tokens = thin.select("node", F.explode("tokens").alias("token"))
+    tokens = thin.select("node", "n", "fp", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("node", "n", "fp", F.col("t.tokens").alias("token"), F.col("t.places").alias("place"))
     ends = lambda rows, of: rows.groupBy("token").agg(F.min(of).alias("lo"), F.max(of).alias("hi")).where("lo <> hi").select("token")
-    live = written(tokens.join(small(ends(tokens, "node")), "token").distinct().join(nodes.select("node", "n", "p", "fp"), "node"))
-    may = f"u_n >= {similarity} * v_n - {_SMALL} and v_n >= {similarity} * u_n - {_SMALL} and (least(u_n, v_n) <= {FEW} or bit_count(u_fp ^ v_fp) <= {reach(similarity)})"
-
-    def enough(pairs: DataFrame) -> DataFrame:
-        """Pairs that share enough of their prefixes: all that comes after is at most the rest of the set whose prefix ends first."""
-        sizes = (F.col("u_n") + F.col("v_n")).alias("both"), F.greatest(F.col("u_n") - F.col("u_p"), F.col("v_n") - F.col("v_p")).alias("rest")
-        counted = pairs.groupBy(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v"), *sizes).agg(F.count(F.lit(1)).alias("c"))
-        return written(counted.where(F.col("c") + F.col("rest") >= similarity / (1 + similarity) * F.col("both") - _SMALL).select("u", "v"))
+    live = written(tokens.join(small(ends(tokens, "node")), "token").distinct())
+    # from the first hash that two similar sets share, enough is left of both
+    left = f"least(u_n - u_place, v_n - v_place) >= {similarity / (1 + similarity)} * (u_n + v_n) - {_SMALL}"
+    may = f"u_n >= {similarity} * v_n - {_SMALL} and v_n >= {similarity} * u_n - {_SMALL} and {left} and (least(u_n, v_n) <= {FEW} or bit_count(u_fp ^ v_fp) <= {reach(similarity)})"
+    enough = lambda pairs: written(pairs.select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v")).distinct())
 
     end = lambda rows, e: rows.select("token", *(F.col(c).alias(f"{e}_{c}") for c in rows.columns if c != "token"))
-    first = F.min(F.struct(F.xxhash64("node").alias("by"), "node", "n", "p", "fp")).alias("l")
-    leaders = written(live.groupBy("token").agg(first).select("token", "l.node", "l.n", "l.p", "l.fp"))
+    first = F.min(F.struct(F.xxhash64("node").alias("by"), "node", "n", "place", "fp")).alias("l")
+    leaders = written(live.groupBy("token").agg(first).select("token", "l.node", "l.n", "l.place", "l.fp"))
     stars = enough(end(live, "v").join(end(leaders, "u"), "token").where(f"u_node <> v_node and {may}"))
     edges = written(close.union(_collapsed(stars, *about)))
 
