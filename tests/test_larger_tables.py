@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import fmt
 from tidewright.queries import ORACLES, QUERIES
+from tidewright.sources import etl
 
 
 def documents(spark, path, rows):
@@ -27,3 +28,15 @@ def test_ages_of_timestamps_are_those_of_their_seconds(spark):
     ages = [-5, 0, 59, 60, 89, 90, 3569, 3570, 84_599, 84_600, 600_000, 2_800_000, 3_000_000, 40_000_000]
     rows = spark.createDataFrame([(a, now - timedelta(seconds=a), now) for a in ages], "age long, then timestamp, now timestamp")
     assert all(a == b for a, b in rows.select(fmt.relative_time(F.col("then"), F.col("now")), fmt.relative_age(F.col("age"))).collect())
+
+
+def test_news_tags_walk_texts_in_short_batches(spark):
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, "10000")
+    try:
+        items = spark.range(3000).selectExpr("id as arrival", "concat('news of tata ', id) as title", "cast(id as string) as url")
+        tagged = etl.news_tag(items, spark.createDataFrame([("T", "tata")], "ticker string, token string"))
+        assert int(spark.conf.get(rows)) <= 1000 and tagged.where("array_contains(tickers, 'T')").count() == 3000
+    finally:
+        spark.conf.set(rows, before)

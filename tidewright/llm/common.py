@@ -6,10 +6,11 @@ import re
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import bounded_batches, give_back  # noqa: F401  give_back is for the operators
+
 #: The white space of the contracts, as a Java regular expression class.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,22 +42,6 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of an Arrow batch of whole texts, unless the session has its own number: Spark's default would hold 10,000 texts, of any length, several times outside of the heap.
-BATCH_ROWS, DEFAULT_ROWS = 1000, "10000"
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Sets the session's rows of an Arrow batch to BATCH_ROWS where they are Spark's default."""
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(setting) == DEFAULT_ROWS:
-        spark.conf.set(setting, str(BATCH_ROWS))
-
-
-def give_back() -> None:
-    """Returns what Arrow's allocator keeps for later to the system: workers are kept between tasks, next to each other."""
-    pa.default_memory_pool().release_unused()
-
-
 def empty_text(text: Column | str) -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

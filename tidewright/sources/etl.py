@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import bounded_batches, give_back
 from ..functions.series import ordered
 
 c = F.col
@@ -111,6 +112,7 @@ def news_tag(items: DataFrame, patterns: DataFrame) -> DataFrame:
     listed = patterns.where("token <> ''").groupBy("token").agg(F.collect_set("ticker").alias("tickers")).limit(MOST_TOKENS + 1).collect()
     if len(listed) > MOST_TOKENS:
         return news_tag_by_join(items, patterns)
+    bounded_batches(items.sparkSession)
     sent = items.sparkSession.sparkContext.broadcast([(r["token"], r["tickers"]) for r in listed])
 
     @F.arrow_udf("array<string>")
@@ -122,6 +124,7 @@ def news_tag(items: DataFrame, patterns: DataFrame) -> DataFrame:
         ready = len(automaton) > 0
         for batch in titles:
             yield pa.array([found_tickers(automaton, t.as_py() or "") if ready else [] for t in batch], pa.list_(pa.string()))
+        give_back()
 
     return items.withColumn("tickers", tag(F.lower("title")))
 
