@@ -19,6 +19,9 @@ from tidewright.llm import exact_dedup, language_id, mixing, near_copies, packin
 from tidewright.llm.common import shared_folder
 from tidewright.llm.queries import SEQUENCE_TOKENS, source_weight, tokenizer_file
 
+#: Words that a worker remembers in the last stage: fewer than op10's, since the executors hold what four stages have left in memory.
+REMEMBERED = 100_000
+
 #: No stage but exact dedup can be said in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
@@ -45,7 +48,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences."""
-    return packing.pack(docs, tokenizer_file(), packing.Capacity(tokens=SEQUENCE_TOKENS))
+    return packing.pack(docs, tokenizer_file(), packing.Capacity(tokens=SEQUENCE_TOKENS), remembered=REMEMBERED)
 
 
 STAGES = [

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.batches import bounded_batches, give_back  # noqa: F401  give_back is for the operators
+from ..functions.batches import bounded_batches, give_back, text_slices  # noqa: F401  the last two are for the operators
 
 #: The white space of the contracts, as a Java regular expression class.
 SPACE = r"[\x20\x09-\x0D]"

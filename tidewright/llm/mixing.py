@@ -23,9 +23,9 @@ import math
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import WORD, empty_text, small, written
 
@@ -70,7 +70,7 @@ def _tilts(bins: DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
     for _ in range(MOST_ROUNDS):
         if solved.done.all():
             break
-        duals = spark.createDataFrame(solved.loc[~solved.done, ["number", "t", "scale"]])
+        duals = spark.createDataFrame(pa.Table.from_pandas(solved.loc[~solved.done, ["number", "t", "scale"]], preserve_index=False))
         z = F.col("size") / F.col("scale")
         tilted = F.exp(F.least(F.col("t") * z, F.lit(math.log(CAP))))
         free = F.col("t") * z < F.lit(math.log(CAP))
@@ -112,14 +112,14 @@ def _solved(spark: SparkSession, thin: DataFrame, weight_of: Callable[[int], flo
     sizes = [r["source_size"] for r in found]
     aims = targets(sizes, [float(weight_of(k)) for k in range(len(found))], budget_share * sum(sizes))
     sources = pd.DataFrame({"number": range(len(found)), "source_size": sizes, "target": aims, "scale": [max(1.0, float(r["squares"]) / max(1, r["source_size"])) for r in found]})
-    named = T.StructType([T.StructField("source", T.StringType()), T.StructField("number", T.LongType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
-    numbers = spark.createDataFrame([(r["source"], k, sizes[k], aims[k]) for k, r in enumerate(found)], named)
+    # Arrow tables become local relations; lists of rows would start Python workers of their own beside those that hold Python functions
+    numbers = spark.createDataFrame(pa.table({"source": pa.array([r["source"] for r in found], pa.string()), "number": pa.array(range(len(found)), pa.int64()), "source_size": pa.array(sizes, pa.int64()), "target": pa.array(aims, pa.float64())}))
     numbered = bins.join(numbers, _same_source(bins, numbers)).select("number", "size", "n")
     if not found:
         return None
     solved = _tilts(written(numbered), sources)
     full = solved.target >= CAP * solved.source_size * (1 - CLOSE)
-    duals = spark.createDataFrame(solved.assign(full=full & (solved.target > 0), none=solved.target <= 0)[["number", "t", "scale", "full", "none"]])
+    duals = spark.createDataFrame(pa.Table.from_pandas(solved.assign(full=full & (solved.target > 0), none=solved.target <= 0)[["number", "t", "scale", "full", "none"]], preserve_index=False))
     tilt = F.exp(F.least(F.col("t") * F.col("size") / F.col("scale"), F.lit(math.log(CAP))))
     rated = numbered.join(duals, "number").select("number", "size", "n", F.when(F.col("full"), CAP).when(F.col("none"), 0.0).otherwise(tilt).alias("rate"))
     dealt = written(rated.groupBy("number").applyInPandas(_copies, "number long, size long, n long, copies long"))

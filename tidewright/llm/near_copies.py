@@ -48,8 +48,8 @@ from .simhash import BITS, fingerprint_links, keep_firsts
 
 #: Hashes that come last in the order: those in more sets than FREQUENT of the SAMPLED-th part of the texts, MOST_FREQUENT at most. They decide the work, never the result.
 SAMPLED, FREQUENT, MOST_FREQUENT = 16, 8, 50_000
-#: Hashes, about, in a chunk of sets, and bytes of text a bucket of hashes: some two million hashes.
-CHUNK_HASHES, CHUNK_SETS, BUCKET_BYTES = 1 << 20, 1 << 15, 12 << 20
+#: Hashes, about, in a chunk of sets, and bytes of text a bucket of hashes: some million hashes.
+CHUNK_HASHES, CHUNK_SETS, BUCKET_BYTES = 1 << 19, 1 << 15, 6 << 20
 #: Sets compared with each other in one group around a leader, about.
 GROUP = 512
 #: Sets up to this size are compared whatever their fingerprints.

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, row_key, written
+from .common import give_back, row_key, text_slices, written
 
 #: Pieces packed together, about; each group leaves about one sequence part-filled.
 GROUP_PIECES = 4096
@@ -64,7 +64,7 @@ class WordTokenizer:
 
     MARK = b"\x00"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
@@ -73,6 +73,7 @@ class WordTokenizer:
         self.special = {t: k.to_bytes(4, "little") for t, k in added.items()}
         self.cut_special = re.compile(b"(" + b"|".join(map(re.escape, sorted(added, key=len, reverse=True))) + b")") if added else None
         self.known: dict[bytes, bytes] = {}
+        self.remembered = remembered
 
     def _ids(self, text: bytes) -> list[int]:
         self.model.encode_special_tokens = True
@@ -113,7 +114,7 @@ class WordTokenizer:
         """The ids of each text and the closing id, as little-endian unsigned 32-bit numbers."""
         parts = [self.cut_special.split(t) if self.cut_special else [t] for t in texts]  # text and special token by turns
         split = [p.translate(_LOWER).split() for own in parts for p in own[::2]]
-        full = len(self.known) >= REMEMBERED
+        full = len(self.known) >= self.remembered
         if new := set(chain.from_iterable(split)).difference(self.known):
             new |= self._learn_all(new)
         end, of = closing.to_bytes(4, "little"), self.known.__getitem__
@@ -127,18 +128,18 @@ class WordTokenizer:
 
 
 @cache
-def _tokenizer(path: str) -> WordTokenizer:
+def _tokenizer(path: str, remembered: int) -> WordTokenizer:
     """One a worker process, kept between tasks."""
-    return WordTokenizer(path)
+    return WordTokenizer(path, remembered)
 
 
-def cut(docs: DataFrame, tokenizer_path: str, most: int, text_col: str = "text") -> DataFrame:
-    """Pieces of at most most tokens: doc_id, piece, start, length, ids_crc32."""
+def cut(docs: DataFrame, tokenizer_path: str, most: int, text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
+    """Pieces of at most most tokens: doc_id, piece, start, length, ids_crc32. remembered: words that a worker keeps the ids of; fewer take less memory and more time."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(tokenizer_path)
+        tokenizer = _tokenizer(tokenizer_path, remembered)
         for whole in batches:
-            for batch in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
+            for batch in text_slices(whole, 1):
                 rows = []
                 for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer.encode([t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]), strict=True):
                     for k, start in enumerate(range(0, len(ids), 4 * most)):
@@ -183,9 +184,9 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
     return sequence, offset
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: Capacity = Capacity(), group_pieces: int = GROUP_PIECES, text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: Capacity = Capacity(), group_pieces: int = GROUP_PIECES, text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = written(cut(docs, tokenizer_path, capacity.tokens, text_col))
+    pieces = written(cut(docs, tokenizer_path, capacity.tokens, text_col, remembered))
     groups = max(1, -(-pieces.count() // group_pieces))
     same = [row_key("doc_id"), F.col("piece"), F.col("ids_crc32")]
     ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy(*same).orderBy("length")))  # rows without or of one doc_id go to different groups
