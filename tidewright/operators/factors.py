@@ -42,7 +42,8 @@ def market_proxy(bars: DataFrame, index: DataFrame | None = None) -> DataFrame:
 
 def align_market(bars: DataFrame, proxy: DataFrame) -> DataFrame:
     """bars with market: the proxy level of the last of the ticker's own dates that has one, up to each date; null before the first. Levels dated between two bars are not seen: see asof_market."""
-    return bars.join(proxy.select("date", c("level").alias("market")), "date", "left").withColumn("market", F.last("market", ignorenulls=True).over(prefix()))
+    levels = F.broadcast(proxy.select("date", c("level").alias("market")))  # a row a date: bars stay as they are dealt out
+    return bars.join(levels, "date", "left").withColumn("market", F.last("market", ignorenulls=True).over(prefix()))
 
 
 def asof_market(bars: DataFrame, proxy: DataFrame) -> DataFrame:
@@ -64,9 +65,8 @@ def asof_market(bars: DataFrame, proxy: DataFrame) -> DataFrame:
 def price_factors(bars: DataFrame, proxy: DataFrame) -> DataFrame:
     """One row a ticker with the six price factors, null where history is too short."""
     simple = lambda x: F.coalesce(ratio(c(x), prev(x), 1.0) - 1, F.lit(0.0))
-    rows = align_market(bars, proxy).withColumns(
-        {"r": simple("close"), "m": simple("market"), "back": F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))}
-    )
+    back = F.count(F.lit(1)).over(Window.partitionBy("ticker")) - F.row_number().over(ordered()) + 1  # from the last date, without a sort of its own
+    rows = align_market(bars, proxy).withColumns({"r": simple("close"), "m": simple("market"), "back": back})
     at = lambda k: F.max(F.when(c("back") == k, c("close")))
     year = c("back") <= YEAR
     falling = year & (c("m") < 0)

@@ -34,9 +34,13 @@ def bars_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One ticker a supplier: many, sparse series."""
+    """One ticker a supplier: many, sparse series.
+
+    Most (ticker, date) have one order line, so that nothing is gained by aggregating before the shuffle; lines
+    are dealt out by ticker, and what follows by ticker needs no shuffle of its own.
+    """
     supplier = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("ticker"))
-    return _bars(_ticks(spark, sf_dir).join(supplier, F.col("l_suppkey") == F.col("s_suppkey")))
+    return _bars(_ticks(spark, sf_dir).join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).repartition("ticker"))
 
 
 def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
