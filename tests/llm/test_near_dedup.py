@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import corpus_pipeline
@@ -64,3 +65,22 @@ def test_a_family_less_alike_than_the_links_meets_in_no_prefix(spark):
     # rows of the join: what is left of both sets, of about 300 each, may reach 0.8 / 1.8 of their sum
     made = sum(min(a, b) >= 4 / 9 * 590 for left in met.values() for k, a in enumerate(left) for b in left[:k])
     assert made < 60  # in the order of hashes, each two of the 1770 pairs share about ten
+
+
+def test_a_line_shared_by_sets_that_are_not_similar_makes_no_pair_each(spark, monkeypatch):
+    line, parts = prose(11, 12), [prose(20 + k, 14) for k in range(10)]
+    texts = {}
+    for k, left_out in enumerate(itertools.combinations(range(10), 2)):
+        body = " ".join(p for at, p in enumerate(parts) if at not in left_out)
+        texts |= {k: f"{line} {body} x{k}", 100 + k: f"{line} {body} y{k}", 200 + k: prose(300 + k, 12) + " " + body}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = sorted(set(brute_components(sorted(texts), lambda a, b: similarity(texts[a], texts[b]) >= 0.8).values()))
+    assert 20 < len(want) < len(texts)
+    compared, pairs = near_copies._compared, []
+    monkeypatch.setattr(near_copies, "_compared", lambda others, *rest: pairs.append(others.count()) or compared(others, *rest))
+    for part, rows, at_once in ((2048, 1 << 14, 1 << 18), (7, 50, 16)):
+        monkeypatch.setattr(near_copies, "PART", part, raising=False)
+        monkeypatch.setattr(near_copies, "TASK_ROWS", rows, raising=False)
+        monkeypatch.setattr(near_copies, "PAIRS", at_once, raising=False)
+        assert sorted(r.doc_id for r in near_copies.near_dedup(df).collect()) == want
+    assert 0 < pairs[0] < len(texts)  # a forest; 4667 pairs share a hash and may be similar

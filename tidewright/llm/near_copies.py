@@ -11,7 +11,8 @@ sets share stands so early in both that the rest of each can reach t (positional
 hash, and whose fingerprints differ in no more bits than similar
 sets' do (reach()) are compared whole. That is done first for the sets that share a hash with one of them, a
 leader, in groups of bounded size, which joins most of a large group of copies; then for all such pairs of
-different components.
+different components. Of these only spanning forests are kept, made where a hash's sets meet: a line that many
+sets share makes pairs with the square of their number, and as many times as it has hashes.
 
 Frequencies are counted in buckets of the hashes' range: chunks of sets deal out 32 bits of each hash beyond
 its bucket's and the set's place in the chunk, and only hashes of several sets come back to the chunk. Bits that
@@ -52,6 +53,8 @@ SAMPLED, FREQUENT, MOST_FREQUENT = 16, 8, 50_000
 CHUNK_HASHES, CHUNK_SETS, BUCKET_BYTES = 1 << 19, 1 << 15, 6 << 20
 #: Sets compared with each other in one group around a leader, about.
 GROUP = 512
+#: Rows of a hash, about, that meet in one part, rows of a task, about, and pairs held at once.
+PART, TASK_ROWS, PAIRS = 1 << 11, 1 << 14, 1 << 18
 #: Sets up to this size are compared whatever their fingerprints.
 FEW = 16
 
@@ -315,6 +318,51 @@ def _compared(pairs: DataFrame, links: DataFrame, nodes: DataFrame, texts: DataF
     return _forests(placed.select("cluster", "label", "node").join(sets, "node").join(parts, ["cluster", "label"]), ["cluster", "i", "j"], similarity)
 
 
+def _met(own: pa.Table, similarity: float) -> pa.Table:
+    """u, v: a spanning forest of the pairs of different components that may be similar, among the rows of each part, those marked first with those marked second."""
+    own = own.sort_by("part")
+    part, node, n, place, component, first, second = (own[c].to_numpy() for c in ("part", "node", "n", "place", "component", "first", "second"))
+    fp = own["fp"].to_numpy().view(np.uint64)
+    one, other = np.flatnonzero(first), np.flatnonzero(second)
+    lo, hi = np.searchsorted(part[other], part[one]), np.searchsorted(part[other], part[one], side="right")
+    slices = np.flatnonzero(np.diff(np.cumsum(hi - lo) // PAIRS, prepend=0))
+    u = v = np.zeros(0, np.int64)
+    for some in np.split(np.arange(len(one)), slices):
+        many = (hi - lo)[some]
+        a = np.repeat(one[some], many)
+        b = other[np.arange(len(a)) + np.repeat(lo[some] - np.cumsum(many) + many, many)]
+        # from the first hash that two similar sets share, enough is left of both
+        left = np.minimum(n[a] - place[a], n[b] - place[b]) >= similarity / (1 + similarity) * (n[a] + n[b]) - _SMALL
+        may = left & (component[a] != component[b]) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - _SMALL)
+        a, b = a[may], b[may]
+        near = (np.minimum(n[a], n[b]) <= FEW) | (np.bitwise_count(fp[a] ^ fp[b]) <= reach(similarity))
+        u, v = spanning_forest(np.concatenate([u, node[a[near]]]), np.concatenate([v, node[b[near]]]))
+    return pa.table({"u": u, "v": v})
+
+
+def _candidates(moved: DataFrame, similarity: float) -> DataFrame:
+    """u, v, a table: spanning forests of the pairs of different components that share a hash and may be similar. moved: token, node, n, fp, place, component.
+
+    Only what hangs together counts (_compared), so the pairs are neither joined nor kept: those of a hash are
+    many when many sets that are not similar have it, and sets share many hashes. Of each hash with several
+    components, the rows of all but its largest meet all rows, in parts of about PART rows of either.
+    """
+    each = moved.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
+    counts = each.groupBy("token").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("all")).where("most.n < all")
+    blocks = lambda n: F.ceil(n / PART).cast("int")
+    several = small(counts.select("token", F.col("most.component").alias("largest"), blocks(F.col("all") - F.col("most.n")).alias("rows"), blocks(F.col("all")).alias("columns")))
+    lesser = F.col("component") != F.col("largest")
+    at = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
+    mixed = moved.join(several, "token").withColumns({"lesser": lesser, "row": at("rows"), "column": at("columns")})
+    down = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: F.struct(i.alias("i"), F.col("column").alias("j")))
+    along = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda j: F.struct(F.col("row").alias("i"), j.alias("j")))
+    meets = F.explode(F.when(F.col("lesser"), F.array_union(down, along)).otherwise(down)).alias("meet")
+    first, second = F.expr("lesser and row = meet.i").alias("first"), F.expr("column = meet.j").alias("second")
+    rows = written(mixed.select("*", meets).select(F.xxhash64("token", "meet.i", "meet.j").alias("part"), "node", "n", "place", "fp", "component", first, second))
+    tasks = max(1, math.ceil(rows.count() / TASK_ROWS))
+    return written(rows.groupBy(F.pmod("part", F.lit(tasks)).alias("task")).applyInArrow(lambda own: _met(own, similarity), "u long, v long").distinct())
+
+
 def _fingerprint_pairs(nodes: DataFrame, budget: int) -> DataFrame:
     """u, v: the trie join's spanning forest between nodes, and nodes of one fingerprint with the first of them."""
     firsts = written(nodes.groupBy("fp").agg(F.min("node").alias("first")))
@@ -349,13 +397,7 @@ def similar_components(docs: DataFrame, text_col: str = "text", words_each: int
 
     links = written(connected_components(edges))
     moved = written(live.join(links, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    # of each hash with several components, all but the first meet the rest, so that a large group of copies, whose
-    # number is the least of many and so most often the first, does not meet itself
-    first = small(moved.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", "lo"))
-    mixed = written(moved.join(first, "token").withColumn("lesser", F.col("component") != F.col("lo")).drop("lo"))
-    differ = f"u_component <> v_component and (not v_lesser or u_node < v_node) and {may}"
-    others = enough(end(mixed.where("lesser"), "u").join(end(mixed, "v"), "token").where(differ))
-    links = written(connected_components(edges.union(_compared(others, links, *about))))
+    links = written(connected_components(edges.union(_compared(_candidates(moved, similarity), links, *about))))
     return thin.select("id", "text_key", "node").join(links, "node", "left").select("id", "text_key", F.coalesce("component", "node").alias("component"))
 
 
